@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import itertools
+import sys
 import tempfile
+import types
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +43,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept_on_worker(key: tuple, build: Callable[[], Any]) -> Any:
+    """What ``build`` makes, kept for later tasks of the same Python worker (functions travel by value, so
+    their own globals are new for each task).  For bounded tables that follow from ``key`` alone.
+    """
+    store = sys.modules.setdefault("_corpusmill_kept", types.ModuleType("_corpusmill_kept"))
+    if key not in store.__dict__:
+        store.__dict__[key] = build()
+    return store.__dict__[key]
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, or the first ``name_1``, ``name_2``, ... that no column of ``df`` has (case is ignored)."""
     taken = {c.lower() for c in df.columns}

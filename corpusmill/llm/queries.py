@@ -1,25 +1,70 @@
-"""The registered queries of the training-data operators: whole tables, production parameters."""
+"""The registered queries of the training-data operators: whole tables, production parameters.
+
+Queries only derive what is returned (sizes, digests) from their operator's rows.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from corpusmill.llm.bpe import decode, encode, n_tokens
 from corpusmill.llm.jaccard import jaccard_join
+from corpusmill.llm.neardup import embedding_near_dedup
+from corpusmill.llm.packing import pack
+from corpusmill.llm.sharding import shard
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _vocabulary(name: str) -> bytes:
+    return Path(public_tokenizers.path(name)).read_bytes()
+
+
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` in 16 shards of a random order; law ``rows``."""
+    size = F.coalesce(F.octet_length("text"), F.lit(0)) + 1
+    rows = shard(_table(spark, sf_dir, "documents"), 16, size, "doc_id")
+    crc = F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
+    return rows.select("doc_id", size.cast("long").alias("size"), crc.cast("long").alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near copies of ``documents``: word 5-grams, Jaccard similarity of 0.8 or more."""
     return jaccard_join(_table(spark, sf_dir, "documents")).drop("text_hash")
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of ``embeddings`` with equal labels and a cosine of 0.98 or more."""
+    return embedding_near_dedup(_table(spark, sf_dir, "embeddings"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` in sequences of 4096 ids of ``word_bpe_49k``."""
+    pieces = pack(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").cast("long").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of ``documents`` by ``byte_bpe_50k``, and what they decode to."""
+    ranks, pattern = _vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    texts = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    decoded = decode(encode(texts, ranks, pattern).select("doc_id", "ids"), ranks, pattern)
+    return decoded.select("doc_id", n_tokens().alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sharding": op1_sharding,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op3_embedding_near_dedup": op3_embedding_near_dedup,
+    "op5_packing": op5_packing,
+    "op7_byte_bpe": op7_byte_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm.bpe import decode, encode, n_tokens
 from corpusmill.llm.jaccard import jaccard_join
+from corpusmill.llm.linedup import line_dedup
 from corpusmill.llm.neardup import embedding_near_dedup
 from corpusmill.llm.packing import pack
+from corpusmill.llm.quality import quality_rules
 from corpusmill.llm.sharding import shard
 
 
@@ -51,6 +53,12 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").cast("long").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and verdict of every document of ``documents``; trusted are the good ones of ``labels``."""
+    rows = quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of ``documents`` by ``byte_bpe_50k``, and what they decode to."""
     ranks, pattern = _vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -59,12 +67,64 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", n_tokens().alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` without lines that repeat an earlier one with at most one edit: counts and the new text's digest."""
+    rows = line_dedup(_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars"), F.md5(F.encode("text", "UTF-8")).alias("text_md5"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_embedding_near_dedup": op3_embedding_near_dedup,
     "op5_packing": op5_packing,
+    "op6_quality_rules": op6_quality_rules,
     "op7_byte_bpe": op7_byte_bpe,
+    "op9_line_dedup": op9_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_OP3_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0
+), link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+), reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a
+), comp AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+n AS (SELECT a, count(*) AS n_links FROM link GROUP BY a)
+SELECT e.vec_id, coalesce(n.n_links, 0)::BIGINT AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+FROM embeddings e JOIN comp c ON e.vec_id = c.a LEFT JOIN n ON e.vec_id = n.a
+"""
+
+_OP9_SQL = """
+WITH cut AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL),
+line AS (SELECT doc_id, i AS no, parts[i] AS s FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM cut)),
+class AS (SELECT s, min((doc_id, no)) AS place, length(s) AS n FROM line WHERE length(s) >= 20 GROUP BY s),
+half AS (
+  SELECT s, place, n AS k, 1 AS p, left(s, (n // 2)::INT) AS h FROM class
+  UNION ALL SELECT s, place, n, 2, right(s, (n - n // 2)::INT) FROM class
+  UNION ALL SELECT s, place, n - 1, 1, left(s, ((n - 1) // 2)::INT) FROM class
+  UNION ALL SELECT s, place, n - 1, 2, right(s, (n - 1 - (n - 1) // 2)::INT) FROM class
+), pair AS (
+  SELECT DISTINCT a.s, b.s AS t FROM half a JOIN half b ON a.k = b.k AND a.p = b.p AND a.h = b.h AND a.place > b.place
+), place AS (
+  SELECT s, t, unnest(range(1, greatest(length(s), length(t)) + 1)) AS i FROM pair
+), gone AS (
+  SELECT DISTINCT s FROM place
+  WHERE (length(s) = length(t) AND left(s, (i - 1)::INT) || substr(s, (i + 1)::INT) = left(t, (i - 1)::INT) || substr(t, (i + 1)::INT))
+     OR (length(s) = length(t) + 1 AND left(s, (i - 1)::INT) || substr(s, (i + 1)::INT) = t)
+     OR (length(t) = length(s) + 1 AND left(t, (i - 1)::INT) || substr(t, (i + 1)::INT) = s)
+), stays AS (
+  SELECT l.doc_id, l.no, l.s FROM line l LEFT JOIN class c ON l.s = c.s LEFT JOIN gone g ON l.s = g.s
+  WHERE length(l.s) < 20 OR (g.s IS NULL AND c.place = (l.doc_id, l.no))
+), made AS (SELECT doc_id, string_agg(s, chr(10) ORDER BY no) AS text, count(*) AS n FROM stays GROUP BY doc_id)
+SELECT d.doc_id, coalesce(len(c.parts), 0)::INT AS n_lines, (coalesce(len(c.parts), 0) - coalesce(m.n, 0))::INT AS n_removed,
+  CASE WHEN d.text IS NOT NULL THEN length(coalesce(m.text, '')) END::BIGINT AS n_chars,
+  CASE WHEN d.text IS NOT NULL THEN md5(coalesce(m.text, '')) END AS text_md5
+FROM documents d LEFT JOIN cut c ON d.doc_id = c.doc_id LEFT JOIN made m ON d.doc_id = m.doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_embedding_near_dedup": _OP3_SQL, "op9_line_dedup": _OP9_SQL}

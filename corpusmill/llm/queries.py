@@ -13,12 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm.bpe import decode, encode, n_tokens
+from corpusmill.llm.html_extract import extract, n_chars
 from corpusmill.llm.jaccard import jaccard_join
+from corpusmill.llm.langid import identify
 from corpusmill.llm.linedup import line_dedup
 from corpusmill.llm.neardup import embedding_near_dedup
 from corpusmill.llm.packing import pack
 from corpusmill.llm.quality import quality_rules
 from corpusmill.llm.sharding import shard
+from corpusmill.llm.warc import page_id, read_warc, write_warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +50,12 @@ def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_near_dedup(_table(spark, sf_dir, "embeddings"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of ``pages``."""
+    rows, name = extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return rows.select("page_id", "url", F.col(name).alias("text"), n_chars(name).alias("n_chars"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` in sequences of 4096 ids of ``word_bpe_49k``."""
     pieces = pack(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
@@ -67,27 +76,42 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", n_tokens().alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pages`` as WARC archives, read back; a quarantined stretch would be a row with a null page_id."""
+    rows = read_warc(spark, write_warc(_table(spark, sf_dir, "pages")), payload=False)
+    return rows.select(page_id(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", page_id(F.col("refers_to")).alias("refers_to"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` without lines that repeat an earlier one with at most one edit: counts and the new text's digest."""
     rows = line_dedup(_table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars"), F.md5(F.encode("text", "UTF-8")).alias("text_md5"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of ``documents`` from text, declared language and source."""
+    rows = identify(_table(spark, sf_dir, "documents"), declared=F.col("lang"), host=F.col("source"))
+    return rows.select("doc_id", "text_lang", "lang_id", "confidence", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_embedding_near_dedup": op3_embedding_near_dedup,
+    "op4_html_extraction": op4_html_extraction,
     "op5_packing": op5_packing,
     "op6_quality_rules": op6_quality_rules,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_warc": op8_warc,
     "op9_line_dedup": op9_line_dedup,
+    "op10_language_id": op10_language_id,
 }
 
 _OP3_SQL = """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
   WHERE label IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
 ), link AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
   WHERE list_cosine_similarity(a.e, b.e) >= 0.98
@@ -127,4 +151,13 @@ SELECT d.doc_id, coalesce(len(c.parts), 0)::INT AS n_lines, (coalesce(len(c.part
 FROM documents d LEFT JOIN cut c ON d.doc_id = c.doc_id LEFT JOIN made m ON d.doc_id = m.doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_embedding_near_dedup": _OP3_SQL, "op9_line_dedup": _OP9_SQL}
+_OP8_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha256(coalesce(html, '')) AS d, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+f AS (SELECT d, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY d HAVING count(*) > 1)
+SELECT p.page_id, p.n::BIGINT AS payload_bytes, p.d AS payload_digest,
+  CASE WHEN f.first IS NOT NULL AND p.page_id IS DISTINCT FROM f.first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN p.page_id IS DISTINCT FROM f.first THEN f.first END AS refers_to
+FROM p LEFT JOIN f ON p.d = f.d
+"""
+
+ORACLE_SQL: dict[str, str] = {"op8_warc": _OP8_SQL, "op3_embedding_near_dedup": _OP3_SQL, "op9_line_dedup": _OP9_SQL}

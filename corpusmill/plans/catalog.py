@@ -1,4 +1,4 @@
-"""Every registered query of the retrieval engine, with its DuckDB twin."""
+"""Every registered query of the retrieval engine, with its DuckDB twin where SQL can express it."""
 
 from __future__ import annotations
 
@@ -6,5 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from corpusmill.plans import q_chunking, q_evaluation, q_retrieval, q_rules, q_text
+from corpusmill.plans.registry import ORACLES, REGISTERED
+
+MODULES = (q_text, q_retrieval, q_chunking, q_evaluation, q_rules)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = REGISTERED
+ORACLE_SQL: dict[str, str] = ORACLES

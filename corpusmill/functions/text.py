@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -48,6 +49,11 @@ FOLD_FROM, FOLD_TO = _fold_table()
 ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&apos;", "'"), ("&amp;", "&")]
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once a row, however often (and inside whatever lambda) ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def normalize_ws(text: Column) -> Column:
     """Common character references decoded, every run of Unicode white space one space, trimmed; null is empty."""
     value = F.coalesce(text, F.lit(""))
@@ -98,8 +104,7 @@ def slugify(text: Column) -> Column:
 
 def distinct_by(items: Column, key) -> Column:
     """First occurrences in order, by ``key`` of the item."""
-    keys = F.transform(items, key)
-    return F.filter(items, lambda x, i: F.array_position(keys, key(x)) == i + 1)
+    return let(items, lambda a: let(F.transform(a, key), lambda keys: F.filter(a, lambda x, i: F.array_position(keys, F.get(keys, i)) == i + 1)))
 
 
 def legal_refs(text: Column) -> Column:
@@ -150,9 +155,8 @@ def family_match(a: Column, b: Column) -> Column:
 def match_depth(ref: Column, prefix: Column) -> Column:
     """How many leading elements are equal."""
     a, b = F.split(normalize_reference(ref), "-"), F.split(normalize_reference(prefix), "-")
-    n = F.least(F.size(a), F.size(b))
-    same = F.transform(F.sequence(F.lit(1), n), lambda i: F.slice(a, F.lit(1), i) == F.slice(b, F.lit(1), i))
-    return F.size(F.filter(same, lambda x: x))
+    same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
+    return F.aggregate(same, F.struct(F.lit(0).alias("n"), F.lit(True).alias("go")), lambda s, x: F.struct((s["n"] + (s["go"] & x).cast("int")).alias("n"), (s["go"] & x).alias("go")), lambda s: s["n"])
 
 
 def redact_secrets(text: Column) -> Column:
@@ -246,8 +250,7 @@ def significant_tokens(text: Column, stopwords: bool = True) -> Column:
 
 def bigrams(items: Column) -> Column:
     """Distinct neighbours, joined by a space."""
-    n = F.size(items)
-    return F.array_distinct(F.when(n < 2, F.expr("cast(array() as array<string>)")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.get(items, i - 1), F.get(items, i)))))
+    return F.array_distinct(F.filter(let(items, lambda a: F.transform(a, lambda x, i: F.concat(x, F.lit(" "), F.get(a, i + 1)))), lambda x: x.isNotNull()))
 
 
 def common(a: Column, b: Column) -> Column:

@@ -1 +1,331 @@
-"""Queries."""
+"""Queries of ranking, fusion, passages and the reference tree, over the whole corpus and all questions."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusmill.functions import text as t
+from corpusmill.operators import dense, fusion, lexical, passages, references, runtime
+from corpusmill.plans.q_text import SIG
+from corpusmill.plans.registry import query
+from corpusmill.plans.tables import bm25_ctes, chunks, corpus, f, n, questions, ranked, sql, tok, vector_queries, vectors
+
+TEXT = F.col("text")
+DOC_ITEMS = f"SELECT item, {tok('text')} AS toks FROM corpus"
+TITLE_ITEMS = f"SELECT item, {tok('title')} AS toks FROM corpus"
+CHUNK_ITEMS = f"SELECT item, {tok('text')} AS toks FROM chunk"
+LOCAL_ITEMS = f"SELECT ref, item, {tok('text')} AS toks FROM chunk"
+Q = f"SELECT query_id, {tok('text')} AS toks FROM question"
+
+
+def doc_items(spark: SparkSession, d: str, column: str = "text") -> DataFrame:
+    return corpus(spark, d).select("item", "ref", t.tokens(F.col(column)).alias("toks"))
+
+
+def chunk_items(spark: SparkSession, d: str) -> DataFrame:
+    return chunks(spark, d).select("item", "ref", t.tokens(TEXT).alias("toks"))
+
+
+def asked(spark: SparkSession, d: str) -> DataFrame:
+    return questions(spark, d).select("query_id", t.tokens(TEXT).alias("toks"))
+
+
+def _scores(df: DataFrame, *cols: str) -> DataFrame:
+    return df.select("query_id", *cols, F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(sql("SELECT n AS n_items, round(avgdl, 6) AS avgdl, (SELECT count(*) FROM bd) AS n_terms, round(m, 6) AS mean_idf FROM bn, bm", "corpus", "question", **bm25_ctes("b", DOC_ITEMS, Q)))
+def bm25_stats(spark, d):
+    s = lexical.statistics(doc_items(spark, d))
+    return s.select("n_items", F.round("avgdl", 6).alias("avgdl"), "n_terms", F.round("mean_idf", 6).alias("mean_idf"))
+
+
+@query(sql("SELECT query_id, item, round(score, 6) AS score, rank FROM br WHERE rank <= 5", "corpus", "question", **bm25_ctes("b", DOC_ITEMS, Q), br=ranked("b")))
+def bm25_doc_topk(spark, d):
+    return _scores(lexical.rank(doc_items(spark, d), asked(spark, d), 5), "item")
+
+
+@query(sql("SELECT query_id, item, round(score, 6) AS score, rank FROM br WHERE rank <= 30", "corpus", "question", **bm25_ctes("b", TITLE_ITEMS, "SELECT query_id, toks[1:2] AS toks FROM (" + Q + ")"), br=ranked("b")))
+def bm25_zero_fill(spark, d):
+    few = asked(spark, d).withColumn("toks", F.slice("toks", 1, 2))
+    return _scores(lexical.rank(doc_items(spark, d, "title"), few, 30), "item")
+
+
+_ROLL = {"bb": "SELECT r.query_id, c.ref, r.item, r.score, row_number() OVER (PARTITION BY r.query_id, c.ref ORDER BY round(r.score, 9) DESC, r.item) AS o FROM bs r JOIN chunk c ON c.item = r.item", "bo": "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, item) AS rank FROM bb WHERE o = 1"}
+
+
+@query(sql("SELECT query_id, ref, item, round(score, 6) AS score, rank FROM bo WHERE rank <= 5", "chunk", "question", **bm25_ctes("b", CHUNK_ITEMS, Q), **_ROLL))
+def bm25_chunk_to_doc(spark, d):
+    items = chunk_items(spark, d)
+    full = lexical.rank(items.select("item", "toks"), asked(spark, d), None)
+    return _scores(lexical.rollup(full, items.select("item", "ref"), 5), "ref", "item")
+
+
+_TOP_DOCS = {**bm25_ctes("b", DOC_ITEMS, Q), "br": ranked("b"), "top": "SELECT r.query_id, c.ref, r.item AS doc, r.rank AS doc_rank, r.score AS doc_score FROM br r JOIN corpus c ON c.item = r.item WHERE r.rank <= 5"}
+_LOCAL = {**_TOP_DOCS, **bm25_ctes("l", LOCAL_ITEMS, Q, "ref", "SELECT query_id, ref FROM top"), "lr": ranked("l", "ref")}
+
+
+def top_docs(spark: SparkSession, d: str, k: int = 5) -> DataFrame:
+    """``query_id, ref, doc, doc_rank, doc_score``."""
+    items = doc_items(spark, d)
+    best = lexical.rank(items.select("item", "toks"), asked(spark, d), k)
+    return best.join(items.select("item", "ref"), "item").select("query_id", "ref", F.col("item").alias("doc"), F.col("rank").alias("doc_rank"), F.col("score").alias("doc_score"))
+
+
+def local_ranks(spark: SparkSession, d: str) -> DataFrame:
+    pairs = top_docs(spark, d).select("query_id", "ref")
+    return lexical.rank(chunk_items(spark, d), asked(spark, d), None, ["ref"], pairs)
+
+
+@query(sql("SELECT query_id, ref, item, round(score, 6) AS score, rank FROM lr", "corpus", "chunk", "question", **_LOCAL))
+def bm25_local(spark, d):
+    return _scores(local_ranks(spark, d), "ref", "item")
+
+
+@query(sql(f"""SELECT l.query_id, l.ref, l.item, len(list_intersect({tok('c.text')}, {tok('q.text')}))::INT AS overlap,
+row_number() OVER (PARTITION BY l.query_id, l.ref ORDER BY len(list_intersect({tok('c.text')}, {tok('q.text')})) DESC, round(l.score, 9) DESC, l.rank) AS rank
+FROM lr l JOIN chunk c ON c.item = l.item JOIN question q ON q.query_id = l.query_id""", "corpus", "chunk", "question", **_LOCAL))
+def token_overlap_rerank(spark, d):
+    texts = chunk_items(spark, d).select("item", "toks")
+    rows = lexical.overlap_rerank(local_ranks(spark, d), texts, asked(spark, d), ["query_id", "ref"])
+    return rows.select("query_id", "ref", "item", "overlap", F.col("rank").cast("long").alias("rank"))
+
+
+_SEC_ITEMS = f"SELECT ref, section AS item, {tok('title || chr(10) || text')} AS toks FROM chunk"
+
+
+@query(sql("SELECT query_id, ref, item AS section, round(score, 6) AS score, rank FROM sr WHERE rank <= 2", "corpus", "chunk", "question", **_TOP_DOCS, **bm25_ctes("s", _SEC_ITEMS, Q, "ref", "SELECT query_id, ref FROM top"), sr=ranked("s", "ref")))
+def section_bm25(spark, d):
+    parts = chunks(spark, d).select("ref", F.col("section").cast("string").alias("section_key"), F.array("title").alias("path"), "item", "text")
+    items = lexical.sections(parts).select("ref", F.col("section_key").cast("int").alias("item"), t.tokens(TEXT).alias("toks"))
+    best = lexical.rank(items, asked(spark, d), 2, ["ref"], top_docs(spark, d).select("query_id", "ref"))
+    return _scores(best.withColumnRenamed("item", "section"), "ref", "section")
+
+
+_TERMS = "list_filter({x}, lambda w: length(w) >= 4)"
+_BI = "list_transform(range(1, len({x})), lambda i: {x}[i] || ' ' || {x}[i + 1])"
+
+
+@query(sql("""SELECT query_id, item, (len(list_intersect(list_distinct(qt), list_distinct(dt))) + 2 * len(list_intersect(list_distinct(qb), list_distinct(db))))::INT AS overlap
+FROM (SELECT t.query_id, t.doc AS item, q.qt, q.qb, e.dt, e.db FROM top t JOIN qx q ON q.query_id = t.query_id JOIN dx e ON e.item = t.doc)""", "corpus", "question", **_TOP_DOCS,
+    q0=f"SELECT query_id, {_TERMS.format(x=tok('text'))} AS qt FROM question", qx="SELECT *, " + _BI.format(x="qt") + " AS qb FROM q0",
+    d0=f"SELECT item, {_TERMS.format(x=tok('text'))} AS dt FROM corpus", dx="SELECT *, " + _BI.format(x="dt") + " AS db FROM d0"))
+def doc_overlap_score(spark, d):
+    q = questions(spark, d).select("query_id", TEXT.alias("q"))
+    rows = top_docs(spark, d).join(q, "query_id").join(corpus(spark, d).select(F.col("item").alias("doc"), "text"), "doc")
+    return rows.select("query_id", F.col("doc").alias("item"), passages.token_overlap(F.col("q"), TEXT).cast("int").alias("overlap"))
+
+
+_EV = {
+    "qs0": f"SELECT query_id, {SIG.format(x=f('text'))} AS s FROM question",
+    "qs": "SELECT *, " + _BI.format(x="s") + " AS b FROM qs0",
+    "cs0": f"SELECT item, ref, {SIG.format(x=f('title || chr(10) || chr(10) || text'))} AS s, {SIG.format(x=f('title'))} AS h FROM chunk",
+    "cs": "SELECT *, " + _BI.format(x="s") + " AS b, " + _BI.format(x="h") + " AS hb FROM cs0",
+    "ev": """SELECT l.query_id, l.item, least(5.0, 0.8 * len(list_intersect(q.s, c.s))) + least(12.0, 5.0 * len(list_intersect(q.b, c.b)))
+      + least(12.0, 3.0 * len(list_intersect(q.s, c.h))) + least(28.0, 10.0 * len(list_intersect(q.b, c.hb))) AS evidence
+      FROM lr l JOIN qs q ON q.query_id = l.query_id JOIN cs c ON c.item = l.item""",
+}
+
+
+def scored_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Local ranks with question and chunk texts: ``query_id, ref, item, score, rank, q, path, body``."""
+    q = questions(spark, d).select("query_id", TEXT.alias("q"))
+    c = chunks(spark, d).select("item", F.array("title").alias("path"), TEXT.alias("body"))
+    return local_ranks(spark, d).join(q, "query_id").join(c, "item")
+
+
+NO_LEGAL = F.expr("cast(array() as array<string>)")
+
+
+@query(sql("SELECT query_id, item, round(evidence::DOUBLE, 6) AS evidence FROM ev", "corpus", "chunk", "question", **_LOCAL, **_EV))
+def lexical_evidence(spark, d):
+    rows = scored_parts(spark, d)
+    return rows.select("query_id", "item", F.round(passages.lexical_evidence(F.col("q"), F.col("path"), NO_LEGAL, F.col("body")), 6).alias("evidence"))
+
+
+_INTENT = "'\\b(seuil|seuils|taux|plafond|plafonds|bareme|chiffre\\s+d[''’ ]affaires|combien|calcul|calcule|pourcentage|euros?|ht|hors\\s+taxe)\\b'"
+_SECTION = "'\\b(seuil|seuils|taux|limite|limites|plafond|plafonds|bareme|chiffre\\s+d[''’ ]affaires)\\b'"
+
+
+_NUM = f"""SELECT l.query_id, l.item,
+CASE WHEN regexp_matches(strip_accents({n('c.body')}), '\\b\\d[\\d\\s]*(?:[,.]\\d+)?\\s*(?:€|euros?\\b|%|pour\\s*cent\\b)', 'i') THEN 4.0 ELSE 0.0 END
++ CASE WHEN regexp_matches(strip_accents({n('c.title')}), {_SECTION}, 'i') THEN 2.0 WHEN regexp_matches(strip_accents(left({n('c.body')}, 500)), {_SECTION}, 'i') THEN 1.0 ELSE 0.0 END
++ CASE WHEN l.item % 3 = 0 THEN 3.0 ELSE 0.0 END
++ least(4.0, 0.75 * len(list_intersect(q.s, list_distinct({SIG.format(x=f("c.title || chr(10) || c.body"))})))) AS evidence
+FROM lr l JOIN qn q ON q.query_id = l.query_id JOIN cn c ON c.item = l.item"""
+
+
+@query(sql("SELECT query_id, item, round(evidence::DOUBLE, 6) AS evidence FROM (" + _NUM + ")", "corpus", "chunk", "question", **_LOCAL,
+    qn=f"SELECT query_id, list_distinct({SIG.format(x=f('text'))}) AS s FROM (SELECT query_id, text || ' taux 1500' AS text FROM question)",
+    cn="SELECT item, regexp_replace(title, '\\d', '', 'g') AS title, regexp_replace(text, '\\d', '', 'g') || CASE WHEN item % 3 = 0 THEN ' plafond 1 500 euros' ELSE '' END AS body FROM chunk"))
+def numeric_evidence(spark, d):
+    bare = lambda c: F.regexp_replace(c, r"\d", "")
+    rows = scored_parts(spark, d).withColumn("body", F.concat(bare("body"), F.when(F.col("item") % 3 == 0, " plafond 1 500 euros").otherwise("")))
+    rows = rows.withColumn("path", F.transform("path", bare)).withColumn("q", F.concat("q", F.lit(" taux 1500")))
+    return rows.select("query_id", "item", F.round(passages.numeric_evidence(F.col("q"), F.col("path"), F.col("body")), 6).alias("evidence"))
+
+
+@query(sql("""SELECT l.query_id, l.item, CASE WHEN l.query_id % 2 = 1 THEN 0.0 ELSE CASE WHEN l.item % 3 = 0 THEN 8.0 ELSE 0.0 END
++ CASE WHEN l.item % 5 = 0 AND l.query_id % 4 <> 2 THEN -8.0 ELSE 0.0 END + CASE WHEN l.item % 7 = 0 THEN -6.0 ELSE 0.0 END END::DOUBLE AS structural FROM lr l""", "corpus", "chunk", "question", **_LOCAL))
+def structural_score(spark, d):
+    item, qid = F.col("item"), F.col("query_id")
+    path = F.array("path0", F.when(item % 3 == 0, "Règle générale").otherwise(""), F.when(item % 5 == 0, "Dérogations").otherwise(""))
+    said = F.concat("q", F.when(qid % 2 == 0, " droit commun").otherwise(""), F.when(qid % 4 == 2, " exceptions").otherwise(""))
+    rows = scored_parts(spark, d).withColumn("path0", F.get("path", F.lit(0))).withColumn("body", F.concat(F.when(item % 7 == 0, "Réponse : ").otherwise(""), "body"))
+    return rows.select("query_id", "item", passages.structural(said, path, F.col("body")).alias("structural"))
+
+
+_DOT = "SELECT q.query_id, v.item, v.ref, list_dot_product(q.v, v.v) AS score FROM vecq q, vec v"
+
+
+@query(sql("SELECT query_id, item, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, item) AS rank FROM dot) WHERE rank <= 10", "vec", "vecq", dot=_DOT))
+def dense_topk(spark, d):
+    return _scores(dense.nearest(vectors(spark, d).select("item", "vector"), vector_queries(spark, d), 10), "item")
+
+
+@query(sql("""SELECT query_id, ref, item, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, item) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id, ref ORDER BY round(score, 9) DESC, item) AS o FROM dot) WHERE o = 1) WHERE rank <= 5""", "vec", "vecq", dot=_DOT))
+def dense_rollup(spark, d):
+    v = vectors(spark, d)
+    return _scores(dense.nearest_owners(v.select("item", "vector"), vector_queries(spark, d), v.select("item", "ref"), 5), "ref", "item")
+
+
+@query(sql("""SELECT query_id, item, rank AS old_rank, row_number() OVER (PARTITION BY query_id ORDER BY length(text) DESC, rank) AS rank FROM (SELECT r.*, c.text FROM br r JOIN corpus c ON c.item = r.item WHERE r.rank <= 16)
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY length(text) DESC, rank) <= 8""", "corpus", "question", **bm25_ctes("b", DOC_ITEMS, Q), br=ranked("b")))
+def rerank_stub(spark, d):
+    best = lexical.rank(doc_items(spark, d).select("item", "toks"), asked(spark, d), 16)
+    rows = dense.rerank(best.join(corpus(spark, d).select("item", "text"), "item"), F.length("text"), 8)
+    return rows.select("query_id", "item", F.col("rank").cast("long").alias("old_rank"), F.col("new_rank").cast("long").alias("rank"))
+
+
+# --- fusion ---
+
+_RANKINGS = {
+    **bm25_ctes("b", DOC_ITEMS, Q), "br": ranked("b"), **bm25_ctes("t", TITLE_ITEMS, Q), "tr": ranked("t"),
+    "rk": "SELECT r.query_id, 'base' AS source, 0 AS src_ord, c.ref, r.score, r.rank FROM br r JOIN corpus c USING (item) WHERE rank <= 20 UNION ALL SELECT r.query_id, 'dense', 3, c.ref, r.score, r.rank FROM tr r JOIN corpus c USING (item) WHERE rank <= 20",
+}
+
+
+def rankings(spark: SparkSession, d: str) -> DataFrame:
+    """Two rankings of all questions: the text's as "base", the title's in the place of "dense"."""
+    refs = corpus(spark, d).select("item", "ref")
+    out = None
+    for source, at, column in (("base", 0, "text"), ("dense", 3, "title")):
+        one = lexical.rank(doc_items(spark, d, column).select("item", "toks"), asked(spark, d), 20).join(refs, "item")
+        one = one.select("query_id", F.lit(source).alias("source"), F.lit(at).alias("src_ord"), "ref", "score", F.col("rank").cast("long").alias("rank"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_PROFILE = {
+    **_RANKINGS,
+    "p0": "SELECT *, count(*) OVER w AS n, avg(score) OVER w AS m, stddev_pop(score) OVER w AS sd FROM rk WHERE rank <= 5 WINDOW w AS (PARTITION BY query_id, source)",
+    "p1": "SELECT *, exp(z - max(z) OVER (PARTITION BY query_id, source)) AS e FROM (SELECT *, CASE WHEN sd <= 1e-9 THEN 0.0 ELSE (score - m) / sd END AS z FROM p0)",
+    "p2": "SELECT *, e / sum(e) OVER w AS p, max(CASE WHEN rank = 1 THEN score END) OVER w AS s1, max(CASE WHEN rank = 2 THEN score END) OVER w AS s2 FROM p1 WINDOW w AS (PARTITION BY query_id, source)",
+    "p3": "SELECT *, max(CASE WHEN rank = 1 THEN p END) OVER (PARTITION BY query_id, source) AS top FROM p2",
+    "pf": """SELECT query_id, source, ref, rank, p AS probability,
+      CASE WHEN n = 1 THEN 1.0 ELSE least(1.0, greatest(0.0, (p - 1.0 / n) / greatest(1e-9, top - 1.0 / n))) END AS strength,
+      CASE WHEN n = 1 THEN 1.0 ELSE least(1.0, 0.25 * greatest(0.0, (top - 1.0 / n) / greatest(1e-9, 1 - 1.0 / n)) + 0.75 * greatest(0.0, (s1 - s2) / greatest(1e-9, abs(s1)))) END AS confidence FROM p3""",
+}
+
+
+@query(sql("SELECT query_id, source, ref, rank, round(probability, 6) AS probability, round(strength, 6) AS strength, round(confidence, 6) AS confidence FROM pf", "corpus", "question", **_PROFILE))
+def rank_profiles(spark, d):
+    r6 = [F.round(c, 6).alias(c) for c in ("probability", "strength", "confidence")]
+    return fusion.profiles(rankings(spark, d)).select("query_id", "source", "ref", "rank", *r6)
+
+
+def _fuse_sql(part: str, k: int) -> dict[str, str]:
+    return {
+        "fs": f"SELECT query_id, ref, source, sum(part) AS part, max(rank) AS rank, min(src_ord * 1000 + rank) AS o FROM ({part}) GROUP BY query_id, ref, source",
+        "ff": "SELECT query_id, ref, sum(part) AS score, string_agg(source, ',' ORDER BY source) AS sources, string_agg(source || ':' || rank, ',' ORDER BY source) AS ranks, min(o) AS o FROM fs GROUP BY query_id, ref",
+        "fr": f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, o) AS rank FROM ff) WHERE rank <= {k}",
+    }
+
+
+_FUSED = "SELECT query_id, rank, ref, round(score, 9) AS score, sources, ranks FROM fr"
+
+
+def _fused(df: DataFrame) -> DataFrame:
+    return df.select("query_id", F.col("rank").cast("long").alias("rank"), "ref", F.round("score", 9).alias("score"), "sources", "ranks")
+
+
+@query(sql(_FUSED, "corpus", "question", **_RANKINGS, **_fuse_sql("SELECT *, 1.0 / (60 + rank) AS part FROM rk", 5)))
+def rrf(spark, d):
+    return _fused(fusion.reciprocal_rank(rankings(spark, d)))
+
+
+@query(sql(_FUSED, "corpus", "question", **_RANKINGS, **_fuse_sql("SELECT *, CASE source WHEN 'base' THEN 2.0 ELSE 1.0 END / (60 + rank) AS part FROM rk", 5)))
+def rrf_weighted(spark, d):
+    return _fused(fusion.reciprocal_rank(rankings(spark, d), weights={"base": 2.0}))
+
+
+_CW = """SELECT r.*, CASE r.source WHEN 'base' THEN 0.5 ELSE 2.0 END * (1 + coalesce(c.confidence, 0)) * (1 + 0.5 * coalesce(s.strength, 0)) / (60 + r.rank) AS part FROM rk r
+LEFT JOIN (SELECT query_id, source, ref, min(strength) AS strength FROM pf GROUP BY ALL) s ON s.query_id = r.query_id AND s.source = r.source AND s.ref = r.ref
+LEFT JOIN (SELECT query_id, source, max(confidence) AS confidence FROM pf GROUP BY ALL) c ON c.query_id = r.query_id AND c.source = r.source"""
+
+
+@query(sql(_FUSED, "corpus", "question", **_PROFILE, **_fuse_sql(_CW, 20)))
+def cw_rrf(spark, d):
+    return _fused(fusion.confidence_weighted(rankings(spark, d), 20, weights=fusion.WEIGHTS))
+
+
+@query(sql("SELECT query_id, source, ref, rank FROM rk r WHERE source = 'dense' OR EXISTS (SELECT 1 FROM rk a WHERE a.source = 'dense' AND a.query_id = r.query_id AND a.ref = r.ref)", "corpus", "question", **_RANKINGS))
+def anchor_filter(spark, d):
+    return fusion.anchored(rankings(spark, d)).select("query_id", "source", "ref", "rank")
+
+
+_EXACT_Q = "SELECT query_id, text || ' BOI-EN-SRC' || (query_id % 20) || ' and boi-fr-src' || (query_id % 7) AS text FROM question"
+
+
+def exact_questions(spark: SparkSession, d: str) -> DataFrame:
+    """The questions, each with two references in it."""
+    tail = F.concat(F.lit(" BOI-EN-SRC"), F.col("query_id") % 20, F.lit(" and boi-fr-src"), F.col("query_id") % 7)
+    return questions(spark, d).withColumn("text", F.concat("text", tail))
+
+
+_OVERLAP = "(len(list_intersect(list_distinct({q}t), list_distinct(e.dt))) + 2 * len(list_intersect(list_distinct({q}b), list_distinct(e.db))))"
+_DOCX = {"d0": f"SELECT item, ref, {_TERMS.format(x=tok('search'))} AS dt FROM (SELECT item, ref, concat_ws(' ', ref, nullif(title, ''), lang, source) AS search FROM corpus)", "dx": "SELECT *, " + _BI.format(x="dt") + " AS db FROM d0"}
+_EXACT = {
+    "eq": _EXACT_Q, "q0": f"SELECT query_id, {_TERMS.format(x=tok('text'))} AS qt FROM eq", "qx": "SELECT *, " + _BI.format(x="qt") + " AS qb FROM q0", **_DOCX,
+    "target": "SELECT query_id, 'EN-SRC' || (query_id % 20) AS t, 1 AS o FROM question UNION ALL SELECT query_id, 'FR-SRC' || (query_id % 7), 2 FROM question",
+    "cand": "SELECT t.query_id, e.ref, arg_min(len(string_split(e.ref, '-')) - 1 - len(string_split(t.t, '-')), t.o) AS extra, any_value(e.item) AS item FROM target t JOIN dx e ON starts_with(e.ref, 'BOI-' || t.t || '-') OR e.ref = 'BOI-' || t.t GROUP BY t.query_id, e.ref",
+    "sc": "SELECT c.query_id, c.ref, CASE WHEN c.extra = 0 THEN 120.0 ELSE 105.0 - least(c.extra, 6) END + least(30.0, " + _OVERLAP.format(q="q.q") + ") AS score FROM cand c JOIN dx e ON e.item = c.item JOIN qx q ON q.query_id = c.query_id",
+    "xr": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY -score, ref) AS rank FROM sc) WHERE rank <= 20",
+}
+
+
+def doc_texts(spark: SparkSession, d: str) -> DataFrame:
+    """``ref, text``: what a document is scored by in exact and prefix rankings."""
+    return corpus(spark, d).select("ref", F.concat_ws(" ", "ref", F.nullif("title", F.lit("")), "lang", "source").alias("text"))
+
+
+def _ranks(df: DataFrame) -> DataFrame:
+    return df.select("query_id", "ref", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(sql("SELECT query_id, ref, round(score::DOUBLE, 6) AS score, rank FROM xr", "corpus", "question", **_EXACT))
+def exact_reference_rank(spark, d):
+    return _ranks(references.exact_ranking(exact_questions(spark, d), doc_texts(spark, d)))
+
+
+_PREFIX = {
+    "q0": f"SELECT query_id, {_TERMS.format(x=tok('text'))} AS qt, 'EN-SRC' || (query_id % 20) AS prefix FROM question", "qx": "SELECT *, " + _BI.format(x="qt") + " AS qb FROM q0", **_DOCX,
+    "sc": "SELECT q.query_id, e.ref, least(30.0, " + _OVERLAP.format(q="q.q") + ") AS ov, (CASE WHEN split_part(e.ref, '-', 3) = split_part(q.prefix, '-', 2) THEN 2 ELSE 1 END) AS depth FROM qx q JOIN dx e ON starts_with(e.ref, 'BOI-' || q.prefix)",
+    "xr": "SELECT * FROM (SELECT query_id, ref, ov + 0.25 * depth AS score, row_number() OVER (PARTITION BY query_id ORDER BY -(ov + 0.25 * depth), ref) AS rank FROM sc WHERE ov > 0) WHERE rank <= 20",
+}
+
+
+@query(sql("SELECT query_id, ref, round(score::DOUBLE, 6) AS score, rank FROM xr", "corpus", "question", **_PREFIX))
+def prefix_overlap_rank(spark, d):
+    q = questions(spark, d).withColumn("prefix", F.concat(F.lit("EN-SRC"), F.col("query_id") % 20))
+    return _ranks(references.prefix_ranking(q, doc_texts(spark, d)))
+
+
+@query(sql("""SELECT query_id, ref, row_number() OVER (PARTITION BY query_id ORDER BY p, rank) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, ref ORDER BY p, rank) AS o
+FROM (SELECT query_id, ref, rank, 0 AS p FROM rk WHERE source = 'dense' AND rank <= 3 UNION ALL SELECT query_id, ref, rank, 1 FROM fr)) WHERE o = 1""", "corpus", "question", **_RANKINGS, **_fuse_sql("SELECT *, 1.0 / (60 + rank) AS part FROM rk", 5)))
+def prepend_ranked(spark, d):
+    r = rankings(spark, d)
+    rows = fusion.prepended(r.filter("source = 'dense' and rank <= 3"), fusion.reciprocal_rank(r))
+    return rows.select("query_id", "ref", F.col("rank").cast("long").alias("rank"))

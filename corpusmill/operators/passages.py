@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import text as t
 from corpusmill.functions.text import bigrams, common
 from corpusmill.operators import lexical
+from corpusmill.operators.staging import staged
 
 
 def long_tokens(text: Column) -> Column:
@@ -89,6 +90,16 @@ def prefixes_of(parts: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "-"))
 
 
+def _local(pairs: DataFrame, chunks: DataFrame, queries: DataFrame, keep: int) -> DataFrame:
+    """:func:`prioritized` hits of ``pairs(query_id, ref)``; only chunks of these documents are tokenized."""
+    near = staged(chunks.join(pairs.select("ref").distinct(), "ref", "left_semi").select("item", "ref", "path", "legal", "text"), "passages")
+    search = F.concat_ws("\n", "ref", F.array_join("path", " "), F.nullif(F.array_join("legal", " "), F.lit("")), "text")
+    toks = near.select("item", "ref", t.tokens(search).alias("toks"))
+    asked = queries.select("query_id", t.tokens(F.col("text")).alias("toks"))
+    ranked = staged(lexical.rank(toks, asked, None, ["ref"], pairs.select("query_id", "ref").distinct()), "local")
+    return staged(prioritized(ranked, near, queries, keep), "prioritized")
+
+
 def direct_search(queries: DataFrame, stage1: DataFrame, chunks: DataFrame, *, top_docs: int = 5, per_doc: int = 2, most: int = 6) -> DataFrame:
     """Passages of the stage-1 documents, then of documents that the question or these passages cite, then chunks that name them.
 
@@ -96,21 +107,16 @@ def direct_search(queries: DataFrame, stage1: DataFrame, chunks: DataFrame, *, t
     local_rank, local_score, ref, item``.  One hop: at most six references are followed, those of at least three
     parts; each cited document takes the next document rank, whether or not it adds passages.
     """
-    toks = chunks.select("item", "ref", t.tokens(F.concat_ws("\n", "ref", F.array_join("path", " "), F.nullif(F.array_join("legal", " "), F.lit("")), "text")).alias("toks"))
-    asked = queries.select("query_id", t.tokens(F.col("text")).alias("toks"))
-    docs = stage1.filter(F.col("rank") <= top_docs).select("query_id", "ref", F.col("rank").alias("document_rank"))
-
-    def local(pairs: DataFrame) -> DataFrame:
-        ranked = lexical.rank(toks, asked, None, ["ref"], pairs.select("query_id", "ref").distinct())
-        return prioritized(ranked, chunks, queries, per_doc)
-
-    base = local(docs).join(docs, ["query_id", "ref"]).withColumn("phase", F.lit(0))
+    queries = staged(queries.select("query_id", "text", t.numeric_intent(F.col("text")).alias("_numeric")), "questions")
+    docs = staged(stage1.filter(F.col("rank") <= top_docs).select("query_id", "ref", F.col("rank").alias("document_rank")), "stage1")
+    base = _local(docs, chunks, queries, per_doc).join(docs, ["query_id", "ref"]).withColumn("phase", F.lit(0))
     at = Window.partitionBy("query_id").orderBy("document_rank", "local_rank")
     first = base.withColumn("o", F.row_number().over(at)).filter(F.col("o") <= most)
     cited = first.join(chunks.select("item", "path", "legal", "text"), "item").select("query_id", "o", F.posexplode(t.references(_haystack(F.col("path"), F.col("legal"), F.col("text")), 4)).alias("p", "cited"))
     own = queries.select("query_id", F.lit(0).alias("o"), F.posexplode(t.references(F.col("text"), 4)).alias("p", "cited"))
     named = own.unionByName(cited).groupBy("query_id", "cited").agg(F.min(F.struct("o", "p")).alias("at"))
     named = named.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("at"))).filter("n <= 6")
+    named = staged(named.select("query_id", "cited", "n"), "cited")
     n_docs = docs.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_docs"))
     has_own = own.select("query_id").distinct().withColumn("own", F.lit(True))
     start = queries.select("query_id").join(n_docs, "query_id", "left").join(has_own, "query_id", "left")
@@ -119,9 +125,10 @@ def direct_search(queries: DataFrame, stage1: DataFrame, chunks: DataFrame, *, t
     refs = chunks.select("ref").distinct().select("ref", F.explode(prefixes_of(F.split(t.normalize_reference(F.col("ref")), "-"))).alias("prefix"))
     follow = named.filter(t.followable(F.col("cited"))).withColumn("prefix", t.normalize_reference(F.col("cited"))).join(refs, "prefix")
     follow = follow.withColumn("step", F.row_number().over(Window.partitionBy("query_id").orderBy("n", "ref"))).join(start, "query_id")
+    follow = staged(follow.select("query_id", "ref", "start", "step"), "followed")
     steps = follow.groupBy("query_id").agg(F.max("step").alias("steps"))
     follow = follow.groupBy("query_id", "ref").agg((F.min("start") + F.min("step") - 1).alias("document_rank"))
-    followed = local(follow).join(follow, ["query_id", "ref"]).withColumn("phase", F.lit(1))
+    followed = _local(follow, chunks, queries, per_doc).join(follow, ["query_id", "ref"]).withColumn("phase", F.lit(1))
     hits = base.unionByName(followed)
     once = Window.partitionBy("query_id", "item").orderBy("phase")
     hits = hits.withColumn("_n", F.row_number().over(once)).filter("_n = 1").drop("_n", "phase")
@@ -134,7 +141,7 @@ def direct_search(queries: DataFrame, stage1: DataFrame, chunks: DataFrame, *, t
     mention = mention.withColumn("local_rank", F.row_number().over(best)).filter(F.col("local_rank") <= max(2, per_doc))
     mention = mention.join(start, "query_id").join(steps, "query_id", "left")
     mention = mention.select("query_id", "ref", "item", F.lit(0.0).alias("score"), "local_rank", "numeric", (F.col("start") + F.coalesce("steps", F.lit(0))).alias("document_rank"))
-    hits = hits.unionByName(mention).join(queries.select("query_id", t.numeric_intent(F.col("text")).alias("_numeric")), "query_id")
+    hits = hits.unionByName(mention).join(queries.select("query_id", "_numeric"), "query_id")
     lead = F.when(F.col("_numeric"), -F.round(F.col("numeric") - 0.6 * F.greatest(F.lit(0), F.col("document_rank") - 1), 9)).otherwise(0.0)
     order = Window.partitionBy("query_id").orderBy(lead, "local_rank", "document_rank", F.round("score", 9).desc(), "item")
     hits = hits.withColumn("global_rank", F.row_number().over(order)).filter(F.col("global_rank") <= most)
@@ -143,11 +150,8 @@ def direct_search(queries: DataFrame, stage1: DataFrame, chunks: DataFrame, *, t
 
 def intra_document(queries: DataFrame, wanted: DataFrame, chunks: DataFrame, most: int = 8, per_doc: int = 8) -> DataFrame:
     """The best passages of named documents: ``wanted(query_id, ref, rank)``, at most eight a question."""
-    docs = wanted.filter("rank <= 8").select("query_id", "ref", F.col("rank").alias("document_rank"))
-    toks = chunks.select("item", "ref", t.tokens(F.concat_ws("\n", "ref", F.array_join("path", " "), "text")).alias("toks"))
-    asked = queries.select("query_id", t.tokens(F.col("text")).alias("toks"))
-    ranked = lexical.rank(toks, asked, None, ["ref"], docs.select("query_id", "ref"))
-    rows = prioritized(ranked, chunks, queries, per_doc).join(docs, ["query_id", "ref"])
+    docs = staged(wanted.filter("rank <= 8").select("query_id", "ref", F.col("rank").alias("document_rank")), "wanted")
+    rows = _local(docs, chunks, queries, per_doc).join(docs, ["query_id", "ref"])
     w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "document_rank", "local_rank", "item")
     return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most).select("query_id", "rank", "ref", "item", F.col("score").alias("local_score"))
 

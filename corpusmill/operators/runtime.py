@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import slow
 from corpusmill.functions import text as t
 from corpusmill.operators import dense, fusion, lexical, passages, references
+from corpusmill.operators.staging import staged
 
 #: How many passages a document offers, and how many the reranker sees, to how many characters.
 PER_DOC, POOL, POOL_CHARS = 8, 16, 900
@@ -74,12 +75,12 @@ def stage1(corpus: Corpus, queries: DataFrame, options: Options, query_vectors:
 
     ``queries(query_id, text, [prefix])``; a prefix adds a source and exempts its documents from the anchor filter.
     """
-    rankings = build_rankings(corpus, queries, options, query_vectors)
+    rankings = staged(build_rankings(corpus, queries, options, query_vectors), "rankings")
     docs = corpus.documents.select("ref", F.col("score_text").alias("text"))
-    exact = references.exact_ranking(queries, docs, corpus.chunks.select("ref", "text"))
+    exact = staged(references.exact_ranking(queries, docs, corpus.chunks.select("ref", "text")), "exact")
     source = lambda df, name: df.select("query_id", F.lit(name).alias("source"), F.lit(fusion.SOURCES.index(name)).alias("src_ord"), "ref", "score", F.col("rank").cast("int").alias("rank"))
     rankings = rankings.unionByName(source(exact, "exact_reference"))
-    by_prefix = references.prefix_ranking(queries, docs, corpus.chunks.select("ref", "text")) if "prefix" in queries.columns else None
+    by_prefix = staged(references.prefix_ranking(queries, docs, corpus.chunks.select("ref", "text")), "prefix") if "prefix" in queries.columns else None
     if options.use_anchor:
         rankings = fusion.anchored(rankings, extra=None if by_prefix is None else by_prefix.select("query_id", "ref"))
     if by_prefix is not None:
@@ -95,7 +96,7 @@ def retrieve(corpus: Corpus, queries: DataFrame, options: Options | None = None,
     selection is diverse.  Without it the first passages stay as they are.  Passages: ``query_id, rank, ref, item, score``.
     """
     options = options or Options()
-    docs = stage1(corpus, queries, options, query_vectors)
+    docs = staged(stage1(corpus, queries, options, query_vectors), "stage1")
     hits = passages.direct_search(queries, docs, corpus.chunks, top_docs=options.top_docs, per_doc=PER_DOC, most=PER_DOC * options.top_docs)
     if reranker is None:
         best = hits.filter(F.col("global_rank") <= options.max_chunks)
@@ -103,5 +104,6 @@ def retrieve(corpus: Corpus, queries: DataFrame, options: Options | None = None,
     pool = hits.filter(F.col("global_rank") <= POOL).join(corpus.chunks.select("item", "path", "text"), "item").join(queries.select("query_id", F.col("text").alias("question")), "query_id")
     pool = pool.withColumn("passage", F.concat_ws("\n", F.array_join("path", " > "), F.left("text", F.lit(POOL_CHARS)))).withColumn("rank", F.col("global_rank"))
     ranked = dense.rerank(pool, reranker, min(options.max_chunks * 3, POOL)).select("query_id", F.col("new_rank").alias("rank"), "ref", "path", "item", F.col("rerank_score").alias("score"))
+    ranked = staged(ranked, "reranked")
     picks = passages.diverse(ranked, options.max_chunks)
     return docs, picks.join(ranked.select("query_id", "item", "ref", "score"), ["query_id", "item"]).select("query_id", F.col("pick").alias("rank"), "ref", "item", "score")

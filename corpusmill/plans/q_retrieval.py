@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text as t
 from corpusmill.operators import dense, fusion, lexical, passages, references, runtime
+from corpusmill.operators.staging import staged
 from corpusmill.plans.q_text import SIG
 from corpusmill.plans.registry import query
 from corpusmill.plans.tables import bm25_ctes, chunks, corpus, f, n, questions, ranked, sql, tok, vector_queries, vectors
@@ -70,7 +71,7 @@ def top_docs(spark: SparkSession, d: str, k: int = 5) -> DataFrame:
     """``query_id, ref, doc, doc_rank, doc_score``."""
     items = doc_items(spark, d)
     best = lexical.rank(items.select("item", "toks"), asked(spark, d), k)
-    return best.join(items.select("item", "ref"), "item").select("query_id", "ref", F.col("item").alias("doc"), F.col("rank").alias("doc_rank"), F.col("score").alias("doc_score"))
+    return staged(best, "top").join(items.select("item", "ref"), "item").select("query_id", "ref", F.col("item").alias("doc"), F.col("rank").alias("doc_rank"), F.col("score").alias("doc_score"))
 
 
 def local_ranks(spark: SparkSession, d: str) -> DataFrame:
@@ -215,7 +216,7 @@ def rankings(spark: SparkSession, d: str) -> DataFrame:
         one = lexical.rank(doc_items(spark, d, column).select("item", "toks"), asked(spark, d), 20).join(refs, "item")
         one = one.select("query_id", F.lit(source).alias("source"), F.lit(at).alias("src_ord"), "ref", "score", F.col("rank").cast("long").alias("rank"))
         out = one if out is None else out.unionByName(one)
-    return out
+    return staged(out, "rankings")
 
 
 _PROFILE = {
@@ -329,3 +330,206 @@ def prepend_ranked(spark, d):
     r = rankings(spark, d)
     rows = fusion.prepended(r.filter("source = 'dense' and rank <= 3"), fusion.reciprocal_rank(r))
     return rows.select("query_id", "ref", F.col("rank").cast("long").alias("rank"))
+
+
+# --- passages ---
+
+
+def parts(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks as passages: ``item, ref, path, legal, text``."""
+    return chunks(spark, d).select("item", "ref", F.array("title").alias("path"), NO_LEGAL.alias("legal"), "text")
+
+
+_FULL_ITEMS = f"SELECT ref, item, {tok('ref || chr(10) || title || chr(10) || text')} AS toks FROM chunk"
+_DIRECT = {
+    **_TOP_DOCS, **bm25_ctes("l", _FULL_ITEMS, Q, "ref", "SELECT query_id, ref FROM top"), "lr": ranked("l", "ref"), **_EV,
+    "num": f"""SELECT l.query_id, l.item, CASE WHEN regexp_matches(strip_accents({n('q.text')}), {_INTENT}, 'i') THEN 1 ELSE 0 END AS asks FROM lr l JOIN question q ON q.query_id = l.query_id""",
+    "pr": "SELECT l.query_id, l.ref, l.item, l.score, row_number() OVER (PARTITION BY l.query_id, l.ref ORDER BY round(l.score + 2 * e.evidence, 9) DESC, l.rank, l.item) AS local_rank FROM lr l JOIN ev e ON e.query_id = l.query_id AND e.item = l.item",
+    "hit": "SELECT p.*, t.doc_rank FROM pr p JOIN top t ON t.query_id = p.query_id AND t.ref = p.ref WHERE local_rank <= 2",
+}
+_PLAIN_ORDER = "row_number() OVER (PARTITION BY query_id ORDER BY local_rank, doc_rank, round(score, 9) DESC, item)"
+
+
+def _hits(df: DataFrame) -> DataFrame:
+    return df.select("query_id", F.col("global_rank").cast("long").alias("rank"), F.col("document_rank").cast("long").alias("doc_rank"), F.col("local_rank").cast("long").alias("local_rank"), "ref", "item", F.round("local_score", 6).alias("score"))
+
+
+@query(sql(f"SELECT query_id, rank, doc_rank, local_rank, ref, item, round(score, 6) AS score FROM (SELECT *, {_PLAIN_ORDER} AS rank FROM hit) WHERE rank <= 6", "corpus", "chunk", "question", **_DIRECT))
+def direct_passages(spark, d):
+    stage1 = top_docs(spark, d).withColumnRenamed("doc_rank", "rank")
+    return _hits(passages.direct_search(questions(spark, d), stage1, parts(spark, d)))
+
+
+@query()
+def follow_references(spark, d):
+    """As ``direct_passages``, with references in the questions that are followed one hop."""
+    stage1 = top_docs(spark, d).withColumnRenamed("doc_rank", "rank")
+    named = questions(spark, d).withColumn("text", F.concat("text", F.lit(" voir BOI-EN-SRC"), F.col("query_id") % 20, F.lit("-"), F.col("query_id") % 3))
+    return _hits(passages.direct_search(named, stage1, parts(spark, d), most=40))
+
+
+@query(sql("SELECT query_id, ref, item, overlap, global_rank AS rank FROM (SELECT o.*, row_number() OVER (PARTITION BY o.query_id ORDER BY o.rank, t.doc_rank, round(o.score, 9) DESC, o.item) AS global_rank FROM ov o JOIN top t ON t.query_id = o.query_id AND t.ref = o.ref WHERE o.rank <= 3) WHERE global_rank <= 6", "corpus", "chunk", "question", **_LOCAL,
+    ov=f"SELECT l.query_id, l.ref, l.item, l.score, len(list_intersect({tok('c.text')}, {tok('q.text')}))::INT AS overlap, row_number() OVER (PARTITION BY l.query_id, l.ref ORDER BY len(list_intersect({tok('c.text')}, {tok('q.text')})) DESC, round(l.score, 9) DESC, l.rank) AS rank FROM lr l JOIN chunk c ON c.item = l.item JOIN question q ON q.query_id = l.query_id"))
+def two_stage(spark, d):
+    local = lexical.overlap_rerank(local_ranks(spark, d), chunk_items(spark, d).select("item", "toks"), asked(spark, d), ["query_id", "ref"])
+    rows = passages.two_stage(top_docs(spark, d), local)
+    return rows.select("query_id", "ref", "item", "overlap", F.col("global_rank").cast("long").alias("rank"))
+
+
+@query(sql("SELECT query_id, rank, ref, item, round(score, 6) AS score FROM (SELECT p.*, row_number() OVER (PARTITION BY p.query_id ORDER BY round(p.score, 9) DESC, t.doc_rank, p.local_rank, p.item) AS rank FROM pr p JOIN top t ON t.query_id = p.query_id AND t.ref = p.ref WHERE p.local_rank <= 8) WHERE rank <= 8", "corpus", "chunk", "question", **_DIRECT))
+def intra_document(spark, d):
+    wanted = top_docs(spark, d).select("query_id", "ref", F.col("doc_rank").alias("rank"))
+    rows = passages.intra_document(questions(spark, d), wanted, parts(spark, d))
+    return rows.select("query_id", F.col("rank").cast("long").alias("rank"), "ref", "item", F.round("local_score", 6).alias("score"))
+
+
+@query()
+def diverse_selection(spark, d):
+    """Eight of the sixteen best passages of each question, spread over documents and sections."""
+    stage1 = top_docs(spark, d).withColumnRenamed("doc_rank", "rank")
+    hits = passages.direct_search(questions(spark, d), stage1, parts(spark, d), per_doc=8, most=16)
+    pool = hits.join(parts(spark, d).select("item", "path"), "item").select("query_id", F.col("global_rank").alias("rank"), "ref", "path", "item", F.col("local_score").alias("score"))
+    return passages.diverse(pool)
+
+
+def whole_corpus(spark: SparkSession, d: str) -> runtime.Corpus:
+    c = corpus(spark, d)
+    search = F.concat_ws("\n", "ref", "title", F.concat_ws(" ", "lang", "source"))
+    docs = c.select("item", "ref", "title", F.concat_ws("\n", search, "text").alias("base"), F.concat_ws("\n", search, t.first_sentence(TEXT)).alias("leads"), search.alias("score_text"))
+    return runtime.Corpus(docs, parts(spark, d))
+
+
+@query()
+def retrieve(spark, d):
+    """The whole runtime over all questions: final passages."""
+    _, found = runtime.retrieve(whole_corpus(spark, d), questions(spark, d))
+    return found
+
+
+@query()
+def retrieve_reranked(spark, d):
+    """The whole runtime with a stand-in for the reranker (common tokens) and diverse selection."""
+    reranker = F.size(F.array_intersect(t.tokens(F.col("question")), t.tokens(F.col("passage")))).cast("double")
+    _, found = runtime.retrieve(whole_corpus(spark, d), questions(spark, d), reranker=reranker)
+    return found
+
+
+@query()
+def retrieve_stage1(spark, d):
+    """The documents that the runtime finds first, with a prefix for every question."""
+    q = questions(spark, d).withColumn("prefix", F.concat(F.lit("EN-SRC"), F.col("query_id") % 20))
+    return runtime.stage1(whole_corpus(spark, d), q, runtime.Options())
+
+
+# --- reference tree ---
+
+_CORES = {
+    "core": "SELECT ref, string_split(ref, '-') AS c FROM corpus",
+    "pre": "SELECT ref, len(c) AS depth, c[1:i] AS p FROM (SELECT *, unnest(range(1, len(c) + 1)) AS i FROM core)",
+    "cnt": "SELECT p, count(*) AS n FROM pre GROUP BY p",
+}
+
+
+@query(sql("SELECT c.ref, greatest(0, coalesce(n.n, 1) - 1) AS descendants FROM core c LEFT JOIN cnt n ON n.p = c.c AND len(c.c) >= 4", "corpus", **_CORES))
+def descendant_counts(spark, d):
+    return references.descendant_counts(corpus(spark, d))
+
+
+@query(sql("SELECT array_to_string(p, '-') AS prefix, n FROM cnt WHERE len(p) >= 2", "corpus", **_CORES))
+def prefix_counts(spark, d):
+    return references.prefix_counts(corpus(spark, d), 2).select(F.array_join("prefix", "-").alias("prefix"), "n")
+
+
+_FAMILY = {
+    **_CORES,
+    "fam": "SELECT b.ref, coalesce(max(CASE WHEN n.n > 1 AND n.n <= 25 AND (len(b.p) = b.depth OR len(b.p) >= 3) THEN len(b.p) END), max(b.depth)) AS len FROM pre b JOIN cnt n ON n.p = b.p GROUP BY b.ref",
+    "mem": "SELECT f.ref, array_to_string(b.p, '-') AS prefix, b.ref AS member, row_number() OVER (PARTITION BY f.ref ORDER BY b.depth, b.ref) AS place FROM fam f JOIN core c ON c.ref = f.ref JOIN pre b ON b.p = c.c[1:f.len]",
+}
+
+
+@query(sql("SELECT * FROM mem", "corpus", **_FAMILY))
+def family_selection(spark, d):
+    c = corpus(spark, d)
+    rows = references.family_members(references.family_prefixes(c, c, least=3), c)
+    return rows.select("ref", F.array_join("prefix", "-").alias("prefix"), "member", F.col("place").cast("long").alias("place"))
+
+
+@query(sql("""SELECT query_id, member, row_number() OVER (PARTITION BY query_id ORDER BY o) AS place FROM (SELECT t.query_id, m.member, min(t.doc_rank * 1000000 + m.place) AS o
+FROM top t JOIN mem m ON m.ref = t.ref WHERE t.doc_rank <= 2 GROUP BY t.query_id, m.member)""", "corpus", "question", **_TOP_DOCS, **_FAMILY))
+def family_union(spark, d):
+    hits = top_docs(spark, d).select("query_id", "ref", F.col("doc_rank").alias("rank"))
+    return references.family_union(hits, corpus(spark, d), least=3).withColumn("place", F.col("place").cast("long"))
+
+
+_GUIDED = {
+    **_TOP_DOCS, **_FAMILY,
+    "un": "SELECT t.query_id, m.member AS ref FROM top t JOIN mem m ON m.ref = t.ref WHERE t.doc_rank <= 1 GROUP BY ALL",
+    **bm25_ctes("g", f"SELECT u.query_id AS fam_id, c.item, {tok('c.text')} AS toks FROM un u JOIN corpus c ON c.ref = u.ref", Q, "fam_id", "SELECT DISTINCT query_id, query_id AS fam_id FROM un"), "gr": ranked("g", "fam_id"),
+    "g1": "SELECT g.query_id, c.ref, g.score, g.rank, min(g.score) OVER w AS lo, max(g.score) OVER w AS hi FROM gr g JOIN corpus c ON c.item = g.item WINDOW w AS (PARTITION BY g.query_id)",
+    "g2": "SELECT g.query_id, g.ref, g.rank AS family_rank, t.doc_rank AS prior_rank, CASE WHEN hi - lo > 1e-9 THEN (score - lo) / (hi - lo) ELSE 1.0 END + 1.0 / (20 + g.rank) + coalesce(0.25 / (20 + t.doc_rank), 0) AS combined FROM g1 g LEFT JOIN top t ON t.query_id = g.query_id AND t.ref = g.ref",
+}
+
+
+@query(sql("SELECT query_id, ref, round(combined, 6) AS combined, family_rank, prior_rank, row_number() OVER (PARTITION BY query_id ORDER BY round(combined, 9) DESC, family_rank, coalesce(prior_rank, 9999), ref) AS rank FROM g2", "corpus", "question", **_GUIDED))
+def family_guided(spark, d):
+    hits = top_docs(spark, d).select("query_id", "ref", F.col("doc_rank").alias("rank"))
+    c = corpus(spark, d)
+    union = references.family_union(hits, c, top=1, least=3)
+    items = doc_items(spark, d).join(union.select("query_id", F.col("member").alias("ref")), "ref").select(F.col("query_id").alias("family"), "item", "toks")
+    pairs = union.select("query_id", F.col("query_id").alias("family")).distinct()
+    ranks = lexical.rank(items, asked(spark, d), None, ["family"], pairs).join(c.select("item", "ref"), "item").select("query_id", "ref", "score", "rank")
+    rows = references.family_scores(ranks, hits)
+    long = [F.col(x).cast("long").alias(x) for x in ("family_rank", "prior_rank", "rank")]
+    return rows.select("query_id", "ref", F.round("combined", 6).alias("combined"), *long)
+
+
+_SPEC = {
+    **_TOP_DOCS, **_CORES,
+    "fact": f"SELECT c.ref, len(k.c) AS depth, array_to_string(k.c[1:3], '-') AS stem, list_distinct(list_filter({tok('c.title')}, lambda x: NOT list_contains({tok('c.ref')}, x))) AS tail, greatest(0, coalesce(n.n, 1) - 1) AS below FROM corpus c JOIN core k ON k.ref = c.ref LEFT JOIN cnt n ON n.p = k.c AND len(k.c) >= 3",
+    "h": "SELECT t.query_id, t.ref, t.doc_rank AS rank, t.doc_score AS score, f.*EXCLUDE (ref) FROM top t JOIN fact f ON f.ref = t.ref",
+    "lim": "SELECT *, min(depth) OVER w AS d0, max(depth) OVER w AS d1, max(below) OVER w AS most, count(*) OVER (PARTITION BY query_id, stem) - 1 AS others FROM h WINDOW w AS (PARTITION BY query_id)",
+    "bon": f"""SELECT l.*, CASE WHEN others > 0 AND depth >= 3 THEN 0.05 * greatest(0.0, CASE WHEN len(tail) > 0 THEN len(list_intersect(tail, {tok('q.text')})) / len(tail) ELSE 0.0 END
+      + 0.2 * CASE WHEN d1 > d0 THEN (depth - d0) / (d1 - d0) ELSE 0.0 END - 0.35 * CASE WHEN most > 0 THEN below / most ELSE 0.0 END) ELSE 0.0 END AS bonus FROM lim l JOIN question q ON q.query_id = l.query_id""",
+}
+
+
+@query(sql("SELECT query_id, ref, round(score + bonus, 6) AS score, round(bonus, 6) AS bonus, row_number() OVER (PARTITION BY query_id ORDER BY round(score + bonus, 9) DESC, round(bonus, 9) DESC, rank) AS rank FROM bon", "corpus", "question", **_SPEC))
+def specificity_rerank(spark, d):
+    hits = top_docs(spark, d).select("query_id", "ref", F.col("doc_score").alias("score"), F.col("doc_rank").alias("rank"))
+    docs = corpus(spark, d).select("ref", F.col("title").alias("tail"))
+    rows = references.specificity(hits, docs, questions(spark, d), least=3)
+    return rows.select("query_id", "ref", F.round("score", 6).alias("score"), F.round("bonus", 6).alias("bonus"), F.col("rank").cast("long").alias("rank"))
+
+
+def acronym_views(spark: SparkSession, d: str) -> DataFrame:
+    """Every paragraph, with the initials of its first three words as an acronym before it: something to spell out."""
+    p = paragraphs_of_corpus(spark, d)
+    words = F.slice(F.filter(F.split("text", " "), lambda w: w.rlike("^[A-Za-z]{3,}$")), 1, 3)
+    rows = p.select("ref", words.alias("w")).filter(F.size("w") == 3)
+    initials = F.array_join(F.transform("w", lambda w: F.upper(F.left(w, F.lit(1)))), "")
+    return rows.select("ref", F.concat(initials, F.lit(" ("), F.array_join("w", " "), F.lit(")")).alias("text"))
+
+
+def paragraphs_of_corpus(spark: SparkSession, d: str) -> DataFrame:
+    from corpusmill.plans.tables import paragraphs
+
+    return paragraphs(spark, d)
+
+
+@query()
+def acronym_map(spark, d):
+    return references.acronym_map(acronym_views(spark, d), ratio=1.0)
+
+
+@query()
+def acronym_expand(spark, d):
+    mapping = references.acronym_map(acronym_views(spark, d), ratio=1.0)
+    q = questions(spark, d).withColumn("text", F.concat(F.lit("TOA et TIA "), "text"))
+    return references.expand_queries(q, mapping).select("query_id", "expanded")
+
+
+@query("""WITH r AS (SELECT doc_id AS item, 'BOI-' || upper(lang) || '-' || upper(source) || CASE WHEN doc_id % 2 = 0 THEN '-20240115' ELSE '' END AS ref FROM documents)
+SELECT item, (replace(ref, '-20240115', '') = 'BOI-EN-SRC1' OR starts_with(ref, 'BOI-EN-SRC1-') AND ref <> 'BOI-EN-SRC1-20240115' OR replace(ref, '-20240115', '') IN ('BOI', 'BOI-EN')) AS matches FROM r""")
+def family_match_join(spark, d):
+    ref = F.concat(F.lit("BOI-"), F.upper("lang"), F.lit("-"), F.upper("source"), F.when(F.col("item") % 2 == 0, "-20240115").otherwise(""))
+    return corpus(spark, d).select("item", t.family_match(ref, F.lit("BOI-EN-SRC1-20230101")).alias("matches"))

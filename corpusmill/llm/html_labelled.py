@@ -158,6 +158,8 @@ class Maker:
             return (self.paragraph(1) if r.random() < 0.5 else self.block("p", self.sentence(5), 1)[3:]), self.labels
         title = self.words(4)
         body = "".join(f"<!-- {self.words(1)} -->" + p if r.random() < 0.1 else p for p in parts)
+        if r.random() < 0.2:  # a fragment
+            return body, self.labels
         return f'<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>{title}</title><style>p{{margin:0}}</style><script>var t="</p>";</script></head><body>{body}</body></html>', self.labels
 
 

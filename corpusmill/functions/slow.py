@@ -9,27 +9,29 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusmill.functions.french import stem
 
 #: Month names that make a small number a day.
 MONTH = re.compile(r"janvier|fevrier|février|mars|avril|mai|juin|juillet|aout|août|septembre|octobre|novembre|decembre|décembre", re.I)
+FACT = T.StructType([T.StructField("value", T.LongType()), T.StructField("unit", T.StringType()), T.StructField("context", T.StringType())])
 NUMBER = re.compile(r"(\d[\d\s]*\d+|\d+)\s*(euros?|€|%|pour\s*cent)?", re.I)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescape(text: pd.Series) -> pd.Series:
     """All character references decoded."""
     return text.map(lambda x: html.unescape(x) if x is not None and "&" in x else x)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fold_all(text: pd.Series) -> pd.Series:
     """Compatibility decomposition without marks, for any alphabet."""
     return text.map(lambda x: x if x is None or x.isascii() else "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def stems(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """French stems of tokens."""
     known: dict[str, str] = {}
@@ -63,6 +65,6 @@ def facts(text: str | None) -> list[dict]:
     return out
 
 
-@F.pandas_udf("array<struct<value:long,unit:string,context:string>>")
+@F.pandas_udf(T.ArrayType(FACT))
 def numbers(text: pd.Series) -> pd.Series:
     return text.map(facts)

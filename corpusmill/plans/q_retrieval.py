@@ -12,7 +12,6 @@ from corpusmill.plans.q_text import SIG
 from corpusmill.plans.registry import query
 from corpusmill.plans.tables import bm25_ctes, chunks, corpus, f, n, questions, ranked, sql, tok, vector_queries, vectors
 
-TEXT = F.col("text")
 DOC_ITEMS = f"SELECT item, {tok('text')} AS toks FROM corpus"
 TITLE_ITEMS = f"SELECT item, {tok('title')} AS toks FROM corpus"
 CHUNK_ITEMS = f"SELECT item, {tok('text')} AS toks FROM chunk"
@@ -25,11 +24,11 @@ def doc_items(spark: SparkSession, d: str, column: str = "text") -> DataFrame:
 
 
 def chunk_items(spark: SparkSession, d: str) -> DataFrame:
-    return chunks(spark, d).select("item", "ref", t.tokens(TEXT).alias("toks"))
+    return chunks(spark, d).select("item", "ref", t.tokens(F.col("text")).alias("toks"))
 
 
 def asked(spark: SparkSession, d: str) -> DataFrame:
-    return questions(spark, d).select("query_id", t.tokens(TEXT).alias("toks"))
+    return questions(spark, d).select("query_id", t.tokens(F.col("text")).alias("toks"))
 
 
 def _scores(df: DataFrame, *cols: str) -> DataFrame:
@@ -99,7 +98,7 @@ _SEC_ITEMS = f"SELECT ref, section AS item, {tok('title || chr(10) || text')} AS
 @query(sql("SELECT query_id, ref, item AS section, round(score, 6) AS score, rank FROM sr WHERE rank <= 2", "corpus", "chunk", "question", **_TOP_DOCS, **bm25_ctes("s", _SEC_ITEMS, Q, "ref", "SELECT query_id, ref FROM top"), sr=ranked("s", "ref")))
 def section_bm25(spark, d):
     parts = chunks(spark, d).select("ref", F.col("section").cast("string").alias("section_key"), F.array("title").alias("path"), "item", "text")
-    items = lexical.sections(parts).select("ref", F.col("section_key").cast("int").alias("item"), t.tokens(TEXT).alias("toks"))
+    items = lexical.sections(parts).select("ref", F.col("section_key").cast("int").alias("item"), t.tokens(F.col("text")).alias("toks"))
     best = lexical.rank(items, asked(spark, d), 2, ["ref"], top_docs(spark, d).select("query_id", "ref"))
     return _scores(best.withColumnRenamed("item", "section"), "ref", "section")
 
@@ -113,9 +112,9 @@ FROM (SELECT t.query_id, t.doc AS item, q.qt, q.qb, e.dt, e.db FROM top t JOIN q
     q0=f"SELECT query_id, {_TERMS.format(x=tok('text'))} AS qt FROM question", qx="SELECT *, " + _BI.format(x="qt") + " AS qb FROM q0",
     d0=f"SELECT item, {_TERMS.format(x=tok('text'))} AS dt FROM corpus", dx="SELECT *, " + _BI.format(x="dt") + " AS db FROM d0"))
 def doc_overlap_score(spark, d):
-    q = questions(spark, d).select("query_id", TEXT.alias("q"))
+    q = questions(spark, d).select("query_id", F.col("text").alias("q"))
     rows = top_docs(spark, d).join(q, "query_id").join(corpus(spark, d).select(F.col("item").alias("doc"), "text"), "doc")
-    return rows.select("query_id", F.col("doc").alias("item"), passages.token_overlap(F.col("q"), TEXT).cast("int").alias("overlap"))
+    return rows.select("query_id", F.col("doc").alias("item"), passages.token_overlap(F.col("q"), F.col("text")).cast("int").alias("overlap"))
 
 
 _EV = {
@@ -131,18 +130,21 @@ _EV = {
 
 def scored_parts(spark: SparkSession, d: str) -> DataFrame:
     """Local ranks with question and chunk texts: ``query_id, ref, item, score, rank, q, path, body``."""
-    q = questions(spark, d).select("query_id", TEXT.alias("q"))
-    c = chunks(spark, d).select("item", F.array("title").alias("path"), TEXT.alias("body"))
+    q = questions(spark, d).select("query_id", F.col("text").alias("q"))
+    c = chunks(spark, d).select("item", F.array("title").alias("path"), F.col("text").alias("body"))
     return local_ranks(spark, d).join(q, "query_id").join(c, "item")
 
 
-NO_LEGAL = F.expr("cast(array() as array<string>)")
+def no_legal():
+    """No legal references."""
+    return F.expr("cast(array() as array<string>)")
+
 
 
 @query(sql("SELECT query_id, item, round(evidence::DOUBLE, 6) AS evidence FROM ev", "corpus", "chunk", "question", **_LOCAL, **_EV))
 def lexical_evidence(spark, d):
     rows = scored_parts(spark, d)
-    return rows.select("query_id", "item", F.round(passages.lexical_evidence(F.col("q"), F.col("path"), NO_LEGAL, F.col("body")), 6).alias("evidence"))
+    return rows.select("query_id", "item", F.round(passages.lexical_evidence(F.col("q"), F.col("path"), no_legal(), F.col("body")), 6).alias("evidence"))
 
 
 _INTENT = "'\\b(seuil|seuils|taux|plafond|plafonds|bareme|chiffre\\s+d[''’ ]affaires|combien|calcul|calcule|pourcentage|euros?|ht|hors\\s+taxe)\\b'"
@@ -337,7 +339,7 @@ def prepend_ranked(spark, d):
 
 def parts(spark: SparkSession, d: str) -> DataFrame:
     """Chunks as passages: ``item, ref, path, legal, text``."""
-    return chunks(spark, d).select("item", "ref", F.array("title").alias("path"), NO_LEGAL.alias("legal"), "text")
+    return chunks(spark, d).select("item", "ref", F.array("title").alias("path"), no_legal().alias("legal"), "text")
 
 
 _FULL_ITEMS = f"SELECT ref, item, {tok('ref || chr(10) || title || chr(10) || text')} AS toks FROM chunk"
@@ -395,7 +397,7 @@ def diverse_selection(spark, d):
 def whole_corpus(spark: SparkSession, d: str) -> runtime.Corpus:
     c = corpus(spark, d)
     search = F.concat_ws("\n", "ref", "title", F.concat_ws(" ", "lang", "source"))
-    docs = c.select("item", "ref", "title", F.concat_ws("\n", search, "text").alias("base"), F.concat_ws("\n", search, t.first_sentence(TEXT)).alias("leads"), search.alias("score_text"))
+    docs = c.select("item", "ref", "title", F.concat_ws("\n", search, "text").alias("base"), F.concat_ws("\n", search, t.first_sentence(F.col("text"))).alias("leads"), search.alias("score_text"))
     return runtime.Corpus(docs, parts(spark, d))
 
 

@@ -32,9 +32,9 @@ def branch_diversify(spark, d):
     return agent.diversify(pairs, 6).withColumn("place", F.col("place").cast("long"))
 
 
-@query("SELECT user_id, event_id, round(epoch(ts - lag(ts) OVER w), 3) AS step_s, round(epoch(ts - first(ts) OVER w), 3) AS elapsed_s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
+@query("SELECT user_id, event_id, round((epoch_us(ts) - lag(epoch_us(ts)) OVER w) / 1000000, 6) AS step_s, round((epoch_us(ts) - first(epoch_us(ts)) OVER w) / 1000000, 6) AS elapsed_s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
 def step_timings(spark, d):
-    return progress.step_timings(table(spark, d, "events"), "user_id", "ts", "event_id").select("user_id", "event_id", F.round("step_s", 3).alias("step_s"), F.round("elapsed_s", 3).alias("elapsed_s"))
+    return progress.step_timings(table(spark, d, "events"), "user_id", "ts", "event_id").select("user_id", "event_id", F.round("step_s", 6).alias("step_s"), F.round("elapsed_s", 6).alias("elapsed_s"))
 
 
 @query("SELECT user_id, count(*) AS n_left FROM events WHERE event_id % 3 <> 0 GROUP BY user_id")

@@ -16,33 +16,30 @@ def _each(spark: SparkSession, sf_dir: str, name: str, value: Column) -> DataFra
     return table(spark, sf_dir, "documents").select("doc_id", value.alias(name))
 
 
-TEXT = F.col("text")
-
-
 @query(f"SELECT doc_id, {n('text')} AS clean FROM documents")
 def normalize_ws(spark, d):
-    return _each(spark, d, "clean", t.normalize_ws(TEXT))
+    return _each(spark, d, "clean", t.normalize_ws(F.col("text")))
 
 
 @query(f"SELECT doc_id, strip_accents({n('text')}) AS plain FROM documents")
 def fold_accents(spark, d):
-    return _each(spark, d, "plain", t.fold_accents(TEXT))
+    return _each(spark, d, "plain", t.fold_accents(F.col("text")))
 
 
 @query(f"SELECT doc_id, array_to_string({tok('text')}, ' ') AS toks, len({tok('text')})::INT AS n FROM documents")
 def tokenize(spark, d):
-    toks = t.tokens(TEXT)
+    toks = t.tokens(F.col("text"))
     return table(spark, d, "documents").select("doc_id", F.array_join(toks, " ").alias("toks"), F.size(toks).alias("n"))
 
 
 @query(f"SELECT doc_id, array_to_string(regexp_extract_all({f('text')}, '[A-Za-zÀ-ÿ0-9][A-Za-zÀ-ÿ0-9\\-_\\.]*'), ' ') AS toks FROM documents")
 def tokenize_hyphenated(spark, d):
-    return _each(spark, d, "toks", F.array_join(t.tokens(TEXT, hyphenated=True), " "))
+    return _each(spark, d, "toks", F.array_join(t.tokens(F.col("text"), hyphenated=True), " "))
 
 
 @query(f"SELECT doc_id, {est('text')} AS n_tokens FROM documents")
 def token_count(spark, d):
-    return _each(spark, d, "n_tokens", t.token_count(TEXT))
+    return _each(spark, d, "n_tokens", t.token_count(F.col("text")))
 
 
 @query(sql(f"SELECT item, coalesce(nullif(trim(regexp_replace(lower({n('title')}), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'node') AS slug FROM corpus", "corpus"))
@@ -71,18 +68,18 @@ def extract_legal_refs(spark, d):
 '\b(api[_-]?key|authorization|x-api-key)\s*[:=]\s*[''"]?[^''"\s]+', '[REDACTED_SECRET]', 'gi') AS clean FROM documents)""")
 def redact_secrets(spark, d):
     docs = table(spark, d, "documents")
-    return docs.select("doc_id", F.md5(F.encode(t.redact_secrets(TEXT), "UTF-8")).alias("clean_md5"), t.contains_secret(TEXT).alias("has_secret"))
+    return docs.select("doc_id", F.md5(F.encode(t.redact_secrets(F.col("text")), "UTF-8")).alias("clean_md5"), t.contains_secret(F.col("text")).alias("has_secret"))
 
 
 @query(f"SELECT doc_id, CASE WHEN length({n('text')}) <= 80 THEN {n('text')} ELSE rtrim(left({n('text')}, 77)) || '...' END AS short FROM documents")
 def clip_text(spark, d):
-    return _each(spark, d, "short", t.clip(TEXT, 80))
+    return _each(spark, d, "short", t.clip(F.col("text"), 80))
 
 
 @query(f"""SELECT doc_id, coalesce(array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_extract_all({f('text')}, '\\d(?:[\\d\\s .,]*\\d)?'),
 lambda x: CASE WHEN length(regexp_replace(x, '\\D', '', 'g')) >= 3 OR regexp_matches(x, '[\\s .]') THEN regexp_replace(x, '\\D', '', 'g') END), lambda x: x IS NOT NULL))), ','), '') AS numbers FROM documents""")
 def numeric_tokens(spark, d):
-    plain = F.filter(t.numeric_tokens(TEXT), lambda x: x.rlike(r"^\d+$"))
+    plain = F.filter(t.numeric_tokens(F.col("text")), lambda x: x.rlike(r"^\d+$"))
     return _each(spark, d, "numbers", F.array_join(F.sort_array(plain), ","))
 
 
@@ -99,12 +96,12 @@ FROM (SELECT item_id AS query_id, text || CASE item_id % 4 WHEN 0 THEN ' Quel es
 def intent_flags(spark, d):
     tail = F.when(F.col("query_id") % 4 == 0, " Quel est le taux ?").when(F.col("query_id") % 4 == 1, " règle générale").when(F.col("query_id") % 4 == 2, " dérogation").otherwise(" rescrit BOI-RES-1")
     q = questions(spark, d).withColumn("text", F.concat("text", tail))
-    return q.select("query_id", t.numeric_intent(TEXT).alias("numeric"), t.general_rule_intent(TEXT).alias("general"), t.exception_intent(TEXT).alias("exception"), t.rescript_intent(TEXT).alias("rescript"))
+    return q.select("query_id", t.numeric_intent(F.col("text")).alias("numeric"), t.general_rule_intent(F.col("text")).alias("general"), t.exception_intent(F.col("text")).alias("exception"), t.rescript_intent(F.col("text")).alias("rescript"))
 
 
 @query(sql(f"SELECT item, no, {est('text')} <= 5 AND (regexp_full_match(text, '[\\W_]+|\\(\\d+(?:[-–]\\d+)?\\)|\\d+(?:[-–]\\d+)?|N(?:[+-]\\d+)?|Article\\s+\\d+(?:\\s+et\\s+\\d+)?|Cf\\..*|Remarques?\\s*:?', 'i') OR length(text) <= 12) AS trivial FROM para", "para"))
 def trivial_fragments(spark, d):
-    return paragraphs(spark, d).select("item", "no", t.trivial_fragment(TEXT).alias("trivial"))
+    return paragraphs(spark, d).select("item", "no", t.trivial_fragment(F.col("text")).alias("trivial"))
 
 
 SIG = "list_filter(regexp_extract_all({x}, '[a-z0-9]+', 0, 'i'), lambda w: length(w) >= 4 AND NOT list_contains(['avec','dans','dois','dont','elle','egal','etre','fait','fixe','hors','leur','pour','quel','quelle','sans','taxe'], w))"
@@ -113,7 +110,7 @@ SIG = "list_filter(regexp_extract_all({x}, '[a-z0-9]+', 0, 'i'), lambda w: lengt
 @query(f"""SELECT query_id, len(list_distinct(s))::INT AS n_terms, (SELECT count(DISTINCT s[i] || ' ' || s[i + 1]) FROM range(1, len(s)) r(i))::INT AS n_bigrams
 FROM (SELECT item_id AS query_id, {SIG.format(x=f('text'))} AS s FROM benchmark)""")
 def significant_bigrams(spark, d):
-    s = t.significant_tokens(TEXT)
+    s = t.significant_tokens(F.col("text"))
     return questions(spark, d).select("query_id", F.size(F.array_distinct(s)).alias("n_terms"), F.size(t.bigrams(s)).alias("n_bigrams"))
 
 
@@ -177,18 +174,18 @@ def doc_text_leads(spark, d):
 @query(sql("SELECT item, concat_ws(chr(10), ref, trim(title || ' section ' || section), text) AS search_text FROM chunk", "chunk"))
 def chunk_text_full(spark, d):
     path = F.array(F.trim(F.concat_ws(" ", "title", F.lit("section"), "section")))
-    return chunks(spark, d).select("item", st.chunk_full(F.col("ref"), path, F.expr("cast(array() as array<string>)"), TEXT).alias("search_text"))
+    return chunks(spark, d).select("item", st.chunk_full(F.col("ref"), path, F.expr("cast(array() as array<string>)"), F.col("text")).alias("search_text"))
 
 
 @query(sql("SELECT item, concat_ws(chr(10), 'section ' || section, text) AS search_text FROM chunk", "chunk"))
 def chunk_text_leaf(spark, d):
     path = F.array(F.col("title"), F.concat_ws(" ", F.lit("section"), "section"))
-    return chunks(spark, d).select("item", st.chunk_leaf(path, F.expr("cast(array() as array<string>)"), TEXT).alias("search_text"))
+    return chunks(spark, d).select("item", st.chunk_leaf(path, F.expr("cast(array() as array<string>)"), F.col("text")).alias("search_text"))
 
 
 @query(sql("SELECT query_id, 'query: ' || trim(text) AS query_text, 'passage: ' || trim(text) AS passage_text FROM question", "question"))
 def dense_texts(spark, d):
-    clean = F.trim(TEXT)
+    clean = F.trim(F.col("text"))
     return questions(spark, d).select("query_id", st.query_text(clean, "multilingual-e5-large").alias("query_text"), st.passage_text(clean, "multilingual-e5-large").alias("passage_text"))
 
 
@@ -208,13 +205,13 @@ def fingerprint(spark, d):
 
 @query()
 def stem_tokens(spark, d):
-    return _each(spark, d, "stems", F.array_join(slow.stems(t.tokens(TEXT)), " "))
+    return _each(spark, d, "stems", F.array_join(slow.stems(t.tokens(F.col("text"))), " "))
 
 
 @query("SELECT doc_id, text AS repaired FROM documents")
 def repair_mojibake(spark, d):
-    latin = TEXT.rlike(r"^[\x00-\xff]*$")
-    broken = F.when(latin, F.decode(F.encode(TEXT, "UTF-8"), "ISO-8859-1")).otherwise(TEXT)
+    latin = F.col("text").rlike(r"^[\x00-\xff]*$")
+    broken = F.when(latin, F.decode(F.encode(F.col("text"), "UTF-8"), "ISO-8859-1")).otherwise(F.col("text"))
     return _each(spark, d, "repaired", t.repair_mojibake(broken))
 
 
@@ -225,5 +222,5 @@ def html_unescape(spark, d):
 
 @query()
 def extract_numbers(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", F.explode(slow.numbers(TEXT)).alias("x"))
+    rows = table(spark, d, "documents").select("doc_id", F.explode(slow.numbers(F.col("text"))).alias("x"))
     return rows.select("doc_id", "x.value", "x.unit", "x.context")

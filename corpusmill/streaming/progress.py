@@ -10,9 +10,8 @@ from pyspark.sql import types as T
 def step_timings(log: DataFrame, key: str, ts: str, order: str) -> DataFrame:
     """Adds ``step_s`` since the entry before (null for the first) and ``elapsed_s`` since the first."""
     w = Window.partitionBy(key).orderBy(ts, order)
-    seconds = lambda c: F.unix_micros(c.cast("timestamp")) / 1_000_000
-    now = seconds(F.col(ts))
-    return log.withColumn("step_s", now - F.lag(now).over(w)).withColumn("elapsed_s", now - F.first(now).over(w))
+    now = F.unix_micros(F.col(ts).cast("timestamp"))
+    return log.withColumn("step_s", (now - F.lag(now).over(w)) / 1_000_000).withColumn("elapsed_s", (now - F.first(now).over(w)) / 1_000_000)
 
 
 def remaining(wanted: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:

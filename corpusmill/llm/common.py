@@ -79,16 +79,17 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)`` (longs): ``node``, ``root`` (the smallest node), for every node of an edge.
 
     Alternating large-star and small-star steps (Kiveris et al., 2014): in both, every node points its
-    neighbours to the smallest node that it knows.  Each round is written to the shared folder; the edge
-    count never grows.  A hot node is a skewed join with a one-row-a-key side, which AQE splits.
+    neighbours to the smallest node that it knows.  Each step is written to the shared folder; the edge
+    count never grows.  The smallest neighbours are a table of their own, one row a node, so that a hot node is
+    a plain skewed join, which AQE splits.
     """
     edges = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = None
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "edges-low")
+        large = written(both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct(), "edges-large")
+        low = written(large.groupBy("a").agg(F.min("b").alias("m")), "edges-low")
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").filter("a <> b").distinct()
         edges = written(small, "edges")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.max("b")).first()

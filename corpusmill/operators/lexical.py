@@ -11,12 +11,15 @@ negative score: the ranking is filled from the whole corpus.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import common
+from corpusmill.operators.staging import staged
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -67,19 +70,77 @@ def ordered(score: str = "score", item: str = "item") -> list[Column]:
     return [F.round(score, 9).desc(), F.col(item).asc()]
 
 
+#: The most cells (query terms times queries) that a ranking by scan sends to every task; beyond it postings are joined.
+MOST_CELLS = 20_000_000
+
+
+def _scanner(terms: list[str], weights: np.ndarray, query_ids: np.ndarray, avgdl: float, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = {term: i for i, term in enumerate(terms)}
+        best: tuple[np.ndarray, np.ndarray] | None = None  # items and scores, a row a query
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                scores = np.zeros((part.num_rows, len(query_ids)))
+                for i, toks in enumerate(part.column(1).to_pylist()):
+                    found, tf = np.unique([place[w] for w in toks or () if w in place], return_counts=True)
+                    if len(found):
+                        scores[i] = (tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(toks) / avgdl))) @ weights[found.astype(np.int64)]
+                items = np.broadcast_to(part.column(0).to_numpy(zero_copy_only=False), (len(query_ids), part.num_rows))
+                scores = scores.T
+                if best is not None:
+                    items, scores = np.hstack([best[0], items]), np.hstack([best[1], scores])
+                order = np.lexsort((items, -np.round(scores, 9)))[:, :k]
+                best = (np.take_along_axis(items, order, 1), np.take_along_axis(scores, order, 1))
+        if best is not None:
+            n = best[0].shape[1]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids, n)), pa.array(best[0].ravel()), pa.array(best[1].ravel())], names=["query_id", "item", "score"])
+
+    return run
+
+
+def _scanned(items: DataFrame, asked: DataFrame, k: int) -> DataFrame | None:
+    """The best ``k`` of each partition by one pass over the items; None if there are too many query terms to send."""
+    wanted = asked.select("query_id", F.explode("toks").alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
+    size = wanted.agg(F.count_distinct("query_id").alias("q"), F.count_distinct("term").alias("t")).first()
+    if not size["q"] or size["q"] * size["t"] > MOST_CELLS:
+        return None
+    n = items.agg(F.count(F.lit(1)).alias("n_items"), F.avg(F.size("toks")).alias("avgdl")).first()
+    if not n["n_items"]:
+        return None
+    df = items.select("item", F.explode(F.array_distinct("toks")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = df.select("term", (F.log(F.lit(n["n_items"]) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    asks = wanted.select("term").distinct().withColumn("asked", F.lit(True))
+    marked = staged(df.join(asks, "term", "left"), "idf")
+    mean = marked.agg(F.avg("raw")).first()[0]
+    idf = {r["term"]: EPSILON * mean if r["raw"] < 0 else r["raw"] for r in marked.filter("asked").select("term", "raw").collect()}
+    pairs = wanted.collect()
+    terms, ids = sorted(idf), np.array(sorted({r["query_id"] for r in pairs}), dtype=np.int64)
+    at, row = {w: i for i, w in enumerate(terms)}, {q: i for i, q in enumerate(ids.tolist())}
+    weights = np.zeros((len(terms), len(ids)))
+    for r in pairs:
+        if r["term"] in at:
+            weights[at[r["term"]], row[r["query_id"]]] = r["times"] * idf[r["term"]]
+    rows = items.select(F.col("item").cast("long"), "toks")
+    return rows.mapInArrow(_scanner(terms, weights, ids, n["avgdl"] or 1.0, k), "query_id long, item long, score double")
+
+
 def rank(items: DataFrame, queries: DataFrame, k: int | None, group: Sequence[str] = (), pairs: DataFrame | None = None) -> DataFrame:
     """The best ``k`` items (all if None) of each query, or of each query and group: adds ``rank`` from 1.
 
-    Queries without tokens have no rows.  Without groups, only queries with fewer than ``k`` positive scores are
-    filled from the whole corpus; with groups, every item of a paired group is ranked.
+    Queries without tokens have no rows.  Without groups and with ``k``, one pass scores the items against weights that go
+    to every task, if these are few enough (``MOST_CELLS``): no row a query and item is ever made, and a partition returns its
+    best.  Else postings are joined, and queries with fewer than ``k`` positive scores are filled from the whole
+    corpus.  With groups, every item of a paired group is ranked.
     """
     group = list(group)
     asked = queries.filter(F.size("toks") > 0)
-    found = scores(items, asked, group, pairs)
+    scan = None if group or k is None else _scanned(items, asked, k)
+    found = scores(items, asked, group, pairs) if scan is None else scan.select("query_id", "item", "score")
     if group:
         every = pairs.join(asked.select("query_id"), "query_id").join(items.select(*group, "item"), group).select("query_id", *group, "item")
         found = every.join(found, ["query_id", *group, "item"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-    else:
+    elif scan is None:  # a scan scores every item
         enough = found.filter(F.round("score", 9) > 0).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
         if k is not None:
             enough = enough.filter(F.col("n") >= k)

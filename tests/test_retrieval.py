@@ -18,8 +18,10 @@ def bm25(docs, query):
     return [sum(idf.get(q, 0) * d.count(q) * 2.5 / (d.count(q) + 1.5 * (0.25 + 0.75 * len(d) / avgdl)) for q in query) for d in docs]
 
 
+@pytest.mark.parametrize("cells", [lexical.MOST_CELLS, 0])
 @pytest.mark.parametrize("docs", [["a b c", "a a d", "e f", ""], ["a b"], ["a b", "a c"]])
-def test_bm25_ranks_every_item(spark, docs):
+def test_bm25_ranks_every_item(spark, docs, cells, monkeypatch):
+    monkeypatch.setattr(lexical, "MOST_CELLS", cells)  # by scan, or by joined postings
     toks = [d.split() for d in docs]
     items = spark.createDataFrame(list(enumerate(toks)), "item long, toks array<string>")
     queries = spark.createDataFrame([(1, ["a", "a", "d", "z"]), (2, [])], "query_id long, toks array<string>")

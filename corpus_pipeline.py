@@ -28,7 +28,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that repeat an earlier one; those of which no word is left go."""
-    rows = line_dedup(docs).filter((F.col("n_removed") == 0) | (without(F.col("text"), " \t\n\x0b\x0c\r") != ""))
+    rows = line_dedup(docs, short_repeats=True).filter((F.col("n_removed") == 0) | (without(F.col("text"), " \t\n\x0b\x0c\r") != ""))
     return rows.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 

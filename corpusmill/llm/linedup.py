@@ -91,15 +91,22 @@ def _bits(keys: DataFrame, n_words: int) -> DataFrame:
     return every.select(F.transform("c", lambda x: x["v"]).alias("bits"))
 
 
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_chars: int = 20) -> DataFrame:
+def _always(line: Column, min_chars: int, short_repeats: bool) -> Column:
+    """Does the line stay whatever came before it?"""
+    return without(line, " \t\x0b\x0c\r") == "" if short_repeats else F.length(line) < min_chars
+
+
+def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_chars: int = 20, short_repeats: bool = False) -> DataFrame:
     """For each document that has lines to keep: ``nul, id0, th`` and ``kept``, the sorted numbers (from 0) of its eligible lines that stay.
 
-    Eligible are lines of ``min_chars`` characters or more; an eligible line that isn't listed is removed.
+    Eligible are lines of ``min_chars`` characters or more, with ``short_repeats`` every line that isn't blank; an
+    eligible line that isn't listed is removed.  Only lines of ``min_chars`` or more have neighbours one edit away.
     """
     base = docs.select(*_key(F.col(id_col), F.col(text_col)), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    lines = base.select(*KEY, F.posexplode(F.split("text", "\n")).alias("no", "line")).withColumn("len", F.length("line")).filter(F.col("len") >= min_chars)
+    lines = base.select(*KEY, F.posexplode(F.split("text", "\n")).alias("no", "line")).withColumn("len", F.length("line"))
+    lines = lines.filter(~_always(F.col("line"), min_chars, short_repeats))
     place = F.struct(*KEY, "no").alias("place")
-    hashed = lines.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("2"), "line").alias("h2"), place, _halves(F.col("line"), F.col("len")).alias("keys"))
+    hashed = lines.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("2"), "line").alias("h2"), place, F.when(F.col("len") >= min_chars, _halves(F.col("line"), F.col("len"))).alias("keys"))
     classes = written(hashed.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.first("keys").alias("keys")), "lines")
 
     keys = classes.select("h1", "h2", F.explode("keys").alias("key"))
@@ -129,15 +136,15 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return stays.groupBy(*KEY).agg(F.sort_array(F.collect_list("no")).alias("kept"))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_chars: int = 20) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_chars: int = 20, short_repeats: bool = False) -> DataFrame:
     """``docs`` without their removed lines; adds ``n_lines`` and ``n_removed`` (int; replacing columns of these names).
 
-    Lines are what ``\\n`` separates; those shorter than ``min_chars`` characters always stay, and what stays keeps
-    its order.  A null text stays null (0 lines).  A null id is later than every other.  Rows that are equal in id and
+    Lines are what ``\\n`` separates; those shorter than ``min_chars`` characters always stay, or, with
+    ``short_repeats``, go if an earlier line is equal (blank ones stay).  What stays keeps its order.  A null text stays null (0 lines).  A null id is later than every other.  Rows that are equal in id and
     text are one document and lose the same lines; different texts under one id come in the order of their hashes.
     Other columns stay as they are.
     """
-    kept = removed_lines(docs, id_col, text_col, min_chars=min_chars)
+    kept = removed_lines(docs, id_col, text_col, min_chars=min_chars, short_repeats=short_repeats)
     rows = docs.drop("n_lines", "n_removed")
     names = [free_name(rows, f"_{k}") for k in KEY]
     kept = kept.select(*[F.col(k).alias(n) for k, n in zip(KEY, names, strict=True)], F.col("kept").alias(free_name(rows, "_kept")))
@@ -147,7 +154,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # A flag for each line from the sorted numbers: runs of False closed by True; one pass, whatever the length.
     numbers = F.coalesce(F.col(found), F.expr("array()").cast("array<int>"))
     flags = let(numbers, lambda k: F.flatten(F.transform(k, lambda x, i: F.concat(F.array_repeat(F.lit(False), x - F.coalesce(F.get(k, i - 1), F.lit(-1)) - 1), F.array(F.lit(True))))))
-    stays = lambda parts: let(flags, lambda f: F.filter(parts, lambda x, i: (F.length(x) < min_chars) | F.coalesce(F.get(f, i), F.lit(False))))
+    stays = lambda parts: let(flags, lambda f: F.filter(parts, lambda x, i: _always(x, min_chars, short_repeats) | F.coalesce(F.get(f, i), F.lit(False))))
     parts = F.split(F.col(text_col), "\n")
     made = let(parts, lambda p: let(stays(p), lambda s: F.struct(F.array_join(s, "\n").alias("text"), F.size(p).alias("n"), (F.size(p) - F.size(s)).alias("gone"))))
     name = free_name(rows, "_made")

@@ -84,7 +84,15 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` without lines that repeat an earlier one with at most one edit: counts and the new text's digest."""
-    rows = line_dedup(_table(spark, sf_dir, "documents"))
+    return _line_counts(line_dedup(_table(spark, sf_dir, "documents")))
+
+
+def op9_line_dedup_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``op9_line_dedup``, and without lines under 20 characters that equal an earlier one."""
+    return _line_counts(line_dedup(_table(spark, sf_dir, "documents"), short_repeats=True))
+
+
+def _line_counts(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars"), F.md5(F.encode("text", "UTF-8")).alias("text_md5"))
 
 
@@ -104,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_byte_bpe": op7_byte_bpe,
     "op8_warc": op8_warc,
     "op9_line_dedup": op9_line_dedup,
+    "op9_line_dedup_short": op9_line_dedup_short,
     "op10_language_id": op10_language_id,
 }
 
@@ -151,6 +160,11 @@ SELECT d.doc_id, coalesce(len(c.parts), 0)::INT AS n_lines, (coalesce(len(c.part
 FROM documents d LEFT JOIN cut c ON d.doc_id = c.doc_id LEFT JOIN made m ON d.doc_id = m.doc_id
 """
 
+#: As _OP9_SQL, with every line that isn't blank in a class and half-line keys for those of 20 characters or more.
+_BLANK = "translate({}, ' ' || chr(9) || chr(11) || chr(12) || chr(13), '') = ''"
+_OP9_SHORT_SQL = _OP9_SQL.replace("WHERE length(s) >= 20", f"WHERE NOT ({_BLANK.format('s')})").replace(" FROM class", " FROM class WHERE n >= 20")
+_OP9_SHORT_SQL = _OP9_SHORT_SQL.replace("WHERE length(l.s) < 20 OR", f"WHERE {_BLANK.format('l.s')} OR")
+
 _OP8_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha256(coalesce(html, '')) AS d, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
 f AS (SELECT d, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY d HAVING count(*) > 1)
@@ -160,4 +174,4 @@ SELECT p.page_id, p.n::BIGINT AS payload_bytes, p.d AS payload_digest,
 FROM p LEFT JOIN f ON p.d = f.d
 """
 
-ORACLE_SQL: dict[str, str] = {"op8_warc": _OP8_SQL, "op3_embedding_near_dedup": _OP3_SQL, "op9_line_dedup": _OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op8_warc": _OP8_SQL, "op3_embedding_near_dedup": _OP3_SQL, "op9_line_dedup": _OP9_SQL, "op9_line_dedup_short": _OP9_SHORT_SQL}

@@ -52,14 +52,16 @@ REF_RE = "\\bBOI-[A-Z0-9]+(?:-[A-Z0-9]+)*\\b"
 
 @query(sql(f"SELECT item, array_to_string(list_transform(regexp_extract_all('see ' || lower(ref) || ', ' || title || ' (' || ref || ')', '{REF_RE}', 0, 'i'), lambda x: upper(x))[1:1], ',') AS refs FROM corpus", "corpus"))
 def extract_refs(spark, d):
-    said = F.concat(F.lit("see "), F.lower("ref"), F.lit(", "), F.col("title"), F.lit(" ("), F.col("ref"), F.lit(")"))
-    return corpus(spark, d).select("item", F.array_join(t.references(said, 5), ",").alias("refs"))
+    """All references of every text, which is followed by a mention of its own."""
+    said = F.concat_ws(" ", "text", F.lit("see"), F.lower("ref"), F.concat(F.lit("("), F.col("ref"), F.lit(")")))
+    return corpus(spark, d).select("item", F.array_join(t.references(said), ",").alias("refs"))
 
 
 @query(sql("SELECT item, 'article ' || (item % 300) || ' du CGI' AS refs FROM corpus", "corpus"))
 def extract_legal_refs(spark, d):
+    """All articles named in every text, which is followed by a made-up one, said twice."""
     article = F.concat(F.lit("rticle "), F.col("item") % 300, F.lit(" du CGI"))
-    said = F.concat(F.lit("see a"), article, F.lit("; and A"), article, F.lit("."))
+    said = F.concat(F.coalesce("text", F.lit("")), F.lit(" see a"), article, F.lit("; and A"), article, F.lit("."))
     return corpus(spark, d).select("item", F.array_join(t.legal_refs(said), ",").alias("refs"))
 
 
@@ -85,8 +87,10 @@ def numeric_tokens(spark, d):
 
 @query("SELECT doc_id, CASE WHEN doc_id % 7 + 1 = doc_id % 5 + 1 THEN (doc_id % 7 + 1)::VARCHAR ELSE (doc_id % 7 + 1) || ',' || (doc_id % 5 + 1) END AS ids FROM documents")
 def citation_ids(spark, d):
+    """All cited numbers of every text, which is followed by made-up citations."""
     said = F.concat(F.lit("["), F.col("doc_id") % 7 + 1, F.lit(", x] and ["), F.col("doc_id") % 7 + 1, F.lit(","), F.col("doc_id") % 5 + 1, F.lit("] "))
-    return _each(spark, d, "ids", F.array_join(t.citation_ids(F.replace(said, F.lit(", x"), F.lit(""))), ","))
+    said = F.concat_ws(" ", "text", F.replace(said, F.lit(", x"), F.lit("")))
+    return _each(spark, d, "ids", F.array_join(t.citation_ids(said), ","))
 
 
 @query(f"""SELECT query_id, regexp_matches(strip_accents({n('text')}), '\\b(seuil|seuils|taux|plafond|plafonds|bareme|chiffre\\s+d[''’ ]affaires|combien|calcul|calcule|pourcentage|euros?|ht|hors\\s+taxe)\\b', 'i') AS numeric,
@@ -217,7 +221,8 @@ def repair_mojibake(spark, d):
 
 @query()
 def html_unescape(spark, d):
-    return table(spark, d, "pages").select("page_id", slow.unescape(F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1)).alias("title"))
+    """Every page with all its character references decoded."""
+    return table(spark, d, "pages").select("page_id", slow.unescape(F.col("html")).alias("html"))
 
 
 @query()

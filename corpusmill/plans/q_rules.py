@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusmill.operators import agent
-from corpusmill.plans.q_retrieval import local_ranks, top_docs
+from corpusmill.operators import agent, lexical
+from corpusmill.plans.q_retrieval import _TOP_DOCS, asked, doc_items, local_ranks, top_docs
 from corpusmill.plans.registry import query
 from corpusmill.plans.tables import chunks, corpus, questions, sql, table
 from corpusmill.sources import ingest
@@ -32,6 +32,14 @@ def branch_diversify(spark, d):
     return agent.diversify(pairs, 6).withColumn("place", F.col("place").cast("long"))
 
 
+@query(sql("SELECT query_id, ref, place FROM (SELECT query_id, ref, row_number() OVER (PARTITION BY query_id ORDER BY late, rank) AS place FROM (SELECT r.query_id, c.ref, r.rank, CASE WHEN row_number() OVER (PARTITION BY r.query_id, array_to_string(string_split(c.ref, '-')[1:3], '-') ORDER BY r.rank) > 1 THEN 1 ELSE 0 END AS late FROM br r JOIN corpus c ON c.item = r.item)) WHERE place <= 6", "corpus", "question", **_TOP_DOCS))
+def branch_diversify_ranked(spark, d):
+    """The ranking of the whole corpus for each question, spread over branches."""
+    items = doc_items(spark, d)
+    ranks = lexical.rank(items.select("item", "toks"), asked(spark, d), None).select("query_id", "item", F.col("rank").alias("pos"))
+    return agent.diversify(ranks.join(items.select("item", "ref"), "item"), 6).withColumn("place", F.col("place").cast("long"))
+
+
 @query("SELECT user_id, event_id, round((epoch_us(ts) - lag(epoch_us(ts)) OVER w) / 1000000, 6) AS step_s, round((epoch_us(ts) - first(epoch_us(ts)) OVER w) / 1000000, 6) AS elapsed_s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
 def step_timings(spark, d):
     return progress.step_timings(table(spark, d, "events"), "user_id", "ts", "event_id").select("user_id", "event_id", F.round("step_s", 6).alias("step_s"), F.round("elapsed_s", 6).alias("elapsed_s"))

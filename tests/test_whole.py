@@ -30,3 +30,11 @@ def test_whole_texts_are_searched(spark, folder):
 def test_whole_pages_are_unescaped(spark, folder):
     out = {r["page_id"]: r["html"] for r in entry.queries()["html_unescape"](spark, folder[0]).collect()}
     assert out == {i: x and html.unescape(x) for i, x in folder[1]}
+
+
+def test_branches_come_from_the_whole_ranking(spark, tmp_path):
+    rows = [(i, "alpha beta gamma" if i == 7 else "other words", "en", f"src{i % 3}", 10) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"file://{tmp_path}/documents.parquet")
+    spark.createDataFrame([(3, "alpha gamma")], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    out = {r["place"]: r["ref"] for r in entry.queries()["branch_diversify_ranked"](spark, f"file://{tmp_path}").collect()}
+    assert [out[i] for i in sorted(out)] == [f"BOI-EN-SRC{i % 3}-0-{i}" for i in (7, 0, 2, 1, 3, 4)]

@@ -182,14 +182,17 @@ def acronym_map(views: DataFrame, least: int = 2, most: int = 500, support: int
     used = used.filter(~F.lower("acronym").isin(*FUNCTION_WORDS))
     n_docs = used.groupBy("acronym").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n").between(least, most))
     used = used.join(n_docs.select("acronym"), "acronym", "left_semi")
-    segments = views.join(used.select("ref").distinct(), "ref", "left_semi").select("ref", F.explode(F.split(t.normalize_ws(F.col("text")), r"\s+-\s+|\s*:\s*|\(|\)|;|,")).alias("seg"))
-    words = segments.select("ref", _words(F.col("seg")).alias("w")).filter(F.size("w") >= 2)
+    # A document's acronyms meet its words before these are dealt out: only phrases with wanted initials become rows.
+    mine = used.groupBy("ref").agg(F.collect_set("acronym").alias("mine"))
+    segments = views.join(mine, "ref").select("mine", F.explode(F.split(t.normalize_ws(F.col("text")), r"\s+-\s+|\s*:\s*|\(|\)|;|,")).alias("seg"))
+    words = segments.select("mine", _words(F.col("seg")).alias("w")).filter(F.size("w") >= 2)
+    words = words.withColumn("first", F.transform("w", lambda x: F.upper(F.regexp_extract(x, "^([a-z])", 1))))
     starts = F.sequence(F.lit(1), F.size("w") - 1)
-    windows = F.flatten(F.transform(starts, lambda s: F.transform(F.sequence(F.lit(2), F.least(F.lit(6), F.size("w") - s + 1)), lambda n: F.slice("w", s, n))))
-    phrases = words.select("ref", F.explode(windows).alias("p"))
-    initials = F.upper(F.array_join(F.transform("p", lambda x: F.regexp_extract(x, "^([a-z])", 1)), ""))
-    phrases = phrases.select("ref", initials.alias("acronym"), F.array_join("p", " ").alias("phrase")).filter(F.length("acronym").between(2, 6))
-    counts = phrases.join(used, ["ref", "acronym"]).groupBy("acronym", "phrase").agg(F.count(F.lit(1)).alias("support"))
+    initials = lambda s, n: F.array_join(F.slice("first", s, n), "").alias("acronym")
+    windows = F.flatten(F.transform(starts, lambda s: F.transform(F.sequence(F.lit(2), F.least(F.lit(6), F.size("w") - s + 1)), lambda n: F.struct(s.alias("s"), n.alias("n"), initials(s, n)))))
+    wanted = F.filter(windows, lambda x: F.length(x["acronym"]).between(2, 6) & F.array_contains("mine", x["acronym"]))
+    phrases = words.select(F.inline(F.transform(wanted, lambda x: F.struct(x["acronym"].alias("acronym"), F.array_join(F.slice("w", x["s"], x["n"]), " ").alias("phrase")))))
+    counts = phrases.groupBy("acronym", "phrase").agg(F.count(F.lit(1)).alias("support"))
     w = Window.partitionBy("acronym").orderBy(F.desc("support"), "phrase")
     counts = counts.withColumn("next", F.lead("support").over(w)).withColumn("place", F.row_number().over(w))
     clear = F.col("next").isNull() | (F.col("support") / F.col("next") >= ratio)

@@ -504,12 +504,12 @@ def specificity_rerank(spark, d):
 
 
 def acronym_views(spark: SparkSession, d: str) -> DataFrame:
-    """Every paragraph, with the initials of its first three words as an acronym before it: something to spell out."""
+    """Every whole paragraph, with the initials of its first three words, if it has three, as an acronym before it: something to spell out."""
     p = paragraphs_of_corpus(spark, d)
-    words = F.slice(F.filter(F.split("text", " "), lambda w: w.rlike("^[A-Za-z]{3,}$")), 1, 3)
-    rows = p.select("ref", words.alias("w")).filter(F.size("w") == 3)
+    words = F.slice(F.filter(F.split(t.folded(F.col("text")), " "), lambda w: w.rlike("^[a-z]{3,}$")), 1, 3)
+    rows = p.select("ref", "text", words.alias("w"))
     initials = F.array_join(F.transform("w", lambda w: F.upper(F.left(w, F.lit(1)))), "")
-    return rows.select("ref", F.concat(initials, F.lit(" ("), F.array_join("w", " "), F.lit(")")).alias("text"))
+    return rows.select("ref", F.concat_ws(": ", F.when(F.size("w") == 3, initials), "text").alias("text"))
 
 
 def paragraphs_of_corpus(spark: SparkSession, d: str) -> DataFrame:

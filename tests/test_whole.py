@@ -32,6 +32,14 @@ def test_whole_pages_are_unescaped(spark, folder):
     assert out == {i: x and html.unescape(x) for i, x in folder[1]}
 
 
+def test_acronyms_are_spelled_out_by_whole_paragraphs(spark, tmp_path):
+    texts = ["zz yy TVQR here, then taxe valeur quand reste", "TVQR said; taxe valeur quand reste", "Été grande maison et du texte"]
+    rows = [(i, x, "en", "src0", len(x)) for i, x in enumerate([*texts, texts[2]])]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"file://{tmp_path}/documents.parquet")
+    out = {r["acronym"]: r["phrase"] for r in entry.queries()["acronym_map"](spark, f"file://{tmp_path}").collect()}
+    assert out["TVQR"] == "taxe valeur quand reste" and out["EGM"] == "ete grande maison"
+
+
 def test_branches_come_from_the_whole_ranking(spark, tmp_path):
     rows = [(i, "alpha beta gamma" if i == 7 else "other words", "en", f"src{i % 3}", 10) for i in range(60)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"file://{tmp_path}/documents.parquet")

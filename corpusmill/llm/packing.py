@@ -13,9 +13,9 @@ a hash, so it spreads over the cluster however many partitions there were.
 from __future__ import annotations
 
 import bisect
+import hashlib
 import itertools
 import os
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,10 +35,12 @@ class WordTokens:
     """Ids of whole texts, word by word: the vocabulary's splitting rule never joins across ASCII white space.
 
     Words of a batch are hashed together (64-bit polynomial sums over the bytes), and each distinct one that isn't
-    known yet is given to the tokenizer once.  At most ``LIMIT`` words are known at a time.
+    known yet is given to the tokenizer once.  The hash only finds a word: every occurrence is compared, byte for
+    byte, with the known word that it leads to, and one that differs is looked up by its bytes.  At most
+    ``LIMIT`` words of ``LETTERS`` bytes in all are known before a batch.
     """
 
-    LIMIT, PART = 2_000_000, 1 << 20
+    LIMIT, LETTERS, PART = 2_000_000, 64 << 20, 1 << 20
 
     def __init__(self, tokenizer: bytes):
         from tokenizers import Tokenizer
@@ -61,6 +63,8 @@ class WordTokens:
     def forget(self) -> None:
         self.keys, self.starts, self.counts = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
         self.ids, self.used = np.empty(1 << 16, dtype="<u4"), 0
+        self.letters, self.begins, self.lengths = np.empty(0, np.uint8), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.others: dict[bytes, tuple[int, int]] = {}  # words whose hash is another's
 
     def words(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts, ends and hashes of the words in lower-case bytes; a word also ends between an ASCII letter and sign."""
@@ -88,14 +92,41 @@ class WordTokens:
             found.append(np.array(e.ids, dtype="<u4"))
             counts.append(np.bincount(np.searchsorted(begins, where, "right") - 1, minlength=len(part)))
         new, counts = np.concatenate(found), np.concatenate(counts)
+        starts = self.hold(new) + np.cumsum(counts) - counts
+        lengths = np.array([len(w) for w in words], dtype=np.int64)
+        begins = len(self.letters) + np.cumsum(lengths) - lengths
+        self.letters = np.concatenate([self.letters, np.frombuffer(b"".join(words), dtype=np.uint8)])
+        order = np.argsort(keys)
+        at = np.searchsorted(self.keys, keys[order])
+        self.keys, self.starts, self.counts, self.begins, self.lengths = (
+            np.insert(old, at, x[order]) for old, x in ((self.keys, keys), (self.starts, starts), (self.counts, counts), (self.begins, begins), (self.lengths, lengths))
+        )
+
+    def hold(self, new: np.ndarray) -> int:
+        """Stores ids; returns where they begin."""
         while self.used + len(new) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty(len(self.ids), dtype="<u4")])
         self.ids[self.used : self.used + len(new)] = new
-        starts = self.used + np.cumsum(counts) - counts
         self.used += len(new)
-        order = np.argsort(keys)
-        at = np.searchsorted(self.keys, keys[order])
-        self.keys, self.starts, self.counts = (np.insert(old, at, x[order]) for old, x in ((self.keys, keys), (self.starts, starts), (self.counts, counts)))
+        return self.used - len(new)
+
+    def other(self, word: bytes) -> tuple[int, int]:
+        """Place and number of the ids of a word that shares its hash with a known one."""
+        if word not in self.others:
+            ids = np.array(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, dtype="<u4")
+            self.others[word] = self.hold(ids), len(ids)
+        return self.others[word]
+
+    def unlike(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        """Which words of ``data`` aren't, byte for byte, the known words in their slots."""
+        n = np.minimum(ends - starts, self.lengths[slot])
+        after = np.cumsum(n)
+        place = np.arange(after[-1])
+        differs = data[place + np.repeat(starts - after + n, n)] != self.letters[place + np.repeat(self.begins[slot] - after + n, n)]
+        wrong = ends - starts != self.lengths[slot]
+        if differs.any():
+            wrong |= np.logical_or.reduceat(differs, after - n)
+        return np.flatnonzero(wrong)
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each text."""
@@ -103,7 +134,7 @@ class WordTokens:
         data = np.frombuffer(joined, dtype=np.uint8)
         starts, ends, hashes = self.words(data)
         keys, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.keys) + len(keys) > self.LIMIT:
+        if len(self.keys) + len(self.others) + len(keys) > self.LIMIT or len(self.letters) > self.LETTERS:
             self.forget()
         at = np.searchsorted(self.keys, keys)
         known = np.zeros(len(keys), dtype=bool)
@@ -116,9 +147,11 @@ class WordTokens:
         if not len(keys):
             return [np.empty(0, dtype="<u4") for _ in texts]
         slot = at[which]
-        counts = self.counts[slot]
+        begins, counts = self.starts[slot], self.counts[slot]
+        for i in self.unlike(data, starts, ends, slot).tolist():
+            begins[i], counts[i] = self.other(joined[starts[i] : ends[i]])
         after = np.cumsum(counts)
-        ids = self.ids[np.repeat(self.starts[slot] - after + counts, counts) + np.arange(after[-1])]
+        ids = self.ids[np.repeat(begins - after + counts, counts) + np.arange(after[-1])]
         text_ends = np.cumsum([len(t) + 1 for t in texts])
         cuts = np.concatenate([[0], after])[np.searchsorted(starts, text_ends, "left")]
         return [ids[a:b] for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True)]
@@ -183,7 +216,7 @@ def _rows(placed: list[tuple], base: int, is_open: bool) -> pa.RecordBatch:
 
 def _packer(tokenizer: bytes, end_id: int, size: int, open_windows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = kept_on_worker(("word tokens", zlib.crc32(tokenizer)), lambda: WordTokens(tokenizer))
+        words = kept_on_worker(("word tokens", hashlib.sha256(tokenizer).digest()), lambda: WordTokens(tokenizer))
         end = np.array([end_id], dtype="<u4")
         windows, base = Windows(size, open_windows), TaskContext.get().partitionId() << 32
         for batch in batches:

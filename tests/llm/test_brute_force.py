@@ -129,6 +129,44 @@ def test_word_tokens_equal_the_library():
         assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+@pytest.fixture(scope="module")
+def word_tokens():
+    library = Tokenizer.from_buffer(WORDS)
+    library.encode_special_tokens = True
+    return packing.WordTokens(WORDS), library
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet="abIx'., \n\t\x1c\xa0é東ΣİÀ1-!?😀", max_size=60), max_size=6))
+def test_words_equal_the_library(word_tokens, texts):
+    own, library = word_tokens
+    for text, ids in zip(texts, own.encode([t.encode() for t in texts]), strict=True):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_words_of_equal_hash(word_tokens):
+    own, library = word_tokens
+    texts = []
+    for power in (10, 11, 12):
+        bits = [bin(i).count("1") % 2 for i in range(1 << power)]
+        texts += ["".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)]
+        a, b = (own.words(np.frombuffer(t.encode(), np.uint8))[2] for t in texts[-2:])
+        assert a == b
+    texts += [f"{texts[0]} then {texts[1]}", f"{texts[1]} {texts[0]}"]
+    wanted = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert wanted[0] != wanted[1]
+    own.forget()
+    assert [x.tolist() for x in own.encode([t.encode() for t in texts])] == wanted
+    for t, ids in zip(texts[::-1], wanted[::-1], strict=True):  # known words, one text at a time
+        assert own.encode([t.encode()])[0].tolist() == ids == own.encode_long(t.encode()).tolist()
+
+
+def test_long_words(word_tokens):
+    own, library = word_tokens
+    for text in ("x" * 300_000, "ab" * 100_000 + " " + "é" * 50_000, "".join(R.choice("abcd-'") for _ in range(100_000))):
+        assert own.encode_long(text.encode()).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_packing(docs):
     library = Tokenizer.from_buffer(WORDS)
     rows = packing.pack(docs, WORDS, size=128, open_windows=16).collect()

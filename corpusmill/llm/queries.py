@@ -5,14 +5,18 @@ Queries only derive what is returned (sizes, digests) from their operator's rows
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import gzip
+import re
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm.bpe import decode, encode, n_tokens
+from corpusmill.llm.common import written
 from corpusmill.llm.html_extract import extract, n_chars
 from corpusmill.llm.jaccard import jaccard_join
 from corpusmill.llm.langid import identify
@@ -21,7 +25,7 @@ from corpusmill.llm.neardup import embedding_near_dedup
 from corpusmill.llm.packing import pack
 from corpusmill.llm.quality import quality_rules
 from corpusmill.llm.sharding import shard
-from corpusmill.llm.warc import page_id, read_warc, write_warc
+from corpusmill.llm.warc import page_id, read_archives, read_warc, records, write_warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,10 +82,38 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``pages`` as WARC archives, read back; a quarantined stretch would be a row with a null page_id."""
-    rows = read_warc(spark, write_warc(_table(spark, sf_dir, "pages")), payload=False)
+    return _pages_read(read_warc(spark, write_warc(_table(spark, sf_dir, "pages")), payload=False))
+
+
+def _pages_read(rows: DataFrame) -> DataFrame:
     return rows.select(page_id(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", page_id(F.col("refers_to")).alias("refers_to"))
 
 
+def _damaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Archives of 200 records, plain and zipped by turns, with stray bytes between records and one byte changed in those of pages 3, 13, 23, ..."""
+    number = 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, 200):
+            parts, zipped = [], number % 2
+            for record in batch.column("record").slice(at, 200).to_pylist():
+                data = record.encode() + b"\r\n\r\n"
+                found = re.search(rb"<urn:x-page:(-?\d*)>", data)
+                parts.append(bytearray(gzip.compress(data, mtime=0) if zipped else data))
+                if found[1].endswith(b"3"):
+                    parts[-1][len(parts[-1]) // 2] ^= 1
+                    parts.append(b"WARC/1.1\r\nstray \x1f\x8b\x08\r\n")
+            yield pa.RecordBatch.from_pydict({"path": [f"part {number}"], "content": [b"".join(parts)]})
+            number += 1
+
+
+def op8_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pages`` as archives that are half zipped and damaged at every tenth page: what the reader recovers, and gaps with a null page_id as one row."""
+    archives = records(_table(spark, sf_dir, "pages")).mapInArrow(_damaged, "path string, content binary")
+    rows = written(read_archives(archives, payload=False), "salvaged")
+    gaps = rows.filter("gap is not null").agg(F.lit(None).cast("long").alias("page_id"), F.lit(0).cast("long").alias("payload_bytes"), F.lit(None).cast("string").alias("payload_digest"), F.when(F.count(F.lit(1)) > 0, "gap").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
+    return _pages_read(rows.filter("gap is null")).unionByName(gaps.filter("record_type = 'gap'"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` without lines that repeat an earlier one with at most one edit: counts and the new text's digest."""
     return _line_counts(line_dedup(_table(spark, sf_dir, "documents")))
@@ -111,6 +143,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_rules": op6_quality_rules,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_warc": op8_warc,
+    "op8_warc_salvage": op8_warc_salvage,
     "op9_line_dedup": op9_line_dedup,
     "op9_line_dedup_short": op9_line_dedup_short,
     "op10_language_id": op10_language_id,
@@ -174,4 +207,10 @@ SELECT p.page_id, p.n::BIGINT AS payload_bytes, p.d AS payload_digest,
 FROM p LEFT JOIN f ON p.d = f.d
 """
 
-ORACLE_SQL: dict[str, str] = {"op8_warc": _OP8_SQL, "op3_embedding_near_dedup": _OP3_SQL, "op9_line_dedup": _OP9_SQL, "op9_line_dedup_short": _OP9_SHORT_SQL}
+#: As _OP8_SQL without the pages whose id ends in 3, which were damaged, and with one row for the gaps that they leave.
+_OP8_SALVAGE_SQL = f"""
+SELECT * FROM ({_OP8_SQL}) WHERE page_id IS NULL OR page_id % 10 <> 3
+UNION ALL SELECT NULL, 0, NULL, 'gap', NULL WHERE EXISTS (SELECT 1 FROM pages WHERE page_id % 10 = 3)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op8_warc": _OP8_SQL, "op8_warc_salvage": _OP8_SALVAGE_SQL, "op3_embedding_near_dedup": _OP3_SQL, "op9_line_dedup": _OP9_SQL, "op9_line_dedup_short": _OP9_SHORT_SQL}

@@ -5,14 +5,17 @@ and of at least ``least`` bytes, that with the smallest id is a response; the ot
 carry no payload.  Records end in CR LF CR LF, which is the sink's line separator, so the files can be in any
 store that Spark writes to.
 
-Reader.  Archives are read as binary files, plain or with one gzip member a record.  A record must have a version
-line, a length, its end mark, and the digests that it states.  Where a check fails, the reader quarantines the bytes
-from there to the next gzip member or version line at which a whole valid record begins, logs the gap with
-its reason, and goes on; later records are never lost to an earlier fault.
+Reader.  Archives are read as binary files, plain or in gzip members of one or more records.  A record must have a
+version line, a length, its end mark, and the digests that it states.  Where a check fails, the reader quarantines the
+bytes from there to the next gzip member or version line at which a whole valid record begins, logs the gap with
+its reason, and goes on; later records are never lost to an earlier fault.  Inside a member the same holds for its
+content; of a member that is cut off or damaged, the whole records before the fault whose digests agree are kept.
+The time is linear in the archive, however many members it has.
 
 Scale: digests meet by partial aggregation; only payloads that occur twice have a row in the table of first
 pages, which is broadcast after it has been counted and found small, and joined (AQE splits a hot digest) if not.
-A file is one row; the writer bounds its records, so that a task holds one file and its records.
+A file is one row of the reader, so the writer bounds the bytes of its files: records go to files with others of
+like size, as many to a file as ``file_bytes`` allows.
 """
 
 from __future__ import annotations
@@ -40,14 +43,19 @@ def _field(name: str, value: Column) -> Column:
 
 
 def _clean(value: Column) -> Column:
-    """A header value: control characters percent-encoded, so that it can't end its line."""
-    for c in ("%", "\r", "\n"):
+    """A header value as it is, but for line ends, which are percent-encoded, so that it can't end its line."""
+    for c in ("\r", "\n"):
         value = F.replace(value, F.lit(c), F.lit(f"%{ord(c):02X}"))
     return value
 
 
+def _most_bytes(url: Column, payload: Column) -> Column:
+    """A bound of a record's bytes: payload, url (an escaped character takes three), and less than 2048 for the rest."""
+    return F.coalesce(F.octet_length(payload), F.lit(0)).cast("long") + 3 * F.coalesce(F.octet_length(url), F.lit(0)) + 2048
+
+
 def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", *, least: int = 100) -> DataFrame:
-    """A ``record`` string for every row: its WARC record without the end mark.
+    """A ``record`` string for every row, its WARC record without the end mark, and a bound of its ``bytes``.
 
     A null payload is empty, a null url has no field, a null id is written as an empty one and never is a first page.
     Rows that repeat both id and payload are each written, as that page's responses.
@@ -78,13 +86,32 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
         F.octet_length("block"),
         F.lit(CRLF + CRLF),
     )
-    return rows.withColumn("block", block).select(F.concat(head, "block").alias("record"))
+    return rows.withColumn("block", block).select(F.concat(head, "block").alias("record"), _most_bytes(F.col("url"), F.col("payload")).alias("bytes"))
+
 
+def write_warc(pages: DataFrame, path: str | None = None, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", *, least: int = 100, file_records: int = 4000, file_bytes: int = 64 << 20) -> str:
+    """Writes :func:`records` as uncompressed archives; returns their folder.
 
-def write_warc(pages: DataFrame, path: str | None = None, *, file_records: int = 4000, **options) -> str:
-    """Writes :func:`records` as uncompressed archives of at most ``file_records`` records; returns their folder."""
+    A file has at most ``file_records`` records and ``file_bytes`` bytes, or one record: records of up to
+    file_bytes / file_records bytes are written together, those up to 16 times as long in files of a sixteenth as many,
+    and so on.  Each of these sizes that occurs is a write of its own (four at most for the defaults).
+    """
     path = path or fresh_path(pages.sparkSession, "warc")
-    records(pages, **options).write.option("lineSep", CRLF + CRLF).option("maxRecordsPerFile", file_records).text(path)
+    most = [file_records]
+    while most[-1] > 1:
+        most.append(max(1, most[-1] // 16))
+
+    def step(size: Column) -> Column:
+        out = F.lit(len(most) - 1)
+        for i in range(len(most) - 2, -1, -1):
+            out = F.when(size <= file_bytes // most[i], i).otherwise(out)
+        return out
+
+    rows = records(pages, id_col, url_col, payload_col, least=least)
+    found = sorted(r[0] for r in pages.select(step(_most_bytes(F.col(url_col), F.col(payload_col)))).distinct().collect()) or [0]
+    for i in found:
+        some = rows.filter(step(F.col("bytes")) == i).select("record")
+        some.write.mode("append").option("lineSep", CRLF + CRLF).option("maxRecordsPerFile", most[i]).text(path)
     return path
 
 
@@ -96,36 +123,50 @@ _VERSION = re.compile(rb"WARC/[01]\.\d+\r?\n")
 _STARTS = re.compile(rb"\x1f\x8b\x08|WARC/[01]\.\d+\r?\n")
 
 
-def _checked(stated: str | None, data: bytes, what: str) -> None:
+_CHUNK = 1 << 14
+
+
+def _checked(stated: str | None, data: bytes, what: str) -> bool:
+    """Is a digest stated that agrees with ``data``?  One that differs is a fault, one of another kind isn't looked at."""
     algorithm, _, value = (stated or "").partition(":")
-    if algorithm in ("sha256", "sha1", "md5") and re.fullmatch(r"[0-9a-fA-F]+", value) and hashlib.new(algorithm, data).hexdigest() != value.lower():
+    if algorithm not in ("sha256", "sha1", "md5") or not re.fullmatch(r"[0-9a-fA-F]+", value):
+        return False
+    if hashlib.new(algorithm, data).hexdigest() != value.lower():
         raise Fault(f"{what} digest differs")
+    return True
 
 
-def parse_record(data: bytes, at: int, end: int | None = None) -> tuple[dict, int]:
+def parse_record(data: bytes, at: int) -> tuple[dict, int]:
     """The record that begins at ``at`` and where it ends (its end mark included); raises :class:`Fault`."""
     version = _VERSION.match(data, at)
     if not version:
         raise Fault("no version line")
-    stop = data.find(b"\r\n\r\n", at)
-    if stop < 0 or stop - at > 1 << 20:
-        raise Fault("no end of header")
     fields: dict[str, str] = {}
-    for line in data[version.end() : stop].split(b"\r\n"):
+    begin = version.end()
+    while True:
+        stop = data.find(b"\r\n", begin)
+        if stop < 0:
+            raise Fault("no end of header")
+        line, begin = data[begin:stop], stop + 2
+        if not line:
+            break
         name, colon, value = line.decode("utf-8", "replace").partition(":")
         if not colon:
             raise Fault("bad field")
-        fields.setdefault(name.strip().lower(), value.strip())
-    if not (fields.get("content-length") or "").isdigit() or "warc-type" not in fields or "warc-record-id" not in fields:
+        name = name.strip().lower()
+        if name in fields and name != "warc-concurrent-to":  # two headers run into one
+            raise Fault("a field is repeated")
+        fields.setdefault(name, value.strip())
+    length = fields.get("content-length") or ""
+    if not (length.isascii() and length.isdigit()) or "warc-type" not in fields or "warc-record-id" not in fields:
         raise Fault("a mandatory field is missing")
-    begin = stop + 4
-    last = begin + int(fields["content-length"])
+    last = begin + int(length)
     if last > len(data):
         raise Fault("block is cut off")
     if data[last : last + 4] != b"\r\n\r\n":
         raise Fault("no end mark after the block")
     block = data[begin:last]
-    _checked(fields.get("warc-block-digest"), block, "block")
+    sure = _checked(fields.get("warc-block-digest"), block, "block")
     payload, length = block, len(block)
     if fields.get("content-type", "").replace(" ", "").startswith("application/http"):
         head, gap, payload = block.partition(b"\r\n\r\n")
@@ -137,45 +178,78 @@ def parse_record(data: bytes, at: int, end: int | None = None) -> tuple[dict, in
         payload = None
     else:
         length = len(payload)
-        _checked(fields.get("warc-payload-digest"), payload, "payload")
-    return {"fields": fields, "payload": payload, "length": length}, last + 4
-
+        sure |= _checked(fields.get("warc-payload-digest"), payload, "payload")
+    return {"fields": fields, "payload": payload, "length": length, "sure": sure}, last + 4
 
-def salvage(data: bytes) -> Iterator[tuple[str, int, int, object]]:
-    """("record", start, end, record) and ("gap", start, end, reason) that cover ``data`` without overlap, in order."""
 
-    def one(at: int) -> tuple[list[dict], int]:
-        if data[at : at + 3] != b"\x1f\x8b\x08":
-            record, end = parse_record(data, at)
-            return [record], end
-        member = zlib.decompressobj(31)
+def _inflated(data: bytes, at: int) -> tuple[bytes, int, str | None, list[tuple[int, int]]]:
+    """The content of the gzip member at ``at`` and where it ends; if it is faulty, what could be inflated, the reason, and
+    (place in ``data``, bytes of content up to there) in steps of 64 bytes.
+    """
+    view, begin = memoryview(data), at
+    member, found = zlib.decompressobj(31), []
+    why = None
+    while not member.eof and at < len(data) and why is None:
         try:
-            inner = member.decompress(data[at:])
+            found.append(member.decompress(view[at : at + _CHUNK]))
+            at = min(len(data), at + _CHUNK)
         except zlib.error as e:
-            raise Fault(f"gzip member: {e}") from None
-        if not member.eof:
-            raise Fault("gzip member is cut off")
-        found, pos = [], 0
-        while pos < len(inner):
-            record, pos = parse_record(inner, pos)
-            found.append(record)
-        return found, len(data) - len(member.unused_data)
+            why = f"gzip member: {e}"
+    if why is None and member.eof:
+        return b"".join(found), at - len(member.unused_data), None, []
+    member, found, marks, size = zlib.decompressobj(31), [], [], 0
+    for at in range(begin, len(data), 64):
+        marks.append((at, size))
+        try:
+            found.append(member.decompress(view[at : at + 64]))
+        except zlib.error:
+            break
+        size += len(found[-1])
+    return b"".join(found), begin, why or "gzip member is cut off", marks
+
+
+def salvage(data: bytes, zipped: bool = True) -> Iterator[tuple[str, int, int, object]]:
+    """("record", start, end, record) and ("gap", start, end, reason) that cover ``data`` in order.
+
+    Items overlap only where they come from one gzip member: its records and gaps have its place, and records kept of
+    a faulty member stand, with no length, before the gap that holds it.  ``zipped``: may there be gzip members?
+    """
+
+    def one(at: int) -> tuple[list[tuple[str, object]], int, str | None]:
+        """What begins at ``at`` and where it ends; or the reason why it doesn't end well, what is kept, and where to go on."""
+        if not zipped or data[at : at + 3] != b"\x1f\x8b\x08":
+            record, end = parse_record(data, at)
+            return [("record", record)], end, None
+        inner, end, why, marks = _inflated(data, at)
+        found = list(salvage(inner, False))
+        if why is not None:
+            kept = [(b, x) for kind, _, b, x in found if kind == "record" and x["sure"]]
+            past = max((b for b, _ in kept), default=0)
+            return [("record", x) for _, x in kept], max(p for p, n in marks if n <= past) if past else at, why
+        if found and not any(kind == "record" for kind, *_ in found):
+            raise Fault(f"in gzip member: {found[0][3]}")
+        return [(kind, x if kind == "record" else f"bytes {a} to {b} in gzip member: {x}") for kind, a, b, x in found], end, None
 
     at, bad, why = 0, None, ""
     while at < len(data):
         try:
-            found, end = one(at)
+            found, end, fault = one(at)
         except Fault as e:
+            found, end, fault = [], at, str(e)
+        if bad is not None and found:
+            yield "gap", bad, at, why
+            bad = None
+        for kind, x in found:
+            yield kind, at, at if fault is not None else end, x
+        if fault is not None:
             if bad is None:
-                bad, why = at, str(e)
-            start = _STARTS.search(data, at + 1)
+                bad, why = at, fault
+            start = (_STARTS if zipped else _VERSION).search(data, max(at + 1, end))
             at = start.start() if start else len(data)
             continue
         if bad is not None:
             yield "gap", bad, at, why
             bad = None
-        for record in found:
-            yield "record", at, end, record
         at = end
     if bad is not None:
         yield "gap", bad, len(data), why
@@ -214,14 +288,18 @@ def _reader(with_payload: bool):
     return run
 
 
+def read_archives(files: DataFrame, *, payload: bool = True) -> DataFrame:
+    """:func:`read_warc` of archives that are rows: ``path`` (string) and ``content`` (binary); a null content has no rows."""
+    return files.select("path", F.coalesce("content", F.lit(b"")).alias("content")).mapInArrow(_reader(payload), DDL)
+
+
 def read_warc(spark: SparkSession, path: str, *, payload: bool = True) -> DataFrame:
     """A row for each record of the archives under ``path``, and one, with ``gap`` set to the reason, for each quarantined stretch.
 
     ``payload_digest`` is the SHA-256 of the payload; a revisit's is the one that it states, ``payload_bytes`` likewise.
-    Empty files have no rows.  Files are read whole (up to 2 GB each).
+    Empty files have no rows.  A file is read whole; Spark refuses one of more than 2 GB with an error.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(_reader(payload), DDL)
+    return read_archives(spark.read.format("binaryFile").load(path), payload=payload)
 
 
 def page_id(uri: Column) -> Column:

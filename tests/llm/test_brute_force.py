@@ -327,6 +327,63 @@ def test_warc_damage_costs_one_record(which, at, flip, zipped):
     assert len([1 for kind, *_ in found if kind == "gap"]) <= 1
 
 
+def test_warc_many_members_take_linear_time():
+    import gzip
+    import time
+
+    took = []
+    for n in (8000, 16000):
+        data = b"".join(gzip.compress(r, 1, mtime=0) for r in archive(n))
+        start = time.perf_counter()
+        assert sum(kind == "record" for kind, *_ in warc.salvage(data)) == n
+        took.append(time.perf_counter() - start)
+    assert took[1] < 3 * took[0] + 1
+
+
+def test_warc_many_false_starts_take_linear_time():
+    import time
+
+    start = time.perf_counter()
+    found = list(warc.salvage(b"WARC/1.1\r\na: b\r\n" * 200_000 + archive(1)[0]))
+    assert [kind for kind, *_ in found] == ["gap", "record"]
+    assert time.perf_counter() - start < 20
+
+
+def test_warc_members_of_many_records():
+    import gzip
+
+    parts = archive(6)
+    whole = gzip.compress(b"".join(parts), mtime=0)
+    assert [x["fields"]["warc-record-id"] for _, _, _, x in warc.salvage(whole)] == [f"<urn:x-page:{i}>" for i in range(6)]
+    broken = bytearray(b"".join(parts))
+    broken[len(b"".join(parts[:3])) + len(parts[3]) - 8] ^= 1
+    found = list(warc.salvage(gzip.compress(bytes(broken), mtime=0)))
+    assert [kind for kind, *_ in found] == ["record"] * 3 + ["gap"] + ["record"] * 2
+    for level in (0, 6):
+        whole = gzip.compress(b"".join(parts), level, mtime=0)
+        cut = whole[: -len(parts[5]) // 2 if level == 0 else -20]
+        for after in (parts[0], gzip.compress(parts[0], mtime=0)):
+            found = list(warc.salvage(cut + after))
+            assert [kind for kind, *_ in found] == ["record"] * 5 + ["gap", "record"]
+            assert found[5][1:3] == (0, len(cut)) and found[6][1:3] == (len(cut), len(cut) + len(after))
+
+
+def test_warc_urls_and_long_headers(spark):
+    urls = ["http://a/x%20y", "http://a/%", "http://é.fr/?q=a b#c", "u" * 3_000_000, None, "http://a/x\r\ny"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("html", F.lit("z"))
+    out = {r["page_id"]: r["target_uri"] for r in warc.read_warc(spark, warc.write_warc(df)).withColumn("page_id", warc.page_id(F.col("record_id"))).collect()}
+    assert [out[i] for i in range(6)] == [*urls[:5], "http://a/x%0D%0Ay"]
+
+
+def test_warc_files_are_bounded(spark):
+    pages = [(i, "u", "x" * n) for i, n in enumerate([10] * 50 + [4000] * 20 + [70_000] * 3)]
+    path = warc.write_warc(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1), least=1 << 20, file_records=32, file_bytes=1 << 17)
+    files = spark.read.format("binaryFile").load(path).select("length").collect()
+    assert max(r[0] for r in files) <= 1 << 17 and len(files) >= 10
+    out = warc.read_warc(spark, path).withColumn("page_id", warc.page_id(F.col("record_id"))).collect()
+    assert sorted((r["page_id"], r["payload_bytes"]) for r in out) == [(i, len(h)) for i, _, h in pages]
+
+
 def test_warc_round_trip(spark):
     pages = [(i, f"http://x/{i}", "é<p>" * (i % 7 * 20)) for i in range(40)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")

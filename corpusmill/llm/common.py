@@ -59,20 +59,29 @@ def free_name(df: DataFrame, name: str) -> str:
     return next(x for x in itertools.chain([name], (f"{name}_{i}" for i in itertools.count(1))) if x.lower() not in taken)
 
 
-def block_pairs(df: DataFrame, key: str, ident: str, cap: int) -> DataFrame:
+def without_documents(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` without the rows whose id and text's hash are in ``gone(doc_id, text_hash)``; columns as they were, whatever their names."""
+    ident, mark = free_name(docs, "gone_id"), free_name(docs, "gone_text")
+    gone = gone.select(F.col("doc_id").alias(ident), F.col("text_hash").alias(mark)).distinct()
+    return docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone[ident]) & (F.xxhash64(docs[text_col]) == gone[mark]), "left_anti")
+
+
+def block_pairs(df: DataFrame, key: str, ident: str, cap: int, sized: str | None = None) -> DataFrame:
     """Deals the rows of every group to tasks that hold at most about ``2 * cap`` of them.
 
     A group of n rows is cut by hash into g = ceil(n / cap) blocks.  Every unordered pair of blocks is a
     task (``key``, ``bi``, ``bj``); a row of block ``b`` goes to the g tasks that name its block, so that
     each pair of rows meets in exactly one task when pairs inside a block are left to ``bi = bj``.
-    Groups of one row are dropped.  No task ever sees an unbounded group.
+    Groups of one row are dropped.  No task ever sees an unbounded group.  ``sized``: the column that holds n, if it
+    is known already.  The columns of ``df`` are the caller's own; ``b``, ``bi`` and ``bj`` are added.
     """
-    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    g = F.ceil(F.col("_n") / F.lit(cap)).cast("int")
-    rows = df.join(sizes, key).withColumn("_g", g).withColumn("b", F.pmod(F.xxhash64(ident, F.lit(77)), F.col("_g")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("_g") - 1))
-    rows = rows.withColumn("_o", other)
-    return rows.withColumn("bi", F.least("b", "_o")).withColumn("bj", F.greatest("b", "_o")).drop("_n", "_g", "_o")
+    if sized is None:
+        sized = "_n"
+        df = df.join(df.groupBy(key).agg(F.count(F.lit(1)).alias(sized)), key)
+    rows = df.filter(F.col(sized) > 1).withColumn("_g", F.ceil(F.col(sized) / F.lit(cap)).cast("int"))
+    rows = rows.withColumn("b", F.pmod(F.xxhash64(ident, F.lit(77)), F.col("_g")).cast("int"))
+    rows = rows.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_g") - 1)))
+    return rows.withColumn("bi", F.least("b", "_o")).withColumn("bj", F.greatest("b", "_o")).drop(sized, "_g", "_o")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:

@@ -2,21 +2,27 @@
 
 Method (BayesLSH-Lite, Satuluri and Parthasarathy, 2012).  A document is the set of its 64-bit hashed
 word 5-grams (fewer than five words: one gram of all words; no word: no set, and no link).  Documents with
-equal sets are one *class*, so copies never meet each other.  Classes that share a MinHash band are joined
-into candidate groups; inside a group the pairs are compared block by block, MinHash byte by MinHash byte,
-and a pair is dropped as soon as the posterior probability (uniform prior) that its similarity reaches the
-threshold falls below the tolerance.  Every pair that is left is verified on the whole sets.
+equal sets (by 128 bits of hash) are one *class*, so copies never meet each other.
+
+1.  Classes that share a MinHash band meet with their sketches of 128 bytes.  MinHash byte by MinHash byte, a pair is
+    dropped as soon as the posterior probability (uniform prior) that its similarity reaches the threshold falls
+    below the tolerance.  What a task returns is a spanning forest of the pairs that are left, and inside a task a class
+    that is connected already isn't compared again.
+2.  The components of these forests are small groups of like texts; a band that unlike texts share, or a chain of such
+    bands, makes no group.  Only they fetch their texts.  Inside a group all pairs are pruned in the same way, block by
+    block, and every pair that is left is verified on the whole sets.
 
 Loss: with 40 bands of 6, a pair exactly at 0.8 shares no band with probability 5e-6, less above; the
 Bayesian test adds less than 1e-5 at the default tolerance.  Nothing is reported below the threshold.
 
-Scale: what is shuffled is 40 longs a class, then only documents in candidate groups, with their sets.
-Groups are cut into blocks of ``block`` rows, so no task holds an unbounded group; a pair of rows never
-becomes a row: tasks return link counts per class and a spanning forest of the links.
+Scale: what is shuffled is 40 longs a class, sketches of the classes that share a band, then the sets of the documents
+in groups.  Bands and groups are cut into blocks, so no task holds an unbounded one; a pair of rows never
+becomes a row: tasks return link counts per class and spanning forests.
 """
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import block_pairs, components, written
+from corpusmill.llm.common import block_pairs, components, without_documents, written
 from corpusmill.llm.pairs import grouped, spread
 
 NGRAM, THRESHOLD = 5, 0.8
@@ -103,7 +109,7 @@ def least_matches(threshold: float, tolerance: float, n: int, step: int) -> list
 
 
 def _signer(ngram: int, bands: int, rows: int, sketch: int):
-    schema = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("fp", pa.int64()), ("n", pa.int32()), ("keys", pa.list_(pa.int64())), ("sketch", pa.binary())])
+    schema = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("fp", pa.int64()), ("fq", pa.int64()), ("n", pa.int32()), ("keys", pa.list_(pa.int64())), ("sketch", pa.binary())])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
@@ -113,6 +119,7 @@ def _signer(ngram: int, bands: int, rows: int, sketch: int):
                 sets = [gram_set(t.as_py(), ngram, hashes) for t in part.column(2)]
                 has = [i for i, s in enumerate(sets) if len(s)]
                 fp: list = [None] * len(sets)
+                fq: list = [None] * len(sets)
                 keys: list = [None] * len(sets)
                 marks: list = [None] * len(sets)
                 if has:
@@ -123,11 +130,12 @@ def _signer(ngram: int, bands: int, rows: int, sketch: int):
                     joined = mixed(joined + np.arange(bands, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)).view(np.int64)
                     bytes_ = mixed(low[:, :sketch]).astype(np.uint8)
                     for j, i in enumerate(has):
-                        fp[i] = xxhash.xxh3_64_intdigest(sets[i].tobytes()) - 2**63
+                        fp[i], fq[i] = struct.unpack("<qq", xxhash.xxh3_128_digest(sets[i].tobytes()))
                         keys[i], marks[i] = joined[j], bytes_[j].tobytes()
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fp, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.binary())], schema=schema)
+                cols = [part.column(0), part.column(1), pa.array(fp, pa.int64()), pa.array(fq, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, schema=schema)
 
-    return sign, "id long, th long, fp long, n int, keys array<long>, sketch binary"
+    return sign, "id long, th long, fp long, fq long, n int, keys array<long>, sketch binary"
 
 
 def _adder(ngram: int):
@@ -139,8 +147,8 @@ def _adder(ngram: int):
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 sets = pa.array([gram_set(t.as_py(), ngram, hashes).tobytes() for t in part.column("text")], pa.binary())
-                cols = [part.column(n) for n in ("grp", "fp", "size", "n", "sketch")]
-                yield pa.RecordBatch.from_arrays([*cols, sets], names=["grp", "fp", "size", "n", "sketch", "grams"])
+                cols = [part.column(n) for n in ("grp", "cls", "size", "n", "sketch")]
+                yield pa.RecordBatch.from_arrays([*cols, sets], names=["grp", "cls", "size", "n", "sketch", "grams"])
 
     return add
 
@@ -167,12 +175,44 @@ def intersections(a: list[np.ndarray], b: list[np.ndarray], left: np.ndarray, ri
     return np.rint(total[left, right]).astype(np.int64)
 
 
+def _linker(threshold: float, tolerance: float, sketch: int, step: int = 32):
+    """Spanning forests of the pairs of a band that the Bayesian test leaves; breadth first, so that each class found is compared from once."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    least = least_matches(threshold, tolerance, sketch, step)
+
+    def work(t: pa.Table) -> dict[str, list]:
+        cls, n = t.column("cls").to_numpy(), t.column("n").to_numpy()
+        marks = np.frombuffer(b"".join(t.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, sketch)
+        open_ = np.arange(len(cls))  # not yet in a tree
+        a, b = [], []
+        while len(open_):
+            queue, open_ = [int(open_[0])], open_[1:]
+            while queue and len(open_):
+                i = queue.pop()
+                near = open_[np.minimum(n[open_], n[i]) >= threshold * np.maximum(n[open_], n[i]) - 1e-9]
+                same = np.zeros(len(near), dtype=np.int64)
+                for k, enough in enumerate(least):
+                    same += (marks[near, k * step : (k + 1) * step] == marks[i, k * step : (k + 1) * step]).sum(axis=1)
+                    go = same >= enough
+                    near, same = near[go], same[go]
+                    if not len(near):
+                        break
+                if len(near):
+                    open_ = np.setdiff1d(open_, near, assume_unique=True)
+                    queue += near.tolist()
+                    a += [int(cls[i])] * len(near)
+                    b += cls[near].tolist()
+        return {"a": a, "b": b}
+
+    return grouped(schema, ["key", "bi", "bj"], work), "a long, b long"
+
+
 def _comparer(threshold: float, tolerance: float, sketch: int, step: int = 32):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("w", pa.int64())])
     least = least_matches(threshold, tolerance, sketch, step)
 
     def work(t: pa.Table) -> dict[str, list]:
-        block, fp, size, n = (t.column(c).to_numpy() for c in ("b", "fp", "size", "n"))
+        block, cls, size, n = (t.column(c).to_numpy() for c in ("b", "cls", "size", "n"))
         bi, bj = t.column("bi")[0].as_py(), t.column("bj")[0].as_py()
         rows, cols = np.flatnonzero(block == bi), np.flatnonzero(block == bj)
         empty = {"a": [], "b": [], "w": []}
@@ -209,7 +249,7 @@ def _comparer(threshold: float, tolerance: float, sketch: int, step: int = 32):
             linked |= linked.T
         edges = spread(t.num_rows, linked, rows, cols)
         some = np.flatnonzero(weight)
-        return {"a": fp[some].tolist() + [int(fp[i]) for i, _ in edges], "b": [None] * len(some) + [int(fp[j]) for _, j in edges], "w": weight[some].astype(np.int64).tolist() + [0] * len(edges)}
+        return {"a": cls[some].tolist() + [int(cls[i]) for i, _ in edges], "b": [None] * len(some) + [int(cls[j]) for _, j in edges], "w": weight[some].astype(np.int64).tolist() + [0] * len(edges)}
 
     return grouped(schema, ["grp", "bi", "bj"], work), "a long, b long, w long"
 
@@ -225,34 +265,38 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     every other.  Rows that are equal in id and text are one document and get the same verdict; of different
     texts under one id, the one with the smaller hash is kept.  Other columns of ``docs`` are not read.
     """
-    sign, schema = _signer(ngram, bands, rows, min(SKETCH, bands * rows))
+    width = min(SKETCH, bands * rows)
+    sign, schema = _signer(ngram, bands, rows, width)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     signed = written(base.mapInArrow(sign, schema), "jaccard-signed")
     first = F.min(F.struct(F.col("id").isNull().alias("x"), "id", "th")).alias("first")
-    sized = signed.filter("fp is not null").groupBy("fp").agg(F.count(F.lit(1)).alias("size"), first)
-    keys = signed.filter("fp is not null").select("fp", F.explode("keys").alias("key")).distinct()
-    low = keys.groupBy("key").agg(F.min("fp").alias("m"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
-    groups = components(keys.join(low, "key").select(F.col("fp").alias("a"), F.col("m").alias("b")))
-    classes = written(sized.join(groups.withColumnRenamed("node", "fp").withColumnRenamed("root", "grp"), "fp", "left"), "jaccard-classes")
-
-    near = classes.filter("grp is not null").select("grp", "fp", "size", F.col("first.id").alias("id"), F.col("first.th").alias("th"))
-    marks = signed.filter("fp is not null").select("id", "th", "fp", "n", "sketch").dropDuplicates(["fp", "id", "th"])
-    near = near.alias("c").join(marks.alias("s"), (F.col("c.fp") == F.col("s.fp")) & F.col("c.id").eqNullSafe(F.col("s.id")) & (F.col("c.th") == F.col("s.th"))).select("grp", "c.fp", "size", "c.id", "c.th", "n", "sketch")
-    near = near.alias("c").join(base.alias("d"), F.col("c.id").eqNullSafe(F.col("d.id")) & (F.col("c.th") == F.col("d.th"))).select("grp", "fp", "size", "n", "sketch", "text")
-    near = near.mapInArrow(_adder(ngram), "grp long, fp long, size long, n int, sketch binary, grams binary")
+    sized = signed.filter("fp is not null").groupBy("fp", "fq").agg(F.count(F.lit(1)).alias("size"), first, *[F.first(c).alias(c) for c in ("n", "keys", "sketch")])
+    classes = written(sized.withColumn("cls", F.monotonically_increasing_id()), "jaccard-classes")
+
+    keys = classes.select("cls", F.explode(F.array_distinct("keys")).alias("key"))
+    met = written(keys.join(keys.groupBy("key").agg(F.count(F.lit(1)).alias("met")).filter("met > 1"), "key"), "jaccard-bands")
+    dealt = block_pairs(met.join(classes.select("cls", "n", "sketch"), "cls"), "key", "cls", 8 * block, "met")
+    link, schema = _linker(threshold, tolerance, width)
+    dealt = dealt.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "cls")
+    near = written(dealt.select("key", "bi", "bj", "cls", "n", "sketch").mapInArrow(link, schema), "jaccard-candidates")
+    groups = components(near).select(F.col("node").alias("cls"), F.col("root").alias("grp"))
+
+    near = classes.join(groups, "cls").select("grp", "cls", "size", "n", "sketch", F.col("first.id").alias("id"), F.col("first.th").alias("th"))
+    near = near.alias("c").join(base.alias("d"), F.col("c.id").eqNullSafe(F.col("d.id")) & (F.col("c.th") == F.col("d.th"))).select("grp", "cls", "size", "n", "sketch", "text")
+    near = near.mapInArrow(_adder(ngram), "grp long, cls long, size long, n int, sketch binary, grams binary")
     # Of rows that are equal in id and text, one stands for the class; they were counted in size.
-    near = near.groupBy("grp", "fp").agg(F.first("size").alias("size"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("grams").alias("grams"))
-    compare, schema = _comparer(threshold, tolerance, min(SKETCH, bands * rows))
-    dealt = block_pairs(written(near, "jaccard-near"), "grp", "fp", block).repartition("grp", "bi", "bj").sortWithinPartitions("grp", "bi", "bj", "fp")
-    found = written(dealt.select("grp", "bi", "bj", "b", "fp", "size", "n", "sketch", "grams").mapInArrow(compare, schema), "jaccard-links")
-
-    linked = found.filter("w > 0").groupBy(F.col("a").alias("fp")).agg(F.sum("w").alias("w"))
-    roots = components(found.filter("b is not null").select("a", "b")).withColumnRenamed("node", "fp")
-    classes = classes.drop("grp").join(linked, "fp", "left").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    classes = written(classes, "jaccard-classes")
+    near = near.groupBy("grp", "cls").agg(*[F.first(c).alias(c) for c in ("size", "n", "sketch", "grams")])
+    compare, schema = _comparer(threshold, tolerance, width)
+    dealt = block_pairs(written(near, "jaccard-near"), "grp", "cls", block).repartition("grp", "bi", "bj").sortWithinPartitions("grp", "bi", "bj", "cls")
+    found = written(dealt.select("grp", "bi", "bj", "b", "cls", "size", "n", "sketch", "grams").mapInArrow(compare, schema), "jaccard-links")
+
+    linked = found.filter("w > 0").groupBy(F.col("a").alias("cls")).agg(F.sum("w").alias("w"))
+    roots = components(found.filter("b is not null").select("a", "b")).withColumnRenamed("node", "cls")
+    classes = classes.select("fp", "fq", "cls", "size", "first").join(linked, "cls", "left").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    classes = written(classes, "jaccard-verdicts")
     best = classes.groupBy("root").agg(F.min("first").alias("best"))
-    classes = classes.join(best, "root").select("fp", F.col("first.id").alias("class_id"), (F.col("size") - 1 + F.coalesce("w", F.lit(0))).alias("n_links"), F.col("best.id").alias("component_id"), F.col("best.th").alias("best_th"))
-    out = signed.select("id", "th", "fp").join(classes, "fp", "left")
+    classes = classes.join(best, "root").select("fp", "fq", F.col("first.id").alias("class_id"), (F.col("size") - 1 + F.coalesce("w", F.lit(0))).alias("n_links"), F.col("best.id").alias("component_id"), F.col("best.th").alias("best_th"))
+    out = signed.select("id", "th", "fp", "fq").join(classes, ["fp", "fq"], "left")
     alone = F.col("fp").isNull()
     return out.select(
         F.col("id").alias("doc_id"),
@@ -266,5 +310,4 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the documents that :func:`jaccard_join` doesn't keep; columns and other rows as they were."""
-    gone = jaccard_join(docs, id_col, text_col, **options).filter("not kept").select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_th")).distinct()
-    return docs.join(gone, docs[id_col].cast("long").eqNullSafe(F.col("_gone_id")) & (F.xxhash64(docs[text_col]) == F.col("_gone_th")), "left_anti")
+    return without_documents(docs, jaccard_join(docs, id_col, text_col, **options).filter("not kept"), id_col, text_col)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import written
+from corpusmill.llm.common import without_documents, written
 
 LANGUAGES = ("de", "en", "es", "fr")
 NO_LANGUAGE = "zxx"
@@ -172,5 +172,4 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that :func:`identify` keeps, with their columns as they were."""
-    gone = identify(docs, id_col, text_col, **options).filter("not kept").select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_th")).distinct()
-    return docs.join(gone, docs[id_col].cast("long").eqNullSafe(F.col("_gone_id")) & (F.xxhash64(docs[text_col]) == F.col("_gone_th")), "left_anti")
+    return without_documents(docs, identify(docs, id_col, text_col, **options).filter("not kept"), id_col, text_col)

@@ -11,7 +11,7 @@ K further projections, in L tables, deal the vectors of one label to cells of ab
 from the largest label and L from K, so that a pair at the threshold shares a cell of some table with
 probability 1 - ``miss`` at every size.  A pair counts only in the first table whose cell it shares.
 
-Equal vectors of a label are one class and never meet.  Cells are cut into blocks (no task holds an unbounded
+Equal vectors of a label (by 128 bits of hash) are one class and never meet.  Cells are cut into blocks (no task holds an unbounded
 one); tasks return link counts and a spanning forest of the links, never the pairs.
 """
 
@@ -70,7 +70,7 @@ def _units(vectors: list[bytes], dtype: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _celler(k: int, n_tables: int, seed: int, dtype: str):
-    schema = pa.schema([("fp", pa.int64()), ("size", pa.int64()), ("label", pa.int64()), ("dim", pa.int32()), ("vec", pa.binary()), ("t", pa.int32()), ("code", pa.int64())])
+    schema = pa.schema([("cls", pa.int64()), ("size", pa.int64()), ("label", pa.int64()), ("dim", pa.int32()), ("vec", pa.binary()), ("t", pa.int32()), ("code", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -82,25 +82,28 @@ def _celler(k: int, n_tables: int, seed: int, dtype: str):
                     v, norm = _units(sub.column("vec").to_pylist(), dtype)
                     codes = _codes(v / norm[:, None], k, n_tables, seed)
                     rows = pa.array(np.repeat(np.arange(len(v)), n_tables))
-                    cols = [sub.column(n).take(rows) for n in ("fp", "size", "label", "dim", "vec")]
+                    cols = [sub.column(n).take(rows) for n in ("cls", "size", "label", "dim", "vec")]
                     cols += [pa.array(np.tile(np.arange(n_tables, dtype=np.int32), len(v))), pa.array(codes.ravel())]
                     yield pa.RecordBatch.from_arrays(cols, schema=schema)
 
-    return run, "fp long, size long, label long, dim int, vec binary, t int, code long"
+    return run, "cls long, size long, label long, dim int, vec binary, t int, code long"
 
 
 def collisions(queries: np.ndarray, points: np.ndarray, half: float) -> np.ndarray:
-    """For each query and point, on how many lines (columns) the point lies in the window centred on the query."""
-    n, m = len(queries), len(points)
-    count = np.zeros((n, m), dtype=np.int16)
-    row = np.arange(n)
+    """For each query and point, on how many lines (columns) the point lies in the window centred on the query.
+
+    Each line is sorted once; a query's window is then a run of the sorted points, found by two searches, and a point
+    lies in it if its rank does.
+    """
+    count = np.zeros((len(queries), len(points)), dtype=np.int16)
+    rank = np.empty(len(points), dtype=np.int16)
     for j in range(queries.shape[1]):
         order = np.argsort(points[:, j], kind="stable")
         line = points[order, j]
-        steps = np.zeros((n, m + 1), dtype=np.int16)
-        np.add.at(steps, (row, np.searchsorted(line, queries[:, j] - half, "left")), 1)
-        np.add.at(steps, (row, np.searchsorted(line, queries[:, j] + half, "right")), -1)
-        count[:, order] += np.cumsum(steps[:, :-1], axis=1, dtype=np.int16)
+        rank[order] = np.arange(len(points))
+        low = np.searchsorted(line, queries[:, j] - half, "left").astype(np.int16)[:, None]
+        run = (np.searchsorted(line, queries[:, j] + half, "right").astype(np.int16)[:, None] - low).view(np.uint16)
+        count += (rank - low).view(np.uint16) < run  # one comparison: ranks below the window wrap around
     return count
 
 
@@ -109,7 +112,7 @@ def _comparer(threshold: float, k: int, n_tables: int, lines: int, half: float,
     empty: dict[str, list] = {"a": [], "b": [], "w": []}
 
     def work(t: pa.Table) -> dict[str, list]:
-        block, fp, size, label, dims, table = (t.column(c).to_numpy() for c in ("b", "fp", "size", "label", "dim", "t"))
+        block, cls, size, label, dims, table = (t.column(c).to_numpy() for c in ("b", "cls", "size", "label", "dim", "t"))
         bi, bj = t.column("bi")[0].as_py(), t.column("bj")[0].as_py()
         out: dict[str, list] = {"a": [], "b": [], "w": []}
         vec = t.column("vec").to_pylist()
@@ -141,8 +144,8 @@ def _comparer(threshold: float, k: int, n_tables: int, lines: int, half: float,
             weight = np.bincount(gx, weights=size[gy], minlength=t.num_rows) + np.bincount(gy, weights=size[gx], minlength=t.num_rows)
             some = np.flatnonzero(weight)
             edges = spread(t.num_rows, linked | linked.T if bi == bj else linked, rows, cols)
-            out["a"] += fp[some].tolist() + [int(fp[i]) for i, _ in edges]
-            out["b"] += [None] * len(some) + [int(fp[j]) for _, j in edges]
+            out["a"] += cls[some].tolist() + [int(cls[i]) for i, _ in edges]
+            out["b"] += [None] * len(some) + [int(cls[j]) for _, j in edges]
             out["w"] += weight[some].astype(np.int64).tolist() + [0] * len(edges)
         return out if out["a"] else empty
 
@@ -153,8 +156,8 @@ def _packer(dtype: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             vec = [np.asarray(v, dtype=dtype).tobytes() for v in batch.column("embedding").to_pylist()]
-            cols = [batch.column(n) for n in ("id", "fp", "label", "dim")]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(vec, pa.binary())], names=["id", "fp", "label", "dim", "vec"])
+            cols = [batch.column(n) for n in ("id", "fp", "fq", "label", "dim")]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(vec, pa.binary())], names=["id", "fp", "fq", "label", "dim", "vec"])
 
     return run
 
@@ -173,24 +176,25 @@ def embedding_near_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: st
     finite = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
     usable = F.col("label").isNotNull() & v.isNotNull() & F.coalesce(finite, F.lit(False))
     base = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"), F.col(vec_col).alias("embedding"))
-    base = base.withColumn("fp", F.when(usable, F.xxhash64("label", "embedding")))
-    packed = base.filter("fp is not null").select("id", "fp", "label", F.size("embedding").alias("dim"), "embedding").mapInArrow(_packer(dtype), "id long, fp long, label long, dim int, vec binary")
-    classes = written(packed.groupBy("fp").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("first"), F.first("label").alias("label"), F.first("dim").alias("dim"), F.first("vec").alias("vec")), "embedding-classes")
+    base = base.withColumn("fp", F.when(usable, F.xxhash64("label", "embedding"))).withColumn("fq", F.when(usable, F.xxhash64(F.lit(9), "label", "embedding")))
+    packed = base.filter("fp is not null").select("id", "fp", "fq", "label", F.size("embedding").alias("dim"), "embedding").mapInArrow(_packer(dtype), "id long, fp long, fq long, label long, dim int, vec binary")
+    classes = packed.groupBy("fp", "fq").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("first"), F.first("label").alias("label"), F.first("dim").alias("dim"), F.first("vec").alias("vec"))
+    classes = written(classes.withColumn("cls", F.monotonically_increasing_id()), "embedding-classes")
 
     largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 1
     k, n_tables = tables(threshold, largest, cell, miss)
     half, least = calibrated(threshold, lines, half_sigmas, miss)
     cells, schema = _celler(k, n_tables, seed, dtype)
-    dealt = classes.select("fp", "size", "label", "dim", "vec").mapInArrow(cells, schema).withColumn("grp", F.xxhash64("t", "label", "dim", "code")).drop("code")
-    dealt = block_pairs(dealt, "grp", "fp", block).repartition("grp", "bi", "bj").sortWithinPartitions("grp", "bi", "bj", "fp")
+    dealt = classes.select("cls", "size", "label", "dim", "vec").mapInArrow(cells, schema).withColumn("grp", F.xxhash64("t", "label", "dim", "code")).drop("code")
+    dealt = block_pairs(dealt, "grp", "cls", block).repartition("grp", "bi", "bj").sortWithinPartitions("grp", "bi", "bj", "cls")
     compare, schema = _comparer(threshold, k, n_tables, lines, half, least, seed, dtype)
-    found = written(dealt.select("grp", "bi", "bj", "b", "fp", "size", "label", "dim", "t", "vec").mapInArrow(compare, schema), "embedding-links")
+    found = written(dealt.select("grp", "bi", "bj", "b", "cls", "size", "label", "dim", "t", "vec").mapInArrow(compare, schema), "embedding-links")
 
-    weight = found.filter("w > 0").groupBy(F.col("a").alias("fp")).agg(F.sum("w").alias("w"))
-    roots = components(found.filter("b is not null").select("a", "b")).withColumnRenamed("node", "fp")
-    classes = classes.select("fp", "size", "first").join(weight, "fp", "left").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    weight = found.filter("w > 0").groupBy(F.col("a").alias("cls")).agg(F.sum("w").alias("w"))
+    roots = components(found.filter("b is not null").select("a", "b")).withColumnRenamed("node", "cls")
+    classes = classes.select("fp", "fq", "cls", "size", "first").join(weight, "cls", "left").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     smallest = classes.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = classes.join(smallest, "root").select("fp", "component_id", (F.col("size") - 1 + F.coalesce("w", F.lit(0))).alias("n_links"))
-    out = base.select("id", "fp").join(classes, "fp", "left")
+    classes = classes.join(smallest, "root").select("fp", "fq", "component_id", (F.col("size") - 1 + F.coalesce("w", F.lit(0))).alias("n_links"))
+    out = base.select("id", "fp", "fq").join(classes, ["fp", "fq"], "left")
     component = F.when(F.col("fp").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))

@@ -121,6 +121,33 @@ def test_sharding(docs):
     assert sorted(sharding.fisher_yates(50, np.random.default_rng(1)).tolist()) == list(range(50))
 
 
+def test_sharding_in_two_levels_is_the_same(docs):
+    place = lambda **options: sorted((r["doc_id"], r["shard"], r["slot"]) for r in sharding.shard(docs, 5, F.octet_length("text"), "doc_id", bucket_bytes=1500, **options).collect())
+    assert place() == place(most_buckets=4)
+
+
+def test_offsets(spark):
+    rows = [(i, i % 7 + 1) for i in range(0, 100, 3)]
+    found = sharding._offsets(spark.createDataFrame(rows, "number long, n long"), "number", "n", wide=10).collect()
+    assert sorted((r["number"], r["before"], r["all"]) for r in found) == [(i, sum(n for j, n in rows if j < i), sum(n for _, n in rows)) for i, _ in rows]
+
+
+def test_sharding_is_uniform(spark):
+    """Chi-square at about 1e-6: places of rows, orders of three, and the places that the rows of one stretch of the input get."""
+    many = [sharding.fisher_yates(6, np.random.Generator(np.random.PCG64([s, 0]))).tolist() for s in range(6000)]
+    counts = np.zeros((6, 6))
+    for order in many:
+        counts[np.arange(6), order] += 1
+    assert ((counts - 1000) ** 2 / 1000).sum() < 70  # 25 degrees of freedom
+    orders = collections.Counter(map(tuple, (o[:3] for o in many)))
+    assert len(orders) == 120 and sum((n - 50) ** 2 / 50 for n in orders.values()) < 205  # 119 degrees of freedom
+    rows = spark.range(4000).selectExpr("id as doc_id", "repeat('x', cast(id % 50 as int)) as text").coalesce(1)
+    counts = np.zeros((8, 8))
+    for r in sharding.shard(rows, 4, F.octet_length("text"), "doc_id", bucket_bytes=20_000).collect():
+        counts[r["doc_id"] // 500, 2 * r["shard"] + r["slot"] // 500] += 1
+    assert ((counts - 62.5) ** 2 / 62.5).sum() < 113  # 49 degrees of freedom
+
+
 def test_word_tokens_equal_the_library():
     own, library = packing.WordTokens(WORDS), Tokenizer.from_buffer(WORDS)
     library.encode_special_tokens = True

@@ -11,7 +11,7 @@ from corpusmill.llm import bpe, html_extract, jaccard, langid, linedup, neardup,
 
 LONG = "word%d other thing, and more. " * 6000
 TEXTS = [(1, "a line of words that is long enough\nshort"), (1, "a line of words that is long enough\nshort"), (2, ""), (3, None), (None, "the same words as others have in it"), (4, "the same words as others have in it"), (5, "x" * 30_000), (6, LONG), (7, " \n\t "), (1, "another text under the same id, all different")]
-CLASH = ["kept", "shard", "slot", "bucket", "pos", "mark", "n_lines", "n_removed", "ids", "decoded", "main_text", "llr", "fp", "th", "id", "rank", "grp", "_ratios", "_made", "nul", "host"]
+CLASH = ["kept", "shard", "slot", "bucket", "pos", "mark", "n_lines", "n_removed", "ids", "decoded", "main_text", "llr", "fp", "th", "id", "rank", "grp", "_ratios", "_made", "nul", "host", "gone_id", "gone_text", "bucket_group", "bucket_number", "before", "every", "all", "run", "n", "number", "_b", "_o", "_n", "_c", "_g", "b", "bi", "bj", "_gone_id", "_gone_th", "doc_id_1", "text_hash", "cls", "key", "keys", "sketch", "grams", "declared", "suffix", "score", "record", "path", "content", "step", "bytes"]
 WORDS = Path(public_tokenizers.path("word_bpe_49k.json")).read_bytes()
 BYTES = Path(public_tokenizers.path("byte_bpe_50k.tiktoken")).read_bytes()
 

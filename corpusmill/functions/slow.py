@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import html
 import re
-import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,22 +11,12 @@ from pyspark.sql import types as T
 
 from corpusmill.functions.french import stem
 
-#: Month names that make a small number a day.
-MONTH = re.compile(r"janvier|fevrier|février|mars|avril|mai|juin|juillet|aout|août|septembre|octobre|novembre|decembre|décembre", re.I)
-FACT = T.StructType([T.StructField("value", T.LongType()), T.StructField("unit", T.StringType()), T.StructField("context", T.StringType())])
+#: Month names that make a small number a day, and what is a number with its unit.
+MONTH = re.compile(r"\b(?:janvier|fevrier|février|mars|avril|mai|juin|juillet|aout|août|septembre|octobre|novembre|decembre|décembre)\b", re.I)
 NUMBER = re.compile(r"(\d[\d\s]*\d+|\d+)\s*(euros?|€|%|pour\s*cent)?", re.I)
-
-
-@F.pandas_udf(T.StringType())
-def unescape(text: pd.Series) -> pd.Series:
-    """All character references decoded."""
-    return text.map(lambda x: html.unescape(x) if x is not None and "&" in x else x)
-
-
-@F.pandas_udf(T.StringType())
-def fold_all(text: pd.Series) -> pd.Series:
-    """Compatibility decomposition without marks, for any alphabet."""
-    return text.map(lambda x: x if x is None or x.isascii() else "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)))
+UNITS = {"euro": "euros", "euros": "euros", "€": "euros", "%": "%", "pour cent": "%"}
+AROUND = 40
+FACT = T.StructType([T.StructField("value", T.StringType()), T.StructField("unit", T.StringType()), T.StructField("context", T.StringType())])
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -48,23 +36,30 @@ def stems(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield tokens.map(lambda x: None if x is None else [one(w) for w in x])
 
 
-def facts(text: str | None) -> list[dict]:
-    """Numbers with unit and 40 characters around; years, and days before a month, are no facts without a unit."""
-    out = []
-    for m in NUMBER.finditer(text or ""):
-        digits = re.sub(r"\s", "", m[1])
-        if len(digits) > 18:
-            continue
-        value, unit = int(digits), (m[2] or "").lower()
-        context = text[max(0, m.start() - 40) : m.end() + 40].replace("\n", " ").strip()
-        date = 1900 <= value <= 2100 or 1 <= value <= 31 and MONTH.search(context)
-        if date and not unit:
+def whole(digits: str) -> int | None:
+    """The number that digits, in groups by spaces, write; None if they are grouped by other white space, or are too many for the runtime."""
+    try:
+        return int("".join(digits.split(" ")))
+    except ValueError:
+        return None
+
+
+def facts(text: str | None) -> list[tuple[str, str, str]]:
+    """(value, unit, text around) of every number; its digits are a string, as they may be many.
+
+    Without a unit, a year from 1900 to 2100 and a number up to 31 near the name of a month are dates, not facts.
+    """
+    text, out = text or "", []
+    for m in NUMBER.finditer(text):
+        value, unit = whole(m[1]), m[2]
+        if value is None:
             continue
-        name = "euros" if unit[:4] == "euro" or unit == "€" else "%" if unit in ("%", "pour cent") else "nombre"
-        out.append({"value": value, "unit": name, "context": context})
+        around = text[max(0, m.start() - AROUND) : m.end() + AROUND].replace("\n", " ").strip()
+        if unit or not (1900 <= value <= 2100 or (0 < value < 32 and MONTH.search(around))):
+            out.append((str(value), UNITS.get((unit or "").lower(), "nombre"), around))
     return out
 
 
 @F.pandas_udf(T.ArrayType(FACT))
 def numbers(text: pd.Series) -> pd.Series:
-    return text.map(facts)
+    return text.map(lambda x: [dict(zip(FACT.names, f, strict=True)) for f in facts(x)])

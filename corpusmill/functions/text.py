@@ -2,28 +2,31 @@
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 from collections.abc import Callable
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Patterns that decide tokens, references, amounts and secrets.
+#: Patterns that decide tokens, references, amounts and secrets.  Those that
+#: Python also uses have no flags; in the others (?U) says that classes, borders and case are Unicode's.
 TOKEN = r"[A-Za-zÀ-ÿ0-9]+"
 TOKEN_HYPHENATED = r"[A-Za-zÀ-ÿ0-9][A-Za-zÀ-ÿ0-9\-_\.]*"
-REFERENCE = r"(?i)\bBOI-[A-Z0-9]+(?:-[A-Z0-9]+)*\b"
+REFERENCE = r"(?iU)\bBOI-[A-Z0-9]+(?:-[A-Z0-9]+)*\b"
 LEGAL = [
-    r"(?i)\barticle\s+[A-ZL]?\s*\.?\s*\d+[A-Za-z0-9\-\s]*(?:bis|ter|quater|quinquies)?\s+du\s+(?:CGI|LPF)\b",
-    r"(?i)\b(?:CGI|LPF)\s+art\.?\s*[A-ZL]?\s*\.?\s*\d+[A-Za-z0-9\-\s]*(?:bis|ter|quater|quinquies)?\b",
+    r"\barticle\s+[A-ZL]?\s*\.?\s*\d+[A-Za-z0-9\-\s]*(?:bis|ter|quater|quinquies)?\s+du\s+(?:CGI|LPF)\b",
+    r"\b(?:CGI|LPF)\s+art\.?\s*[A-ZL]?\s*\.?\s*\d+[A-Za-z0-9\-\s]*(?:bis|ter|quater|quinquies)?\b",
 ]
-NUMERIC_INTENT = r"(?i)\b(seuil|seuils|taux|plafond|plafonds|bareme|chiffre\s+d['’ ]affaires|combien|calcul|calcule|pourcentage|euros?|ht|hors\s+taxe)\b"
-AMOUNT = r"(?i)\b\d[\d\s]*(?:[,.]\d+)?\s*(?:€|euros?\b|%|pour\s*cent\b)"
-SCALE = r"(?i)\bBOI-BAREME-\d+\b|\bbareme\b"
-NUMERIC_SECTION = r"(?i)\b(seuil|seuils|taux|limite|limites|plafond|plafonds|bareme|chiffre\s+d['’ ]affaires)\b"
-NUMBER = r"\d(?:[\d\s .,]*\d)?"
-TRIVIAL = r"(?i)^(?:[\W_]+|\(\d+(?:[-–]\d+)?\)|\d+(?:[-–]\d+)?|N(?:[+-]\d+)?|Article\s+\d+(?:\s+et\s+\d+)?|Cf\..*|Remarques?\s*:?)$"
-NON_PRINCIPLE_LEAD = r"(?i)^\s*(remarque|exemple|reponse)\s*:"
-SECRETS = [r"\bsk-[A-Za-z0-9_\-]{12,}\b", r"\bhf_[A-Za-z0-9_\-]{12,}\b", r"(?i)\b(api[_-]?key|authorization|x-api-key)\s*[:=]\s*['\"]?[^'\"\s]+"]
+NUMERIC_INTENT = r"(?iU)\b(seuil|seuils|taux|plafond|plafonds|bareme|chiffre\s+d['’ ]affaires|combien|calcul|calcule|pourcentage|euros?|ht|hors\s+taxe)\b"
+AMOUNT = r"(?iU)\b\d[\d\s]*(?:[,.]\d+)?\s*(?:€|euros?\b|%|pour\s*cent\b)"
+SCALE = r"(?iU)\bBOI-BAREME-\d+\b|\bbareme\b"
+NUMERIC_SECTION = r"(?iU)\b(seuil|seuils|taux|limite|limites|plafond|plafonds|bareme|chiffre\s+d['’ ]affaires)\b"
+NUMBER = r"(?U)\d(?:[\d\s .,]*\d)?"
+TRIVIAL = r"(?:[\W_]+|\(\d+(?:[-–]\d+)?\)|\d+(?:[-–]\d+)?|N(?:[+-]\d+)?|Article\s+\d+(?:\s+et\s+\d+)?|Cf\..*|Remarques?\s*:?)"
+NON_PRINCIPLE_LEAD = r"(?iU)^\s*(remarque|exemple|reponse)\s*:"
+SECRETS = [r"(?U)\bsk-[A-Za-z0-9_\-]{12,}\b", r"(?U)\bhf_[A-Za-z0-9_\-]{12,}\b", r"(?iU)\b(api[_-]?key|authorization|x-api-key)\s*[:=]\s*['\"]?[^'\"\s]+"]
 SECRET_MARK = "[REDACTED_SECRET]"
 MOJIBAKE = ["Ã", "Â", "â€", "â€™", "â€œ", "â€“", "â€”", "â‚¬"]
 RETRY = [r"(?i)retry in ([0-9]+(?:\.[0-9]+)?)s", r"(?i)'retryDelay': '([0-9]+(?:\.[0-9]+)?)s'"]
@@ -34,19 +37,49 @@ EXCEPTION = ["derogation", "exception"]
 EXCEPTION_WIDE = [*EXCEPTION, "cas particulier", "regle particuliere", "regle specifique"]
 
 
-def _fold_table() -> tuple[str, str]:
-    """Letters whose compatibility decomposition is one letter and marks, and that letter: made by rule, U+00C0 to U+024F."""
-    pairs = []
-    for code in range(0xC0, 0x250):
-        base = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
-        if len(base) == 1 and base != chr(code):
-            pairs.append((chr(code), base))
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+#: What is a character reference, and white space besides Unicode's property.
+CHARACTER_REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+WHITE = r"[\s\x1c-\x1f]"
+#: Not characters: marks in tables and texts that no text has.
+MARK, EQUALS = "\uffff", "\ufffe"
+HANGUL = 0xAC00
 
 
-FOLD_FROM, FOLD_TO = _fold_table()
-#: The character references that are decoded without Python; the rest by ``functions.slow``.
-ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&apos;", "'"), ("&amp;", "&")]
+@functools.cache
+def _folding() -> tuple[str, str, str, str, str, str]:
+    """Tables of the compatibility decomposition without marks, made by rule from Unicode's own.
+
+    From and to of a translation that gives ``MARK`` for what becomes several characters, from and to of one that leaves
+    these, the characters that become several, and what they become, by lines.
+    """
+    one, many, gone = [], [], []
+    for code in range(0x80, 0x110000):
+        char = chr(code)
+        if not unicodedata.combining(char) and not unicodedata.decomposition(char):
+            continue
+        base = "".join(c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c))
+        if base == "":
+            gone.append(char)
+        elif base != char:
+            (one if len(base) == 1 else many).append((char, base))
+    source, target = "".join(a for a, _ in one), "".join(b for _, b in one)
+    several = "".join(a for a, _ in many)
+    return source + several + "".join(gone), target + MARK * len(several), source + "".join(gone), target, several, "\n".join(b for _, b in many)
+
+
+@functools.cache
+def _named() -> tuple[str, str]:
+    """All named character references with their values in one string, and a pattern of those that need no semicolon, longest first."""
+    table = MARK + MARK.join(f"{name}{EQUALS}{value}" for name, value in html5.items()) + MARK
+    bare = sorted((name for name in html5 if name[-1] != ";"), key=lambda x: (-len(x), x))
+    return table, "^(" + "|".join(bare) + ")"
+
+
+@functools.cache
+def _jamo() -> list[str]:
+    """First, middle and last parts of Hangul syllables, by lines."""
+    parts = [unicodedata.normalize("NFKD", chr(HANGUL + i)) for i in range(19 * 588)]
+    return ["\n".join(p[0] for p in parts[::588]), "\n".join(p[1] for p in parts[:588:28]), "\n".join(p[2:] for p in parts[:28])]
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -54,17 +87,72 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _number_reference(ref: Column) -> Column:
+    """What a numeric reference stands for, by the rules of HTML: code points that are none, surrogates, and Windows' own from 128 to 159."""
+    digits = F.regexp_extract(ref, "([0-9a-fA-F]+)", 1)
+    n = F.when(ref.rlike("^&#[xX]"), F.conv(digits, 16, 10).try_cast("bigint")).otherwise(digits.try_cast("bigint"))
+    n = F.coalesce(n, F.lit(1 << 40))  # more digits than fit
+    n = F.when((n < 0) | (n > 0x10FFFF), 0x110000).otherwise(n)
+    char = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    windows = "\n".join(bytes([i]).decode("cp1252", "replace").replace("\ufffd", chr(i)) for i in range(128, 160))
+    nothing = n.between(1, 8) | (n == 11) | n.between(14, 31) | (n == 127) | n.between(0xFDD0, 0xFDEF) | (n.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
+    return (
+        F.when((n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF), F.lit("\ufffd"))
+        .when(n.between(128, 159), F.get(F.split(F.lit(windows), "\n"), (n - 128).cast("int")))
+        .when(nothing, F.lit(""))
+        .otherwise(char)
+    )
+
+
+def _named_reference(ref: Column) -> Column:
+    """What a named reference stands for; the longest name that needs no semicolon if it isn't one as a whole, else itself."""
+    table, bare = _named()
+    name = F.substring(ref, F.lit(2), F.length(ref))
+
+    def value(x: Column) -> Column:
+        at = F.position(F.concat(F.lit(MARK), x, F.lit(EQUALS)), F.lit(table))
+        return F.when(at > 0, F.substring_index(F.substring(F.lit(table), at + F.length(x) + 2, F.lit(3)), MARK, 1))
+
+    begin = F.regexp_extract(name, bare, 1)
+    rest = F.when(begin != "", F.concat(value(begin), F.substring(name, F.length(begin) + 1, F.length(name))))
+    return F.when(name == "amp;", F.lit("&")).otherwise(F.coalesce(value(name), rest, ref))
+
+
+def unescape(text: Column) -> Column:
+    """All character references decoded, once, as HTML's rules have it."""
+
+    def decoded(x: Column) -> Column:
+        between = F.split(x, CHARACTER_REFERENCE, -1)
+        found = F.regexp_extract_all(x, F.lit(CHARACTER_REFERENCE), F.lit(0))
+        meant = F.transform(found, lambda r: F.when(F.startswith(r, F.lit("&#")), _number_reference(r)).otherwise(_named_reference(r)))
+        return F.array_join(F.flatten(F.zip_with(between, F.concat(meant, F.array(F.lit(""))), lambda a, b: F.array(a, b))), "")
+
+    return let(text, lambda x: F.when(F.contains(x, F.lit("&")), decoded(x)).otherwise(x))
+
+
 def normalize_ws(text: Column) -> Column:
-    """Common character references decoded, every run of Unicode white space one space, trimmed; null is empty."""
-    value = F.coalesce(text, F.lit(""))
-    for entity, char in ENTITIES:
-        value = F.replace(value, F.lit(entity), F.lit(char))
-    return F.trim(F.regexp_replace(value, r"(?U)[\s\x1c-\x1f]+", " "))
+    """Character references decoded, every run of Unicode white space one space, trimmed; null is empty."""
+    return F.trim(F.regexp_replace(unescape(F.coalesce(text, F.lit(""))), f"(?U){WHITE}+", " "))
 
 
 def fold(text: Column) -> Column:
-    """Accents removed, case kept; white space as it is."""
-    return F.translate(text, FOLD_FROM, FOLD_TO)
+    """The compatibility decomposition without marks: accents removed, ligatures and the like spelled out, case kept; white space as it is."""
+    first, to, second, to_second, several, values = _folding()
+
+    def expansion(c: Column) -> Column:
+        i = F.ascii(c) - HANGUL
+        begin, middle, end = (F.split(F.lit(x), "\n") for x in _jamo())
+        syllable = F.concat(F.get(begin, F.floor(i / 588).cast("int")), F.get(middle, F.floor(i % 588 / 28).cast("int")), F.get(end, i % 28))
+        return F.when(c.between(chr(HANGUL), "\ud7a3"), syllable).otherwise(F.get(F.split(F.lit(values), "\n"), F.position(c, F.lit(several)) - 1))
+
+    def expanded(x: Column) -> Column:
+        chars = F.filter(F.array_distinct(F.split(x, "")), lambda c: (c != "") & ((F.position(c, F.lit(several)) > 0) | c.between(chr(HANGUL), "\ud7a3")))
+        return F.translate(F.aggregate(chars, x, lambda y, c: F.replace(y, c, expansion(c))), second, to_second)
+
+    def plain(x: Column) -> Column:
+        return let(F.translate(x, first, to), lambda y: F.when(F.contains(y, F.lit(MARK)) | y.rlike("[\uac00-\ud7a3]"), expanded(x)).otherwise(y))
+
+    return let(text, lambda x: F.when(F.octet_length(x) == F.length(x), x).otherwise(plain(x)))  # ASCII stays as it is
 
 
 def fold_accents(text: Column) -> Column:
@@ -110,7 +198,7 @@ def distinct_by(items: Column, key) -> Column:
 def legal_refs(text: Column) -> Column:
     """Articles of the two codes, pattern by pattern, deduplicated without regard to case."""
     value = F.coalesce(text, F.lit(""))
-    found = F.concat(*[F.transform(F.regexp_extract_all(value, F.lit(p), F.lit(0)), lambda x: F.trim(x)) for p in LEGAL])
+    found = F.concat(*[F.transform(F.regexp_extract_all(value, F.lit("(?iU)" + p), F.lit(0)), lambda x: F.regexp_replace(x, rf"(?U){WHITE}+\z", "")) for p in LEGAL])
     return distinct_by(found, F.lower)
 
 
@@ -214,10 +302,7 @@ def citation_ids(text: Column) -> Column:
 
 def any_marker(text: Column, markers: list[str]) -> Column:
     """Does the (folded) text contain one of the markers?"""
-    found = F.lit(False)
-    for m in markers:
-        found = found | F.contains(text, F.lit(m))
-    return found
+    return let(text, lambda x: functools.reduce(lambda a, b: a | b, [F.contains(x, F.lit(m)) for m in markers]))
 
 
 def numeric_intent(query: Column) -> Column:
@@ -237,9 +322,8 @@ def rescript_intent(query: Column) -> Column:
 
 
 def trivial_fragment(text: Column) -> Column:
-    """At most five estimated tokens, and a bare number, mark or the like, or at most twelve characters."""
-    value = normalize_ws(text)
-    return (token_count(text) <= 5) & (value.rlike(TRIVIAL) | (F.length(value) <= 12))
+    """At most five estimated tokens, and a bare number, mark or the like as a whole, or at most twelve characters."""
+    return (token_count(text) <= 5) & (text.rlike(rf"(?iU)\A{TRIVIAL}\z") | (F.length(text) <= 12))
 
 
 def significant_tokens(text: Column, stopwords: bool = True) -> Column:

@@ -35,9 +35,9 @@ AXIS_STOPWORDS = ["avec", "dans", "pour", "sans", "selon", "cette", "celui", "ce
 
 def taxonomy_route(questions: DataFrame, most: int = 4) -> DataFrame:
     """``query_id, prefix, score, rank``: tax families by how many of their markers a question has."""
-    said = F.lower(t.fold(F.col("text")))
-    scores = [F.struct(F.lit(p).alias("prefix"), F.aggregate(F.array(*[F.contains(said, F.lit(m)).cast("int") for m in ms]), F.lit(0), lambda a, x: a + x).alias("score")) for p, ms in TAXONOMY.items()]
-    rows = questions.select("query_id", F.inline(F.array(*scores))).filter("score > 0")
+    families = F.array(*[F.struct(F.lit(p).alias("prefix"), F.array(*[F.lit(m) for m in ms]).alias("markers")) for p, ms in TAXONOMY.items()])
+    counted = t.let(F.lower(t.fold(F.col("text"))), lambda said: F.transform(families, lambda f: F.struct(f["prefix"].alias("prefix"), F.size(F.filter(f["markers"], lambda m: F.contains(said, m))).alias("score"))))
+    rows = questions.select("query_id", F.inline(counted)).filter("score > 0")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "prefix")
     return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
 

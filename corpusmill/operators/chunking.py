@@ -54,7 +54,7 @@ def section_windows(units: DataFrame, max_tokens: int = 350) -> DataFrame:
 # --- by document ---
 
 _SENTENCE = re.compile(r"(?<=[.!?:;])\s+")
-_TRIVIAL = re.compile(t.TRIVIAL.removeprefix("(?i)^").removesuffix("$"), re.I)
+_TRIVIAL = re.compile(t.TRIVIAL, re.I)
 
 
 def n_tokens(words: int) -> int:

@@ -12,7 +12,10 @@ from corpusmill.functions import text as t
 KS = (1, 3, 5, 8)
 #: Phrases of answers that abstain, and words that say nothing about an answer point.
 ABSTENTION = ["aucune reponse ne peut etre donnee", "impossible de repondre", "impossible de determiner", "ne permettent pas de repondre", "ne permet pas de repondre", "ne contiennent aucune disposition", "faute de source", "preuve insuffisante"]
-POINT_STOPWORDS = ["les", "des", "une", "par", "pour", "dans", "sur", "avec", "est", "sont", "aux", "que", "qui"]
+POINT_STOPWORDS = (
+    "afin ainsi alors apres apprecier avec avant cette confondre dans dont elle elles entre etre eventuel eventuels effet effets examiner faut indique indiquee "
+    "leur leurs maniere mais meme permettre position pour quand quelle quelles sans selon situation sont sous suffisamment tous toute toutes verifier"
+).split()
 
 
 def relevance(retrieved: DataFrame, golds: DataFrame) -> DataFrame:

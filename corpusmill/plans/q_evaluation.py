@@ -118,17 +118,36 @@ def payload_validation(spark, d):
     return ev.payload_errors(c.select(F.col("conv_id").alias("query_id"), n.alias("citation_id"), F.col("text").alias("chunk_id"), "text"))
 
 
-_PT = "list_distinct(list_concat(list_filter(string_split({p}, ' '), lambda w: NOT list_contains(['les','des','une','par','pour','dans','sur','avec','est','sont','aux','que','qui'], w) AND (length(w) >= 3 OR regexp_matches(w, '\\d'))), list_transform(list_filter(string_split({p}, ' '), lambda w: NOT list_contains(['les','des','une','par','pour','dans','sur','avec','est','sont','aux','que','qui'], w) AND (length(w) >= 3 OR regexp_matches(w, '\\d')) AND length(w) > 4 AND ends_with(w, 's')), lambda w: left(w, length(w) - 1))))"
+_POINT_STOP = """['afin', 'ainsi', 'alors', 'apres', 'apprecier', 'avec', 'avant', 'cette', 'confondre', 'dans', 'dont', 'elle', 'elles', 'entre', 'etre',
+'eventuel', 'eventuels', 'effet', 'effets', 'examiner', 'faut', 'indique', 'indiquee', 'leur', 'leurs', 'maniere', 'mais', 'meme', 'permettre', 'position',
+'pour', 'quand', 'quelle', 'quelles', 'sans', 'selon', 'situation', 'sont', 'sous', 'suffisamment', 'tous', 'toute', 'toutes', 'verifier']"""
+_POINT_WORDS = f"list_filter(string_split({{p}}, ' '), lambda w: NOT list_contains({_POINT_STOP}, w) AND (length(w) >= 3 OR regexp_matches(w, '\\d')))"
+_PT = f"list_distinct(list_concat({_POINT_WORDS}, list_transform(list_filter({_POINT_WORDS}, lambda w: length(w) > 4 AND ends_with(w, 's')), lambda w: left(w, length(w) - 1))))"
+# Points whose verdict hangs on the stop words, on the length rules, on ligatures and on the plural.
+_POINTS = ["", "Vérifier suffisamment la situation selon leurs effets", "les des une par sur est", "Il faut examiner les taux réduits de 5 %", "Œuvres, ex æquo", "m² et ﬁscalité"]
+_REPLIES = ["", "taux", "les des une", "taux reduit 5 %", "oeuvre aequo", "m2 fiscalite"]
+_FOLDED = {"Vérifier suffisamment la situation selon leurs effets": "verifier suffisamment la situation selon leurs effets", "Il faut examiner les taux réduits de 5 %": "il faut examiner les taux reduits de 5 %", "Œuvres, ex æquo": "oeuvres ex aequo", "m² et ﬁscalité": "m2 et fiscalite"}
 _PHRASE = "trim(regexp_replace(lower(strip_accents({x})), '[^a-z0-9%]+', ' ', 'g'))"
 
 
-@query(sql("""SELECT conv_id, turn, CASE WHEN len(e) = 0 THEN true WHEN len(e) <= 5 THEN h / len(e) >= 0.6 ELSE h / len(e) >= 0.45 AND h >= 3 END AS covered
-FROM (SELECT conv_id, turn, e, len(list_intersect(e, a)) AS h FROM tk)""", nx="SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS answer FROM conversations", tk="SELECT conv_id, turn, " + _PT.format(p=_PHRASE.format(x="text")) + " AS e, " + _PT.format(p=_PHRASE.format(x="coalesce(answer, '')")) + " AS a FROM nx"))
+_CASES = " ".join(f"WHEN {i} THEN '{_FOLDED.get(p, p)}'" for i, p in enumerate(_POINTS))
+_ANSWERS = " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(_REPLIES))
+
+
+@query(sql("""SELECT conv_id, turn, kind, CASE WHEN len(e) = 0 THEN true WHEN len(e) <= 5 THEN h / len(e) >= 0.6 ELSE h / len(e) >= 0.45 AND h >= 3 END AS covered
+FROM (SELECT conv_id, turn, kind, e, len(list_intersect(e, a)) AS h FROM tk)""",
+nx="SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS answer FROM conversations",
+said=f"SELECT conv_id, turn, k AS kind, CASE k WHEN 0 THEN text {_CASES.replace('WHEN 0 THEN', 'WHEN 99 THEN')} END AS point, coalesce(answer, '') || ' ' || CASE k {_ANSWERS} END AS answer FROM nx, range({len(_POINTS)}) r(k)",
+tk="SELECT conv_id, turn, kind, " + _PT.format(p=_PHRASE.format(x="point")) + " AS e, " + _PT.format(p=_PHRASE.format(x="answer")) + " AS a FROM said"))
 def answer_point_recall(spark, d):
+    """Every turn as a point that the next should cover (kind 0), and made-up points that the next turn and a made-up reply should cover."""
     from pyspark.sql import Window
 
     c = table(spark, d, "conversations").withColumn("answer", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn")))
-    return c.select("conv_id", "turn", ev.point_covered(F.col("text"), F.coalesce("answer", F.lit(""))).alias("covered"))
+    pairs = F.array(*[F.struct(F.lit(p).alias("point"), F.lit(r).alias("reply")) for p, r in zip(_POINTS, _REPLIES, strict=True)])
+    c = c.select("conv_id", "turn", "text", F.coalesce("answer", F.lit("")).alias("answer"), F.posexplode(pairs).alias("kind", "x"))
+    point = F.when(F.col("kind") == 0, F.col("text")).otherwise(F.col("x.point"))
+    return c.select("conv_id", "turn", F.col("kind").cast("long").alias("kind"), ev.point_covered(point, F.concat_ws(" ", "answer", "x.reply")).alias("covered"))
 
 
 @query(sql("""SELECT doc_id, CASE WHEN doc_id % 19 = 0 THEN 'runtime_error' WHEN toxic = 1 THEN 'needs_review_failure_signal' WHEN quality = 0 OR doc_id % 13 = 0 THEN 'candidate_fail_insufficient_evidence'

@@ -222,10 +222,66 @@ def repair_mojibake(spark, d):
 @query()
 def html_unescape(spark, d):
     """Every page with all its character references decoded."""
-    return table(spark, d, "pages").select("page_id", slow.unescape(F.col("html")).alias("html"))
+    return table(spark, d, "pages").select("page_id", t.unescape(F.col("html")).alias("html"))
 
 
-@query()
+# Every text followed by what the common cases lack: references with and without semicolon, by number, in Windows' range and
+# decoded once only; ligatures, powers, fractions, decomposed letters and syllables; white space other than ASCII's.
+_HARD = " &eacute;t&eacute; 2&euro;&nbsp;&notit; &#233;&#x20AC;&#128; ﬁscal m² e\u0301te\u0301\u2003½\x1c각 &amp;lt; &unknown;"
+_HARD_CLEAN = "été 2€ ¬it; é€€ ﬁscal m² e\u0301te\u0301 ½ 각 &lt; &unknown;"
+_HARD_PLAIN = "ete 2€ ¬it; e€€ fiscal m2 ete 1⁄2 \u1100\u1161\u11a8 &lt; &unknown;"
+
+
+def _hard() -> Column:
+    return F.concat("text", F.lit(_HARD))
+
+
+@query(f"SELECT doc_id, ltrim({n('text')} || ' {_HARD_CLEAN}') AS clean FROM documents")
+def normalize_ws_hard(spark, d):
+    return _each(spark, d, "clean", t.normalize_ws(_hard()))
+
+
+@query(f"SELECT doc_id, ltrim(strip_accents({n('text')}) || ' {_HARD_PLAIN}') AS plain FROM documents")
+def fold_accents_hard(spark, d):
+    return _each(spark, d, "plain", t.fold_accents(_hard()))
+
+
+@query(f"SELECT doc_id, array_to_string(list_concat({tok('text')}, ['ete', '2', 'it', 'e', 'fiscal', 'm2', 'ete', '1', '2', 'lt', 'unknown']), ' ') AS toks FROM documents")
+def tokenize_hard(spark, d):
+    return _each(spark, d, "toks", F.array_join(t.tokens(_hard()), " "))
+
+
+@query("SELECT doc_id, 'article\u00a0279\u00a0du CGI|CGI\u2009art.\u00a07' AS refs FROM documents")
+def legal_refs_hard(spark, d):
+    """Articles after every text, with white space that isn't ASCII's, a letter that ends them, and one that isn't one: ``é`` is part of a word."""
+    said = F.concat("text", F.lit(" article\u00a0279\u00a0du CGI; CGI\u2009art.\u00a07\u2003État; éCGI art. 9"))
+    return _each(spark, d, "refs", F.array_join(t.legal_refs(said), "|"))
+
+
+_FRAGMENTS = {"русский текст здесь": False, "— § …": True, "§§§§ ---- §§§§ ----": True, "(12–14)": True, "Article 279 et 280": True, "Article\u00a0279 et\u00a0281": True, "Cf. la suite": True, "Remarques :": True, "дом": True, "deux mots à lire": False, "１２３４５６７８９０１２３４５": True, "N+1": True}
+
+
+@query("SELECT doc_id, i AS no, CASE i " + " ".join(f"WHEN {i} THEN {str(v).lower()}" for i, v in enumerate(_FRAGMENTS.values())) + f" END AS trivial FROM documents, range({len(_FRAGMENTS)}) r(i)")
+def trivial_fragments_hard(spark, d):
+    """Fragments in several scripts, for every document."""
+    rows = table(spark, d, "documents").select("doc_id", F.posexplode(F.array(*[F.lit(x) for x in _FRAGMENTS])).alias("i", "text"))
+    return rows.select("doc_id", F.col("i").cast("long").alias("no"), t.trivial_fragment(F.col("text")).alias("trivial"))
+
+
+_NUMBERS = " Avec 3 maisons de campagne et un jardin clos de murs hauts; 12345678901234567890 Euros pour la parcelle entiere du domaine; le 12 mai en soiree avec des amis du village; en 1999, 1999 euros; 1\u00a0500 puis 1 500 € ou 007 pour  cent"
+_NUMBER_RE = "(\\d[\\d\\s\u00a0]*\\d+|\\d+)[\\s\u00a0]*(euros?|€|%|pour[\\s\u00a0]*cent)?"
+_MONTH_RE = "\\b(janvier|fevrier|février|mars|avril|mai|juin|juillet|aout|août|septembre|octobre|novembre|decembre|décembre)\\b"
+
+
+@query(f"""WITH RECURSIVE said AS (SELECT doc_id, text || '{_NUMBERS}' AS x FROM documents),
+found AS (SELECT doc_id, x, regexp_extract_all(x, '{_NUMBER_RE}', 0, 'i') AS m, regexp_extract_all(x, '{_NUMBER_RE}', 1, 'i') AS num, regexp_extract_all(x, '{_NUMBER_RE}', 2, 'i') AS unit FROM said),
+place AS (SELECT doc_id, 0 AS i, 1::BIGINT AS at, 1::BIGINT AS after FROM found UNION ALL
+  SELECT p.doc_id, p.i + 1, p.after + instr(substr(f.x, p.after), f.m[p.i + 1]) - 1, p.after + instr(substr(f.x, p.after), f.m[p.i + 1]) - 1 + length(f.m[p.i + 1]) FROM place p JOIN found f ON f.doc_id = p.doc_id WHERE p.i < len(f.m)),
+fact AS (SELECT p.doc_id, f.num[p.i] AS num, lower(f.unit[p.i]) AS unit, trim(replace(substr(f.x, greatest(1, p.at - 40), p.after + 40 - greatest(1, p.at - 40)), chr(10), ' '), ' ' || chr(9) || chr(11) || chr(12) || chr(13) || '\u00a0') AS context FROM place p JOIN found f ON f.doc_id = p.doc_id WHERE p.i > 0),
+whole AS (SELECT *, coalesce(nullif(ltrim(replace(num, ' ', ''), '0'), ''), '0') AS value FROM fact WHERE regexp_full_match(num, '[0-9 ]+'))
+SELECT doc_id, value, CASE WHEN unit IN ('euro', 'euros', '€') THEN 'euros' WHEN unit IN ('%', 'pour cent') THEN '%' ELSE 'nombre' END AS unit, context FROM whole
+WHERE unit <> '' OR NOT (try_cast(value AS HUGEINT) BETWEEN 1900 AND 2100 OR try_cast(value AS HUGEINT) BETWEEN 1 AND 31 AND regexp_matches(context, '{_MONTH_RE}', 'i'))""")
 def extract_numbers(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", F.explode(slow.numbers(F.col("text"))).alias("x"))
+    """All numbers of every text, which is followed by some that tell the rules apart."""
+    rows = table(spark, d, "documents").select("doc_id", F.explode(slow.numbers(F.concat("text", F.lit(_NUMBERS)))).alias("x"))
     return rows.select("doc_id", "x.value", "x.unit", "x.context")

@@ -16,7 +16,7 @@ from corpusmill.operators.chunking import clean, slug
 HEADINGS = {f"h{i}": i for i in range(1, 7)}
 TEXTS = ("p", "li", "blockquote")
 _NUMBER = re.compile(r"[§]?\d+(?:\s?[A-Za-z])?")
-_LEGAL = [re.compile(p) for p in LEGAL]
+_LEGAL = [re.compile(p, re.I) for p in LEGAL]
 _UNSEEN = ("script", "style", "template")
 
 

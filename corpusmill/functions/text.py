@@ -87,47 +87,68 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _number_reference(ref: Column) -> Column:
-    """What a numeric reference stands for, by the rules of HTML: code points that are none, surrogates, and Windows' own from 128 to 159."""
-    digits = F.regexp_extract(ref, "([0-9a-fA-F]+)", 1)
-    n = F.when(ref.rlike("^&#[xX]"), F.conv(digits, 16, 10).try_cast("bigint")).otherwise(digits.try_cast("bigint"))
-    n = F.coalesce(n, F.lit(1 << 40))  # more digits than fit
-    n = F.when((n < 0) | (n > 0x10FFFF), 0x110000).otherwise(n)
-    char = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
-    windows = "\n".join(bytes([i]).decode("cp1252", "replace").replace("\ufffd", chr(i)) for i in range(128, 160))
-    nothing = n.between(1, 8) | (n == 11) | n.between(14, 31) | (n == 127) | n.between(0xFDD0, 0xFDEF) | (n.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
-    return (
-        F.when((n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF), F.lit("\ufffd"))
-        .when(n.between(128, 159), F.get(F.split(F.lit(windows), "\n"), (n - 128).cast("int")))
-        .when(nothing, F.lit(""))
-        .otherwise(char)
-    )
+def _quoted(text: str) -> str:
+    """A SQL string."""
+    for char, escaped in (("\\", "\\\\"), ("'", "\\'"), ("\n", "\\n")):
+        text = text.replace(char, escaped)
+    return f"'{text}'"
+
+
+def _bound(name: str, value: str, body: str) -> str:
+    """SQL: ``body`` with ``name`` for ``value``, which is computed once."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def _with(text: Column, function: str) -> Column:
+    """The SQL lambda ``function`` of ``text``: parsed as a whole, since a call for every part of so long an expression takes long."""
+    return F.call_function("get", F.call_function("transform", F.array(text), F.expr(function)), F.lit(0))
 
 
-def _named_reference(ref: Column) -> Column:
-    """What a named reference stands for; the longest name that needs no semicolon if it isn't one as a whole, else itself."""
+@functools.cache
+def _unescape() -> str:
+    """SQL lambda that decodes character references by HTML's rules: the longest name that needs no semicolon where the whole is
+    none; numbers that are no code point or a surrogate, those that stand for nothing, and Windows' own from 128 to 159.
+    """
     table, bare = _named()
-    name = F.substring(ref, F.lit(2), F.length(ref))
+    windows = "\n".join(bytes([i]).decode("cp1252", "replace").replace("\ufffd", chr(i)) for i in range(128, 160))
+    digits = "ltrim('0', regexp_extract(r, '([0-9a-fA-F]+)', 1))"
+    number = _bound("d", digits, "CASE WHEN length(d) > 8 THEN 4294967296L WHEN d = '' THEN 0L WHEN r RLIKE '^&#[xX]' THEN cast(conv(d, 16, 10) AS bigint) ELSE cast(d AS bigint) END")
+    nothing = "n BETWEEN 1 AND 8 OR n = 11 OR n BETWEEN 14 AND 31 OR n = 127 OR n BETWEEN 64976 AND 65007 OR (n & 65534L) = 65534"
+    char = f"""CASE WHEN n = 0 OR n BETWEEN 55296 AND 57343 OR n > 1114111 THEN '\ufffd' WHEN n BETWEEN 128 AND 159 THEN get(split({_quoted(windows)}, '\\n'), cast(n - 128 AS int))
+        WHEN {nothing} THEN '' ELSE decode(unhex(lpad(hex(n), 8, '0')), 'UTF-32') END"""
 
-    def value(x: Column) -> Column:
-        at = F.position(F.concat(F.lit(MARK), x, F.lit(EQUALS)), F.lit(table))
-        return F.when(at > 0, F.substring_index(F.substring(F.lit(table), at + F.length(x) + 2, F.lit(3)), MARK, 1))
+    def value(name: str) -> str:
+        found = f"CASE WHEN at > 0 THEN substring_index(substring(named, at + length({name}) + 2, 3), '{MARK}', 1) END"
+        return _bound("at", f"position(concat('{MARK}', {name}, '{EQUALS}'), named)", found)
 
-    begin = F.regexp_extract(name, bare, 1)
-    rest = F.when(begin != "", F.concat(value(begin), F.substring(name, F.length(begin) + 1, F.length(name))))
-    return F.when(name == "amp;", F.lit("&")).otherwise(F.coalesce(value(name), rest, ref))
+    prefix = _bound("b", f"regexp_extract(m, {_quoted(bare)}, 1)", f"CASE WHEN b <> '' THEN concat({value('b')}, substring(m, length(b) + 1)) END")
+    name = _bound("m", "substring(r, 2)", f"CASE WHEN m = 'amp;' THEN '&' ELSE coalesce({value('m')}, {prefix}, r) END")
+    pattern = _quoted(CHARACTER_REFERENCE)
+    meant = f"transform(regexp_extract_all(x, {pattern}, 0), r -> CASE WHEN startswith(r, '&#') THEN {_bound('n', number, char)} ELSE {_bound('named', _quoted(table), name)} END)"
+    return f"x -> CASE WHEN contains(x, '&') THEN array_join(flatten(zip_with(split(x, {pattern}, -1), concat({meant}, array('')), (a, b) -> array(a, b))), '') ELSE x END"
 
 
-def unescape(text: Column) -> Column:
-    """All character references decoded, once, as HTML's rules have it."""
+@functools.cache
+def _fold() -> str:
+    """SQL lambda of the compatibility decomposition without marks: ASCII as it is, else a translation, and where that meets what
+    becomes several characters, these replaced one by one.
+    """
+    first, to, second, to_second, several, values = _folding()
+    begin, middle, end = (f"split({_quoted(x)}, '\\n')" for x in _jamo())
+    hangul = f"c BETWEEN '{chr(HANGUL)}' AND '\ud7a3'"
+    i = f"(ascii(c) - {HANGUL})"
+    syllable = f"concat(get({begin}, cast({i} div 588 AS int)), get({middle}, cast({i} % 588 div 28 AS int)), get({end}, {i} % 28))"
+    expansion = f"CASE WHEN {hangul} THEN {syllable} ELSE get(split({_quoted(values)}, '\\n'), position(c, {_quoted(several)}) - 1) END"
+    chars = f"filter(array_distinct(split(x, '')), c -> c <> '' AND (position(c, {_quoted(several)}) > 0 OR {hangul}))"
+    expanded = f"translate(aggregate({chars}, x, (z, c) -> replace(z, c, {expansion})), {_quoted(second)}, {_quoted(to_second)})"
+    rare = f"contains(y, '{MARK}') OR y RLIKE '[\uac00-\ud7a3]'"
+    body = _bound("y", f"translate(x, {_quoted(first)}, {_quoted(to)})", f"CASE WHEN {rare} THEN {expanded} ELSE y END")
+    return f"x -> CASE WHEN octet_length(x) = length(x) THEN x ELSE {body} END"
 
-    def decoded(x: Column) -> Column:
-        between = F.split(x, CHARACTER_REFERENCE, -1)
-        found = F.regexp_extract_all(x, F.lit(CHARACTER_REFERENCE), F.lit(0))
-        meant = F.transform(found, lambda r: F.when(F.startswith(r, F.lit("&#")), _number_reference(r)).otherwise(_named_reference(r)))
-        return F.array_join(F.flatten(F.zip_with(between, F.concat(meant, F.array(F.lit(""))), lambda a, b: F.array(a, b))), "")
 
-    return let(text, lambda x: F.when(F.contains(x, F.lit("&")), decoded(x)).otherwise(x))
+def unescape(text: Column) -> Column:
+    """All character references decoded, once, as HTML's rules have it."""
+    return _with(text, _unescape())
 
 
 def normalize_ws(text: Column) -> Column:
@@ -137,22 +158,7 @@ def normalize_ws(text: Column) -> Column:
 
 def fold(text: Column) -> Column:
     """The compatibility decomposition without marks: accents removed, ligatures and the like spelled out, case kept; white space as it is."""
-    first, to, second, to_second, several, values = _folding()
-
-    def expansion(c: Column) -> Column:
-        i = F.ascii(c) - HANGUL
-        begin, middle, end = (F.split(F.lit(x), "\n") for x in _jamo())
-        syllable = F.concat(F.get(begin, F.floor(i / 588).cast("int")), F.get(middle, F.floor(i % 588 / 28).cast("int")), F.get(end, i % 28))
-        return F.when(c.between(chr(HANGUL), "\ud7a3"), syllable).otherwise(F.get(F.split(F.lit(values), "\n"), F.position(c, F.lit(several)) - 1))
-
-    def expanded(x: Column) -> Column:
-        chars = F.filter(F.array_distinct(F.split(x, "")), lambda c: (c != "") & ((F.position(c, F.lit(several)) > 0) | c.between(chr(HANGUL), "\ud7a3")))
-        return F.translate(F.aggregate(chars, x, lambda y, c: F.replace(y, c, expansion(c))), second, to_second)
-
-    def plain(x: Column) -> Column:
-        return let(F.translate(x, first, to), lambda y: F.when(F.contains(y, F.lit(MARK)) | y.rlike("[\uac00-\ud7a3]"), expanded(x)).otherwise(y))
-
-    return let(text, lambda x: F.when(F.octet_length(x) == F.length(x), x).otherwise(plain(x)))  # ASCII stays as it is
+    return _with(text, _fold())
 
 
 def fold_accents(text: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Exact nearest neighbours by dot product: block products in Arrow batches, best k a partition, then best k of all."""
+"""Exact nearest neighbours by dot product: block products in Arrow batches, best k (items or owners) a partition, then best k of all."""
 
 from __future__ import annotations
 
@@ -9,65 +9,67 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries are sent to every task, so their number has a limit; more are asked in several calls.
-MOST_QUERIES = 50_000
+from corpusmill.operators.topk import OWNED, ROW, Best
 
+#: The most queries that one scan answers; more are asked in blocks, a scan each.
+MOST_QUERIES = 4096
 
-def _searcher(ids: np.ndarray, queries: np.ndarray, k: int | None):
+
+def _searcher(shared, k: int, owned: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[np.ndarray, np.ndarray] | None = None  # scores and items, a row a query
+        ids, queries = shared.value
+        best, dim = Best(ids, k), queries.shape[1]
         for batch in batches:
-            vectors = batch.column(1)
-            whole = np.array([v is not None and len(v) == queries.shape[1] for v in vectors.to_pylist()])
-            if not whole.any():
-                continue
-            item = batch.column(0).to_numpy(zero_copy_only=False)[whole]
-            block = np.array([v for v, ok in zip(vectors.to_pylist(), whole, strict=True) if ok], dtype=np.float64)
-            score = queries @ block.T
-            items = np.broadcast_to(item, score.shape)
-            if held is not None:
-                score, items = np.hstack([held[0], score]), np.hstack([held[1], items])
-            if k is not None and score.shape[1] > k:
-                order = np.lexsort((items, -np.round(score, 9)))[:, :k]
-                score, items = np.take_along_axis(score, order, 1), np.take_along_axis(items, order, 1)
-            if k is None:
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, score.shape[1])), pa.array(items.ravel()), pa.array(score.ravel())], names=["query_id", "item", "score"])
-            else:
-                held = (score, items)
-        if held is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, held[0].shape[1])), pa.array(held[1].ravel()), pa.array(held[0].ravel())], names=["query_id", "item", "score"])
+            step = max(16, 1_000_000 // len(ids))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                vectors = part.column(1).to_pylist()
+                whole = np.array([v is not None and len(v) == dim and None not in v for v in vectors], dtype=bool)
+                if whole.any():
+                    part = part.filter(pa.array(whole))
+                    block = np.array([v for v, ok in zip(vectors, whole.tolist(), strict=True) if ok], dtype=np.float64)
+                    best.add(queries @ block.T, part.column(0).to_numpy(zero_copy_only=False), part.column(2).to_pylist() if owned else None)
+        yield best.rows(owned)
 
     return run
 
 
+def _scored(items: DataFrame, queries: DataFrame, k: int, owned: bool) -> DataFrame:
+    """The best ``k`` of each partition for each query, by a scan for each block of queries."""
+    spark = items.sparkSession
+    asked = queries.select("query_id", "vector").filter("vector is not null")
+    n = asked.count()
+    blocks = -(-n // MOST_QUERIES)
+    out = spark.createDataFrame([], OWNED if owned else ROW)
+    rows = items.select(F.col("item").cast("long"), "vector", *(["ref"] if owned else []))
+    for block in range(blocks):
+        some = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toPandas()
+        if len(some):
+            shared = spark.sparkContext.broadcast((some["query_id"].to_numpy(np.int64), np.array(some["vector"].tolist(), dtype=np.float64)))
+            out = out.unionByName(rows.mapInArrow(_searcher(shared, k, owned), OWNED if owned else ROW))
+    return out
+
+
 def nearest(items: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """``items(item, vector)`` and ``queries(query_id, vector)`` to ``query_id, item, score, rank``: the ``k`` largest dot products.
 
-    Ties go to the smaller item.  Vectors that are null or of another length than the queries' take no part.
+    Ties go to the smaller item.  Vectors that are null, hold nulls or are of another length than the queries' take no part.
     """
-    found = _scored(items, queries, k)
     w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "item")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
-def _scored(items: DataFrame, queries: DataFrame, k: int | None) -> DataFrame:
-    asked = queries.select("query_id", "vector").filter("vector is not null").limit(MOST_QUERIES + 1).toPandas()
-    if len(asked) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries; ask them in parts")
-    if not len(asked):
-        return items.sparkSession.createDataFrame([], "query_id long, item long, score double")
-    matrix = np.array(asked["vector"].tolist(), dtype=np.float64)
-    rows = items.select(F.col("item").cast("long"), "vector")
-    return rows.mapInArrow(_searcher(asked["query_id"].to_numpy(np.int64), matrix, k), "query_id long, item long, score double")
+    return _scored(items, queries, k, False).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def nearest_owners(items: DataFrame, queries: DataFrame, owner: DataFrame, k: int) -> DataFrame:
-    """The best part of each owner, then the best ``k`` owners: ``query_id, ref, item, score, rank``; ``owner(item, ref)``."""
-    found = _scored(items, queries, None).join(owner, "item")
+    """The best part of each owner, then the best ``k`` owners: ``query_id, ref, item, score, rank``; ``owner(item, ref)``.
+
+    Each partition returns the best parts of its best ``k`` owners.
+    """
+    owned = items.join(owner.select("item", F.col("ref").cast("string").alias("ref")), "item")
+    found = _scored(owned, queries, k, True)
     first = Window.partitionBy("query_id", "ref").orderBy(F.round("score", 9).desc(), "item")
     best = found.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
     w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "item")
-    return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return best.withColumn("ref", F.col("ref").cast(owner.schema["ref"].dataType)).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def rerank(pairs: DataFrame, score, k: int) -> DataFrame:

@@ -4,13 +4,14 @@
 ``queries``: ``query_id``, ``toks``.  With group columns every group has its own statistics, and ``pairs``
 (query_id, group columns) tells which groups a query is asked of.
 
-Nothing is collected; the shuffles carry (item, term, count) rows after map-side aggregation, and the query
-side is joined by term.  An item without a query term scores 0 and still takes part, as does one with a
-negative score: the ranking is filled from the whole corpus.
+One corpus is scanned against blocks of questions; many small ones are joined by term, and the shuffles carry (item,
+term, count) rows after map-side aggregation.  An item without a query term scores 0 and still takes part, as
+does one with a negative score.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.text import common
 from corpusmill.operators.staging import staged
+from corpusmill.operators.topk import OWNED, ROW, Best
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -70,90 +72,109 @@ def ordered(score: str = "score", item: str = "item") -> list[Column]:
     return [F.round(score, 9).desc(), F.col(item).asc()]
 
 
-#: The most cells (query terms times queries) that a ranking by scan sends to every task; beyond it postings are joined.
-MOST_CELLS = 20_000_000
+#: The most weights (pairs of a question and one of its terms) and questions that one scan of the items answers; more take several scans.
+MOST_CELLS, MOST_QUERIES = 2_000_000, 4096
 
 
-def _scanner(terms: list[str], weights: np.ndarray, query_ids: np.ndarray, avgdl: float, k: int):
+def _scanner(shared, k: int | None, owned: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = {term: i for i, term in enumerate(terms)}
-        best: tuple[np.ndarray, np.ndarray] | None = None  # items and scores, a row a query
+        place, starts, counts, who, weight, query_ids, avgdl = shared.value
+        n = len(query_ids)
+        best = None if k is None else Best(query_ids, k)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                scores = np.zeros((part.num_rows, len(query_ids)))
-                for i, toks in enumerate(part.column(1).to_pylist()):
-                    found, tf = np.unique([place[w] for w in toks or () if w in place], return_counts=True)
-                    if len(found):
-                        scores[i] = (tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(toks) / avgdl))) @ weights[found.astype(np.int64)]
-                items = np.broadcast_to(part.column(0).to_numpy(zero_copy_only=False), (len(query_ids), part.num_rows))
-                scores = scores.T
-                if best is not None:
-                    items, scores = np.hstack([best[0], items]), np.hstack([best[1], scores])
-                order = np.lexsort((items, -np.round(scores, 9)))[:, :k]
-                best = (np.take_along_axis(items, order, 1), np.take_along_axis(scores, order, 1))
+            step = max(16, 1_000_000 // n)
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                toks = [x or () for x in part.column(1).to_pylist()]
+                found = [[place[w] for w in x if w in place] for x in toks]
+                row = np.repeat(np.arange(len(toks)), [len(x) for x in found])
+                term = np.fromiter(itertools.chain.from_iterable(found), dtype=np.int64, count=len(row))
+                cell, tf = np.unique(row * len(starts) + term, return_counts=True)  # one (item, term) each
+                row, term = np.divmod(cell, max(1, len(starts)))
+                dl = np.array([len(x) for x in toks], dtype=np.float64)[row]
+                part_score = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
+                times = counts[term]
+                after = np.cumsum(times)
+                posting = np.arange(after[-1] if len(after) else 0) + np.repeat(starts[term] - after + times, times)
+                cell = who[posting] * len(toks) + np.repeat(row, times)
+                score = np.bincount(cell, weights=weight[posting] * np.repeat(part_score, times), minlength=n * len(toks)).astype(np.float64).reshape(n, len(toks))
+                item = part.column(0).to_numpy(zero_copy_only=False)
+                if best is None:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids, len(item))), pa.array(np.tile(item, n)), pa.array(score.ravel())], names=["query_id", "item", "score"])
+                else:
+                    best.add(score, item, part.column(2).to_pylist() if owned else None)
         if best is not None:
-            n = best[0].shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids, n)), pa.array(best[0].ravel()), pa.array(best[1].ravel())], names=["query_id", "item", "score"])
+            yield best.rows(owned)
 
     return run
 
 
-def _scanned(items: DataFrame, asked: DataFrame, k: int) -> DataFrame | None:
-    """The best ``k`` of each partition by one pass over the items; None if there are too many query terms to send."""
-    wanted = asked.select("query_id", F.explode("toks").alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    size = wanted.agg(F.count_distinct("query_id").alias("q"), F.count_distinct("term").alias("t")).first()
-    if not size["q"] or size["q"] * size["t"] > MOST_CELLS:
-        return None
+def _scanned(items: DataFrame, asked: DataFrame, k: int | None, owned: bool = False) -> DataFrame:
+    """``query_id, item, score`` [and ``ref``]: the best ``k`` of each partition (all items if None), by a scan for each block of questions.
+
+    What a block sends is bounded by ``MOST_CELLS`` and ``MOST_QUERIES``: its terms' weights, as a broadcast variable.
+    """
+    spark = items.sparkSession
+    empty = spark.createDataFrame([], OWNED if owned else ROW)
+    items = staged(items.select(F.col("item").cast("long"), "toks", *(["ref"] if owned else [])), "tokens")
+    wanted = staged(asked.select("query_id", F.explode("toks").alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times")), "wanted")
+    size = wanted.agg(F.count_distinct("query_id").alias("q"), F.count(F.lit(1)).alias("cells")).first()
     n = items.agg(F.count(F.lit(1)).alias("n_items"), F.avg(F.size("toks")).alias("avgdl")).first()
-    if not n["n_items"]:
-        return None
+    if not size["q"] or not n["n_items"]:
+        return empty
     df = items.select("item", F.explode(F.array_distinct("toks")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     df = df.select("term", (F.log(F.lit(n["n_items"]) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-    asks = wanted.select("term").distinct().withColumn("asked", F.lit(True))
-    marked = staged(df.join(asks, "term", "left"), "idf")
+    marked = staged(df.join(wanted.select("term").distinct().withColumn("asked", F.lit(True)), "term", "left"), "idf")
     mean = marked.agg(F.avg("raw")).first()[0]
-    idf = {r["term"]: EPSILON * mean if r["raw"] < 0 else r["raw"] for r in marked.filter("asked").select("term", "raw").collect()}
-    pairs = wanted.collect()
-    terms, ids = sorted(idf), np.array(sorted({r["query_id"] for r in pairs}), dtype=np.int64)
-    at, row = {w: i for i, w in enumerate(terms)}, {q: i for i, q in enumerate(ids.tolist())}
-    weights = np.zeros((len(terms), len(ids)))
-    for r in pairs:
-        if r["term"] in at:
-            weights[at[r["term"]], row[r["query_id"]]] = r["times"] * idf[r["term"]]
-    rows = items.select(F.col("item").cast("long"), "toks")
-    return rows.mapInArrow(_scanner(terms, weights, ids, n["avgdl"] or 1.0, k), "query_id long, item long, score double")
+    weights = wanted.join(marked.filter("asked"), "term").select("query_id", "term", (F.col("times") * F.when(F.col("raw") < 0, EPSILON * mean).otherwise(F.col("raw"))).alias("w"))
+    blocks = min(size["q"], max(-(-size["cells"] // max(1, MOST_CELLS)), -(-size["q"] // MOST_QUERIES)))
+    ids = wanted.select("query_id").distinct()
+    out = empty
+    for block in range(blocks):
+        inside = F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block
+        query_ids = np.array(sorted(r[0] for r in ids.filter(inside).collect()), dtype=np.int64)
+        if not len(query_ids):
+            continue
+        rows = weights.filter(inside).toPandas().sort_values(["term", "query_id"])
+        terms, counts = np.unique(rows["term"].to_numpy(dtype=object), return_counts=True) if len(rows) else (np.empty(0, object), np.empty(0, np.int64))
+        place = {w: i for i, w in enumerate(terms.tolist())}
+        starts = np.cumsum(counts) - counts
+        who = np.searchsorted(query_ids, rows["query_id"].to_numpy(np.int64))
+        shared = spark.sparkContext.broadcast((place, starts, counts, who, rows["w"].to_numpy(np.float64), query_ids, n["avgdl"] or 1.0))
+        out = out.unionByName(items.mapInArrow(_scanner(shared, k, owned), OWNED if owned else ROW))
+    return out
 
 
 def rank(items: DataFrame, queries: DataFrame, k: int | None, group: Sequence[str] = (), pairs: DataFrame | None = None) -> DataFrame:
     """The best ``k`` items (all if None) of each query, or of each query and group: adds ``rank`` from 1.
 
-    Queries without tokens have no rows.  Without groups and with ``k``, one pass scores the items against weights that go
-    to every task, if these are few enough (``MOST_CELLS``): no row a query and item is ever made, and a partition returns its
-    best.  Else postings are joined, and queries with fewer than ``k`` positive scores are filled from the whole
-    corpus.  With groups, every item of a paired group is ranked.
+    Queries without tokens have no rows.  Without groups the items are scanned once for each block of queries: with
+    ``k`` no row a query and item is made, and a partition returns its best.  With groups, postings are joined, and
+    every item of a paired group is ranked.
     """
     group = list(group)
     asked = queries.filter(F.size("toks") > 0)
-    scan = None if group or k is None else _scanned(items, asked, k)
-    found = scores(items, asked, group, pairs) if scan is None else scan.select("query_id", "item", "score")
     if group:
+        items = staged(items.join(pairs.select(*group).distinct(), group, "left_semi").select(*group, "item", "toks"), "tokens")
+        found = scores(items, asked, group, pairs)
         every = pairs.join(asked.select("query_id"), "query_id").join(items.select(*group, "item"), group).select("query_id", *group, "item")
         found = every.join(found, ["query_id", *group, "item"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-    elif scan is None:  # a scan scores every item
-        enough = found.filter(F.round("score", 9) > 0).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
-        if k is not None:
-            enough = enough.filter(F.col("n") >= k)
-            short = asked.select("query_id").join(enough, "query_id", "left_anti")
-        else:
-            short = asked.select("query_id")
-        filled = items.select("item").join(short).join(found, ["query_id", "item"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-        found = filled.select("query_id", "item", "score") if k is None else found.join(enough, "query_id", "left_semi").unionByName(filled.select("query_id", "item", "score"))
+    else:
+        found = _scanned(items, asked, k)
     w = Window.partitionBy("query_id", *group).orderBy(*ordered())
     out = found.withColumn("rank", F.row_number().over(w))
     return out if k is None else out.filter(F.col("rank") <= k)
 
 
+def rank_owners(items: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The best part of each owner, then the best ``k`` owners of each query: ``query_id, ref, item, score, rank``.
+
+    ``items(item, ref, toks)``.  Each partition returns its best ``k`` owners.
+    """
+    found = staged(_scanned(items, queries.filter(F.size("toks") > 0), k, owned=True), "owners")
+    return rollup(found.drop("ref"), found.select("item", "ref").distinct(), k)
+
+
 def rollup(ranked: DataFrame, owner: DataFrame, k: int) -> DataFrame:
     """From a full ranking of parts to their owners: the first part of each owner, then the best ``k``.
 

@@ -100,6 +100,21 @@ def _local(pairs: DataFrame, chunks: DataFrame, queries: DataFrame, keep: int) -
     return staged(prioritized(ranked, near, queries, keep), "prioritized")
 
 
+def mentions(named: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``query_id, item`` of chunks whose path or text contains a reference of ``named(query_id, cited)``, in any case.
+
+    A reference begins with "BOI-", so what contains it has it at the beginning of one of the stretches from there.  These are
+    cut to the lengths that occur among the references (one row of few numbers) and joined by equality.
+    """
+    wanted = staged(named.select("query_id", "cited").distinct(), "named")
+    lengths = wanted.agg(F.sort_array(F.collect_set(F.length("cited"))).alias("lengths"))
+    hay = F.upper(F.concat_ws("\n", F.array_join("path", " "), "text"))
+    stretches = F.array_distinct(F.regexp_extract_all(hay, F.lit("(?=(BOI-[A-Z0-9-]*))"), F.lit(1)))
+    rows = chunks.select("item", F.explode(stretches).alias("s")).withColumn("lengths", lengths.scalar())
+    keys = rows.select("item", F.explode(F.transform(F.filter("lengths", lambda n: n <= F.length("s")), lambda n: F.left("s", n))).alias("cited")).distinct()
+    return keys.join(wanted, "cited").select("query_id", "item").distinct()
+
+
 def direct_search(queries: DataFrame, stage1: DataFrame, chunks: DataFrame, *, top_docs: int = 5, per_doc: int = 2, most: int = 6) -> DataFrame:
     """Passages of the stage-1 documents, then of documents that the question or these passages cite, then chunks that name them.
 
@@ -133,8 +148,7 @@ def direct_search(queries: DataFrame, stage1: DataFrame, chunks: DataFrame, *, t
     once = Window.partitionBy("query_id", "item").orderBy("phase")
     hits = hits.withColumn("_n", F.row_number().over(once)).filter("_n = 1").drop("_n", "phase")
 
-    marked = chunks.withColumn("hay", F.upper(F.concat_ws("\n", F.array_join("path", " "), "text"))).filter(F.contains("hay", F.lit("BOI-")))
-    mention = marked.join(F.broadcast(named.select("query_id", "cited")), F.contains("hay", F.col("cited"))).select("query_id", "item", "ref", "path", "text").dropDuplicates(["query_id", "item"])
+    mention = mentions(named, chunks).join(chunks.select("item", "ref", "path", "text"), "item")
     mention = mention.join(hits.select("query_id", "item"), ["query_id", "item"], "left_anti").join(queries.select("query_id", F.col("text").alias("_q")), "query_id")
     mention = mention.withColumn("numeric", numeric_evidence(F.col("_q"), F.col("path"), F.col("text")))
     best = Window.partitionBy("query_id").orderBy(F.desc("numeric"), "ref", "item")

@@ -57,9 +57,7 @@ _ROLL = {"bb": "SELECT r.query_id, c.ref, r.item, r.score, row_number() OVER (PA
 
 @query(sql("SELECT query_id, ref, item, round(score, 6) AS score, rank FROM bo WHERE rank <= 5", "chunk", "question", **bm25_ctes("b", CHUNK_ITEMS, Q), **_ROLL))
 def bm25_chunk_to_doc(spark, d):
-    items = chunk_items(spark, d)
-    full = lexical.rank(items.select("item", "toks"), asked(spark, d), None)
-    return _scores(lexical.rollup(full, items.select("item", "ref"), 5), "ref", "item")
+    return _scores(lexical.rank_owners(chunk_items(spark, d), asked(spark, d), 5), "ref", "item")
 
 
 _TOP_DOCS = {**bm25_ctes("b", DOC_ITEMS, Q), "br": ranked("b"), "top": "SELECT r.query_id, c.ref, r.item AS doc, r.rank AS doc_rank, r.score AS doc_score FROM br r JOIN corpus c ON c.item = r.item WHERE r.rank <= 5"}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusmill.operators import agent, lexical
@@ -34,10 +35,17 @@ def branch_diversify(spark, d):
 
 @query(sql("SELECT query_id, ref, place FROM (SELECT query_id, ref, row_number() OVER (PARTITION BY query_id ORDER BY late, rank) AS place FROM (SELECT r.query_id, c.ref, r.rank, CASE WHEN row_number() OVER (PARTITION BY r.query_id, array_to_string(string_split(c.ref, '-')[1:3], '-') ORDER BY r.rank) > 1 THEN 1 ELSE 0 END AS late FROM br r JOIN corpus c ON c.item = r.item)) WHERE place <= 6", "corpus", "question", **_TOP_DOCS))
 def branch_diversify_ranked(spark, d):
-    """The ranking of the whole corpus for each question, spread over branches."""
-    items = doc_items(spark, d)
-    ranks = lexical.rank(items.select("item", "toks"), asked(spark, d), None).select("query_id", "item", F.col("rank").alias("pos"))
-    return agent.diversify(ranks.join(items.select("item", "ref"), "item"), 6).withColumn("place", F.col("place").cast("long"))
+    """The ranking of the whole corpus for each question, spread over branches.
+
+    Six places take the first document of up to six branches and, if there are fewer, the first others: all of these are
+    among the best twelve documents and the best of each of the best six branches.
+    """
+    most, items, q = 6, doc_items(spark, d), asked(spark, d)
+    best = lexical.rank(items.select("item", "toks"), q, 2 * most).select("query_id", "item", "score")
+    leads = lexical.rank_owners(items.select("item", agent.branch_key(F.col("ref")).alias("ref"), "toks"), q, most).select("query_id", "item", "score")
+    ranks = best.unionByName(leads).dropDuplicates(["query_id", "item"])
+    ranks = ranks.withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy(*lexical.ordered())))
+    return agent.diversify(ranks.join(items.select("item", "ref"), "item"), most).withColumn("place", F.col("place").cast("long"))
 
 
 @query("SELECT user_id, event_id, round((epoch_us(ts) - lag(epoch_us(ts)) OVER w) / 1000000, 6) AS step_s, round((epoch_us(ts) - first(epoch_us(ts)) OVER w) / 1000000, 6) AS elapsed_s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")

@@ -9,7 +9,9 @@ from collections.abc import Iterator
 #: Elements that end a block, that never have content, and whose content isn't text of the page.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li legend main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("script style head title template noscript iframe svg math textarea object audio video canvas".split())
+UNSEEN = frozenset("script style head title template noscript iframe textarea svg object audio video canvas".split())
+#: Of these, those that hold elements: without an end tag they hold nothing, while the others go on to the end of the page.
+LOOSE = frozenset("svg object audio video canvas".split())
 #: What an opening tag closes if it is open inside the nearest element of the second set.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -47,6 +49,7 @@ def blocks(page: str | None) -> Iterator[tuple[tuple[tuple[str, str], ...], str,
     in_link = 0
     at = 0
     skip = None
+    endless: set[str] = set()  # elements of which no end tag follows
 
     def text(part: str) -> None:
         if part:
@@ -78,10 +81,11 @@ def blocks(page: str | None) -> Iterator[tuple[tuple[tuple[str, str], ...], str,
         name, closing = name.lower(), m[1] or m[4]
         if name in UNSEEN:
             if not closing and not (m[3] or m[6] or "").rstrip().endswith("/"):
-                end = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-                if name == "head":  # its own text is unseen; a body may follow without an end tag
-                    end = re.compile(r"</head\b[^>]*>|(?=<body\b)", re.I).search(page, at)
-                at = end.end() if end else (len(page) if name != "head" else at)
+                pattern = r"</head\b[^>]*>|(?=<body\b)" if name == "head" else rf"</{name}\b[^>]*(?:>|\Z)"  # a body may follow a head without an end tag
+                end = None if name in endless else re.compile(pattern, re.I).search(page, at)
+                if end is None:
+                    endless.add(name)
+                at = end.end() if end else (at if name == "head" or name in LOOSE else len(page))
                 skip = name
             held.append(" ")
             continue

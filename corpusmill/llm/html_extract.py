@@ -1,13 +1,16 @@
 """Main text of HTML pages by a linear-chain conditional random field over the leaf blocks of the DOM.
 
-Features of a block: the elements above it with the words of their class, id and role, its own element, and of its
-text the length, share of links, final sign, digits and signs.  Labels: main text or not, with transition weights.
+Features of a block: the elements above it with the words of their class, id and role, its own element; of its
+text the length, share of links, final sign, digits and signs; and how much of the page's text its container holds, in how
+many blocks, and with the main heading or without, which tell where names say nothing.  Labels: main text or not, with
+transition weights.
 The weights are fitted by gradient descent on the likelihood of labelled pages (``html_labelled``; their number is a
 parameter), in a few seconds on the driver; tasks decode each page by Viterbi.  One page is one row, no shuffle.
 """
 
 from __future__ import annotations
 
+import collections
 import functools
 import math
 import re
@@ -51,6 +54,40 @@ def text_features(text: str, linked: int) -> list[str]:
     return out
 
 
+#: Elements that are part of a running text, not containers of their own.
+PARTS = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd table tbody thead tfoot tr td th caption blockquote pre figure figcaption address".split())
+
+
+def place_features(page: list[tuple[Path, str, int]]) -> list[tuple[str, ...]]:
+    """What a block's container tells: the nearest element above that is no part of a text."""
+    holders, size, number, heads = [], {}, {}, set()
+    for path, text, _ in page:
+        n = len(path)
+        while n and path[n - 1][0] in PARTS:
+            n -= 1
+        holder = path[:n]
+        holders.append(holder)
+        size[holder] = size.get(holder, 0) + len(text)
+        number[holder] = number.get(holder, 0) + 1
+        if path and path[-1][0] == "h1":
+            heads.add(holder)
+    total = sum(size.values())
+    known: dict[Path, tuple[str, ...]] = {}
+    for holder, n in size.items():
+        share, blocks_ = n / total, number[holder]
+        known[holder] = (
+            f"share:{0 if share < 0.03 else 1 if share < 0.1 else 2 if share < 0.3 else 3 if share < 0.6 else 4}",
+            f"blocks:{blocks_ if blocks_ < 3 else 3 if blocks_ < 6 else 6}",
+            "with h1" if holder in heads else "h1 elsewhere" if heads else "no h1",
+        )
+    return [known[h] for h in holders]
+
+
+def page_features(page: list[tuple[Path, str, int]], placed: bool = True) -> list[list[str]]:
+    """All features of each block; without ``placed`` those of its own alone."""
+    return [path_features(path) + text_features(text, linked) + (list(place) if placed else []) for (path, text, linked), place in zip(page, place_features(page), strict=True)]
+
+
 class Crf:
     """Two labels; emission weights by feature, transition, start and end weights."""
 
@@ -73,11 +110,11 @@ class Crf:
         back: list[tuple[int, int]] = []
         s0 = s1 = 0.0
         (m00, m01), (m10, m11) = self.move
-        for i, (path, text, linked) in enumerate(page):
+        for i, ((path, text, linked), place) in enumerate(zip(page, place_features(page), strict=True)):
             known = self.paths.get(path)
             if known is None:
                 known = self.paths[path] = self._sum(path_features(path))
-            own = text_features(text, linked)
+            own = [*text_features(text, linked), *place]
             e0, e1 = known
             for f in own:
                 j = self.index.get(f)
@@ -104,45 +141,59 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
-def train(pages: list[tuple[str, list[int]]], steps: int = 200, rate: float = 0.15, penalty: float = 2e-5) -> Crf:
-    """Maximum likelihood with an L2 penalty: forward-backward over all pages at once, Adam steps."""
-    found = [(list(blocks(p)), y) for p, y in pages]
-    found = [(b, y) for b, y in found if len(b) == len(y) and b]
-    feats = [[path_features(p) + text_features(t, k) for p, t, k in b] for b, _ in found]
-    index = {f: i for i, f in enumerate(sorted({f for page in feats for block in page for f in block}))}
-    n, most = len(found), max(len(b) for b, _ in found)
+def training_set(pages: list[tuple[str, list[int]]], least: int = 1, unplaced: int = 0) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], dict[str, int]]:
+    """Features (pages x blocks x features), labels and mask, and the index of the features that ``least`` pages have.
+
+    With ``unplaced`` every so many-th page has no place features, so that names and texts are weighed without them too.
+    """
+    found = [(page_features(list(blocks(p)), not unplaced or i % unplaced > 0), y) for i, (p, y) in enumerate(pages)]
+    found = [(f, y) for f, y in found if len(f) == len(y) and f]
+    seen = collections.Counter(f for page, _ in found for f in {f for block in page for f in block})
+    index = {f: i for i, f in enumerate(sorted(f for f, n in seen.items() if n >= least))}
+    n, most = len(found), max(len(f) for f, _ in found)
     x = np.zeros((n, most, len(index)), dtype=np.float32)
     y = np.zeros((n, most), dtype=np.int64)
     mask = np.zeros((n, most), dtype=bool)
-    for i, (page, (_, labels)) in enumerate(zip(feats, found, strict=True)):
+    for i, (page, labels) in enumerate(found):
         y[i, : len(labels)], mask[i, : len(labels)] = labels, True
         for j, block in enumerate(page):
-            x[i, j, [index[f] for f in block]] = 1
-    last = mask.sum(axis=1) - 1
-    rows = np.arange(n)
-    flat = x.reshape(-1, len(index))
+            x[i, j, [index[f] for f in block if f in index]] = 1
+    return (x, y, mask), index
+
+
+def gradients(data: tuple[np.ndarray, np.ndarray, np.ndarray], params: list[np.ndarray]) -> list[np.ndarray]:
+    """The slope of the labels' log-likelihood: what is seen less what forward and backward sums expect."""
+    x, y, mask = data
+    n, most = y.shape
+    rows, last, both = np.arange(n), mask.sum(axis=1) - 1, mask[:, 1:]
+    flat = x.reshape(n * most, -1)
     gold = np.eye(2)[y] * mask[..., None]
-    both = mask[:, 1:]
-    gold_move = np.einsum("nta,ntb->ab", gold[:, :-1] * both[..., None], gold[:, 1:])
+    emit, move, start, end = params
+    e = (flat @ emit.astype(np.float32)).reshape(n, most, 2).astype(np.float64)
+    a, b = np.zeros((n, most, 2)), np.zeros((n, most, 2))
+    a[:, 0] = start + e[:, 0]
+    for t in range(1, most):
+        a[:, t] = np.where(mask[:, t, None], _lse(a[:, t - 1, :, None] + move, 1) + e[:, t], a[:, t - 1])
+    b[rows, last] = end
+    for t in range(most - 2, -1, -1):
+        on = _lse(move + (e[:, t + 1] + b[:, t + 1])[:, None, :], 2)
+        b[:, t] = np.where(mask[:, t + 1, None], on, b[:, t])
+    z = _lse(a[rows, last] + end, 1)
+    p = np.exp(a + b - z[:, None, None]) * mask[..., None]
+    pair = np.exp(a[:, :-1, :, None] + move + (e[:, 1:] + b[:, 1:])[:, :, None, :] - z[:, None, None, None]) * both[..., None, None]
+    diff = gold - p
+    seen = np.einsum("nta,ntb->ab", gold[:, :-1] * both[..., None], gold[:, 1:])
+    return [flat.T @ diff.reshape(-1, 2).astype(np.float32), seen - pair.sum(axis=(0, 1)), diff[:, 0].sum(axis=0), diff[rows, last].sum(axis=0)]
+
+
+def train(pages: list[tuple[str, list[int]]], steps: int = 200, rate: float = 0.15, penalty: float = 2e-5, least: int = 4, unplaced: int = 2) -> Crf:
+    """Maximum likelihood with an L2 penalty over all pages at once, Adam steps; for ``least`` and ``unplaced`` see :func:`training_set`."""
+    data, index = training_set(pages, least, unplaced)
+    n = len(data[1])
     params = [np.zeros((len(index), 2)), np.zeros((2, 2)), np.zeros(2), np.zeros(2)]
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for step in range(1, steps + 1):
-        emit, move, start, end = params
-        e = (flat @ emit.astype(np.float32)).reshape(n, most, 2).astype(np.float64)
-        a, b = np.zeros((n, most, 2)), np.zeros((n, most, 2))
-        a[:, 0] = start + e[:, 0]
-        for t in range(1, most):
-            a[:, t] = np.where(mask[:, t, None], _lse(a[:, t - 1, :, None] + move, 1) + e[:, t], a[:, t - 1])
-        b[rows, last] = end
-        for t in range(most - 2, -1, -1):
-            on = _lse(move + (e[:, t + 1] + b[:, t + 1])[:, None, :], 2)
-            b[:, t] = np.where(mask[:, t + 1, None], on, b[:, t])
-        z = _lse(a[rows, last] + end, 1)
-        p = np.exp(a + b - z[:, None, None]) * mask[..., None]
-        pair = np.exp(a[:, :-1, :, None] + move + (e[:, 1:] + b[:, 1:])[:, :, None, :] - z[:, None, None, None]) * both[..., None, None]
-        diff = gold - p
-        grads = [flat.T @ diff.reshape(-1, 2).astype(np.float32), gold_move - pair.sum(axis=(0, 1)), diff[:, 0].sum(axis=0), diff[rows, last].sum(axis=0)]
-        for i, g in enumerate(grads):
+        for i, g in enumerate(gradients(data, params)):
             g = g / n - penalty * params[i]
             m[i], v[i] = 0.9 * m[i] + 0.1 * g, 0.999 * v[i] + 0.001 * g * g
             params[i] = params[i] + rate * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8)
@@ -150,7 +201,7 @@ def train(pages: list[tuple[str, list[int]]], steps: int = 200, rate: float = 0.
 
 
 @functools.lru_cache(maxsize=4)
-def default_model(n_pages: int = 400, seed: int = 5) -> Crf:
+def default_model(n_pages: int = 600, seed: int = 5) -> Crf:
     """The model fitted on ``n_pages`` labelled pages."""
     return train(labelled_pages(n_pages, seed))
 

@@ -1,6 +1,8 @@
 """Labelled pages to train the extractor on: page layouts made here, with the label of every block.
 
-Texts are random syllables, in several alphabets, so that no word but those of the layouts is learned.
+Texts are random syllables, in several alphabets, so that no word but those of the layouts is learned.  A part of the pages
+(``nameless``) says nothing by elements or names: all parts are ``div`` with names of random letters, so that the place of a
+block and its text have to tell.
 """
 
 from __future__ import annotations
@@ -23,8 +25,9 @@ SYLLABLES = ["an", "the", "er", "ing", "tion", "re", "ou", "que", "ver", "sch",
 class Maker:
     """Builds one page at a time; ``labels`` gets 1 for a block of the main text, 0 for another."""
 
-    def __init__(self, seed: int):
+    def __init__(self, seed: int, nameless: float = 0.3):
         self.r = random.Random(seed)
+        self.share, self.nameless = nameless, False
         self.labels: list[int] = []
 
     def words(self, n: int) -> str:
@@ -47,10 +50,16 @@ class Maker:
         """An opening and closing tag that says what it is by its element, class, id or role."""
         key = self.r.choice(["class", "class", "id"])
         name = self.r.choice(names)
+        if self.nameless:
+            return f'<div {key}="{"".join(self.r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(self.r.randint(4, 9)))}">', "</div>"
         if self.r.random() < 0.3:
             name += " " + self.r.choice(["box", "wide", "left", "c2", "wrap"])
         return f'<{tag} {key}="{name}">', f"</{tag}>"
 
+    def element(self, tag: str) -> tuple[str, str]:
+        """An opening and closing tag of an element that says by itself what it is."""
+        return self.named(tag, [tag]) if self.nameless else (f"<{tag}>", f"</{tag}>")
+
     def bare(self, inner: str) -> str:
         """Text of a part of the page that isn't main text: within an element of its own, or directly in the part's."""
         if self.r.random() < 0.5:
@@ -73,6 +82,9 @@ class Maker:
 
     def main(self) -> str:
         r = self.r
+        if not self.nameless and r.random() < 0.2:  # little text: the names alone have to tell
+            parts = [self.block("h1", self.words(r.randint(1, 3)), 1)] if r.random() < 0.4 else []
+            return "".join(parts) + "".join(self.block("p", self.sentence(r.randint(1, 4)), 1) for _ in range(r.randint(1, 2)))
         parts = [self.block("h1", self.words(r.randint(1, 9)), 1)] if r.random() < 0.9 else []
         for _ in range(r.randint(1, 14)):
             kind = r.random()
@@ -90,18 +102,22 @@ class Maker:
                 parts.append(self.block("pre", self.words(6), 1))
             else:
                 parts.append(self.boilerplate(r.choice(["advert", "aside", "notice", "form"])))
+        if r.random() < 0.25:  # the text below its heading, or a later part of it, in an element of its own
+            at = r.choice([1, 1, r.randint(0, len(parts))])
+            b, z = r.choice([("<div>", "</div>"), ("<section>", "</section>"), self.named("div", CONTENT)])
+            parts = [*parts[:at], b, *parts[at:], z]
         return "".join(parts)
 
     def boilerplate(self, kind: str) -> str:
         r = self.r
         if kind == "menu":
-            a, z = ("<nav>", "</nav>") if r.random() < 0.6 else self.named(r.choice(["div", "ul"]), MENU) if r.random() < 0.9 else ('<div role="navigation">', "</div>")
-            return a + self.links(r.randint(2, 7)) + z
+            a, z = self.element("nav") if r.random() < 0.6 or self.nameless else self.named(r.choice(["div", "ul"]), MENU) if r.random() < 0.9 else ('<div role="navigation">', "</div>")
+            return a + (self.bare(self.words(r.randint(1, 6))) if r.random() < 0.15 else self.links(r.randint(2, 7))) + z
         if kind == "header":
-            a, z = ("<header>", "</header>") if r.random() < 0.5 else self.named("div", HEAD)
+            a, z = self.element("header") if r.random() < 0.5 else self.named("div", HEAD)
             return a + self.bare(self.words(r.randint(1, 5))) + (self.links(3) if r.random() < 0.5 else "") + z
         if kind == "footer":
-            a, z = ("<footer>", "</footer>") if r.random() < 0.7 else self.named("div", FOOT)
+            a, z = self.element("footer") if r.random() < 0.7 else self.named("div", FOOT)
             sign = r.choice(["&copy; ", "", "© 2020 ", "Copyright "])
             inner = sign + self.words(r.randint(1, 12)) + r.choice(["", " &middot; " + self.sentence(r.randint(2, 14))])
             return a + self.bare(inner) + (self.links(3) if r.random() < 0.3 else "") + z
@@ -109,7 +125,7 @@ class Maker:
             a, z = self.named(r.choice(["div", "div", "aside", "section"]), ADVERT)
             return a + self.bare(self.sentence(r.randint(1, 25))) + z
         if kind == "aside":
-            a, z = ("<aside>", "</aside>") if r.random() < 0.4 else self.named(r.choice(["div", "aside", "section"]), ASIDE)
+            a, z = self.element("aside") if r.random() < 0.4 else self.named(r.choice(["div", "aside", "section"]), ASIDE)
             parts = [self.block(r.choice(["h2", "h3", "h4"]), self.words(r.randint(1, 4)), 0)]
             parts.append(self.links(r.randint(2, 6), 0.3) if r.random() < 0.6 else self.block("p", self.sentence(r.randint(3, 40)), 0))
             return a + "".join(parts) + z
@@ -124,7 +140,7 @@ class Maker:
         a, z = self.named(r.choice(["div", "section", "ol"]), COMMENT)
         parts = [self.block("h3", self.words(r.randint(1, 3)), 0)] if r.random() < 0.7 else []
         for _ in range(r.randint(1, 5)):
-            b, y = r.choice([("<article>", "</article>"), ("<li>", "</li>"), ('<div class="comment">', "</div>"), ("<div>", "</div>")])
+            b, y = ("<div>", "</div>") if self.nameless else r.choice([("<article>", "</article>"), ("<li>", "</li>"), ('<div class="comment">', "</div>"), ("<div>", "</div>")])
             parts.append(b + self.block("p", self.sentence(r.randint(3, 60)), 0) + y)
         return a + "".join(parts) + z
 
@@ -132,11 +148,14 @@ class Maker:
         """A page and the labels of its blocks in order."""
         r = self.r
         self.labels = []
+        self.nameless = r.random() < self.share
         before = [k for k in ("header", "menu", "notice", "advert", "menu") if r.random() < 0.45]
         after = [k for k in ("aside", "comments", "advert", "form", "menu", "notice", "footer") if r.random() < 0.45]
         parts = [self.boilerplate(k) for k in before]
         shape = r.random()
-        if shape < 0.45:
+        if self.nameless:
+            a, z = self.named("div", CONTENT)
+        elif shape < 0.45:
             a, z = "<article>", "</article>"
         elif shape < 0.6:
             a, z = "<main>", "</main>"

@@ -19,7 +19,7 @@ from corpusmill.llm.bpe import decode, encode, n_tokens
 from corpusmill.llm.common import written
 from corpusmill.llm.html_extract import extract, n_chars
 from corpusmill.llm.jaccard import jaccard_join
-from corpusmill.llm.langid import identify
+from corpusmill.llm.langid import declared_language, identify
 from corpusmill.llm.linedup import line_dedup
 from corpusmill.llm.neardup import embedding_near_dedup
 from corpusmill.llm.packing import pack
@@ -134,6 +134,16 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "text_lang", "lang_id", "confidence", "kept")
 
 
+def op10_language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of ``pages`` from their whole text without tags, the language that their markup declares, and host and suffix of their address."""
+    pages = _table(spark, sf_dir, "pages")
+    text = F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>|<[^>]*>", " ")
+    host = F.nullif(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1)), F.lit(""))
+    rows = pages.select("page_id", text.alias("text"), declared_language(F.col("html")).alias("declared"), host.alias("host"))
+    found = identify(rows, "page_id", declared=F.col("declared"), host=F.col("host"))
+    return found.select(F.col("doc_id").alias("page_id"), "text_lang", "lang_id", "confidence", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -147,6 +157,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_dedup": op9_line_dedup,
     "op9_line_dedup_short": op9_line_dedup_short,
     "op10_language_id": op10_language_id,
+    "op10_language_id_pages": op10_language_id_pages,
 }
 
 _OP3_SQL = """

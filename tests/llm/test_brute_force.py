@@ -301,6 +301,63 @@ def test_language(spark):
     assert out[999]["lang_id"] == "zxx" and not out[999]["kept"]
 
 
+def test_language_posterior(spark):
+    """The whole posterior again, document by document: trigrams, declarations, and priors down the hierarchy; ties; declared markup."""
+    names = ["aa", "bb", "zxx"]
+    alphabet = {"aa": "abcde", "bb": "cdefg"}
+    rows = []
+    for i in range(60):
+        lang = ("aa", "bb")[i % 2]
+        text = " ".join("".join(R.choice(alphabet[lang]) for _ in range(4)) for _ in range(R.randint(1, 6)))
+        page = f"<HTML class=x lang='{R.choice([lang, lang, 'bb'])}-XY'>" if i % 3 else "<html>"
+        rows.append((i, text, page, R.choice([f"h{i % 4}.site.{lang}", "h9.site.bb", "localhost", "10.0.0.7", None])))
+    rows += [(60, None, "<html lang=aa>", "h0.site.aa"), (61, "", "", None), (62, "12 34", "<html lang=aa>", "h0.site.aa"), (63, "ce", "<p lang=aa>", None), (63, "ce", "<p lang=aa>", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, html string, host string")
+    declared = langid.declared_language(F.col("html"))
+    options = {"languages": ("aa", "bb"), "temper": 0.1, "strength": 20.0}
+    model = langid.fit_text_model(df, "doc_id", "text", declared, ("aa", "bb"), 2000).astype(np.float64)
+    out = langid.identify(df, declared=declared, host=F.col("host"), **options).collect()
+
+    def say(page):
+        found = re.search(r"<html[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})", page, re.I | re.S)
+        return "none" if not found else found[1].lower() if found[1].lower() in names[:2] else "other"
+
+    def tail(host):
+        found = re.search(r"\.([A-Za-z]{2,24})\.?$", host or "")
+        return found[1].lower() if found else None
+
+    seen = []
+    for i, text, page, host in rows:
+        data = f" {text.lower()} ".encode() if text and any(map(str.isalpha, text)) else b""
+        grams = [((data[k] << 16 | data[k + 1] << 8 | data[k + 2]) * 2654435761 % 2**32) >> 16 for k in range(len(data) - 2)]
+        ll = [sum(model[j][g] for g in grams) for j in range(3)]
+        seen.append((i, ll, say(page), tail(host), host, int(np.argmax(ll)) if grams else None))
+    votes = lambda test: np.array([sum(1.0 for s in seen if s[5] == j and test(s)) for j in range(3)])
+    total = votes(lambda s: True)
+    top = (total + 1) / (total.sum() + 3)
+    expected = {}
+    for i, ll, said, suffix, host, first in seen:
+        if first is None:
+            expected[i] = ("zxx", "zxx", 1.0)
+            continue
+        prior = top
+        if suffix is not None:
+            c = votes(lambda s, x=suffix: s[3] == x)
+            prior = (c + 20 * prior) / (c.sum() + 20)
+        if host is not None:
+            c = votes(lambda s, x=host: s[4] == x)
+            prior = (c + 20 * prior) / (c.sum() + 20)
+        post = 0.1 * np.array(ll) + np.log((votes(lambda s, x=said: s[2] == x) + 1) / (total + 4)) + np.log(prior)
+        p = np.exp(post - post.max())
+        expected[i] = (names[first], names[int(np.argmax(post))], 1 / p.sum())
+    assert len(out) == len(rows)
+    for r in out:
+        text_lang, lang, confidence = expected[r["doc_id"]]
+        assert (r["text_lang"], r["lang_id"]) == (text_lang, lang)
+        assert r["confidence"] == pytest.approx(confidence, abs=2e-5)
+        assert r["kept"] == (lang != "zxx" and r["confidence"] >= 0.5)
+
+
 def test_language_priors_decide_without_text(spark):
     rows = [(i, "der die das und nicht", "de", "a.example.de") for i in range(30)] + [(i, "the and not with", "en", "b.example.com") for i in range(30, 60)]
     rows += [(100, "ok", None, "a.example.de"), (101, "ok", None, "b.example.com")]
@@ -309,6 +366,53 @@ def test_language_priors_decide_without_text(spark):
     assert (out[100], out[101]) == ("de", "en")
 
 
+def test_html_most_likely_labels():
+    """Viterbi against all labellings, with random weights."""
+    from itertools import product
+
+    rng = np.random.default_rng(4)
+    for n in range(1, 9):
+        page = [((("body", ""), (R.choice(["p", "div", "li"]), R.choice(["", "ad", "story"]))), sentence(R.randint(1, 30)) + R.choice([".", ""]), 0) for _ in range(n)]
+        feats = html_extract.page_features(page)
+        index = {f: i for i, f in enumerate(sorted({f for row in feats for f in row}))}
+        emit, move, start, end = rng.standard_normal((len(index), 2)), 2 * rng.standard_normal((2, 2)), rng.standard_normal(2), rng.standard_normal(2)
+
+        def score(y, feats=feats, index=index, emit=emit, move=move, start=start, end=end):
+            return start[y[0]] + end[y[-1]] + sum(emit[index[f], a] for a, row in zip(y, feats, strict=True) for f in row) + sum(move[a, b] for a, b in zip(y, y[1:], strict=False))
+
+        assert tuple(html_extract.Crf(index, emit, move, start, end).decode(page)) == max(product((0, 1), repeat=n), key=score)
+
+
+def test_html_gradient():
+    """The step's direction is the slope of the likelihood, measured by small changes."""
+    from itertools import product
+
+    pages = [(p, y) for p, y in labelled_pages(400, seed=8) if 2 <= len(y) <= 9][:6]
+    data, index = html_extract.training_set(pages)
+    rng = np.random.default_rng(5)
+    params = [rng.standard_normal(s) * 0.3 for s in ((len(index), 2), (2, 2), (2,), (2,))]
+
+    def likelihood(params):
+        emit, move, start, end = params
+        total = 0.0
+        for page, gold in pages:
+            rows = [[index[f] for f in row] for row in html_extract.page_features(list(blocks(page)))]
+            score = lambda y, rows=rows: start[y[0]] + end[y[-1]] + sum(emit[r, a].sum() for a, r in zip(y, rows, strict=True)) + sum(move[a, b] for a, b in zip(y, y[1:], strict=False))
+            total += score(gold) - np.logaddexp.reduce([score(y) for y in product((0, 1), repeat=len(gold))])
+        return total
+
+    grads = html_extract.gradients(data, params)
+    for k, p in enumerate(params):
+        for _ in range(6):
+            at = tuple(int(rng.integers(0, s)) for s in p.shape)
+            p[at] += 1e-4
+            up = likelihood(params)
+            p[at] -= 2e-4
+            down = likelihood(params)
+            p[at] += 1e-4
+            assert grads[k][at] == pytest.approx((up - down) / 2e-4, abs=2e-3)
+
+
 def test_html_held_out():
     model = html_extract.default_model()
     pages = labelled_pages(150, seed=77)

@@ -35,7 +35,6 @@ class Best:
         """``score``: a row a query, a column an item."""
         if not len(item):
             return
-        score = np.round(score, DIGITS)
         if owners is None:
             owner = item
         else:
@@ -43,19 +42,19 @@ class Best:
             order = np.lexsort((item, owner))
             score, item, owner = score[:, order], item[order], owner[order]
             starts = np.flatnonzero(np.diff(owner, prepend=-1))
-            best = np.maximum.reduceat(score, starts, axis=1)
-            n = np.diff(np.append(starts, len(owner)))
-            at_best = np.where(score == np.repeat(best, n, axis=1), item, np.iinfo(np.int64).max)
-            score, item, owner = best, np.minimum.reduceat(at_best, starts, axis=1), owner[starts]
+            even = np.round(score, DIGITS)
+            best = np.repeat(np.maximum.reduceat(even, starts, axis=1), np.diff(np.append(starts, len(owner))), axis=1)
+            first = np.minimum.reduceat(np.where(even == best, np.arange(len(owner)), len(owner)), starts, axis=1)
+            score, item, owner = np.take_along_axis(score, first, 1), item[first], owner[starts]
         shape = score.shape
         score = np.hstack([self.score, score])
         item = np.hstack([self.item, np.broadcast_to(item, shape)])
         owner = np.hstack([self.owner, np.broadcast_to(owner, shape)])
         if owners is not None and self.owner.shape[1]:  # an owner that was held already: the worse of its two goes
-            order = np.lexsort((item, -score, owner))
+            order = np.lexsort((item, -np.round(score, DIGITS), owner))
             score, item, owner = (np.take_along_axis(x, order, 1) for x in (score, item, owner))
             score[:, 1:][owner[:, 1:] == owner[:, :-1]] = -np.inf
-        order = np.lexsort((item, -score))[:, : self.k]
+        order = np.lexsort((item, -np.round(score, DIGITS)))[:, : self.k]
         self.score, self.item, self.owner = (np.take_along_axis(x, order, 1) for x in (score, item, owner))
 
     def rows(self, owned: bool = False) -> pa.RecordBatch:

@@ -1,10 +1,12 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.operators import agent, dense, evaluation, fusion, lexical, passages, references, runtime
 from corpusmill.operators.passages import _pick
+from corpusmill.operators.topk import Best
 
 
 def bm25(docs, query):
@@ -162,3 +164,22 @@ def test_metrics(spark):
     assert got[("mrr", 0)] == pytest.approx(0.5)
     assert got[("ndcg", 1)] == pytest.approx(1 / 3)  # the ideal is that of the list itself
     assert got[("ndcg", 3)] == pytest.approx((1 + 1 / math.log2(3)) / 3)
+
+
+@pytest.mark.parametrize("step", [1, 4, 40])
+def test_best_of_items_and_owners(step):
+    rng = np.random.default_rng(step)
+    score, item = rng.integers(0, 6, (3, 40)) / 7, rng.permutation(40).astype(np.int64)
+    owners = [f"o{i % 9}" for i in range(40)]
+    for k in (1, 4, 50):
+        plain, owned = Best(np.arange(3), k), Best(np.arange(3), k)
+        for at in range(0, 40, step):
+            plain.add(score[:, at : at + step], item[at : at + step])
+            owned.add(score[:, at : at + step], item[at : at + step], owners[at : at + step])
+        got, got_owned = plain.rows().to_pylist(), owned.rows(True).to_pylist()
+        for q in range(3):
+            every = sorted((-round(s, 9), i, o) for s, i, o in zip(score[q], item.tolist(), owners, strict=True))
+            assert [(r["score"], r["item"]) for r in got if r["query_id"] == q] == [(score[q][item.tolist().index(i)], i) for _, i, _ in every[:k]]
+            firsts = list({o: i for _, i, o in reversed(every)}.items())[::-1]
+            firsts = sorted(firsts, key=lambda x: [e[1] for e in every].index(x[1]))
+            assert [(r["ref"], r["item"]) for r in got_owned if r["query_id"] == q] == firsts[:k]

@@ -84,31 +84,18 @@ def branch_key(ref: Column) -> Column:
     return F.array_join(F.slice(t.reference_parts(ref), 1, 3), "-")
 
 
-def diversify(candidates: DataFrame, most: int) -> DataFrame:
+def diversify(candidates: DataFrame, most: int, branch: Column | None = None) -> DataFrame:
     """``query_id, ref, place``: the first reference of each branch, in order, then the others; ``most`` a question.
 
-    ``candidates(query_id, ref, pos)``.
+    ``candidates(query_id, ref, pos)``; references whose ``branch`` is null are alone in theirs.
     """
     first = Window.partitionBy("query_id", "branch").orderBy("pos")
-    rows = candidates.withColumn("branch", branch_key(F.col("ref"))).withColumn("late", (F.row_number().over(first) > 1).cast("int"))
+    rows = candidates.withColumn("branch", branch_key(F.col("ref")) if branch is None else branch)
+    rows = rows.withColumn("late", ((F.row_number().over(first) > 1) & F.col("branch").isNotNull()).cast("int"))
     w = Window.partitionBy("query_id").orderBy("late", "pos")
     return rows.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most).select("query_id", "ref", "place")
 
 
-def candidate_refs(gaps: DataFrame, docs: DataFrame, most: int = 6) -> DataFrame:
-    """References to look at for a missing axis: named ones first, then those whose texts overlap it; spread over branches.
-
-    ``gaps(query_id, axis)``, ``docs(ref, text)``.
-    """
-    named = gaps.select("query_id", F.explode(t.references(F.col("axis"))).alias("ref")).withColumn("score", F.lit(1000.0))
-    words = gaps.select("query_id", F.explode(axis_tokens(F.col("axis"))).alias("w")).distinct()
-    in_docs = docs.select("ref", F.explode(axis_tokens(F.col("text"))).alias("w"))
-    overlap = words.join(in_docs, "w").groupBy("query_id", "ref").agg(F.count(F.lit(1)).cast("double").alias("score"))
-    rows = named.unionByName(overlap).groupBy("query_id", "ref").agg(F.max("score").alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "ref")
-    return diversify(rows.withColumn("pos", F.row_number().over(w)), most)
-
-
 def parse_json(text: str | None) -> dict | None:
     """The first object in a reply: as it is, or in a fenced block, or between the outer braces."""
     text = text or ""

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -77,3 +78,26 @@ def rerank(pairs: DataFrame, score, k: int) -> DataFrame:
     rows = pairs.withColumn("rerank_score", score)
     w = Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), "rank")
     return rows.withColumn("new_rank", F.row_number().over(w)).filter(F.col("new_rank") <= k)
+
+
+def encode(rows: DataFrame, encoder: Callable[[list[str]], np.ndarray], text: str = "text", batch: int = 64) -> DataFrame:
+    """Adds ``vector``, unit length, by a function from texts to a matrix, which runs on executors, ``batch`` texts a call.
+
+    Null is an empty text; a vector of zeros stays one.
+    """
+
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            texts, out = part.fillna("").tolist(), []
+            for at in range(0, len(texts), batch):
+                found = np.asarray(encoder(texts[at : at + batch]), dtype=np.float64)
+                norm = np.linalg.norm(found, axis=1, keepdims=True)
+                out.extend((found / np.where(norm == 0, 1, norm)).tolist())
+            yield pd.Series(out, index=part.index)
+
+    return rows.withColumn("vector", F.pandas_udf(run, "array<double>")(F.col(text)))
+
+
+def search(items: DataFrame, queries: DataFrame, encoder: Callable[[list[str]], np.ndarray], k: int) -> DataFrame:
+    """:func:`nearest` of ``items(item, vector)`` for ``queries(query_id, text)`` encoded by ``encoder``."""
+    return nearest(items, encode(queries, encoder).select("query_id", "vector"), k)

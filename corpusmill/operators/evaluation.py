@@ -227,3 +227,65 @@ def answer_errors(answers: DataFrame) -> DataFrame:
     )
     errors = F.array_join(F.array_compact(said), "; ")
     return answers.select("answer_id", (errors == "").alias("valid"), F.size(every).alias("n_citations"), errors.alias("errors"))
+
+
+def agentic_scores(rows: DataFrame) -> DataFrame:
+    """Scores of answered questions, one row each, with ``run_id``.
+
+    ``rows(run_id, required, optional, points, signals, refs, answer, labels, stages, reviewed, concluded, iterations)``: arrays of
+    expected references, of expected points, of phrases that give a failure away, and of the references cited; the answer's whole
+    text; what the steps of the run were called; whether sources were reviewed, and whether there is a conclusion.
+    """
+    cited = lambda ref: F.exists("refs", lambda r: (F.trim(r) != "") & (F.trim(ref) != "") & t.family_match(F.trim(r), F.trim(ref)))
+    share = lambda hits, of: F.when(F.size(of) > 0, F.bround(F.size(hits) / F.size(of), 3)).otherwise(1.0)
+    steps = F.lower(F.col("labels"))
+    has = lambda *names: t.any_marker(steps, list(names))
+    scored = rows.withColumns({
+        "required_hits": F.filter("required", cited), "missing_required": F.filter("required", lambda x: ~cited(x)), "optional_hits": F.filter("optional", cited),
+        "point_hits": F.filter("points", lambda p: point_covered(p, F.col("answer"))),
+        "signal_hits": F.filter("signals", lambda x: (phrase(x) != "") & F.contains(phrase(F.col("answer")), phrase(x))),
+        "has_plan": has("plan") | F.contains(F.lower("stages"), F.lit("plan")), "has_review": F.col("reviewed"), "has_retrieval": has("recherche"),
+        "has_answer": has("réponse", "reponse") | F.col("concluded"), "has_relaunch": (F.col("iterations") > 1) | has("relance", "intra-document"),
+    })
+    parts = ["has_plan", "has_review", "has_retrieval", "has_answer"]
+    trace = sum((F.col(p).cast("int") for p in parts), F.lit(0)) / 4
+    return scored.select(
+        "run_id", "required_hits", "missing_required", share(F.col("required_hits"), F.col("required")).alias("required_recall"), "optional_hits", "point_hits",
+        share(F.col("point_hits"), F.col("points")).alias("point_recall"), "signal_hits", F.bround(F.least(F.lit(1.0), trace + F.when(F.col("has_relaunch"), 0.1).otherwise(0.0)), 3).alias("trace_score"), *parts, "has_relaunch",
+    )
+
+
+#: What errors of each kind say, in the order in which kinds are tried.
+FAILURES = {
+    "missing_api_key": ["api key is missing"],
+    "provider_rate_limit": ["ratelimiterror", "resource_exhausted", "quota exceeded"],
+    "provider_timeout": ["apitimeouterror", "request timed out"],
+    "provider_internal": ["internalservererror", " 503 "],
+    "format_invalid": ["could not parse model output", "json output appears truncated", "must be ", "supported answers must contain", "insufficient_evidence answers must contain", "citations reference unknown retrieval excerpts"],
+}
+
+
+def failure_kind(valid: Column, errors: Column) -> Column:
+    """``valid``, one of :data:`FAILURES`, or ``runtime_error``; ``errors`` is their text."""
+    said = F.concat(F.lit(" "), F.lower(F.coalesce(errors, F.lit(""))), F.lit(" "))
+    kind = F.when(valid, "valid")
+    for name, markers in FAILURES.items():
+        kind = kind.when(t.any_marker(said, markers), name)
+    return kind.otherwise("runtime_error")
+
+
+def batch_review(rows: DataFrame) -> DataFrame:
+    """One row of counts over answers ``valid, has_conclusion, has_justification, has_limits, with_citation, errors``."""
+    kind = failure_kind(F.col("valid"), F.col("errors"))
+    flags = ["has_conclusion", "has_justification", "has_limits", "with_citation"]
+    return rows.withColumn("_kind", kind).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("valid").alias("n_valid"), *[F.count_if(f).alias(f"n_{f}") for f in flags],
+        *[F.count_if(F.col("_kind") == k).alias(f"n_{k}") for k in (*FAILURES, "runtime_error")],
+    )
+
+
+def doc_distribution(passages: DataFrame) -> DataFrame:
+    """``query_id, ref, n, docs, most``: passages a document among a question's ``passages(query_id, ref)``, how many documents, and the largest ``n``."""
+    w = Window.partitionBy("query_id")
+    counted = passages.groupBy("query_id", "ref").agg(F.count(F.lit(1)).alias("n"))
+    return counted.select("query_id", "ref", "n", F.count(F.lit(1)).over(w).alias("docs"), F.max("n").over(w).alias("most"))

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as t
-from corpusmill.operators import agent, dense, index
+from corpusmill.operators import agent, dense, index, lexical
+from corpusmill.operators import agent_loop as agent_loop_operator
 from corpusmill.operators import agent_rules as rules
 from corpusmill.operators import evaluation as ev
 from corpusmill.operators.staging import shared_dir, staged
-from corpusmill.plans.q_retrieval import _LOCAL, _TOP_DOCS, local_ranks, top_docs
+from corpusmill.plans.q_retrieval import _LOCAL, _TOP_DOCS, chunk_items, local_ranks, top_docs
 from corpusmill.plans.registry import query
 from corpusmill.plans.tables import chunks, corpus, questions, sql, table
 from corpusmill.sources import questions as bank
@@ -350,3 +351,44 @@ def question_bank(spark, d):
     )
     rows = bank.parse_questions(docs.select(i.alias("no"), F.to_json(row).alias("json")))
     return rows.select("no", "id", "question", "theme", F.array_join("required_docs", "|").alias("required_docs"), F.array_join("expected_points", "|").alias("expected_points"))
+
+
+# --- the loop ---
+
+
+def gap_client(task: str, payload: dict) -> dict:
+    """A stand-in that plans two axes, finds the second missing until passages were relaunched, and cites its first source."""
+    if task == "plan":
+        words = payload["question"].split()
+        return {"facets": [{"name": " ".join(words[:6]), "search_query": " ".join(words[:12]), "role": "core", "blocking": True, "expected_evidence": [" ".join(words[2:6]), " ".join(words[6:10])]}, {"name": " ".join(words[-4:]), "search_query": " ".join(words[-8:]), "priority": "2", "role": "core"}]}
+    if task == "review":
+        found = payload["chunks"]
+        late = any(c["stage"] in ("intra_document", "global_relaunch") for c in found)
+        first, second = (payload["axes"] * 2)[:2]
+        missing = [] if late else [{"axis": second, "search_query": second, "why_needed": "preuve", "role": "core"}]
+        return {"covered_axes": payload["axes"] if late else [first], "missing_axes": missing, "useful_chunk_ids": [c["id"] for c in found[:3]]}
+    if not payload["sources"]:
+        return {"answer_status": "insufficient_evidence"}
+    return {"answer_status": "supported", "conclusion": payload["sources"][0][:80], "bullets": ["selon [1]"], "axes_requis": [g["axis"] for g in payload["review"]["missing"]]}
+
+
+@query()
+def agent_loop(spark, d):
+    """All questions through the whole loop, with BM25 over chunks and inside documents."""
+    items = staged(chunk_items(spark, d), "chunk_items")
+    texts = chunks(spark, d).select("item", "title", F.lit("").alias("path"), "text")
+    toks = lambda asked_: asked_.select("query_id", t.tokens(F.col("text")).alias("toks"))
+
+    def passages(ranks: DataFrame) -> DataFrame:
+        return ranks.join(texts, "item").select("query_id", "rank", "ref", "item", "title", "path", "text")
+
+    def search(asked_: DataFrame) -> DataFrame:
+        found = lexical.rank(items.select("item", "toks"), toks(asked_), 8)
+        return passages(found.join(items.select("item", "ref"), "item"))
+
+    def within(asked_: DataFrame, wanted: DataFrame) -> DataFrame:
+        found = lexical.rank(items, toks(asked_), None, ["ref"], wanted.select("query_id", "ref")).filter("rank <= 6")
+        w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "item")
+        return passages(found.withColumn("rank", F.row_number().over(w)).filter("rank <= 8"))
+
+    return agent_loop_operator.run(questions(spark, d), search, within, gap_client)

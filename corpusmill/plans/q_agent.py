@@ -210,14 +210,14 @@ _SAID = ["", "Le taux est de 10 %.", "Impossible de répondre.", "Les sources in
 _AXES = ["Taux de TVA", "taux", "Seuil de recettes annuelles", "recettes annuelles seuil plafond", "Exonération", ""]
 
 
-def _axes_sql(a: str, b: str) -> str:
+def axes_sql(a: str, b: str) -> str:
     x, y = folded(f"trim({a})"), folded(f"trim({b})")
     words = lambda c: f"list_distinct(list_filter(regexp_extract_all({folded(c)}, '[a-z0-9]+'), lambda w: length(w) >= 4 AND NOT list_contains({text_list(agent.AXIS_STOPWORDS)}, w)))"
     m, n = f"len(list_intersect({words(a)}, {words(b)}))", f"least(len({words(a)}), len({words(b)}))"
     return f"({x} <> '' AND {y} <> '' AND (contains({x}, {y}) OR contains({y}, {x}) OR ({n} > 0 AND ({m} = {n} OR ({m} >= 2 AND {m} >= {n} * 0.67)))))"
 
 
-@query(sql(f"SELECT item, a, b, {_axes_sql('x', 'y')} AS same FROM (SELECT item, a, b, CASE a WHEN 7 THEN title ELSE ({text_list(_AXES)})[a] END AS x, CASE b WHEN 7 THEN title ELSE ({text_list(_AXES)})[b] END AS y FROM corpus, range(1, 8) r(a), range(1, 8) s(b))", "corpus"))
+@query(sql(f"SELECT item, a, b, {axes_sql('x', 'y')} AS same FROM (SELECT item, a, b, CASE a WHEN 7 THEN title ELSE ({text_list(_AXES)})[a] END AS x, CASE b WHEN 7 THEN title ELSE ({text_list(_AXES)})[b] END AS y FROM corpus, range(1, 8) r(a), range(1, 8) s(b))", "corpus"))
 def axes_match(spark, d):
     """Every title and some made-up axes with each other."""
     axes = F.concat(F.array(*[F.lit(a) for a in _AXES]), F.array("title"))
@@ -243,7 +243,7 @@ CASE WHEN doc_id % 13 < 6 THEN {q(_AXES[0])} WHEN doc_id % 13 < 9 THEN {q(_AXES[
 
 @query(sql(f"""SELECT answer_id, CASE WHEN ok THEN 'supported' ELSE 'insufficient_evidence' END AS status, CASE WHEN readable THEN array_to_string(r, '|') ELSE '' END AS required,
 CASE WHEN NOT readable THEN 'réponse structurée' WHEN ok THEN '' WHEN len(m) > 0 THEN array_to_string(m, '|') ELSE {q(rules.NOTHING_NAMED)} END AS missing
-FROM (SELECT *, readable AND concluded AND NOT {marked('said', rules.NO_CONCLUSION)} AS ok, list_filter(required, lambda x: NOT {_axes_sql('x', 'aside')}) AS r, list_filter(missing, lambda x: NOT {_axes_sql('x', 'aside')}) AS m FROM reply)""", reply=_REPLY))
+FROM (SELECT *, readable AND concluded AND NOT {marked('said', rules.NO_CONCLUSION)} AS ok, list_filter(required, lambda x: NOT {axes_sql('x', 'aside')}) AS r, list_filter(missing, lambda x: NOT {axes_sql('x', 'aside')}) AS m FROM reply)""", reply=_REPLY))
 def answer_status(spark, d):
     return rules.clean_status(replies(spark, d)).select("answer_id", "status", F.array_join("required", "|").alias("required"), F.array_join("missing", "|").alias("missing"))
 

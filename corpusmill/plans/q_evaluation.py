@@ -57,7 +57,7 @@ def layered_eval(spark, d):
     return ev.layered(questions(spark, d), r, g, ["base", "dense"])
 
 
-@query()
+@query(sql("SELECT 'base->dense' AS step, count(*) AS misses FROM lay a JOIN lay b ON b.query_id = a.query_id WHERE a.layer = 'base' AND b.layer = 'dense' AND a.rank IS NOT NULL AND b.rank IS NULL AND b.n > 0 HAVING count(*) > 0", "corpus", "question", **_LAYERED))
 def layer_transitions(spark, d):
     r = rankings(spark, d).select("query_id", F.col("source").alias("layer"), "rank", F.col("ref").alias("id"))
     g = golds(spark, d).select("query_id", F.explode(F.array(F.lit("base"), F.lit("dense"))).alias("layer"), "id")

@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusmill.operators import agent, lexical
-from corpusmill.plans.q_retrieval import _TOP_DOCS, asked, doc_items, local_ranks, top_docs
+from corpusmill.plans.q_agent import axes_sql
+from corpusmill.plans.q_retrieval import _LOCAL, _TOP_DOCS, asked, doc_items, local_ranks, top_docs
 from corpusmill.plans.registry import query
 from corpusmill.plans.tables import chunks, corpus, questions, sql, table
 from corpusmill.sources import ingest
@@ -59,7 +60,17 @@ def resume(spark, d):
     return progress.remaining(e, e.filter("event_id % 3 = 0"), ["event_id"]).groupBy("user_id").agg(F.count(F.lit(1)).alias("n_left"))
 
 
-@query()
+_MATRIX = {
+    **_LOCAL,
+    "ax": "SELECT DISTINCT query_id, unnest(list_filter(string_split(text, ' '), lambda w: length(w) >= 4)[1:3]) AS axis FROM question",
+    "hits": f"SELECT a.query_id, a.axis, l.ref, l.rank FROM ax a JOIN lr l ON l.query_id = a.query_id AND l.rank <= 3 JOIN chunk c ON c.item = l.item WHERE {axes_sql('a.axis', 'c.text')}",
+    "cand": "SELECT query_id, axis, list(ref ORDER BY rank, ref) AS refs, bool_or(rank = 1) AS final FROM hits GROUP BY query_id, axis",
+    "claim": f"SELECT a.query_id, a.axis, bool_or(length(b.axis) % 2 = 0) AS c, bool_or(length(b.axis) % 2 = 1) AS m FROM ax a JOIN ax b ON b.query_id = a.query_id AND {axes_sql('a.axis', 'b.axis')} GROUP BY a.query_id, a.axis",
+}
+
+
+@query(sql("""SELECT a.query_id, a.axis, 'core' AS role, true AS blocking, CASE WHEN coalesce(h.final, false) AND coalesce(k.c, false) THEN 'covered_final' WHEN coalesce(h.final, false) THEN 'final_unclaimed' WHEN h.refs IS NOT NULL THEN 'candidate_only' WHEN coalesce(k.m, false) THEN 'missing' ELSE 'not_found' END AS status,
+coalesce(array_to_string(list_filter(h.refs, lambda x, i: list_position(h.refs, x) = i)[1:8], ','), '') AS candidate_refs FROM ax a LEFT JOIN cand h ON h.query_id = a.query_id AND h.axis = a.axis LEFT JOIN claim k ON k.query_id = a.query_id AND k.axis = a.axis""", "corpus", "chunk", "question", **_MATRIX))
 def evidence_matrix(spark, d):
     """For every question: its first words as axes, against its best chunks."""
     words = F.slice(F.filter(F.split("text", " "), lambda w: F.length(w) >= 4), 1, 3)

@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as t
-from corpusmill.operators import agent, agent_loop, agent_rules, dense, index
+from corpusmill.operators import agent, agent_loop, agent_rules, dense, eval_run, index
 from corpusmill.operators import evaluation as ev
 from corpusmill.sources import questions as bank
 
@@ -166,3 +166,37 @@ def test_encoder(spark):
     count = lambda texts: np.array([[x.count("a"), x.count("b")] for x in texts], dtype=float)
     found = {r["query_id"]: r["vector"] for r in dense.encode(rows, count, batch=2).collect()}
     assert np.allclose(found[1], [2 / 5**0.5, 1 / 5**0.5]) and found[2] == found[3] == [0, 0]
+
+
+def test_evaluation_resumes(spark, tmp_path):
+    cases = [
+        {"id": "a", "question": "Q un", "required_docs": ["BOI-TVA"], "expected_answer_core": "taux réduit"},
+        {"id": "b", "question": "Q deux", "failure_signals": ["taux normal"]},
+        {"id": "c", "question": "Q trois", "required_docs": "BOI-IS", "expected_calculation": "mille euros", "theme": "IS"},
+    ]
+    bank_rows = bank.parse_questions(spark.createDataFrame([(i, json.dumps(c)) for i, c in enumerate(cases, start=1)], "no int, json string"))
+    replies = {"Q un": ("supported", "Le taux réduit.", ["1"]), "Q deux": ("supported", "Le taux normal.", ["2"]), "Q trois": ("insufficient_evidence", "", [])}
+    asked = []
+
+    def answer(questions):
+        rows = questions.collect()
+        asked.append(sorted(r["text"] for r in rows))
+        out = [(r["query_id"], *replies[r["text"]][:2], "", ["x [1]"], ["axe"], ["axe"], [], replies[r["text"]][2], 0) for r in rows]
+        return spark.createDataFrame(out, "query_id long, status string, conclusion string, limits string, bullets array<string>, covered array<string>, required array<string>, missing array<string>, sources array<string>, relaunches int")
+
+    def judge(task, payload):
+        return {"verdict": "pass", "confidence": "0.9", "grounding": "bad"} if payload["question"] == "Q un" else "nothing"
+
+    passages = spark.createDataFrame([(1, "BOI-TVA-BASE-10"), (2, "BOI-BIC")], "id long, ref string")
+    folder = f"file://{tmp_path}/run"
+    first = eval_run.run_eval(bank_rows.filter("no < 3"), answer, passages, folder, judge)
+    assert first.count() == 2
+    rows = {r["id"]: r for r in eval_run.run_eval(bank_rows, answer, passages, folder, judge).collect()}
+    assert asked == [["Q deux", "Q un"], ["Q trois"]] and len(rows) == 3
+    assert rows["a"]["verdict"] == "candidate_pass" and rows["a"]["required_hits"] == ["BOI-TVA"] and rows["a"]["point_recall"] == 1 and rows["a"]["judge"] == "pass" and rows["a"]["confidence"] == 0.9
+    assert rows["b"]["verdict"] == "needs_review_failure_signal" and rows["b"]["judge"] == "needs_human_review"
+    assert rows["c"]["verdict"] == "candidate_fail_insufficient_evidence" and rows["c"]["missing_required"] == ["BOI-IS"] and rows["c"]["point_recall"] == 0
+    with pytest.raises(ValueError, match="lacks"):
+        eval_run.run_eval(bank_rows.filter("no = 3"), answer, passages, folder)
+    nobody = eval_run.per_case(bank_rows, answer(spark.createDataFrame([(1, "Q un")], "query_id long, text string")), passages).collect()
+    assert {r["id"]: r["verdict"] for r in nobody} == {"a": "candidate_pass", "b": "runtime_error", "c": "runtime_error"}

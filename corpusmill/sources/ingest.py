@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusmill.functions import text as t
 from corpusmill.functions.text import LEGAL
 from corpusmill.operators.chunking import clean, slug
 
@@ -230,11 +231,13 @@ def xml_fields(documents: DataFrame) -> DataFrame:
     one = lambda name: F.get(many(name), F.lit(0))
     rows = documents.withColumn("identifiers", many("identifier")).withColumn("subjects", many("subject"))
     is_url = lambda x: F.startswith(x, F.lit("http"))
+    tags = F.regexp_extract_all("xml", F.lit(r"<(?:[\w.-]+:)?relation\b[^>]*>[^<]*<"), F.lit(0))
+    links = F.transform(tags, lambda x: F.struct(F.nullif(t.unescape(F.regexp_extract(x, r"""\btype\s*=\s*["']([^"']*)["']""", 1)), F.lit("")).alias("type"), t.normalize_ws(F.regexp_extract(x, ">([^<]*)<", 1)).alias("target")))
     parent = F.element_at(F.split("folder", "/"), -2) if "folder" in documents.columns else F.lit(None).cast("string")
     title = F.coalesce(one("title"), F.lit(""))
     return rows.withColumns({
         "title": title, "boi_reference": F.coalesce(one("contenu_id"), title), "publication_date": one("date"), "language": one("language"), "content_type": one("contenu_type"),
-        "document_type": F.nullif(F.xpath_string("xml", F.lit("/*/@type")), F.lit("")), "relations": many("relation"), "data_ref": one("dataRef"),
+        "document_type": F.nullif(F.xpath_string("xml", F.lit("/*/@type")), F.lit("")), "relations": many("relation"), "relation_links": F.filter(links, lambda x: x["target"] != ""), "data_ref": one("dataRef"),
         "source_url": F.get(F.filter("identifiers", is_url), F.lit(0)), "document_id": F.coalesce(F.get(F.filter("identifiers", lambda x: ~is_url(x)), F.lit(0)), parent),
     })
 

@@ -109,3 +109,10 @@ def test_stream(spark, tmp_path):
     batch = {(r["start"], r["n"]) for r in progress.hourly(events).collect()}
     streamed = {(r["start"], r["n"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert streamed and streamed <= batch
+
+
+def test_relations_keep_their_types(spark):
+    xml = '<d type="X"><dc:relation type="isPartOf">BOI-A &amp; B</dc:relation><relation>BOI-C</relation><dc:relation type="void"/> <other type="no">x</other></d>'
+    row = ingest.xml_fields(spark.createDataFrame([(xml,), ("<d/>",), (None,)], "xml string")).select("relation_links").collect()
+    assert [(r["type"], r["target"]) for r in row[0][0]] == [("isPartOf", "BOI-A & B"), (None, "BOI-C")]
+    assert row[1][0] == [] and not row[2][0]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import html
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusmill.functions.french import stem
+from corpusmill.functions.text import TOKEN
 
 #: Month names that make a small number a day, and what is a number with its unit.
 MONTH = re.compile(r"\b(?:janvier|fevrier|février|mars|avril|mai|juin|juillet|aout|août|septembre|octobre|novembre|decembre|décembre)\b", re.I)
@@ -21,7 +24,11 @@ FACT = T.StructType([T.StructField("value", T.StringType()), T.StructField("unit
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def stems(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """French stems of tokens."""
+    """French stems of a text's tokens.
+
+    It takes the text and makes :func:`corpusmill.functions.text.tokens` itself: Spark doesn't evaluate a Python function of an
+    expression with lambdas, which these are made of.
+    """
     known: dict[str, str] = {}
 
     def one(word: str) -> str:
@@ -32,8 +39,12 @@ def stems(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             found = known[word] = stem(word)
         return found
 
-    for tokens in batches:
-        yield tokens.map(lambda x: None if x is None else [one(w) for w in x])
+    def tokens(text: str | None) -> list[str]:
+        plain = unicodedata.normalize("NFKD", html.unescape(text or ""))
+        return re.findall(TOKEN, "".join(c for c in plain if not unicodedata.combining(c)).lower())
+
+    for batch in batches:
+        yield batch.map(lambda x: [one(w) for w in tokens(x)])
 
 
 def whole(digits: str) -> int | None:

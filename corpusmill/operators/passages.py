@@ -95,7 +95,7 @@ def _local(pairs: DataFrame, chunks: DataFrame, queries: DataFrame, keep: int) -
     near = staged(chunks.join(pairs.select("ref").distinct(), "ref", "left_semi").select("item", "ref", "path", "legal", "text"), "passages")
     search = F.concat_ws("\n", "ref", F.array_join("path", " "), F.nullif(F.array_join("legal", " "), F.lit("")), "text")
     toks = near.select("item", "ref", t.tokens(search).alias("toks"))
-    asked = queries.select("query_id", t.tokens(F.col("text")).alias("toks"))
+    asked = queries.select("query_id", t.tokens(F.col("search" if "search" in queries.columns else "text")).alias("toks"))
     ranked = staged(lexical.rank(toks, asked, None, ["ref"], pairs.select("query_id", "ref").distinct()), "local")
     return staged(prioritized(ranked, near, queries, keep), "prioritized")
 
@@ -118,11 +118,12 @@ def mentions(named: DataFrame, chunks: DataFrame) -> DataFrame:
 def direct_search(queries: DataFrame, stage1: DataFrame, chunks: DataFrame, *, top_docs: int = 5, per_doc: int = 2, most: int = 6) -> DataFrame:
     """Passages of the stage-1 documents, then of documents that the question or these passages cite, then chunks that name them.
 
-    ``queries(query_id, text)``, ``stage1(query_id, ref, rank)``.  Returns ``query_id, global_rank, document_rank,
-    local_rank, local_score, ref, item``.  One hop: at most six references are followed, those of at least three
+    ``queries(query_id, text, [search])``, where ``search`` is what chunks are ranked by if not the text; ``stage1(query_id, ref,
+    rank)``.  Returns ``query_id, global_rank, document_rank, local_rank, local_score, ref, item``.  One hop: at most six references are followed, those of at least three
     parts; each cited document takes the next document rank, whether or not it adds passages.
     """
-    queries = staged(queries.select("query_id", "text", t.numeric_intent(F.col("text")).alias("_numeric")), "questions")
+    extra = ["search"] if "search" in queries.columns else []
+    queries = staged(queries.select("query_id", "text", *extra, t.numeric_intent(F.col("text")).alias("_numeric")), "questions")
     docs = staged(stage1.filter(F.col("rank") <= top_docs).select("query_id", "ref", F.col("rank").alias("document_rank")), "stage1")
     base = _local(docs, chunks, queries, per_doc).join(docs, ["query_id", "ref"]).withColumn("phase", F.lit(0))
     at = Window.partitionBy("query_id").orderBy("document_rank", "local_rank")

@@ -146,13 +146,13 @@ def family_scores(family: DataFrame, prior: DataFrame, constant: int = 20, famil
 def specificity(hits: DataFrame, docs: DataFrame, queries: DataFrame, top: int = 5, weight: float = 0.05, least: int = 4, stem=None) -> DataFrame:
     """Reorders ``hits(query_id, ref, score, rank)``: of related documents, the one whose title's tail fits and that is deep and narrow gains.
 
-    ``docs(ref, tail)`` has the title-tail text; ``stem`` may turn token arrays into stems.  Only documents that share
+    ``docs(ref, tail)`` has the title-tail text; ``stem`` may stand for ``tokens``.  Only documents that share
     ``least`` leading elements with another of the first ``top`` hits get a bonus.
     """
-    toks = (lambda c: stem(t.tokens(c))) if stem else t.tokens
+    toks = stem or t.tokens
     core = t.reference_parts(F.col("ref"))
     below = descendant_counts(docs, least)
-    facts = docs.select("ref", F.size(core).alias("depth"), F.array_join(F.slice(core, 1, least), "-").alias("stem4"), F.array_except(toks(F.col("tail")), toks(F.col("ref"))).alias("tail_toks")).dropDuplicates(["ref"]).join(below, "ref")
+    facts = docs.dropDuplicates(["ref"]).select("ref", F.size(core).alias("depth"), F.array_join(F.slice(core, 1, least), "-").alias("stem4"), F.array_except(toks(F.col("tail")), toks(F.col("ref"))).alias("tail_toks")).join(below, "ref")
     rows = hits.join(facts, "ref").join(queries.select("query_id", toks(F.col("text")).alias("q_toks")), "query_id")
     pool = rows.filter(F.col("rank") <= top)
     limits = pool.groupBy("query_id").agg(F.min("depth").alias("d0"), F.max("depth").alias("d1"), F.max("descendants").alias("most"))

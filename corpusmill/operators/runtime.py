@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import slow
 from corpusmill.functions import text as t
-from corpusmill.operators import dense, fusion, lexical, passages, references
+from corpusmill.operators import dense, fusion, lexical, passages, references, search_text
 from corpusmill.operators.staging import staged
 
 #: How many passages a document offers, and how many the reranker sees, to how many characters.
 PER_DOC, POOL, POOL_CHARS = 8, 16, 900
+#: The weights of the older generation's sources.
+OLDER_WEIGHTS = {"base": 1.0, "sections_leads": 2.0, "sections_leads_stem": 1.0, "dense": 1.0, "chunk_dense": 2.0}
 
 
 @dataclass(frozen=True)
@@ -50,8 +52,11 @@ def build_rankings(corpus: Corpus, queries: DataFrame, options: Options, query_v
             items = corpus.documents.select("item", t.tokens(F.col(column)).alias("toks"))
             found.append((source, lexical.rank(items, asked, 20).join(refs, "item")))
         if options.stems:
-            items = corpus.documents.select("item", slow.stems(t.tokens(F.col("leads"))).alias("toks"))
-            found.append(("sections_leads_stem", lexical.rank(items, asked.withColumn("toks", slow.stems("toks")), 20).join(refs, "item")))
+            # Written first: Python functions can't follow the lambdas that texts may be made with.
+            leads, said = staged(corpus.documents.select("item", "leads"), "leads"), staged(queries.select("query_id", "text"), "said")
+            items = leads.select("item", slow.stems(F.col("leads")).alias("toks"))
+            stemmed = staged(said.select("query_id", slow.stems(F.col("text")).alias("toks")), "stemmed")
+            found.append(("sections_leads_stem", lexical.rank(items, stemmed, 20).join(refs, "item")))
     if query_vectors is not None and corpus.document_vectors is not None:
         found.append(("dense", dense.nearest(corpus.document_vectors, query_vectors, 20).join(refs, "item")))
     if query_vectors is not None and corpus.chunk_vectors is not None:
@@ -107,3 +112,21 @@ def retrieve(corpus: Corpus, queries: DataFrame, options: Options | None = None,
     ranked = staged(ranked, "reranked")
     picks = passages.diverse(ranked, options.max_chunks)
     return docs, picks.join(ranked.select("query_id", "item", "ref", "score"), ["query_id", "item"]).select("query_id", F.col("pick").alias("rank"), "ref", "item", "score")
+
+
+def retrieve_older(corpus: Corpus, queries: DataFrame, mapping: DataFrame, query_vectors: DataFrame | None = None, top_docs: int = 5, per_doc: int = 3, max_chunks: int = 8) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The older generation's whole retrieval: expanded questions, documents, passages, and the families of the first two documents.
+
+    ``queries(query_id, text)``; ``mapping(acronym, phrase)`` as :func:`corpusmill.operators.references.acronym_map` makes it.  Lexical
+    rankings and passages are searched for with the expanded question; vectors, specificity and evidence go by the question itself.
+    """
+    expanded = staged(references.expand_queries(queries, mapping).join(queries.select("query_id"), "query_id"), "expanded")
+    asked = expanded.select("query_id", F.col("expanded").alias("text"))
+    rankings = staged(build_rankings(corpus, asked, Options(stems=True), query_vectors), "rankings")
+    fused = staged(fusion.confidence_weighted(rankings, 20, 60, OLDER_WEIGHTS).select("query_id", "ref", "score", "rank"), "fused")
+    tails = staged(corpus.documents.select("ref", search_text.document_title_tail(F.col("ref"), F.col("title")).alias("tail")), "tails")
+    docs = references.specificity(fused, tails, queries, top=5, weight=0.05, stem=slow.stems).filter(F.col("rank") <= top_docs).select("query_id", "rank", "ref", "score")
+    docs = staged(docs, "stage1")
+    hits = passages.direct_search(expanded.select("query_id", "text", F.col("expanded").alias("search")), docs, corpus.chunks, top_docs=top_docs, per_doc=per_doc, most=max_chunks)
+    found = hits.select("query_id", F.col("global_rank").alias("rank"), "ref", "item", F.col("local_score").alias("score"))
+    return expanded, docs, found, references.family_union(docs, corpus.documents.select("ref"), 2)

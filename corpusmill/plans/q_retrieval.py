@@ -414,6 +414,15 @@ def retrieve_reranked(spark, d):
     return found
 
 
+@query()
+def retrieve_older(spark, d):
+    """The older generation's whole retrieval over all questions, with acronyms spelled out: final passages."""
+    mapping = staged(references.acronym_map(acronym_views(spark, d), ratio=1.0), "acronyms")
+    q = questions(spark, d).withColumn("text", F.concat(F.lit("TOA et TIA "), "text"))
+    _, _, found, _ = runtime.retrieve_older(whole_corpus(spark, d), q, mapping)
+    return found
+
+
 @query()
 def retrieve_stage1(spark, d):
     """The documents that the runtime finds first, with a prefix for every question."""

@@ -209,7 +209,7 @@ def fingerprint(spark, d):
 
 @query()
 def stem_tokens(spark, d):
-    return _each(spark, d, "stems", F.array_join(slow.stems(t.tokens(F.col("text"))), " "))
+    return _each(spark, d, "stems", F.array_join(slow.stems(F.col("text")), " "))
 
 
 @query("SELECT doc_id, text AS repaired FROM documents")

@@ -136,6 +136,17 @@ def test_retrieve(spark, small):
     assert {r["query_id"]: r["item"] for r in hits.filter("rank = 1").collect()} == {1: 10, 2: 20}
 
 
+def test_older_retrieval(spark, small):
+    q = spark.createDataFrame([(1, "Quel TN ?"), (2, "exonérations de taxe"), (3, "rien")], "query_id long, text string")
+    mapping = spark.createDataFrame([("TN", "taux normal", 2)], "acronym string, phrase string, support int")
+    expanded, docs, hits, families = runtime.retrieve_older(small, q, mapping)
+    assert {r["query_id"]: r["expanded"] for r in expanded.collect()} == {1: "Quel TN ? taux normal", 2: "exonérations de taxe", 3: "rien"}
+    assert {r["query_id"]: r["ref"] for r in docs.filter("rank = 1 and query_id < 3").collect()} == {1: "BOI-TVA-A-10", 2: "BOI-TVA-A-20"}
+    assert {r["query_id"]: r["item"] for r in hits.filter("rank = 1 and query_id < 3").collect()} == {1: 10, 2: 20}
+    members = {r["query_id"]: r["member"] for r in families.filter("place = 1 and query_id < 3").collect()}
+    assert set(members.values()) <= {"BOI-TVA-A-10", "BOI-TVA-A-20"} and set(members) == {1, 2}
+
+
 def test_references_are_followed(spark, small):
     q = spark.createDataFrame([(1, "taux normal")], "query_id long, text string")
     stage1 = spark.createDataFrame([(1, "BOI-TVA-A-10", 1)], "query_id long, ref string, rank int")

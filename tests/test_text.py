@@ -6,6 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from corpusmill.functions import slow
 from corpusmill.functions import text as t
 from corpusmill.functions.french import stem
 from corpusmill.functions.slow import facts
@@ -89,3 +90,11 @@ def test_facts():
 def test_fragments_are_judged_alike():
     assert not is_trivial("русский текст здесь")
     assert is_trivial("— § …")
+
+
+def test_stems_are_those_of_the_tokens(spark):
+    texts = ["Les exon\u00e9rations&nbsp;fiscales &eacute;t&eacute;", "\ufb01scaux m\u00b2 e\u0301te\u0301s", "", None]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, text string")
+    found = {r["i"]: r["s"] for r in rows.select("i", slow.stems(F.col("text")).alias("s")).collect()}
+    tokens = {r["i"]: r["s"] for r in rows.select("i", t.tokens(F.col("text")).alias("s")).collect()}
+    assert found == {i: [stem(w) for w in ws] for i, ws in tokens.items()}

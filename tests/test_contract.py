@@ -26,6 +26,12 @@ def rows(df):
     return sorted((tuple(map(cell, r)) for r in df[sorted(df.columns)].itertuples(index=False, name=None)), key=repr)
 
 
+def test_test_modules_have_names_of_their_own():
+    """Two modules of one base name, without packages, would stop the collection of all tests."""
+    names = [f.name for f in Path(__file__).parent.rglob("test_*.py")]
+    assert len(names) == len(set(names))
+
+
 def test_names():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert len(entry.queries()) > 90

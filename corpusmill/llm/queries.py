@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm.bpe import decode, encode, n_tokens
 from corpusmill.llm.common import written
+from corpusmill.llm.decontamination import decontaminate, n_hit
 from corpusmill.llm.html_extract import extract, n_chars
 from corpusmill.llm.jaccard import jaccard_join
 from corpusmill.llm.langid import declared_language, identify
@@ -25,7 +26,9 @@ from corpusmill.llm.neardup import embedding_near_dedup
 from corpusmill.llm.packing import pack
 from corpusmill.llm.quality import quality_rules
 from corpusmill.llm.sharding import shard
+from corpusmill.llm.vector_codes import digest, vector_codes
 from corpusmill.llm.warc import page_id, read_archives, read_warc, records, write_warc
+from corpusmill.llm.whitening import long_rows
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -144,6 +147,24 @@ def op10_language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("doc_id").alias("page_id"), "text_lang", "lang_id", "confidence", "kept")
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first eight whitened components of ``embeddings``."""
+    return long_rows(_table(spark, sf_dir, "embeddings"), components=8).withColumnRenamed("id", "vec_id")
+
+
+def op12_vector_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of ``embeddings``: four parts, 256 entries each, four rounds."""
+    rows, books = vector_codes(_table(spark, sf_dir, "embeddings"))
+    return rows.select(F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(digest(books)).alias("codebooks_sha256"))
+
+
+def op13_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of ``documents`` inside windows of ten words of ``benchmark``, and the items these are from."""
+    rows = decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), clean=False)
+    items = F.sha2(F.array_join("items", ","), 256)
+    return rows.select(F.col("id").alias("doc_id"), "n_words", n_hit().alias("n_hit"), F.size("items").cast("long").alias("n_items"), items.alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -158,6 +179,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_dedup_short": op9_line_dedup_short,
     "op10_language_id": op10_language_id,
     "op10_language_id_pages": op10_language_id_pages,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_vector_compression": op12_vector_compression,
+    "op13_benchmark_decontamination": op13_benchmark_decontamination,
 }
 
 _OP3_SQL = """
@@ -224,4 +248,52 @@ SELECT * FROM ({_OP8_SQL}) WHERE page_id IS NULL OR page_id % 10 <> 3
 UNION ALL SELECT NULL, 0, NULL, 'gap', NULL WHERE EXISTS (SELECT 1 FROM pages WHERE page_id % 10 = 3)
 """
 
-ORACLE_SQL: dict[str, str] = {"op8_warc": _OP8_SQL, "op8_warc_salvage": _OP8_SALVAGE_SQL, "op3_embedding_near_dedup": _OP3_SQL, "op9_line_dedup": _OP9_SQL, "op9_line_dedup_short": _OP9_SHORT_SQL}
+
+
+def _op12_sql(parts: int = 4, width: int = 16, rounds: int = 4) -> str:
+    """Codebooks round by round: ``b{r}`` are the entries, ``a{r}`` the nearest entry of every part (least distance, then least index, as one number)."""
+    found = f"""
+WITH x AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding::DOUBLE[], lambda c: floor(1024 * c)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), part AS MATERIALIZED (
+  SELECT vec_id, label, p, v[{width} * p + 1 : {width} * p + {width}] AS v FROM (SELECT *, unnest(range({parts})) AS p FROM x)
+), b0 AS MATERIALIZED (
+  SELECT p, e, v FROM part JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM x ORDER BY vec_id LIMIT 256) USING (vec_id)
+)"""
+    for r in range(rounds + 1):
+        found += f""", a{r} AS MATERIALIZED (
+  SELECT vec_id, any_value(label) AS label, p, min(d * 256 + e) AS de FROM (
+    SELECT a.vec_id, a.label, a.p, b.e, (list_dot_product(a.v, a.v) - 2 * list_dot_product(a.v, b.v) + list_dot_product(b.v, b.v))::BIGINT AS d FROM part a JOIN b{r} b ON a.p = b.p
+  ) GROUP BY vec_id, p
+)"""
+        if r < rounds:
+            found += f""", s{r} AS MATERIALIZED (
+  SELECT p, e, i, sum(c)::BIGINT AS s, count(*) AS n FROM (SELECT p, a.de % 256 AS e, unnest(v) AS c, unnest(range({width})) AS i FROM a{r} a JOIN part USING (vec_id, p)) GROUP BY p, e, i
+), b{r + 1} AS MATERIALIZED (
+  SELECT b.p, b.e, coalesce(g.v, b.v) AS v FROM b{r} b
+  LEFT JOIN (SELECT p, e, list(((s - ((s % n) + n) % n) // n)::DOUBLE ORDER BY i) AS v FROM s{r} GROUP BY p, e) g ON b.p = g.p AND b.e = g.e
+)"""
+    return found + f""", coded AS (
+  SELECT vec_id, any_value(label) AS label, string_agg(format('{{:02x}}', de % 256), '' ORDER BY p) AS code, sum(de // 256)::BIGINT AS error FROM a{rounds} GROUP BY vec_id
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(array_to_string(v::BIGINT[], ','), ',' ORDER BY p, e)) FROM b{rounds}) AS codebooks_sha256
+FROM coded
+"""
+
+
+_WORDS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_OP13_SQL = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, coalesce({_WORDS.format("text")}, []) AS w FROM documents),
+i AS (SELECT item_id::VARCHAR AS item, {_WORDS.format("text")} AS w, least(len(w), 10) AS n FROM benchmark WHERE text IS NOT NULL),
+iw AS MATERIALIZED (SELECT DISTINCT item, n, array_to_string(w[k : k + n - 1], ' ') AS s FROM (SELECT *, unnest(range(1, (len(w) - n + 2)::BIGINT)) AS k FROM i WHERE n > 0)),
+dw AS (SELECT doc_id, n, k, array_to_string(w[k : k + n - 1], ' ') AS s FROM (SELECT doc_id, w, n, unnest(range(1, (len(w) - n + 2)::BIGINT)) AS k FROM d, (SELECT DISTINCT n FROM iw))),
+found AS MATERIALIZED (SELECT doc_id, k, dw.n, iw.item FROM dw JOIN iw ON dw.n = iw.n AND dw.s = iw.s),
+hit AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(k, k + n)) AS at FROM (SELECT DISTINCT doc_id, k, n FROM found)) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(h.n_hit, 0)::BIGINT AS n_hit, coalesce(m.n_items, 0)::BIGINT AS n_items, sha256(coalesce(m.s, '')) AS items_sha256, h.n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN hit h ON d.doc_id = h.doc_id LEFT JOIN items m ON d.doc_id = m.doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op8_warc": _OP8_SQL, "op8_warc_salvage": _OP8_SALVAGE_SQL, "op3_embedding_near_dedup": _OP3_SQL, "op9_line_dedup": _OP9_SQL, "op9_line_dedup_short": _OP9_SHORT_SQL, "op12_vector_compression": _op12_sql(), "op13_benchmark_decontamination": _OP13_SQL}

@@ -16,6 +16,7 @@ import bisect
 import hashlib
 import itertools
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +39,9 @@ class WordTokens:
     known yet is given to the tokenizer once.  The hash only finds a word: every occurrence is compared, byte for
     byte, with the known word that it leads to, and one that differs is looked up by its bytes.  At most
     ``LIMIT`` words of ``LETTERS`` bytes in all are known before a batch.
+
+    The strings of the vocabulary's added tokens, as they stand in a text, are their ids, as in the library by default; what
+    is before and after one is encoded by itself.
     """
 
     LIMIT, LETTERS, PART = 2_000_000, 64 << 20, 1 << 20
@@ -47,7 +51,12 @@ class WordTokens:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_buffer(tokenizer)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = True  # of single words, which hold no added token
+        added = self.tokenizer.get_added_tokens_decoder()
+        if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values()):
+            raise ValueError("added tokens that depend on what is around them aren't supported")
+        self.added = {t.content.encode(): np.array([i], dtype="<u4") for i, t in added.items()}
+        self.mark = re.compile(b"(" + b"|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) + b")") if added else None
         rng = np.random.Generator(np.random.PCG64(11))
         self.values = rng.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         base = int(rng.integers(0, 2**62)) * 4 + 3
@@ -130,6 +139,14 @@ class WordTokens:
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each text."""
+        if self.mark is None or not any(map(self.mark.search, texts)):
+            return self.encode_words(texts)
+        cut = [self.mark.split(t) for t in texts]  # words and added tokens by turns
+        found = iter(self.encode_words([w for parts in cut for w in parts[::2]]))
+        return [np.concatenate([self.added[w] if i % 2 else next(found) for i, w in enumerate(parts)]) for parts in cut]
+
+    def encode_words(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids of each text, in which added tokens' strings are words like others."""
         joined = b" ".join(texts).lower()
         data = np.frombuffer(joined, dtype=np.uint8)
         starts, ends, hashes = self.words(data)

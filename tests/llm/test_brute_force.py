@@ -150,21 +150,22 @@ def test_sharding_is_uniform(spark):
 
 def test_word_tokens_equal_the_library():
     own, library = packing.WordTokens(WORDS), Tokenizer.from_buffer(WORDS)
-    library.encode_special_tokens = True
-    texts = ["", " ", "I'll don't 'S x's,", "İstanbul ΣΑΣ é́ 　 x", "a" * 500, "\x1c foo\x1e", "naïve 東京 😀", *[t for _, t in corpus()]]
+    special = ["Some text. <|endoftext|> More", "a<|endoftext|>b<|ENDOFTEXT|>", "<|startoftext|><|endoftext|>'s", "<|end<|endoftext|>oftext|>", "é<|endoftext|>\u0301a"]
+    texts = [*special, "", " ", "I'll don't 'S x's,", "İstanbul ΣΑΣ é́ 　 x", "a" * 500, "\x1c foo\x1e", "naïve 東京 😀", *[t for _, t in corpus()]]
     for text, ids in zip(texts, own.encode([t.encode() for t in texts]), strict=True):
         assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
 
 
 @pytest.fixture(scope="module")
 def word_tokens():
-    library = Tokenizer.from_buffer(WORDS)
-    library.encode_special_tokens = True
-    return packing.WordTokens(WORDS), library
+    return packing.WordTokens(WORDS), Tokenizer.from_buffer(WORDS)
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.lists(st.text(alphabet="abIx'., \n\t\x1c\xa0é東ΣİÀ1-!?😀", max_size=60), max_size=6))
+PIECES = st.sampled_from([*"abIx'., \n\t\x1c\xa0é東ΣİÀ1-!?😀<|>", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "\u0301", "text"])
+
+
+@settings(max_examples=250, deadline=None)
+@given(st.lists(st.lists(PIECES, max_size=40).map("".join), max_size=6))
 def test_words_equal_the_library(word_tokens, texts):
     own, library = word_tokens
     for text, ids in zip(texts, own.encode([t.encode() for t in texts]), strict=True):

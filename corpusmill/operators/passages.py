@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text as t
 from corpusmill.functions.text import bigrams, common
-from corpusmill.operators import lexical
+from corpusmill.operators import lexical, patterns
 from corpusmill.operators.staging import staged
 
 
@@ -26,57 +26,92 @@ def token_overlap(query: Column, text: Column) -> Column:
     return t.let(long_tokens(query), lambda a: t.let(long_tokens(text), lambda b: (common(a, b) + 2 * common(bigrams(a), bigrams(b))).cast("double")))
 
 
-def lexical_evidence(query: Column, path: Column, legal: Column, text: Column) -> Column:
-    """Capped counts of common terms and neighbours, in the whole chunk and in its section path."""
+def lexical_question(query: Column) -> Column:
+    return t.let(t.significant_tokens(query), lambda q: F.struct(q.alias("q"), bigrams(q).alias("b")))
+
+
+def lexical_passage(path: Column, legal: Column, text: Column) -> Column:
     section = F.array_join(path, " ")
+    full = F.concat_ws("\n", section, F.array_join(legal, " "), text)
+    return t.let(t.significant_tokens(section), lambda s: t.let(t.significant_tokens(full), lambda c: F.struct(s.alias("s"), bigrams(s).alias("sb"), c.alias("c"), bigrams(c).alias("cb"))))
+
+
+def lexical_score(q: Column, p: Column) -> Column:
     capped = lambda most, each, n: F.least(F.lit(most), F.lit(each) * n)
+    whole = capped(5.0, 0.8, common(q["q"], p["c"])) + capped(12.0, 5.0, common(q["b"], p["cb"]))
+    return whole + capped(12.0, 3.0, common(q["q"], p["s"])) + capped(28.0, 10.0, common(q["b"], p["sb"]))
 
-    def score(x: Column) -> Column:
-        q, s, c = x["q"], x["s"], x["c"]
-        whole = capped(5.0, 0.8, common(q, c)) + capped(12.0, 5.0, common(x["qb"], bigrams(c)))
-        return whole + capped(12.0, 3.0, common(q, s)) + capped(28.0, 10.0, common(x["qb"], bigrams(s)))
 
-    full = F.concat_ws("\n", section, F.array_join(legal, " "), text)
-    asked = t.significant_tokens(query)
-    return t.let(F.struct(asked.alias("q"), bigrams(asked).alias("qb"), t.significant_tokens(section).alias("s"), t.significant_tokens(full).alias("c")), score)
+def lexical_evidence(query: Column, path: Column, legal: Column, text: Column) -> Column:
+    """Capped counts of common terms and neighbours, in the whole chunk and in its section path."""
+    return t.let(lexical_question(query), lambda q: t.let(lexical_passage(path, legal, text), lambda p: lexical_score(q, p)))
+
+
+def numeric_question(query: Column) -> Column:
+    return F.struct(t.numeric_intent(query).alias("asks"), t.numeric_tokens(query).alias("numbers"), F.array_distinct(t.significant_tokens(query)).alias("terms"))
+
+
+def numeric_passage(path: Column, text: Column) -> Column:
+    def of(x: Column) -> Column:
+        section, body = x["section"], x["body"]
+        full = F.concat_ws("\n", section, body)
+        points = lambda test, n: F.when(test, F.lit(n)).otherwise(0.0)
+        score = points(t.fold(body).rlike(t.AMOUNT), 4.0) + points(t.fold(full).rlike(t.SCALE), 3.0)
+        score = score + F.when(t.fold(section).rlike(t.NUMERIC_SECTION), 2.0).when(t.fold(F.left(body, F.lit(500))).rlike(t.NUMERIC_SECTION), 1.0).otherwise(0.0)
+        words = F.regexp_extract_all(t.folded(full), F.lit("[a-z0-9]+"), F.lit(0))
+        return F.struct(score.alias("points"), t.numeric_tokens(body).alias("body"), t.numeric_tokens(section).alias("section"), words.alias("words"))
+
+    return t.let(F.struct(t.normalize_ws(F.array_join(path, " ")).alias("section"), t.normalize_ws(text).alias("body")), of)
+
+
+def numeric_score(q: Column, p: Column) -> Column:
+    in_section = F.array_intersect(q["numbers"], p["section"])
+    score = p["points"] + t.let(F.array_intersect(q["numbers"], p["body"]), lambda found: 3.0 * F.size(found) + 2.0 * F.size(F.array_except(in_section, found)))
+    return F.when(q["asks"], score + F.least(F.lit(4.0), 0.75 * common(q["terms"], p["words"]))).otherwise(0.0)
 
 
 def numeric_evidence(query: Column, path: Column, text: Column) -> Column:
     """0 unless the question asks for a number; else points for amounts, scales, sections about numbers, and the question's numbers."""
-    section, body = t.normalize_ws(F.array_join(path, " ")), t.normalize_ws(text)
-    full = F.concat_ws("\n", section, body)
-    points = lambda test, n: F.when(test, F.lit(n)).otherwise(0.0)
-    score = points(t.fold(body).rlike(t.AMOUNT), 4.0) + points(t.fold(full).rlike(t.SCALE), 3.0)
-    score = score + F.when(t.fold(section).rlike(t.NUMERIC_SECTION), 2.0).when(t.fold(F.left(body, F.lit(500))).rlike(t.NUMERIC_SECTION), 1.0).otherwise(0.0)
-    in_body = F.array_intersect(t.numeric_tokens(query), t.numeric_tokens(body))
-    in_section = F.array_intersect(t.numeric_tokens(query), t.numeric_tokens(section))
-    score = score + t.let(in_body, lambda found: 3.0 * F.size(found) + 2.0 * F.size(F.array_except(in_section, found)))
-    terms, words = F.array_distinct(t.significant_tokens(query)), F.regexp_extract_all(t.folded(full), F.lit("[a-z0-9]+"), F.lit(0))
-    score = score + F.least(F.lit(4.0), 0.75 * common(terms, words))
-    return F.when(t.numeric_intent(query), score).otherwise(0.0)
+    return t.let(numeric_question(query), lambda q: F.when(q["asks"], t.let(numeric_passage(path, text), lambda p: numeric_score(q, p))).otherwise(0.0))
+
+
+def structural_question(query: Column) -> Column:
+    return F.struct(t.general_rule_intent(query).alias("rule"), t.exception_intent(query).alias("exception"))
+
+
+def structural_passage(path: Column, text: Column) -> Column:
+    flags = lambda section: F.struct(t.any_marker(section, t.PRINCIPLE).alias("principle"), F.contains(section, F.lit("derogation")).alias("derogation"), t.folded(text).rlike(t.NON_PRINCIPLE_LEAD).alias("remark"))
+    return t.let(t.folded(F.array_join(path, " ")), flags)
+
+
+def structural_score(q: Column, p: Column) -> Column:
+    score = F.when(p["principle"], 8.0).otherwise(0.0) - F.when(p["derogation"] & ~q["exception"], 8.0).otherwise(0.0) - F.when(p["remark"], 6.0).otherwise(0.0)
+    return F.when(q["rule"], score).otherwise(0.0)
 
 
 def structural(query: Column, path: Column, text: Column) -> Column:
     """For questions about the general rule: principle sections up, derogations and remarks down."""
-    section = t.folded(F.array_join(path, " "))
-    score = F.when(t.any_marker(section, t.PRINCIPLE), 8.0).otherwise(0.0)
-    score = score - F.when(F.contains(section, F.lit("derogation")) & ~t.exception_intent(query), 8.0).otherwise(0.0)
-    score = score - F.when(t.folded(text).rlike(t.NON_PRINCIPLE_LEAD), 6.0).otherwise(0.0)
-    return F.when(t.general_rule_intent(query), score).otherwise(0.0)
+    return t.let(structural_question(query), lambda q: t.let(structural_passage(path, text), lambda p: structural_score(q, p)))
+
 
+def asked_features(queries: DataFrame) -> DataFrame:
+    """``query_id, asked`` (tokens to rank by) and what evidence needs of each question, ``lex, num, str``; made once a question."""
+    text = F.col("text")
+    search = F.col("search") if "search" in queries.columns else text
+    return queries.select("query_id", t.tokens(search).alias("asked"), lexical_question(text).alias("lex"), numeric_question(text).alias("num"), structural_question(text).alias("str"))
 
-def prioritized(ranked: DataFrame, chunks: DataFrame, queries: DataFrame, keep: int) -> DataFrame:
+
+def prioritized(ranked: DataFrame, near: DataFrame, features: DataFrame, keep: int) -> DataFrame:
     """Local ranks reordered by BM25 plus evidence; the best ``keep`` a document.
 
-    ``ranked(query_id, ref, item, score, rank)``, ``queries(query_id, text)``.  Returns ``query_id, ref, item, score,
-    local_rank, numeric`` (numeric evidence).
+    ``ranked(query_id, ref, item, score, rank)``, ``near(item, lex, num, str)`` of chunks, ``features`` of :func:`asked_features`.  Returns
+    ``query_id, ref, item, score, local_rank, numeric`` (numeric evidence).
     """
-    q = queries.select("query_id", F.col("text").alias("_q"))
-    rows = ranked.join(chunks.select("item", "path", "legal", "text"), "item").join(q, "query_id")
-    said = F.col("_q")
-    rows = rows.withColumn("numeric", numeric_evidence(said, F.col("path"), F.col("text")))
-    total = F.col("score") + 2.0 * lexical_evidence(said, F.col("path"), F.col("legal"), F.col("text"))
-    total = total + F.when(t.numeric_intent(said), 3.0).otherwise(0.0) * F.col("numeric") + structural(said, F.col("path"), F.col("text"))
+    said = features.select("query_id", *[F.col(c).alias(f"q_{c}") for c in ("lex", "num", "str")])
+    rows = ranked.join(near.select("item", "lex", "num", "str"), "item").join(said, "query_id")
+    rows = rows.withColumn("numeric", numeric_score(F.col("q_num"), F.col("num")))
+    total = F.col("score") + 2.0 * lexical_score(F.col("q_lex"), F.col("lex"))
+    total = total + F.when(F.col("q_num.asks"), 3.0).otherwise(0.0) * F.col("numeric") + structural_score(F.col("q_str"), F.col("str"))
     w = Window.partitionBy("query_id", "ref").orderBy(F.round(total, 9).desc(), "rank", "item")
     return rows.withColumn("local_rank", F.row_number().over(w)).filter(F.col("local_rank") <= keep).select("query_id", "ref", "item", "score", "local_rank", "numeric")
 
@@ -90,29 +125,21 @@ def prefixes_of(parts: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "-"))
 
 
-def _local(pairs: DataFrame, chunks: DataFrame, queries: DataFrame, keep: int) -> DataFrame:
-    """:func:`prioritized` hits of ``pairs(query_id, ref)``; only chunks of these documents are tokenized."""
-    near = staged(chunks.join(pairs.select("ref").distinct(), "ref", "left_semi").select("item", "ref", "path", "legal", "text"), "passages")
+def _local(pairs: DataFrame, chunks: DataFrame, features: DataFrame, keep: int) -> DataFrame:
+    """:func:`prioritized` hits of ``pairs(query_id, ref)``; only chunks of these documents are tokenized, and each once, however many questions ask it."""
+    near = chunks.join(pairs.select("ref").distinct(), "ref", "left_semi")
     search = F.concat_ws("\n", "ref", F.array_join("path", " "), F.nullif(F.array_join("legal", " "), F.lit("")), "text")
-    toks = near.select("item", "ref", t.tokens(search).alias("toks"))
-    asked = queries.select("query_id", t.tokens(F.col("search" if "search" in queries.columns else "text")).alias("toks"))
-    ranked = staged(lexical.rank(toks, asked, None, ["ref"], pairs.select("query_id", "ref").distinct()), "local")
-    return staged(prioritized(ranked, near, queries, keep), "prioritized")
+    path, legal, text = F.col("path"), F.col("legal"), F.col("text")
+    near = staged(near.select("item", "ref", t.tokens(search).alias("toks"), lexical_passage(path, legal, text).alias("lex"), numeric_passage(path, text).alias("num"), structural_passage(path, text).alias("str")), "passages")
+    ranked = staged(lexical.rank(near.select("item", "ref", "toks"), features.select("query_id", F.col("asked").alias("toks")), None, ["ref"], pairs.select("query_id", "ref").distinct()), "local")
+    return staged(prioritized(ranked, near, features, keep), "prioritized")
 
 
 def mentions(named: DataFrame, chunks: DataFrame) -> DataFrame:
-    """``query_id, item`` of chunks whose path or text contains a reference of ``named(query_id, cited)``, in any case.
-
-    A reference begins with "BOI-", so what contains it has it at the beginning of one of the stretches from there.  These are
-    cut to the lengths that occur among the references (one row of few numbers) and joined by equality.
-    """
-    wanted = staged(named.select("query_id", "cited").distinct(), "named")
-    lengths = wanted.agg(F.sort_array(F.collect_set(F.length("cited"))).alias("lengths"))
-    hay = F.upper(F.concat_ws("\n", F.array_join("path", " "), "text"))
-    stretches = F.array_distinct(F.regexp_extract_all(hay, F.lit("(?=(BOI-[A-Z0-9-]*))"), F.lit(1)))
-    rows = chunks.select("item", F.explode(stretches).alias("s")).withColumn("lengths", lengths.scalar())
-    keys = rows.select("item", F.explode(F.transform(F.filter("lengths", lambda n: n <= F.length("s")), lambda n: F.left("s", n))).alias("cited")).distinct()
-    return keys.join(wanted, "cited").select("query_id", "item").distinct()
+    """``query_id, item`` of chunks whose path or text contains a string of ``named(query_id, cited)``, in any case."""
+    wanted = staged(named.select("query_id", F.upper("cited").alias("pattern")).distinct(), "named")
+    hay = chunks.select("item", F.upper(F.concat_ws("\n", F.array_join("path", " "), "text")).alias("text"))
+    return patterns.occurrences(hay, wanted, "item").join(wanted, "pattern").select("query_id", "item").distinct()
 
 
 def direct_search(queries: DataFrame, stage1: DataFrame, chunks: DataFrame, *, top_docs: int = 5, per_doc: int = 2, most: int = 6) -> DataFrame:
@@ -124,8 +151,9 @@ def direct_search(queries: DataFrame, stage1: DataFrame, chunks: DataFrame, *, t
     """
     extra = ["search"] if "search" in queries.columns else []
     queries = staged(queries.select("query_id", "text", *extra, t.numeric_intent(F.col("text")).alias("_numeric")), "questions")
+    features = staged(asked_features(queries), "features")
     docs = staged(stage1.filter(F.col("rank") <= top_docs).select("query_id", "ref", F.col("rank").alias("document_rank")), "stage1")
-    base = _local(docs, chunks, queries, per_doc).join(docs, ["query_id", "ref"]).withColumn("phase", F.lit(0))
+    base = _local(docs, chunks, features, per_doc).join(docs, ["query_id", "ref"]).withColumn("phase", F.lit(0))
     at = Window.partitionBy("query_id").orderBy("document_rank", "local_rank")
     first = base.withColumn("o", F.row_number().over(at)).filter(F.col("o") <= most)
     cited = first.join(chunks.select("item", "path", "legal", "text"), "item").select("query_id", "o", F.posexplode(t.references(_haystack(F.col("path"), F.col("legal"), F.col("text")), 4)).alias("p", "cited"))
@@ -133,6 +161,8 @@ def direct_search(queries: DataFrame, stage1: DataFrame, chunks: DataFrame, *, t
     named = own.unionByName(cited).groupBy("query_id", "cited").agg(F.min(F.struct("o", "p")).alias("at"))
     named = named.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("at"))).filter("n <= 6")
     named = staged(named.select("query_id", "cited", "n"), "cited")
+    if named.isEmpty():  # nothing to follow
+        return _ordered(base.drop("phase"), queries, most)
     n_docs = docs.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_docs"))
     has_own = own.select("query_id").distinct().withColumn("own", F.lit(True))
     start = queries.select("query_id").join(n_docs, "query_id", "left").join(has_own, "query_id", "left")
@@ -144,7 +174,7 @@ def direct_search(queries: DataFrame, stage1: DataFrame, chunks: DataFrame, *, t
     follow = staged(follow.select("query_id", "ref", "start", "step"), "followed")
     steps = follow.groupBy("query_id").agg(F.max("step").alias("steps"))
     follow = follow.groupBy("query_id", "ref").agg((F.min("start") + F.min("step") - 1).alias("document_rank"))
-    followed = _local(follow, chunks, queries, per_doc).join(follow, ["query_id", "ref"]).withColumn("phase", F.lit(1))
+    followed = _local(follow, chunks, features, per_doc).join(follow, ["query_id", "ref"]).withColumn("phase", F.lit(1))
     hits = base.unionByName(followed)
     once = Window.partitionBy("query_id", "item").orderBy("phase")
     hits = hits.withColumn("_n", F.row_number().over(once)).filter("_n = 1").drop("_n", "phase")
@@ -156,7 +186,12 @@ def direct_search(queries: DataFrame, stage1: DataFrame, chunks: DataFrame, *, t
     mention = mention.withColumn("local_rank", F.row_number().over(best)).filter(F.col("local_rank") <= max(2, per_doc))
     mention = mention.join(start, "query_id").join(steps, "query_id", "left")
     mention = mention.select("query_id", "ref", "item", F.lit(0.0).alias("score"), "local_rank", "numeric", (F.col("start") + F.coalesce("steps", F.lit(0))).alias("document_rank"))
-    hits = hits.unionByName(mention).join(queries.select("query_id", "_numeric"), "query_id")
+    return _ordered(hits.unionByName(mention), queries, most)
+
+
+def _ordered(hits: DataFrame, queries: DataFrame, most: int) -> DataFrame:
+    """The best ``most`` hits of each question: by numbers if it asks for one, then local rank, document, score."""
+    hits = hits.join(queries.select("query_id", "_numeric"), "query_id")
     lead = F.when(F.col("_numeric"), -F.round(F.col("numeric") - 0.6 * F.greatest(F.lit(0), F.col("document_rank") - 1), 9)).otherwise(0.0)
     order = Window.partitionBy("query_id").orderBy(lead, "local_rank", "document_rank", F.round("score", 9).desc(), "item")
     hits = hits.withColumn("global_rank", F.row_number().over(order)).filter(F.col("global_rank") <= most)
@@ -166,7 +201,7 @@ def direct_search(queries: DataFrame, stage1: DataFrame, chunks: DataFrame, *, t
 def intra_document(queries: DataFrame, wanted: DataFrame, chunks: DataFrame, most: int = 8, per_doc: int = 8) -> DataFrame:
     """The best passages of named documents: ``wanted(query_id, ref, rank)``, at most eight a question."""
     docs = staged(wanted.filter("rank <= 8").select("query_id", "ref", F.col("rank").alias("document_rank")), "wanted")
-    rows = _local(docs, chunks, queries, per_doc).join(docs, ["query_id", "ref"])
+    rows = _local(docs, chunks, staged(asked_features(queries), "features"), per_doc).join(docs, ["query_id", "ref"])
     w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "document_rank", "local_rank", "item")
     return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most).select("query_id", "rank", "ref", "item", F.col("score").alias("local_score"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.operators import evaluation as ev
-from corpusmill.operators import sampling
+from corpusmill.operators import patterns, sampling
 from corpusmill.plans.q_retrieval import _RANKINGS, rankings
 from corpusmill.plans.registry import query
 from corpusmill.plans.tables import chunks, corpus, questions, sql, table
@@ -16,7 +16,8 @@ _GOLD = {**_RANKINGS, "gold": "SELECT q.query_id, c.ref FROM question q JOIN cor
 
 
 def golds(spark: SparkSession, d: str) -> DataFrame:
-    return corpus(spark, d).join(F.broadcast(questions(spark, d).select("query_id", F.col("text").alias("q"))), F.contains("text", F.col("q"))).select("query_id", F.col("ref").alias("id"))
+    asked = questions(spark, d).select("query_id", F.col("text").alias("pattern"))
+    return patterns.occurrences(corpus(spark, d), asked, "ref").join(asked, "pattern").select("query_id", F.col("ref").alias("id"))
 
 
 def retrieved(spark: SparkSession, d: str) -> DataFrame:

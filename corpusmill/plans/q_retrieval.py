@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as t
-from corpusmill.operators import dense, fusion, lexical, passages, references, runtime
+from corpusmill.operators import dense, fusion, lexical, passages, postings, references, runtime
 from corpusmill.operators.staging import staged
 from corpusmill.plans.q_text import SIG
 from corpusmill.plans.registry import query
@@ -27,6 +27,15 @@ def chunk_items(spark: SparkSession, d: str) -> DataFrame:
     return chunks(spark, d).select("item", "ref", t.tokens(F.col("text")).alias("toks"))
 
 
+def doc_index(spark: SparkSession, d: str, column: str = "text") -> postings.Index:
+    """The stored index of the documents' texts or titles; queries share it."""
+    return postings.stored(corpus(spark, d).select("item", F.col(column).alias("text")), t.tokens(F.col("text")), "tokens-1")
+
+
+def chunk_index(spark: SparkSession, d: str) -> postings.Index:
+    return postings.stored(chunks(spark, d).select("item", "doc", "text"), t.tokens(F.col("text")), "tokens-1", owner="doc")
+
+
 def asked(spark: SparkSession, d: str) -> DataFrame:
     return questions(spark, d).select("query_id", t.tokens(F.col("text")).alias("toks"))
 
@@ -43,13 +52,13 @@ def bm25_stats(spark, d):
 
 @query(sql("SELECT query_id, item, round(score, 6) AS score, rank FROM br WHERE rank <= 5", "corpus", "question", **bm25_ctes("b", DOC_ITEMS, Q), br=ranked("b")))
 def bm25_doc_topk(spark, d):
-    return _scores(lexical.rank(doc_items(spark, d), asked(spark, d), 5), "item")
+    return _scores(postings.rank(doc_index(spark, d), asked(spark, d), 5), "item")
 
 
 @query(sql("SELECT query_id, item, round(score, 6) AS score, rank FROM br WHERE rank <= 30", "corpus", "question", **bm25_ctes("b", TITLE_ITEMS, "SELECT query_id, toks[1:2] AS toks FROM (" + Q + ")"), br=ranked("b")))
 def bm25_zero_fill(spark, d):
     few = asked(spark, d).withColumn("toks", F.slice("toks", 1, 2))
-    return _scores(lexical.rank(doc_items(spark, d, "title"), few, 30), "item")
+    return _scores(postings.rank(doc_index(spark, d, "title"), few, 30), "item")
 
 
 _ROLL = {"bb": "SELECT r.query_id, c.ref, r.item, r.score, row_number() OVER (PARTITION BY r.query_id, c.ref ORDER BY round(r.score, 9) DESC, r.item) AS o FROM bs r JOIN chunk c ON c.item = r.item", "bo": "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, item) AS rank FROM bb WHERE o = 1"}
@@ -57,7 +66,8 @@ _ROLL = {"bb": "SELECT r.query_id, c.ref, r.item, r.score, row_number() OVER (PA
 
 @query(sql("SELECT query_id, ref, item, round(score, 6) AS score, rank FROM bo WHERE rank <= 5", "chunk", "question", **bm25_ctes("b", CHUNK_ITEMS, Q), **_ROLL))
 def bm25_chunk_to_doc(spark, d):
-    return _scores(lexical.rank_owners(chunk_items(spark, d), asked(spark, d), 5), "ref", "item")
+    found = postings.rank(chunk_index(spark, d), asked(spark, d), 5)
+    return _scores(found.join(corpus(spark, d).select(F.col("item").alias("owner"), "ref"), "owner"), "ref", "item")
 
 
 _TOP_DOCS = {**bm25_ctes("b", DOC_ITEMS, Q), "br": ranked("b"), "top": "SELECT r.query_id, c.ref, r.item AS doc, r.rank AS doc_rank, r.score AS doc_score FROM br r JOIN corpus c ON c.item = r.item WHERE r.rank <= 5"}
@@ -66,9 +76,8 @@ _LOCAL = {**_TOP_DOCS, **bm25_ctes("l", LOCAL_ITEMS, Q, "ref", "SELECT query_id,
 
 def top_docs(spark: SparkSession, d: str, k: int = 5) -> DataFrame:
     """``query_id, ref, doc, doc_rank, doc_score``."""
-    items = doc_items(spark, d)
-    best = lexical.rank(items.select("item", "toks"), asked(spark, d), k)
-    return staged(best, "top").join(items.select("item", "ref"), "item").select("query_id", "ref", F.col("item").alias("doc"), F.col("rank").alias("doc_rank"), F.col("score").alias("doc_score"))
+    best = postings.rank(doc_index(spark, d), asked(spark, d), k)
+    return staged(best, "top").join(corpus(spark, d).select("item", "ref"), "item").select("query_id", "ref", F.col("item").alias("doc"), F.col("rank").alias("doc_rank"), F.col("score").alias("doc_score"))
 
 
 def local_ranks(spark: SparkSession, d: str) -> DataFrame:
@@ -195,7 +204,7 @@ def dense_rollup(spark, d):
 @query(sql("""SELECT query_id, item, rank AS old_rank, row_number() OVER (PARTITION BY query_id ORDER BY length(text) DESC, rank) AS rank FROM (SELECT r.*, c.text FROM br r JOIN corpus c ON c.item = r.item WHERE r.rank <= 16)
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY length(text) DESC, rank) <= 8""", "corpus", "question", **bm25_ctes("b", DOC_ITEMS, Q), br=ranked("b")))
 def rerank_stub(spark, d):
-    best = lexical.rank(doc_items(spark, d).select("item", "toks"), asked(spark, d), 16)
+    best = postings.rank(doc_index(spark, d), asked(spark, d), 16)
     rows = dense.rerank(best.join(corpus(spark, d).select("item", "text"), "item"), F.length("text"), 8)
     return rows.select("query_id", "item", F.col("rank").cast("long").alias("old_rank"), F.col("new_rank").cast("long").alias("rank"))
 
@@ -213,7 +222,7 @@ def rankings(spark: SparkSession, d: str) -> DataFrame:
     refs = corpus(spark, d).select("item", "ref")
     out = None
     for source, at, column in (("base", 0, "text"), ("dense", 3, "title")):
-        one = lexical.rank(doc_items(spark, d, column).select("item", "toks"), asked(spark, d), 20).join(refs, "item")
+        one = postings.rank(doc_index(spark, d, column), asked(spark, d), 20).join(refs, "item")
         one = one.select("query_id", F.lit(source).alias("source"), F.lit(at).alias("src_ord"), "ref", "score", F.col("rank").cast("long").alias("rank"))
         out = one if out is None else out.unionByName(one)
     return staged(out, "rankings")
@@ -336,8 +345,8 @@ def prepend_ranked(spark, d):
 
 
 def parts(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks as passages: ``item, ref, path, legal, text``."""
-    return chunks(spark, d).select("item", "ref", F.array("title").alias("path"), no_legal().alias("legal"), "text")
+    """Chunks as passages, ``item, ref, path, legal, text``: a table, as they are read many times."""
+    return staged(chunks(spark, d).select("item", "ref", F.array("title").alias("path"), no_legal().alias("legal"), "text"), "parts")
 
 
 _FULL_ITEMS = f"SELECT ref, item, {tok('ref || chr(10) || title || chr(10) || text')} AS toks FROM chunk"

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import re
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -109,14 +110,31 @@ def parse_json(text: str | None) -> dict | None:
     return None
 
 
-def call(client: Callable[[str, dict], object], task: str, payload: dict, attempts: int = 3) -> dict:
-    """A reply as a dict; a client that fails or says nothing readable ``attempts`` times has insufficient evidence."""
+#: How a provider says how long to wait, and the pause after a failure that doesn't, in seconds for each attempt so far.
+RETRY = [re.compile(x, re.I) for x in t.RETRY]
+PAUSE, LONGEST = 3.0, 60.0
+
+
+def asked_delay(error: object) -> float | None:
+    """:func:`corpusmill.functions.text.retry_delay` of one message."""
+    found = [float(x) for pattern in RETRY for x in pattern.findall(str(error or ""))]
+    return max(found, default=None)
+
+
+def call(client: Callable[[str, dict], object], task: str, payload: dict, attempts: int = 3, pause: Callable[[float], object] = time.sleep) -> dict:
+    """A reply as a dict; a client that fails or says nothing readable ``attempts`` times has insufficient evidence.
+
+    Before another attempt after a failure it pauses, for as long as the error asks (at most ``LONGEST``) or a little more each time.
+    """
     problem = "no readable reply"
-    for _ in range(attempts):
+    for attempt in range(1, attempts + 1):
         try:
             reply = client(task, payload)
         except Exception as e:  # the client is foreign code: whatever it raises is a failed attempt
             problem = f"client failed: {e}"
+            if attempt < attempts:
+                asked = asked_delay(e)
+                pause(min(LONGEST, PAUSE * attempt if asked is None else asked))
             continue
         found = reply if isinstance(reply, dict) else parse_json(str(reply))
         if found is not None:

@@ -26,6 +26,7 @@ from corpusmill.operators import agent_rules as rules
 from corpusmill.operators.staging import staged
 
 Client = Callable[[str, dict], object]
+Tell = Callable[..., object]
 RESCUED = ("evidence_rescue", "intra_document", "global_relaunch")
 #: What is said of a missing axis that doesn't block an answer.
 NOT_BLOCKING = ["non bloquant", "ne change pas la conclusion", "ne modifie pas la conclusion", "precision annexe", "modalite secondaire", "utile en limite", "reserve", "hors perimetre", "hors sujet", "pas demande", "non demande", "eviter une confusion", "utile seulement", "seulement si necessaire", "seulement si", "cadrer la reponse", "eventuel", "eventuelle", "conditions particulieres", "non precise", "non precisees", "pourrait modifier", "pourraient modifier", "faute de faits", "fait declencheur", "faits declencheurs", "non declenche", "non declenchee"]
@@ -232,9 +233,15 @@ def _fresh(rows: DataFrame, order: list[str], seen: DataFrame | None = None) ->
     return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
-def plans(questions: DataFrame, client: Client) -> DataFrame:
+def plans(questions: DataFrame, client: Client, tell: Tell = lambda *_, **__: None) -> DataFrame:
     """The facets of all questions: the client's, or those of :func:`corpusmill.operators.agent_rules.fallback_facets`."""
-    replies = staged(_called(questions, ["query_id", "text"], "query_id long, question string, reply string", lambda i, text: (i, text, json.dumps(agent.call(client, "plan", {"question": text})))), "plans")
+
+    def planned_by(query_id, text):
+        reply = agent.call(client, "plan", {"question": text})
+        tell(query_id, 1, "plan", facets=len(listed(reply.get("facets"))))
+        return query_id, text, json.dumps(reply)
+
+    replies = staged(_called(questions, ["query_id", "text"], "query_id long, question string, reply string", planned_by), "plans")
     said = F.from_json("reply", FACETS)
     rows = replies.select("query_id", "question", F.coalesce(said["reformulated_question"], F.lit("")).alias("reformulated"), F.posexplode(said["facets"]).alias("no", "f")).filter("f is not null")
     rows = rows.select("query_id", "question", "reformulated", (F.col("no") + 1).alias("facet"), "f.name", "f.goal", F.col("f.search_query").alias("query"), F.col("f.bofip_prefix").alias("prefix"), "f.priority", "f.role", "f.blocking", F.col("f.expected_evidence").alias("expected"))
@@ -243,13 +250,15 @@ def plans(questions: DataFrame, client: Client) -> DataFrame:
     return planned.unionByName(rules.fallback_facets(rest))
 
 
-def run(questions: DataFrame, search: Callable[[DataFrame], DataFrame], within: Callable[[DataFrame, DataFrame], DataFrame], client: Client = agent.stub_client, loop: Loop | None = None) -> DataFrame:
+def run(questions: DataFrame, search: Callable[[DataFrame], DataFrame], within: Callable[[DataFrame, DataFrame], DataFrame], client: Client = agent.stub_client, loop: Loop | None = None, tell: Tell | None = None) -> DataFrame:
     """``query_id, status, conclusion, limits, bullets, required, covered, missing, sources, relaunches`` of ``questions(query_id, text)``.
 
+    ``tell(query_id, no, label, **fields)`` is called in tasks after each step of a question (:class:`corpusmill.streaming.events.Emitter`).
     ``sources`` are the ids of the passages that the answer was given; ``relaunches`` counts gaps that brought new ones.
     """
     loop = loop or Loop()
-    facets = staged(rules.facet_queries(plans(questions, client), questions), "facet_queries")
+    tell = tell or (lambda *_, **__: None)
+    facets = staged(rules.facet_queries(plans(questions, client, tell), questions), "facet_queries")
     key = F.col("query_id") * SLOTS + F.col("facet")
     chunk = ["query_id", "facet", "stage", "rank", "ref", "id", "title", "path", "text"]
     named = facets.select("query_id", F.col("facet").alias("_slot"), F.col("name").alias("facet"))
@@ -271,12 +280,15 @@ def run(questions: DataFrame, search: Callable[[DataFrame], DataFrame], within:
         planned, listing = json.loads(planned or "[]"), json.loads(listing or "[]")
         if not loop.review:
             ids = [c["id"] for c in sorted(listing, key=lambda c: c["rank"])][:12]
+            tell(query_id, 2, "review", sources=len(ids))
             return query_id, json.dumps({"useful": ids, "rejected": [], "covered": [], "missing": [], "aside": []})
         reply = agent.call(client, "review", {"question": question, "axes": [f["name"] for f in planned], "chunks": shown(listing, loop.review_sources)}) if listing else {}
         review = review_of(reply, listing)
         if earlier:
             review = merged(json.loads(earlier), review)
-        return query_id, json.dumps(completed(review, planned, listing))
+        review = completed(review, planned, listing)
+        tell(query_id, 3 if earlier else 2, "second review" if earlier else "review", sources=len(listing), missing=len(review["missing"]))
+        return query_id, json.dumps(review)
 
     review_rows = lambda rows: _called(rows, ["query_id", "question", "plan", "sources", "earlier"], "query_id long, review string", reviewed)
     first = staged(review_rows(base.join(sources(chunks), "query_id", "left").withColumn("earlier", F.lit(None).cast("string"))), "review")
@@ -315,6 +327,7 @@ def run(questions: DataFrame, search: Callable[[DataFrame], DataFrame], within:
         ids = selected(listing, said, loop.answer_sources)
         at = {c["id"]: c for c in listing}
         reply = agent.call(client, "answer", {"question": question, "review": said, "sources": [f"{at[i]['ref']}: {at[i]['text']}" for i in ids]})
+        tell(query_id, 4, "answer", sources=len(ids), status=reply.get("answer_status"))
         texts = lambda *names: next(([str(x) for x in reply[n]] for n in names if isinstance(reply.get(n), list)), [])
         aside = [f["name"] for f in planned if not f["blocking"] or f["role"] in rules.SIDE_ROLES] + [g["axis"] for g in said["aside"]]
         return query_id, "error" not in reply, str(reply.get("answer_status") or ""), str(reply.get("conclusion") or ""), str(reply.get("limits") or ""), texts("justification_bullets", "bullets"), texts("axes_couverts"), texts("axes_requis"), texts("axes_manquants"), aside, ids

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,11 +13,13 @@ from corpusmill.operators import agent, dense, index, lexical
 from corpusmill.operators import agent_loop as agent_loop_operator
 from corpusmill.operators import agent_rules as rules
 from corpusmill.operators import evaluation as ev
+from corpusmill.operators.replies import Recorded
 from corpusmill.operators.staging import shared_dir, staged
 from corpusmill.plans.q_retrieval import _LOCAL, _TOP_DOCS, chunk_items, local_ranks, top_docs
 from corpusmill.plans.registry import query
 from corpusmill.plans.tables import chunks, corpus, questions, sql, table
 from corpusmill.sources import questions as bank
+from corpusmill.streaming import events, progress
 
 
 def text_list(items) -> str:
@@ -372,9 +376,8 @@ def gap_client(task: str, payload: dict) -> dict:
     return {"answer_status": "supported", "conclusion": payload["sources"][0][:80], "bullets": ["selon [1]"], "axes_requis": [g["axis"] for g in payload["review"]["missing"]]}
 
 
-@query()
-def agent_loop(spark, d):
-    """All questions through the whole loop, with BM25 over chunks and inside documents."""
+def looped(spark: SparkSession, d: str, tell=None) -> DataFrame:
+    """All questions through the whole loop, with BM25 over chunks and inside documents; replies are kept in the shared folder."""
     items = staged(chunk_items(spark, d), "chunk_items")
     texts = chunks(spark, d).select("item", "title", F.lit("").alias("path"), "text")
     toks = lambda asked_: asked_.select("query_id", t.tokens(F.col("text")).alias("toks"))
@@ -391,4 +394,20 @@ def agent_loop(spark, d):
         w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "item")
         return passages(found.withColumn("rank", F.row_number().over(w)).filter("rank <= 8"))
 
-    return agent_loop_operator.run(questions(spark, d), search, within, gap_client)
+    client = Recorded(gap_client, f"{shared_dir(spark)}/replies", "gap-1")
+    return agent_loop_operator.run(questions(spark, d), search, within, client, tell=tell)
+
+
+@query()
+def agent_loop(spark, d):
+    return looped(spark, d)
+
+
+@query()
+def agent_step_timings(spark, d):
+    """The loop's steps of every question, from the log that its tasks write, which a stream follows: order, fields, and whether time went on."""
+    folder = f"{shared_dir(spark)}/progress-{uuid.uuid4().hex}"
+    looped(spark, d, events.Emitter(f"{folder}/log", "loop")).write.format("noop").mode("overwrite").save()
+    events.follow(spark, f"{folder}/log", f"{folder}/checkpoint", f"{folder}/rows").awaitTermination()
+    timed = progress.step_timings(spark.read.parquet(f"{folder}/rows"), "key", "ts", "no")
+    return timed.select(F.col("key").alias("query_id"), "no", "label", F.element_at("fields", "sources").alias("sources"), (F.coalesce("step_s", F.lit(0.0)) >= 0).alias("forward"), F.col("elapsed_s").isNotNull().alias("timed"))

@@ -23,21 +23,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusmill.llm.common import free_name
-from corpusmill.llm.html_blocks import blocks
+from corpusmill.llm.html_blocks import Node, blocks, on_nodes
 from corpusmill.llm.html_labelled import labelled_pages
 
-Path = tuple[tuple[str, str], ...]
-
-
-def path_features(path: Path) -> list[str]:
-    """What the elements above a block tell."""
-    out = {f"own:{path[-1][0] if path else ''}", f"up:{path[-2][0] if len(path) > 1 else ''}"}
-    for tag, names in path:
-        out.add(f"in:{tag}")
-        out.update(f"name:{w}" for w in re.split(r"[^a-z]+", names) if w)
-    if not {"in:article", "in:main"} & out:
-        out.add("not in article or main")
-    return sorted(out)
+Page = list[tuple[Node, str, int]]
 
 
 def text_features(text: str, linked: int) -> list[str]:
@@ -54,25 +43,19 @@ def text_features(text: str, linked: int) -> list[str]:
     return out
 
 
-#: Elements that are part of a running text, not containers of their own.
-PARTS = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd table tbody thead tfoot tr td th caption blockquote pre figure figcaption address".split())
-
-
-def place_features(page: list[tuple[Path, str, int]]) -> list[tuple[str, ...]]:
+def place_features(page: Page) -> list[tuple[str, ...]]:
     """What a block's container tells: the nearest element above that is no part of a text."""
-    holders, size, number, heads = [], {}, {}, set()
-    for path, text, _ in page:
-        n = len(path)
-        while n and path[n - 1][0] in PARTS:
-            n -= 1
-        holder = path[:n]
-        holders.append(holder)
+    size: dict[Node, int] = {}
+    number: dict[Node, int] = {}
+    heads = set()
+    for node, text, _ in page:
+        holder = node.holder
         size[holder] = size.get(holder, 0) + len(text)
         number[holder] = number.get(holder, 0) + 1
-        if path and path[-1][0] == "h1":
+        if node.tag == "h1":
             heads.add(holder)
     total = sum(size.values())
-    known: dict[Path, tuple[str, ...]] = {}
+    known: dict[Node, tuple[str, ...]] = {}
     for holder, n in size.items():
         share, blocks_ = n / total, number[holder]
         known[holder] = (
@@ -80,12 +63,13 @@ def place_features(page: list[tuple[Path, str, int]]) -> list[tuple[str, ...]]:
             f"blocks:{blocks_ if blocks_ < 3 else 3 if blocks_ < 6 else 6}",
             "with h1" if holder in heads else "h1 elsewhere" if heads else "no h1",
         )
-    return [known[h] for h in holders]
+    return [known[node.holder] for node, _, _ in page]
 
 
-def page_features(page: list[tuple[Path, str, int]], placed: bool = True) -> list[list[str]]:
+def page_features(page: Page, placed: bool = True) -> list[list[str]]:
     """All features of each block; without ``placed`` those of its own alone."""
-    return [path_features(path) + text_features(text, linked) + (list(place) if placed else []) for (path, text, linked), place in zip(page, place_features(page), strict=True)]
+    page = on_nodes(page)
+    return [node.features() + text_features(text, linked) + (list(place) if placed else []) for (node, text, linked), place in zip(page, place_features(page), strict=True)]
 
 
 class Crf:
@@ -94,33 +78,40 @@ class Crf:
     def __init__(self, index: dict[str, int], emit: np.ndarray, move: np.ndarray, start: np.ndarray, end: np.ndarray):
         self.index, self.emit = index, emit
         self.move, self.start, self.end = move.tolist(), start.tolist(), end.tolist()
-        self.paths: dict[Path, tuple[float, float]] = {}
-
-    def _sum(self, features: list[str]) -> tuple[float, float]:
-        rows = [self.index[f] for f in features if f in self.index]
-        a, b = self.emit[rows].sum(axis=0).tolist()
+        self.weights = {f: tuple(self.emit[i].tolist()) for f, i in index.items()}
+
+    def _add(self, sums: tuple[float, float], features) -> tuple[float, float]:
+        a, b = sums
+        for f in features:
+            w = self.weights.get(f)
+            if w is not None:
+                a, b = a + w[0], b + w[1]
         return a, b
 
-    def decode(self, page: list[tuple[Path, str, int]]) -> list[int]:
+    def above(self, node: Node, known: dict[Node, tuple[float, float]]) -> tuple[float, float]:
+        """The weights of what the elements from the root to ``node`` are called: a node's own added to its parent's, once a node (``known``)."""
+        rest = []
+        at: Node | None = node
+        while at is not None and at not in known:
+            rest.append(at)
+            at = at.parent
+        sums = (0.0, 0.0) if at is None else known[at]
+        for n in reversed(rest):
+            sums = known[n] = self._add(sums, n.new)
+        return sums
+
+    def decode(self, page: Page) -> list[int]:
         """The most likely labels (Viterbi; ties go to label 0)."""
         if not page:
             return []
-        if len(self.paths) > 50_000:
-            self.paths.clear()
+        page = on_nodes(page)
+        known: dict[Node, tuple[float, float]] = {}
         back: list[tuple[int, int]] = []
         s0 = s1 = 0.0
         (m00, m01), (m10, m11) = self.move
-        for i, ((path, text, linked), place) in enumerate(zip(page, place_features(page), strict=True)):
-            known = self.paths.get(path)
-            if known is None:
-                known = self.paths[path] = self._sum(path_features(path))
-            own = [*text_features(text, linked), *place]
-            e0, e1 = known
-            for f in own:
-                j = self.index.get(f)
-                if j is not None:
-                    w = self.emit[j]
-                    e0, e1 = e0 + w[0], e1 + w[1]
+        for i, ((node, text, linked), place) in enumerate(zip(page, place_features(page), strict=True)):
+            own = [f"own:{node.tag}", f"up:{node.parent.tag if node.parent else ''}", *(() if node.main else ("not in article or main",)), *text_features(text, linked), *place]
+            e0, e1 = self._add(self.above(node, known), own)
             if i == 0:
                 s0, s1 = self.start[0] + e0, self.start[1] + e1
                 continue
@@ -226,7 +217,8 @@ def _mapper(model: Crf, column: str, name: str):
 def extract(pages: DataFrame, html_col: str = "html", out_col: str | None = None, *, model: Crf | None = None) -> tuple[DataFrame, str]:
     """``pages`` with the main text of ``html_col`` in a new column; returns it and the column's name.
 
-    A null or empty page, or one without main text, gives an empty string.  The new column is ``out_col`` or the first
+    A null or empty page, or one without main text, gives an empty string; a page takes time and memory in proportion to its length, however
+    deep its elements are nested.  The new column is ``out_col`` or the first
     free name like "main_text"; all other columns stay, repeated rows each have their own result.
     """
     name = out_col or free_name(pages, "main_text")

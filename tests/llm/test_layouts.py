@@ -69,3 +69,32 @@ def test_text_of_elements_that_do_not_end():
     page = "<article><h1>One</h1><p>Two <math><mi>x</mi></math> three.</p><p>Four <svg><path d=1> five.</p><object><p>Six seven.</p></article>"
     assert html_extract.main_text(page, model) == "One\n\nTwo x three.\n\nFour five.\n\nSix seven."
     assert html_extract.main_text("<article><p>Two <svg><text>no</text></svg> three.</p></article>" + "<svg>" * 20_000, model) == "Two three."
+
+
+def test_deep_nesting_takes_linear_time_and_memory():
+    import time
+    import tracemalloc
+
+    model = html_extract.default_model()
+    took, held = [], []
+    for n in (10_000, 100_000):
+        page = "".join(f"<div class='a{i % 7} b{i}'>x" for i in range(n)) + "</p></li><li>y" * n
+        tracemalloc.start()
+        start = time.perf_counter()
+        text = html_extract.main_text(page, model)
+        took.append(time.perf_counter() - start)
+        held.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert set(text) <= set("xy\n")
+    assert took[1] < 25 * took[0] and held[1] < 20 * held[0] and held[1] < 500e6
+
+
+def test_features_of_a_path_are_those_of_its_elements():
+    from corpusmill.llm.html_blocks import blocks
+
+    page = "<div class='a b'>one<article id='b c'><p class='a'>two</p></article></div><div class='a b'>three</div><noscript>four</noscript>"
+    found = {text: node for node, text, _ in blocks(page)}
+    assert found["one"] is found["three"]  # the same path is one node
+    assert found["two"].features() == sorted(["own:p", "up:article", "in:div", "in:article", "in:p", "name:a", "name:b", "name:c"])
+    assert found["one"].features() == sorted(["own:div", "up:", "in:div", "name:a", "name:b", "not in article or main"])
+    assert found["two"].holder.tag == "article" and "four" in found

@@ -10,7 +10,9 @@ version line, a length, its end mark, and the digests that it states.  Where a c
 bytes from there to the next gzip member or version line at which a whole valid record begins, logs the gap with
 its reason, and goes on; later records are never lost to an earlier fault.  Inside a member the same holds for its
 content; of a member that is cut off or damaged, the whole records before the fault whose digests agree are kept.
-The time is linear in the archive, however many members it has.
+Blocks that prove to be none are looked through up to ``PATIENCE`` times the archive's length in all; from then on, a record whose
+block holds another version line is a gap, with that reason, and what begins at that line is read.  So the time is linear in a plain
+archive, and in the content of a zipped one whose members are whole.
 
 Scale: digests meet by partial aggregation; only payloads that occur twice have a row in the table of first
 pages, which is broadcast after it has been counted and found small, and joined (AQE splits a hot digest) if not.
@@ -116,7 +118,15 @@ def write_warc(pages: DataFrame, path: str | None = None, id_col: str = "page_id
 
 
 class Fault(Exception):
-    """A record that isn't valid; the text says why."""
+    """A record that isn't valid; the text says why.  ``cost``: the bytes that were looked through to find out."""
+
+    def __init__(self, why: str, cost: int = 0):
+        super().__init__(why)
+        self.cost = cost
+
+
+#: How often over, in all, blocks may be looked through that prove to be none, before those that claim later records are no longer.
+PATIENCE = 16
 
 
 _VERSION = re.compile(rb"WARC/[01]\.\d+\r?\n")
@@ -136,8 +146,29 @@ def _checked(stated: str | None, data: bytes, what: str) -> bool:
     return True
 
 
-def parse_record(data: bytes, at: int) -> tuple[dict, int]:
-    """The record that begins at ``at`` and where it ends (its end mark included); raises :class:`Fault`."""
+def _content(fields: dict[str, str], block: bytes) -> tuple[bytes | None, int, bool]:
+    """Payload, its length, and whether a digest vouches for the record."""
+    sure = _checked(fields.get("warc-block-digest"), block, "block")
+    payload, length = block, len(block)
+    if fields.get("content-type", "").replace(" ", "").startswith("application/http"):
+        head, gap, payload = block.partition(b"\r\n\r\n")
+        if not gap:
+            raise Fault("HTTP header doesn't end")
+        stated = re.search(rb"(?im)^content-length:\s*(\d+)", head)
+        length = int(stated[1]) if stated else len(payload)
+    if fields["warc-type"] == "revisit":
+        payload = None
+    else:
+        length = len(payload)
+        sure |= _checked(fields.get("warc-payload-digest"), payload, "payload")
+    return payload, length, sure
+
+
+def parse_record(data: bytes, at: int, patient: bool = True) -> tuple[dict, int]:
+    """The record that begins at ``at`` and where it ends (its end mark included); raises :class:`Fault`.
+
+    Unless ``patient``, a block in which another version line stands isn't looked through, and is a fault.
+    """
     version = _VERSION.match(data, at)
     if not version:
         raise Fault("no version line")
@@ -165,20 +196,12 @@ def parse_record(data: bytes, at: int) -> tuple[dict, int]:
         raise Fault("block is cut off")
     if data[last : last + 4] != b"\r\n\r\n":
         raise Fault("no end mark after the block")
-    block = data[begin:last]
-    sure = _checked(fields.get("warc-block-digest"), block, "block")
-    payload, length = block, len(block)
-    if fields.get("content-type", "").replace(" ", "").startswith("application/http"):
-        head, gap, payload = block.partition(b"\r\n\r\n")
-        if not gap:
-            raise Fault("HTTP header doesn't end")
-        stated = re.search(rb"(?im)^content-length:\s*(\d+)", head)
-        length = int(stated[1]) if stated else len(payload)
-    if fields["warc-type"] == "revisit":
-        payload = None
-    else:
-        length = len(payload)
-        sure |= _checked(fields.get("warc-payload-digest"), payload, "payload")
+    if not patient and _VERSION.search(data, begin, last):
+        raise Fault("claims a later record, after many that proved to be none")
+    try:
+        payload, length, sure = _content(fields, data[begin:last])
+    except Fault as e:
+        raise Fault(str(e), last - begin) from None
     return {"fields": fields, "payload": payload, "length": length, "sure": sure}, last + 4
 
 
@@ -218,7 +241,7 @@ def salvage(data: bytes, zipped: bool = True) -> Iterator[tuple[str, int, int, o
     def one(at: int) -> tuple[list[tuple[str, object]], int, str | None]:
         """What begins at ``at`` and where it ends; or the reason why it doesn't end well, what is kept, and where to go on."""
         if not zipped or data[at : at + 3] != b"\x1f\x8b\x08":
-            record, end = parse_record(data, at)
+            record, end = parse_record(data, at, spent <= PATIENCE * len(data))
             return [("record", record)], end, None
         inner, end, why, marks = _inflated(data, at)
         found = list(salvage(inner, False))
@@ -231,11 +254,13 @@ def salvage(data: bytes, zipped: bool = True) -> Iterator[tuple[str, int, int, o
         return [(kind, x if kind == "record" else f"bytes {a} to {b} in gzip member: {x}") for kind, a, b, x in found], end, None
 
     at, bad, why = 0, None, ""
+    spent = 0
     while at < len(data):
         try:
             found, end, fault = one(at)
         except Fault as e:
             found, end, fault = [], at, str(e)
+            spent += e.cost
         if bad is not None and found:
             yield "gap", bad, at, why
             bad = None

@@ -481,6 +481,30 @@ def test_warc_many_false_starts_take_linear_time():
     assert time.perf_counter() - start < 20
 
 
+def test_warc_nested_claims_take_linear_time():
+    """Records that each claim all later ones, with a digest that differs: the whole one among them is found."""
+    import time
+
+    def nested(n):
+        data = archive(1)[0]
+        tail = len(data) + 4
+        parts = []
+        for i in range(n):
+            head = f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:x:{i}>\r\nWARC-Block-Digest: sha256:{'0' * 64}\r\nContent-Length: "
+            size = f"{tail:09d}\r\n\r\n"
+            parts.append(head + size)
+            tail += len(head) + len(size)
+        return "".join(reversed(parts)).encode() + data + b"\r\n\r\n"
+
+    took = []
+    for n in (2000, 20_000):
+        start = time.perf_counter()
+        found = list(warc.salvage(nested(n)))
+        took.append(time.perf_counter() - start)
+        assert [x["fields"]["warc-record-id"] for kind, _, _, x in found if kind == "record"] == ["<urn:x-page:0>"]
+    assert took[1] < 25 * max(took[0], 0.05)
+
+
 def test_warc_members_of_many_records():
     import gzip
 

@@ -105,7 +105,7 @@ def address_suffix(host: Column) -> Column:
 
 def declared_language(markup: Column) -> Column:
     """The primary language that a page's html element declares, in lower case; else null."""
-    return F.nullif(F.lower(F.regexp_extract(markup, r"(?is)<html[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})", 1)), F.lit(""))
+    return F.nullif(F.lower(F.regexp_extract(markup, r"(?is)<html\s(?:[^>]*?[\s\"'])?(?:xml:)?lang\s*=\s*[\"']?([a-z]{2,3})", 1)), F.lit(""))
 
 
 def _argmax(values: Column) -> Column:

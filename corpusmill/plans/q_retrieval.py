@@ -369,9 +369,21 @@ def direct_passages(spark, d):
     return _hits(passages.direct_search(questions(spark, d), stage1, parts(spark, d)))
 
 
-@query()
+_NAMED_Q = "SELECT query_id, text || ' voir BOI-EN-SRC' || (query_id % 20) || '-' || (query_id % 3) AS text FROM question"
+_FOLLOW = {
+    **_TOP_DOCS, "nq": _NAMED_Q,
+    "named": "SELECT query_id, 'BOI-EN-SRC' || (query_id % 20) || '-' || (query_id % 3) AS cited FROM question",
+    "fol": "SELECT n.query_id, c.ref, row_number() OVER (PARTITION BY n.query_id ORDER BY c.ref) - 1 AS doc_rank FROM named n JOIN (SELECT DISTINCT ref FROM chunk) c ON c.ref = n.cited OR starts_with(c.ref, n.cited || '-')",
+    **bm25_ctes("l", _FULL_ITEMS, f"SELECT query_id, {tok('text')} AS toks FROM nq", "ref", "SELECT query_id, ref FROM top UNION SELECT query_id, ref FROM fol"), "lr": ranked("l", "ref"),
+    **_EV, "qs0": _EV["qs0"].replace("FROM question", "FROM nq"), "pr": _DIRECT["pr"],
+    "hit": "SELECT p.*, t.doc_rank, 0 AS phase FROM pr p JOIN top t ON t.query_id = p.query_id AND t.ref = p.ref WHERE local_rank <= 2 UNION ALL SELECT p.*, f.doc_rank, 1 FROM pr p JOIN fol f ON f.query_id = p.query_id AND f.ref = p.ref WHERE local_rank <= 2",
+    "once": "SELECT * FROM hit QUALIFY row_number() OVER (PARTITION BY query_id, item ORDER BY phase) = 1",
+}
+
+
+@query(sql(f"SELECT query_id, rank, doc_rank, local_rank, ref, item, round(score, 6) AS score FROM (SELECT *, {_PLAIN_ORDER} AS rank FROM once) WHERE rank <= 40", "corpus", "chunk", "question", **_FOLLOW))
 def follow_references(spark, d):
-    """As ``direct_passages``, with references in the questions that are followed one hop."""
+    """As ``direct_passages``, with references in the questions that are followed one hop (in the tables no text names a reference, so the SQL has none that passages cite)."""
     stage1 = top_docs(spark, d).withColumnRenamed("doc_rank", "rank")
     named = questions(spark, d).withColumn("text", F.concat("text", F.lit(" voir BOI-EN-SRC"), F.col("query_id") % 20, F.lit("-"), F.col("query_id") % 3))
     return _hits(passages.direct_search(named, stage1, parts(spark, d), most=40))

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.operators import dense
+from corpusmill.operators import dense, pivots
 from corpusmill.operators.staging import shared_dir, staged
 from corpusmill.plans.q_retrieval import _DOT, _scores
 from corpusmill.plans.registry import query
@@ -70,6 +70,15 @@ def dense_npy(spark, d):
     return _scores(dense.nearest(rows, vector_queries(spark, d), 10), "item")
 
 
+@query(sql("SELECT query_id, item, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, item) AS rank FROM dot) WHERE rank <= 10", "vec", "vecq", dot=_DOT))
+def dense_pivots(spark, d):
+    """As ``dense_topk``, over a stored index that skips the blocks of vectors whose bounds are too low."""
+    kept = vectors(spark, d).select("item", "vector")
+    index = pivots.build(kept, f"{shared_dir(spark)}/pivots-{uuid.uuid4().hex}")
+    found, _ = pivots.nearest(index, vector_queries(spark, d), 10)
+    return _scores(found, "item")
+
+
 @query("""SELECT CASE WHEN doc_id % 3 = 0 THEN 'run-a' WHEN doc_id % 3 = 1 THEN 'run b' ELSE 'run-c' END AS run, source, count(*) AS n, sum(n_chars)::BIGINT AS n_chars FROM documents GROUP BY ALL""")
 def published_runs(spark, d):
     """Three runs over ``documents``, each published twice, one after a writer that died before its list was in place."""

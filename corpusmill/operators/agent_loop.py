@@ -3,7 +3,8 @@
 Searches are two functions from rows to rows, so every round is a few plans over all questions:
 
 * ``search(asked)``: ``asked(query_id, text, prefix)`` to passages ``query_id, rank, ref, item, title, path, text``;
-* ``within(asked, wanted)``: the same inside the documents ``wanted(query_id, ref, rank)``.
+* ``within(asked, wanted)``: the same inside the documents ``wanted(query_id, ref, rank)``;
+* ``documents(asked)``, if there is one: ``query_id, ref, rank``, the documents that a search finds before it looks for passages.
 
 The client is called on executors, in batches, with a task (``plan``, ``review``, ``answer``) and a payload; what it says is put in
 order by rules before it has an effect.  A question holds at most 5 facets, 3 gaps and some 60 passages, so its rows fit a task.
@@ -123,6 +124,13 @@ def _gap(item: dict) -> dict | None:
     return {"axis": axis or query, "prefix": prefix_of(item.get("bofip_prefix")), "query": query, "why": why, "role": "reserve" if unsaid else role if role in rules.ROLES else "core", "blocking": not unsaid and _blocks(item.get("blocking"), role)}
 
 
+def context_of(reply: dict, question: str) -> dict:
+    """What a plan says besides its facets: the question in other words, facts, ambiguities, and axes that it leaves out and why."""
+    texts = lambda key: [clipped(x, 180) for x in listed(reply.get(key)) if str(x or "").strip()][:8]
+    left_out = [{"axis": clipped(x.get("axis"), 90), "reason": clipped(x.get("reason"), 160)} for x in listed(reply.get("excluded_axes")) if isinstance(x, dict)]
+    return {"question": clipped(reply.get("reformulated_question"), 260) or question, "facts": texts("facts"), "ambiguities": texts("ambiguities"), "excluded": [x for x in left_out if x["axis"] or x["reason"]][:8]}
+
+
 def review_of(reply: dict, chunks: list[dict]) -> dict:
     """A review with known passages only, axes clipped, gaps split by whether they block; an axis said to be covered without a passage that is about it is a gap."""
     known = {c["id"] for c in chunks}
@@ -233,37 +241,42 @@ def _fresh(rows: DataFrame, order: list[str], seen: DataFrame | None = None) ->
     return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
-def plans(questions: DataFrame, client: Client, tell: Tell = lambda *_, **__: None) -> DataFrame:
-    """The facets of all questions: the client's, or those of :func:`corpusmill.operators.agent_rules.fallback_facets`."""
+def plans(questions: DataFrame, client: Client, tell: Tell = lambda *_, **__: None) -> tuple[DataFrame, DataFrame]:
+    """The facets of all questions, the client's or those of :func:`corpusmill.operators.agent_rules.fallback_facets`; and ``query_id,
+    context``, :func:`context_of` the client's plan as JSON.
+    """
 
     def planned_by(query_id, text):
         reply = agent.call(client, "plan", {"question": text})
         tell(query_id, 1, "plan", facets=len(listed(reply.get("facets"))))
-        return query_id, text, json.dumps(reply)
+        return query_id, text, json.dumps(reply), json.dumps(context_of(reply, text), ensure_ascii=False)
 
-    replies = staged(_called(questions, ["query_id", "text"], "query_id long, question string, reply string", planned_by), "plans")
+    replies = staged(_called(questions, ["query_id", "text"], "query_id long, question string, reply string, context string", planned_by), "plans")
     said = F.from_json("reply", FACETS)
     rows = replies.select("query_id", "question", F.coalesce(said["reformulated_question"], F.lit("")).alias("reformulated"), F.posexplode(said["facets"]).alias("no", "f")).filter("f is not null")
     rows = rows.select("query_id", "question", "reformulated", (F.col("no") + 1).alias("facet"), "f.name", "f.goal", F.col("f.search_query").alias("query"), F.col("f.bofip_prefix").alias("prefix"), "f.priority", "f.role", "f.blocking", F.col("f.expected_evidence").alias("expected"))
     planned = staged(rules.plan_facets(rows), "facets")
     rest = questions.join(planned.select("query_id").distinct(), "query_id", "left_anti")
-    return planned.unionByName(rules.fallback_facets(rest))
+    return planned.unionByName(rules.fallback_facets(rest)), replies.select("query_id", "context")
 
 
-def run(questions: DataFrame, search: Callable[[DataFrame], DataFrame], within: Callable[[DataFrame, DataFrame], DataFrame], client: Client = agent.stub_client, loop: Loop | None = None, tell: Tell | None = None) -> DataFrame:
+def run(questions: DataFrame, search: Callable[[DataFrame], DataFrame], within: Callable[[DataFrame, DataFrame], DataFrame], client: Client = agent.stub_client, loop: Loop | None = None, tell: Tell | None = None, documents: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``query_id, status, conclusion, limits, bullets, required, covered, missing, sources, relaunches`` of ``questions(query_id, text)``.
 
     ``tell(query_id, no, label, **fields)`` is called in tasks after each step of a question (:class:`corpusmill.streaming.events.Emitter`).
-    ``sources`` are the ids of the passages that the answer was given; ``relaunches`` counts gaps that brought new ones.
+    Review and answer are told the plan's context; the answer's payload has the prompt of :func:`corpusmill.operators.agent_rules.prompt`
+    over the selected passages.  ``sources`` are the ids of the passages that the answer was given; ``relaunches`` counts gaps that brought new ones.
     """
     loop = loop or Loop()
     tell = tell or (lambda *_, **__: None)
-    facets = staged(rules.facet_queries(plans(questions, client, tell), questions), "facet_queries")
+    facets, context = plans(questions, client, tell)
+    facets = staged(rules.facet_queries(facets, questions), "facet_queries")
     key = F.col("query_id") * SLOTS + F.col("facet")
     chunk = ["query_id", "facet", "stage", "rank", "ref", "id", "title", "path", "text"]
     named = facets.select("query_id", F.col("facet").alias("_slot"), F.col("name").alias("facet"))
 
-    found = staged(_passages(search(facets.select(key.alias("query_id"), F.concat_ws(" ", "search", "passages").alias("text"), "prefix")), loop.per_facet, SLOTS), "found")
+    first_asked = facets.select(key.alias("query_id"), F.concat_ws(" ", "search", "passages").alias("text"), "prefix")
+    found = staged(_passages(search(first_asked), loop.per_facet, SLOTS), "found")
     found = found.withColumnRenamed("_owner", "query_id")
     asked = facets.select(key.alias("key"), F.posexplode("evidence").alias("e", "text"), "prefix").select((F.col("key") * EVIDENCES + F.col("e")).alias("query_id"), "key", "text", "prefix")
     refs = found.groupBy((F.col("query_id") * SLOTS + F.col("_slot")).alias("key"), "ref").agg(F.min("rank").alias("rank"))
@@ -273,16 +286,16 @@ def run(questions: DataFrame, search: Callable[[DataFrame], DataFrame], within:
     chunks = staged(_fresh(every, ["_slot", "_e", "rank"]).join(named, ["query_id", "_slot"]).select(*chunk, (F.col("_slot") * 1000 + F.col("_e") * 100 + F.col("rank")).alias("pos")), "chunks")
 
     plan = _json(facets, "plan", "facet", "name", "goal", "query", "prefix", "role", "blocking", order="facet")
-    base = staged(questions.select("query_id", F.col("text").alias("question")).join(plan, "query_id", "left"), "base")
+    base = staged(questions.select("query_id", F.col("text").alias("question")).join(plan, "query_id", "left").join(context, "query_id", "left"), "base")
     sources = lambda rows: _json(rows, "sources", "pos", *chunk[1:], order="pos")
 
-    def reviewed(query_id, question, planned, listing, earlier):
+    def reviewed(query_id, question, planned, told, listing, earlier):
         planned, listing = json.loads(planned or "[]"), json.loads(listing or "[]")
         if not loop.review:
             ids = [c["id"] for c in sorted(listing, key=lambda c: c["rank"])][:12]
             tell(query_id, 2, "review", sources=len(ids))
             return query_id, json.dumps({"useful": ids, "rejected": [], "covered": [], "missing": [], "aside": []})
-        reply = agent.call(client, "review", {"question": question, "axes": [f["name"] for f in planned], "chunks": shown(listing, loop.review_sources)}) if listing else {}
+        reply = agent.call(client, "review", {"question": question, "plan": json.loads(told or "{}"), "axes": [f["name"] for f in planned], "chunks": shown(listing, loop.review_sources)}) if listing else {}
         review = review_of(reply, listing)
         if earlier:
             review = merged(json.loads(earlier), review)
@@ -290,7 +303,7 @@ def run(questions: DataFrame, search: Callable[[DataFrame], DataFrame], within:
         tell(query_id, 3 if earlier else 2, "second review" if earlier else "review", sources=len(listing), missing=len(review["missing"]))
         return query_id, json.dumps(review)
 
-    review_rows = lambda rows: _called(rows, ["query_id", "question", "plan", "sources", "earlier"], "query_id long, review string", reviewed)
+    review_rows = lambda rows: _called(rows, ["query_id", "question", "plan", "context", "sources", "earlier"], "query_id long, review string", reviewed)
     first = staged(review_rows(base.join(sources(chunks), "query_id", "left").withColumn("earlier", F.lit(None).cast("string"))), "review")
     review, relaunched = first, None
     if loop.relaunch and loop.review:
@@ -299,8 +312,11 @@ def run(questions: DataFrame, search: Callable[[DataFrame], DataFrame], within:
         gaps = staged(gaps, "gaps")
         told = F.concat_ws(" ", "axis", "query", "why")
         kinds = F.explode(F.array(F.lit("stage2"), F.lit("selected")))
-        routes = found.join(facets.select("query_id", F.col("facet").alias("_slot"), F.concat_ws(" ", "name", "goal", "query", F.array_join("expected", " ")).alias("said")), ["query_id", "_slot"])
-        routes = routes.select("query_id", F.col("_slot").alias("route"), F.col("said").alias("text"), kinds.alias("kind"), F.col("rank").alias("place"), "ref")
+        asked_for = facets.select("query_id", F.col("facet").alias("_slot"), F.concat_ws(" ", "name", "goal", "query", F.array_join("expected", " ")).alias("said"))
+        routes = found.join(asked_for, ["query_id", "_slot"]).select("query_id", F.col("_slot").alias("route"), F.col("said").alias("text"), kinds.alias("kind"), F.col("rank").alias("place"), "ref")
+        if documents is not None:
+            before = documents(first_asked).filter("rank <= 8").select(F.floor(F.col("query_id") / SLOTS).alias("query_id"), F.pmod("query_id", F.lit(SLOTS)).cast("int").alias("_slot"), F.col("rank").cast("int").alias("place"), "ref")
+            routes = routes.unionByName(before.join(asked_for, ["query_id", "_slot"]).select("query_id", F.col("_slot").alias("route"), F.col("said").alias("text"), F.lit("stage1").alias("kind"), "place", "ref"))
         candidates = rules.candidate_refs(gaps.select("gap", "query_id", told.alias("axis"), "prefix"), routes, chunks.select("query_id", F.col("pos").alias("place"), "ref", "title", "path", "text"))
         queries = rules.facet_queries(gaps.select("query_id", "gap", F.col("axis").alias("name"), F.coalesce(F.nullif("why", F.lit("")), F.lit("Compléter la couverture documentaire")).alias("goal"), "query", "prefix", F.array_compact(F.array(F.nullif("why", F.lit("")))).alias("expected")), questions)
         queries = staged(queries.select(F.col("gap").alias("query_id"), "search", "passages", "prefix"), "gap_queries")
@@ -322,19 +338,26 @@ def run(questions: DataFrame, search: Callable[[DataFrame], DataFrame], within:
             second = staged(review_rows(again), "second_review")
             review = first.join(second.select("query_id"), "query_id", "left_anti").unionByName(second)
 
-    def answered(query_id, question, planned, listing, said):
-        planned, listing, said = json.loads(planned or "[]"), json.loads(listing or "[]"), json.loads(said)
-        ids = selected(listing, said, loop.answer_sources)
+    def chosen(query_id, listing, said):
+        return query_id, selected(json.loads(listing or "[]"), json.loads(said), loop.answer_sources)
+
+    state = base.join(sources(chunks), "query_id", "left").join(review, "query_id")
+    picks = staged(_called(state, ["query_id", "sources", "review"], "query_id long, ids array<string>", chosen), "selected")
+    hits = picks.select("query_id", F.posexplode("ids").alias("_p", "id")).join(chunks.select("query_id", "id", "ref", "title", "path", "text"), ["query_id", "id"])
+    hits = hits.select("query_id", (F.col("_p") + 1).alias("rank"), "ref", "title", F.lit("").alias("date"), "path", "text")
+    state = state.join(picks, "query_id").join(rules.extracts(hits), "query_id", "left").withColumn("prompt", rules.prompt(F.col("question"), F.col("extracts")))
+
+    def answered(query_id, question, planned, told, listing, said, ids, prompt):
+        planned, listing, said, ids = json.loads(planned or "[]"), json.loads(listing or "[]"), json.loads(said), list(ids)
         at = {c["id"]: c for c in listing}
-        reply = agent.call(client, "answer", {"question": question, "review": said, "sources": [f"{at[i]['ref']}: {at[i]['text']}" for i in ids]})
+        reply = agent.call(client, "answer", {"question": question, "plan": json.loads(told or "{}"), "prompt": prompt, "review": said, "sources": [f"{at[i]['ref']}: {at[i]['text']}" for i in ids]})
         tell(query_id, 4, "answer", sources=len(ids), status=reply.get("answer_status"))
         texts = lambda *names: next(([str(x) for x in reply[n]] for n in names if isinstance(reply.get(n), list)), [])
         aside = [f["name"] for f in planned if not f["blocking"] or f["role"] in rules.SIDE_ROLES] + [g["axis"] for g in said["aside"]]
         return query_id, "error" not in reply, str(reply.get("answer_status") or ""), str(reply.get("conclusion") or ""), str(reply.get("limits") or ""), texts("justification_bullets", "bullets"), texts("axes_couverts"), texts("axes_requis"), texts("axes_manquants"), aside, ids
 
-    state = base.join(sources(chunks), "query_id", "left").join(review, "query_id")
     out = "answer_id long, readable boolean, status string, conclusion string, limits string, bullets array<string>, covered array<string>, required array<string>, missing array<string>, aside array<string>, sources array<string>"
-    answers = staged(_called(state, ["query_id", "question", "plan", "sources", "review"], out, answered), "answers")
+    answers = staged(_called(state, ["query_id", "question", "plan", "context", "sources", "review", "ids", "prompt"], out, answered), "answers")
     clean = rules.clean_status(answers)
     rows = answers.select("answer_id", "conclusion", "limits", "bullets", "covered", "sources").join(clean, "answer_id").withColumnRenamed("answer_id", "query_id")
     if relaunched is None:

@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as t
-from corpusmill.operators import agent, dense, index, lexical
+from corpusmill.operators import agent, dense, index, lexical, postings
 from corpusmill.operators import agent_loop as agent_loop_operator
 from corpusmill.operators import agent_rules as rules
 from corpusmill.operators import evaluation as ev
 from corpusmill.operators.replies import Recorded
 from corpusmill.operators.staging import shared_dir, staged
-from corpusmill.plans.q_retrieval import _LOCAL, _TOP_DOCS, chunk_items, local_ranks, top_docs
+from corpusmill.plans.q_retrieval import _LOCAL, _TOP_DOCS, chunk_items, doc_index, local_ranks, top_docs
 from corpusmill.plans.registry import query
 from corpusmill.plans.tables import chunks, corpus, questions, sql, table
 from corpusmill.sources import questions as bank
@@ -394,8 +394,13 @@ def looped(spark: SparkSession, d: str, tell=None) -> DataFrame:
         w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "item")
         return passages(found.withColumn("rank", F.row_number().over(w)).filter("rank <= 8"))
 
-    client = Recorded(gap_client, f"{shared_dir(spark)}/replies", "gap-1")
-    return agent_loop_operator.run(questions(spark, d), search, within, client, tell=tell)
+    by_text, refs = doc_index(spark, d), corpus(spark, d).select("item", "ref")
+
+    def documents(asked_: DataFrame) -> DataFrame:
+        return postings.rank(by_text, toks(asked_), 8).join(refs, "item").select("query_id", "ref", "rank")
+
+    client = Recorded(gap_client, f"{shared_dir(spark)}/replies", "gap-2")
+    return agent_loop_operator.run(questions(spark, d), search, within, client, tell=tell, documents=documents)
 
 
 @query()

@@ -123,6 +123,32 @@ def test_loop(spark, searches, client):
     assert list(unread[1]["sources"]) == ["1"]
 
 
+def test_loop_tells_the_plan_and_asks_by_prompt(spark, searches, client):
+    """Facts, ambiguities and axes left out reach review and answer; the answer is asked by a prompt; first documents are routes."""
+
+    def telling(task, payload):
+        if task == "plan":
+            more = {"facts": ["un fait", " ", "x" * 300], "ambiguities": ["laquelle ?"], "excluded_axes": [{"axis": "hors", "reason": "non demandé"}, {}, "z"], "reformulated_question": "alpha, autrement"}
+            return {**json.loads(client(task, payload)), **more}
+        if task == "answer":
+            return {"conclusion": json.dumps([payload["plan"], payload["prompt"]]), "bullets": ["b [1]"]}
+        assert payload["plan"]["excluded"] == [{"axis": "hors", "reason": "non demandé"}]
+        return client(task, payload)
+
+    asked = spark.createDataFrame([(1, "alpha near")], "query_id long, text string")
+    seen = []
+
+    def documents(rows):
+        seen.append(rows.columns)
+        return rows.select("query_id", F.lit("BOI-TVA-X-10").alias("ref"), F.lit(1).alias("rank"))
+
+    plan, prompt = json.loads(agent_loop.run(asked, *searches, telling, documents=documents).first()["conclusion"])
+    assert plan["facts"] == ["un fait", "x" * 177 + "..."] and plan["ambiguities"] == ["laquelle ?"] and plan["question"] == "alpha, autrement"
+    assert prompt.startswith("QUESTION:\nalpha near\n\nEXTRAITS:\n[1] BOI: ") and "[2] BOI: " in prompt
+    assert seen == [["query_id", "text", "prefix"]]
+    assert agent_loop.context_of({}, "q") == {"question": "q", "facts": [], "ambiguities": [], "excluded": []}
+
+
 def test_point_scores(spark):
     rows = spark.createDataFrame([(1, ["BOI-A"], [], ["taux réduit applicable", ""], [], ["BOI-A-10", ""], "le taux reduit est applicable", "", "", False, True, 1)], "run_id int, required array<string>, optional array<string>, points array<string>, signals array<string>, refs array<string>, answer string, labels string, stages string, reviewed boolean, concluded boolean, iterations int")
     r = ev.agentic_scores(rows).first()

@@ -11,6 +11,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+#: The tables that this process made, as long as they aren't discarded.
+MADE: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,5 +29,19 @@ def shared_dir(spark: SparkSession) -> str:
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet and read again."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    MADE.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession) -> int:
+    """Deletes the intermediate tables that this process made so far, and returns their number.
+
+    For the end of a job: DataFrames that were returned before may read these tables, so write or collect them first.  Stored indexes,
+    replies and published runs stay.
+    """
+    n = 0
+    while MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(MADE.pop())
+        n += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return n

@@ -76,3 +76,12 @@ def test_occurrences_equal_plain_search(spark, monkeypatch, most):
     assert sorted(map(tuple, found.collect())) == sorted(want)
     assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
     assert patterns.occurrences(spark.createDataFrame(texts, "item long, text string"), spark.createDataFrame([], "pattern string"), "item").count() == 0
+
+
+def test_intermediate_tables_are_discarded(spark):
+    from corpusmill.operators import staging
+
+    staging.discard(spark)
+    df = staging.staged(spark.range(5), "some")
+    assert df.count() == 5 and len(staging.MADE) == 1
+    assert staging.discard(spark) == 1 and staging.MADE == [] and staging.discard(spark) == 0

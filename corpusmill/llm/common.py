@@ -13,6 +13,8 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.operators.staging import MADE
+
 _LOCAL: dict[str, str] = {}
 
 
@@ -32,7 +34,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path for a table in the shared folder, which ``corpusmill.operators.staging.discard`` deletes at the end of a job."""
+    MADE.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return MADE[-1]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -11,8 +11,8 @@ in them.  Beyond ``most_buckets`` the rows are first scattered to groups of buck
 a time, with ``most_buckets`` buckets together, go on to their buckets.  What is in a bucket, and so the result, is the same.
 
 The hash covers the row's id and its place in the input, so a hot id or a hot text spreads over all buckets.
-The input must be read again the same way if a task is lost: a table in files, or a checkpoint.  What is
-broadcast is one count a bucket (12 MB for 100 TB).
+The input must be read again the same way if a task is lost: a table in files, or a checkpoint.  Buckets' counts are
+broadcast if they are at most ``FEW`` (12 TB), else joined in a shuffle by bucket.
 """
 
 from __future__ import annotations
@@ -25,9 +25,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.llm.common import free_name, fresh_path
+from corpusmill.llm.common import free_name, fresh_path, written
 
 BUCKET_BYTES, MOST_BUCKETS = 64 << 20, 4096
+#: The most buckets whose counts are broadcast.
+FEW = 200_000
 
 
 def fisher_yates(n: int, rng: np.random.Generator) -> np.ndarray:
@@ -118,9 +120,9 @@ def shard(df: DataFrame, n_shards: int, size: Column, id_col: str, **options) ->
     """
     table, bucket, pos = external_shuffle(df.drop("shard", "slot"), size, id_col, **options)
     number, before, every = (free_name(table, n) for n in ("bucket_number", "before", "every"))
-    counts = table.groupBy(F.col(bucket).alias("number")).agg(F.count(F.lit(1)).alias("n"))
+    counts = written(table.groupBy(F.col(bucket).alias("number")).agg(F.count(F.lit(1)).alias("n")), "counts")  # one row a bucket
     offsets = _offsets(counts, "number", "n").toDF(number, before, every)
-    rows = table.join(F.broadcast(offsets), F.col(bucket) == F.col(number))  # one row a bucket
+    rows = table.join(F.broadcast(offsets) if counts.count() <= FEW else offsets, F.col(bucket) == F.col(number))
     at, few = F.col(before) + F.col(pos), F.floor(F.col(every) / n_shards)
     more = F.col(every) - few * n_shards
     edge = more * (few + 1)

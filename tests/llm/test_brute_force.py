@@ -553,3 +553,12 @@ def test_warc_round_trip(spark):
         revisit = first.get(h, i) != i
         assert (r["record_type"], r["payload_bytes"]) == ("revisit" if revisit else "response", len(h.encode()))
         assert revisit or bytes(r["payload"]).decode() == h
+
+
+def test_shards_are_alike_however_counts_are_joined(spark, monkeypatch):
+    rows = spark.range(500).selectExpr("id as doc_id", "repeat('x', cast(id % 50 as int)) as text").coalesce(1)
+    out = []
+    for few in (sharding.FEW, 0):
+        monkeypatch.setattr(sharding, "FEW", few)
+        out.append(sorted(map(tuple, sharding.shard(rows, 4, F.octet_length("text"), "doc_id", bucket_bytes=2000).select("doc_id", "shard", "slot").collect())))
+    assert out[0] == out[1] and len(out[0]) == 500

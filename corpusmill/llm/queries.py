@@ -127,6 +127,11 @@ def op9_line_dedup_short(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _line_counts(line_dedup(_table(spark, sf_dir, "documents"), short_repeats=True))
 
 
+def op9_line_dedup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``op9_line_dedup``, for lines of every length but blank ones: of those under 20 characters too, one that repeats an earlier one with at most one edit goes."""
+    return _line_counts(line_dedup(_table(spark, sf_dir, "documents"), min_chars=1, short_repeats=True))
+
+
 def _line_counts(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars"), F.md5(F.encode("text", "UTF-8")).alias("text_md5"))
 
@@ -177,6 +182,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc_salvage": op8_warc_salvage,
     "op9_line_dedup": op9_line_dedup,
     "op9_line_dedup_short": op9_line_dedup_short,
+    "op9_line_dedup_whole": op9_line_dedup_whole,
     "op10_language_id": op10_language_id,
     "op10_language_id_pages": op10_language_id_pages,
     "op11_embedding_whitening": op11_embedding_whitening,
@@ -232,6 +238,8 @@ FROM documents d LEFT JOIN cut c ON d.doc_id = c.doc_id LEFT JOIN made m ON d.do
 _BLANK = "translate({}, ' ' || chr(9) || chr(11) || chr(12) || chr(13), '') = ''"
 _OP9_SHORT_SQL = _OP9_SQL.replace("WHERE length(s) >= 20", f"WHERE NOT ({_BLANK.format('s')})").replace(" FROM class", " FROM class WHERE n >= 20")
 _OP9_SHORT_SQL = _OP9_SHORT_SQL.replace("WHERE length(l.s) < 20 OR", f"WHERE {_BLANK.format('l.s')} OR")
+#: The same with half-line keys for lines of every length.
+_OP9_WHOLE_SQL = _OP9_SHORT_SQL.replace(" FROM class WHERE n >= 20", " FROM class")
 
 _OP8_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha256(coalesce(html, '')) AS d, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
@@ -296,4 +304,4 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(h.n_hit, 0)::BIGINT AS n_
 FROM d LEFT JOIN hit h ON d.doc_id = h.doc_id LEFT JOIN items m ON d.doc_id = m.doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op8_warc": _OP8_SQL, "op8_warc_salvage": _OP8_SALVAGE_SQL, "op3_embedding_near_dedup": _OP3_SQL, "op9_line_dedup": _OP9_SQL, "op9_line_dedup_short": _OP9_SHORT_SQL, "op12_vector_compression": _op12_sql(), "op13_benchmark_decontamination": _OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op8_warc": _OP8_SQL, "op8_warc_salvage": _OP8_SALVAGE_SQL, "op3_embedding_near_dedup": _OP3_SQL, "op9_line_dedup": _OP9_SQL, "op9_line_dedup_short": _OP9_SHORT_SQL, "op9_line_dedup_whole": _OP9_WHOLE_SQL, "op12_vector_compression": _op12_sql(), "op13_benchmark_decontamination": _OP13_SQL}

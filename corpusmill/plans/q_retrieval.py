@@ -546,12 +546,33 @@ def paragraphs_of_corpus(spark: SparkSession, d: str) -> DataFrame:
     return paragraphs(spark, d)
 
 
-@query()
+#: A letter beyond ASCII is part of a word, but of no acronym.
+_ASCII = "regexp_replace({}, '[\\x{{AA}}\\x{{B5}}\\x{{BA}}\\x{{C0}}-\\x{{D6}}\\x{{D8}}-\\x{{F6}}\\x{{F8}}-\\x{{2FF}}\\x{{370}}-\\x{{1FFF}}\\x{{3040}}-\\x{{D7FF}}]', '_', 'g')"
+_FUNCTION = "[" + ", ".join(f"'{w}'" for w in references.FUNCTION_WORDS) + "]"
+_ACRONYMS = {
+    "av": f"SELECT ref, CASE WHEN len(w) = 3 THEN upper(left(w[1], 1) || left(w[2], 1) || left(w[3], 1)) || ': ' || text ELSE text END AS text FROM (SELECT ref, text, list_filter(string_split({f('text')}, ' '), lambda w: regexp_full_match(w, '[a-z]{{3,}}'))[1:3] AS w FROM para)",
+    "used": f"SELECT DISTINCT ref, a FROM (SELECT ref, unnest(regexp_extract_all({_ASCII.format('text')}, '\\b[A-Z]{{2,6}}(?:\\s?[0-9])?\\b')) AS a FROM av) WHERE NOT list_contains({_FUNCTION}, lower(a))",
+    "mine": "SELECT ref, list(a) AS mine FROM used WHERE a IN (SELECT a FROM used GROUP BY a HAVING count(*) BETWEEN 2 AND 500) GROUP BY ref",
+    "seg": f"SELECT mine, unnest(string_split_regex({n('text')}, '\\s+-\\s+|\\s*:\\s*|\\(|\\)|;|,')) AS s FROM av JOIN mine USING (ref)",
+    "wd": f"SELECT mine, list_filter(regexp_extract_all(replace({f('s')}, chr(39), ' '), '[A-Za-zÀ-ÿ0-9]+'), lambda w: NOT regexp_full_match(w, '[0-9]+') AND NOT list_contains({_FUNCTION}, w)) AS w FROM seg",
+    "ph": "SELECT mine, w, s, unnest(range(2, least(6, len(w) - s + 1) + 1)) AS k FROM (SELECT mine, w, unnest(range(1, len(w))) AS s FROM wd WHERE len(w) >= 2)",
+    "cand": "SELECT array_to_string(list_transform(w[s : s + k - 1], lambda x: upper(regexp_extract(x, '^([a-z])', 1))), '') AS acronym, array_to_string(w[s : s + k - 1], ' ') AS phrase, mine FROM ph",
+    "amap": "SELECT * FROM (SELECT acronym, phrase, count(*) AS support FROM cand WHERE length(acronym) BETWEEN 2 AND 6 AND list_contains(mine, acronym) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY acronym ORDER BY support DESC, phrase) = 1",
+}
+_EXPANDED = {
+    **_ACRONYMS, "tq": "SELECT query_id, 'TOA et TIA ' || text AS text FROM question",
+    "tw": f"SELECT query_id, folded, w, unnest(range(1, len(w) + 1)) AS pos FROM (SELECT query_id, {f('text')} AS folded, regexp_extract_all({_ASCII.format(n('text'))}, '\\b[A-Za-z]{{2,6}}(?:\\s?[0-9])?\\b') AS w FROM tq)",
+    "tm": "SELECT t.query_id, m.phrase, min(t.pos) AS pos FROM tw t JOIN amap m ON m.acronym = upper(t.w[t.pos]) AND m.support >= 2 WHERE NOT contains(t.folded, m.phrase) GROUP BY t.query_id, m.phrase",
+    "tp": "SELECT query_id, string_agg(phrase, ' ' ORDER BY pos, phrase) AS more FROM (SELECT * FROM tm QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY pos, phrase) <= 3) GROUP BY query_id",
+}
+
+
+@query(sql("SELECT acronym, phrase, support FROM amap WHERE support >= 2", "para", **_ACRONYMS))
 def acronym_map(spark, d):
     return references.acronym_map(acronym_views(spark, d), ratio=1.0)
 
 
-@query()
+@query(sql(f"SELECT q.query_id, concat_ws(' ', {n('q.text')}, p.more) AS expanded FROM tq q LEFT JOIN tp p ON p.query_id = q.query_id", "para", "question", **_EXPANDED))
 def acronym_expand(spark, d):
     mapping = references.acronym_map(acronym_views(spark, d), ratio=1.0)
     q = questions(spark, d).withColumn("text", F.concat(F.lit("TOA et TIA "), "text"))

@@ -420,11 +420,40 @@ def whole_corpus(spark: SparkSession, d: str) -> runtime.Corpus:
     return runtime.Corpus(docs, parts(spark, d))
 
 
-@query()
+_SNIP = "left(CASE WHEN contains(x, '. ') THEN split_part(x, '. ', 1) WHEN contains(x, ' ; ') THEN split_part(x, ' ; ', 1) WHEN contains(x, ' : ') THEN split_part(x, ' : ', 1) ELSE x END, 220)"
+_SEARCHED = "concat_ws(chr(10), ref, title, concat_ws(' ', lang, source), {})"
+_SOURCES = {
+    **bm25_ctes("b", f"SELECT item, {tok(_SEARCHED.format('text'))} AS toks FROM corpus", Q), "br": ranked("b"),
+    **bm25_ctes("t", f"SELECT item, {tok(_SEARCHED.format(_SNIP))} AS toks FROM (SELECT item, ref, title, lang, source, {n('text')} AS x FROM corpus)", Q), "tr": ranked("t"),
+    "rk": "SELECT r.query_id, 'base' AS source, 0 AS src_ord, c.ref, r.score, r.rank FROM br r JOIN corpus c USING (item) WHERE rank <= 20 UNION ALL SELECT r.query_id, 'sections_leads', 1, c.ref, r.score, r.rank FROM tr r JOIN corpus c USING (item) WHERE rank <= 20",
+    **{k: _PROFILE[k] for k in ("p0", "p1", "p2", "p3", "pf")},
+}
+_RUNTIME = {
+    **_SOURCES, **_fuse_sql(_CW.replace("THEN 0.5 ELSE 2.0 END", "THEN 0.5 ELSE 0.5 END"), 20), "top": "SELECT query_id, ref, rank AS doc_rank FROM fr WHERE rank <= 8",
+    **bm25_ctes("l", _FULL_ITEMS, Q, "ref", "SELECT query_id, ref FROM top"), "lr": ranked("l", "ref"), **_EV, "pr": _DIRECT["pr"], "hit": _DIRECT["hit"].replace("local_rank <= 2", "local_rank <= 8"),
+}
+#: The prefix's source: overlap with what a document is scored by, and with the best of its chunks, 30 at most.
+_PREFIXED = {
+    **{k: x for k, x in _SOURCES.items() if k not in ("p0", "p1", "p2", "p3", "pf")},
+    "q0": _PREFIX["q0"], "qx": _PREFIX["qx"], **_DOCX, "c0": f"SELECT ref, {_TERMS.format(x=tok('text'))} AS dt FROM chunk", "cx": "SELECT *, " + _BI.format(x="dt") + " AS db FROM c0",
+    "dov": "SELECT q.query_id, e.ref, " + _OVERLAP.format(q="q.q") + " AS d, (CASE WHEN split_part(e.ref, '-', 3) = split_part(q.prefix, '-', 2) THEN 2 ELSE 1 END) AS depth FROM qx q JOIN dx e ON starts_with(e.ref, 'BOI-' || q.prefix)",
+    "cov": "SELECT q.query_id, e.ref, max(" + _OVERLAP.format(q="q.q") + ") AS c FROM qx q JOIN cx e ON starts_with(e.ref, 'BOI-' || q.prefix) GROUP BY ALL",
+    "sc": "SELECT d.query_id, d.ref, least(30.0, d.d + coalesce(c.c, 0)) AS ov, d.depth FROM dov d LEFT JOIN cov c ON c.query_id = d.query_id AND c.ref = d.ref", "xr": _PREFIX["xr"],
+    "rk2": "SELECT * FROM rk UNION ALL SELECT query_id, 'prefix_overlap', 6, ref, score::DOUBLE, rank FROM xr WHERE rank <= 20",
+    **{k: _PROFILE[k].replace("FROM rk ", "FROM rk2 ") for k in ("p0", "p1", "p2", "p3", "pf")},
+    **_fuse_sql(_CW.replace("FROM rk r", "FROM rk2 r").replace("CASE r.source WHEN 'base' THEN 0.5 ELSE 2.0 END", "CASE r.source WHEN 'prefix_overlap' THEN 2.0 ELSE 0.5 END"), 20),
+}
+
+
+def _found(df: DataFrame) -> DataFrame:
+    return df.select("query_id", F.col("rank").cast("long").alias("rank"), "ref", "item", F.round("score", 6).alias("score"))
+
+
+@query(sql(f"SELECT query_id, rank, ref, item, round(score, 6) AS score FROM (SELECT *, {_PLAIN_ORDER} AS rank FROM hit) WHERE rank <= 8", "corpus", "chunk", "question", **_RUNTIME))
 def retrieve(spark, d):
     """The whole runtime over all questions: final passages."""
     _, found = runtime.retrieve(whole_corpus(spark, d), questions(spark, d))
-    return found
+    return _found(found)
 
 
 @query()
@@ -444,11 +473,12 @@ def retrieve_older(spark, d):
     return found
 
 
-@query()
+@query(sql("SELECT query_id, rank, ref, round(score, 9) AS score FROM fr WHERE rank <= 8", "corpus", "chunk", "question", **_PREFIXED))
 def retrieve_stage1(spark, d):
     """The documents that the runtime finds first, with a prefix for every question."""
     q = questions(spark, d).withColumn("prefix", F.concat(F.lit("EN-SRC"), F.col("query_id") % 20))
-    return runtime.stage1(whole_corpus(spark, d), q, runtime.Options())
+    found = runtime.stage1(whole_corpus(spark, d), q, runtime.Options())
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), "ref", F.round("score", 9).alias("score"))
 
 
 # --- reference tree ---

@@ -269,13 +269,28 @@ def scored_runs(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query(sql("""SELECT run_id, required_hits, missing_required, required_recall, optional_hits, trace_score, has_relaunch, signal_hits FROM (
-SELECT doc_id AS run_id, CASE WHEN doc_id % 4 <> 0 AND doc_id % 5 >= 1 THEN 'BOI-TVA-BASE' ELSE '' END AS required_hits,
-CASE WHEN doc_id % 4 = 0 THEN '' WHEN doc_id % 5 >= 1 THEN 'BOI-RSA' ELSE 'BOI-TVA-BASE|BOI-RSA' END AS missing_required, CASE WHEN doc_id % 4 = 0 THEN 1.0 WHEN doc_id % 5 >= 1 THEN 0.5 ELSE 0.0 END::DOUBLE AS required_recall,
-CASE WHEN doc_id % 5 >= 2 THEN 'BOI-BIC-CHAMP-10' ELSE '' END AS optional_hits, CASE WHEN contains(regexp_replace(lower(strip_accents(text || CASE WHEN doc_id % 3 = 0 THEN chr(10) || 'le taux  errone, TAUX réduits' ELSE '' END)), '[^a-z0-9%]+', ' ', 'g'), 'taux errone') THEN 'Taux erroné' ELSE '' END AS signal_hits,
-doc_id % 4 > 1 OR doc_id % 2 = 1 AS has_relaunch,
-round(least(1.0, ((doc_id % 2 = 0 OR doc_id % 7 = 0)::INT + (doc_id % 3 = 1)::INT + (doc_id % 2 = 0)::INT + (doc_id % 2 = 1 OR doc_id % 6 = 0)::INT) / 4 + CASE WHEN doc_id % 4 > 1 OR doc_id % 2 = 1 THEN 0.1 ELSE 0 END), 3)::DOUBLE AS trace_score
-FROM labels JOIN documents USING (doc_id))"""))
+def _family_sql(x: str, y: str) -> str:
+    """Are two references equal without a final date, or one an ancestor of the other?"""
+    a, b = (f"regexp_replace(trim(upper({z})), '-[0-9]{{8}}$', '')" for z in (x, y))
+    return f"({a} = {b} OR starts_with({a}, {b} || '-') OR starts_with({b}, {a} || '-'))"
+
+
+def _phrase_sql(x: str) -> str:
+    return f"trim(regexp_replace(lower(strip_accents({x})), '[^a-z0-9%]+', ' ', 'g'))"
+
+
+_CITED = "len(list_filter(refs, lambda r: trim(r) <> '' AND " + _family_sql("r", "x") + ")) > 0"
+_RUNS = f"""SELECT doc_id AS run_id, CASE WHEN doc_id % 4 = 0 THEN [] ELSE ['BOI-TVA-BASE', 'BOI-RSA'] END AS required, ['BOI-BIC-CHAMP-10', 'BOI-CF'] AS optional, ['Taux erroné', '?!'] AS signals,
+({text_list(_RUN_REFS)})[1 : doc_id % 5] AS refs, text || CASE WHEN doc_id % 3 = 0 THEN chr(10) || 'le taux  errone, TAUX réduits' ELSE '' END AS answer,
+lower(CASE WHEN doc_id % 2 = 0 THEN 'Plan fiscal produit Recherche par axe' ELSE 'Relance RÉPONSE' END) AS labels, CASE WHEN doc_id % 7 = 0 THEN 'plan_and_route' ELSE '' END AS stages, doc_id % 3 = 1 AS reviewed, doc_id % 6 = 0 AS concluded, doc_id % 4 AS iterations
+FROM labels JOIN documents USING (doc_id) WHERE text IS NOT NULL"""
+
+
+@query(sql(f"""SELECT run_id, array_to_string(rh, '|') AS required_hits, array_to_string(list_filter(required, lambda x: NOT ({_CITED})), '|') AS missing_required,
+(CASE WHEN len(required) > 0 THEN round_even(len(rh) / len(required), 3) ELSE 1.0 END)::DOUBLE AS required_recall, array_to_string(list_filter(optional, lambda x: {_CITED}), '|') AS optional_hits,
+round_even(least(1.0, (plan::INT + reviewed::INT + contains(labels, 'recherche')::INT + (contains(labels, 'réponse') OR contains(labels, 'reponse') OR concluded)::INT) / 4 + CASE WHEN again THEN 0.1 ELSE 0.0 END), 3)::DOUBLE AS trace_score, again AS has_relaunch,
+array_to_string(list_filter(signals, lambda x: {_phrase_sql('x')} <> '' AND contains({_phrase_sql('answer')}, {_phrase_sql('x')})), '|') AS signal_hits
+FROM (SELECT *, list_filter(required, lambda x: {_CITED}) AS rh, contains(labels, 'plan') OR contains(stages, 'plan') AS plan, iterations > 1 OR contains(labels, 'relance') OR contains(labels, 'intra-document') AS again FROM run)""", run=_RUNS))
 def agentic_scores(spark, d):
     lists = ["required_hits", "missing_required", "optional_hits", "signal_hits"]
     rows = ev.agentic_scores(scored_runs(spark, d)).withColumns({c: F.array_join(c, "|") for c in lists})
@@ -285,9 +300,16 @@ def agentic_scores(spark, d):
 _ERRORS = ["", "API key is missing", "x RateLimitError", "Request timed out", "status 503", "answer_status must be one of", "RuntimeError: x", "quota exceeded; must be "]
 
 
-@query(f"""SELECT count(*) AS n, count(*) FILTER (WHERE e = '') AS n_valid, count(*) FILTER (WHERE doc_id % 2 = 0) AS n_has_conclusion, count(*) FILTER (WHERE doc_id % 3 = 0) AS n_has_justification, count(*) FILTER (WHERE quality = 1) AS n_has_limits, count(*) FILTER (WHERE toxic = 0) AS n_with_citation,
-count(*) FILTER (WHERE k = 1) AS n_missing_api_key, count(*) FILTER (WHERE k IN (2, 7)) AS n_provider_rate_limit, count(*) FILTER (WHERE k = 3) AS n_provider_timeout, count(*) FILTER (WHERE k = 4) AS n_provider_internal, count(*) FILTER (WHERE k = 5) AS n_format_invalid, count(*) FILTER (WHERE k = 6) AS n_runtime_error
-FROM (SELECT *, doc_id % 8 AS k, ({text_list(_ERRORS)})[doc_id % 8 + 1] AS e FROM labels)""")
+def _kind_sql() -> str:
+    """The kind of an error text ``e``, by the markers of each kind in their order."""
+    said = "' ' || lower(e) || ' '"
+    cases = " ".join(f"WHEN {marked(said, markers)} THEN {q(name)}" for name, markers in ev.FAILURES.items())
+    return f"CASE WHEN e = '' THEN 'valid' {cases} ELSE 'runtime_error' END"
+
+
+@query(f"""SELECT count(*) AS n, count(*) FILTER (WHERE k = 'valid') AS n_valid, count(*) FILTER (WHERE doc_id % 2 = 0) AS n_has_conclusion, count(*) FILTER (WHERE doc_id % 3 = 0) AS n_has_justification, count(*) FILTER (WHERE quality = 1) AS n_has_limits, count(*) FILTER (WHERE toxic = 0) AS n_with_citation,
+{", ".join(f"count(*) FILTER (WHERE k = {q(k)}) AS n_{k}" for k in (*ev.FAILURES, "runtime_error"))}
+FROM (SELECT *, {_kind_sql()} AS k FROM (SELECT *, ({text_list(_ERRORS)})[doc_id % 8 + 1] AS e FROM labels))""")
 def batch_review(spark, d):
     i = F.col("doc_id")
     errors = F.element_at(F.array(*[F.lit(e) for e in _ERRORS]), (i % 8 + 1).cast("int"))

@@ -110,6 +110,11 @@ def _builder(avgdl: float, owned: bool):
     return run
 
 
+def _tasks(spark: SparkSession) -> int:
+    """Tasks to deal work to that Spark would take for small by its bytes alone."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def build(items: DataFrame, path: str) -> Index:
     """Writes the index of ``items(item, toks, [owner])`` (longs, arrays of strings) to ``path``; null arrays hold no tokens.
 
@@ -125,7 +130,8 @@ def build(items: DataFrame, path: str) -> Index:
     rows = rows.withColumn("bucket", F.when(F.col("term").isNull(), ITEMS).otherwise(F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")))
     # a common term has a block for every BLOCK items that hold it, so where buckets can't be small their rows are dealt on by shard
     slices = max(1, -(-(n["total"] or 0) // (buckets * BUCKET)))
-    dealt = rows.repartition("bucket", F.pmod(F.xxhash64("shard"), F.lit(slices))).sortWithinPartitions("bucket", "term", "shard")
+    tasks = max(_tasks(spark), -(-(n["total"] or 0) // BUCKET))
+    dealt = rows.repartition(tasks, "bucket", F.pmod(F.xxhash64("shard"), F.lit(slices))).sortWithinPartitions("bucket", "term", "shard")
     dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     df = spark.read.parquet(f"{path}/postings").filter(F.col("bucket") != ITEMS).groupBy("term").agg(F.sum(F.size("items")).alias("df"))
     df.select("term", "df", (F.log(F.lit(n["n"]) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw")).write.mode("overwrite").parquet(f"{path}/terms")
@@ -263,7 +269,7 @@ def _best(index: Index, wanted: DataFrame, k: int, fill: bool) -> DataFrame:
         if fill:
             blocks_read = blocks_read.unionByName(index.items())
         shared = spark.sparkContext.broadcast((place, questions))
-        by_shard = blocks_read.select("shard", "term", "bound", "place", "items", "owners", "parts").repartition("shard").sortWithinPartitions("shard")
+        by_shard = blocks_read.select("shard", "term", "bound", "place", "items", "owners", "parts").repartition(_tasks(spark), "shard").sortWithinPartitions("shard")
         out = out.unionByName(by_shard.mapInArrow(_searcher(shared, k, fill), FOUND))
     return out
 

@@ -34,11 +34,12 @@ def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``item`` (document * 100000 + section), ``doc, ref, title, section, text``."""
-    p = paragraphs(spark, sf_dir)
-    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "text"))), lambda x: x["text"]), "\n")
-    rows = p.groupBy(F.col("item").alias("doc"), "ref", "title", "section").agg(lines.alias("text"))
-    return rows.select((F.col("doc") * 100000 + F.col("section")).alias("item"), "doc", "ref", "title", "section", "text")
+    """``item`` (document * 100000 + section), ``doc, ref, title, section, text``: cut within each document's row, without a shuffle."""
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    four = lambda s: F.transform(F.slice(F.col("lines"), s * 4 + 1, F.lit(4)), t.normalize_ws)
+    texts = F.transform(F.sequence(F.lit(0), F.floor((F.size("lines") - 1) / 4).cast("int")), lambda s: F.array_join(F.filter(four(s), lambda x: x != ""), "\n"))
+    rows = corpus(spark, sf_dir).withColumn("lines", lines).select(F.col("item").alias("doc"), "ref", "title", F.posexplode(texts).alias("section", "text"))
+    return rows.filter("text <> ''").select((F.col("doc") * 100000 + F.col("section")).alias("item"), "doc", "ref", "title", "section", "text")
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:

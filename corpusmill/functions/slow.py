@@ -17,6 +17,11 @@ from corpusmill.functions.text import TOKEN
 #: Month names that make a small number a day, and what is a number with its unit.
 MONTH = re.compile(r"\b(?:janvier|fevrier|février|mars|avril|mai|juin|juillet|aout|août|septembre|octobre|novembre|decembre|décembre)\b", re.I)
 NUMBER = re.compile(r"(\d[\d\s]*\d+|\d+)\s*(euros?|€|%|pour\s*cent)?", re.I)
+#: The same with the classes that SQL engines have: digits, white space (and the fixed space) and borders of words are ASCII's, case is Unicode's.
+SPACE, EDGE = r"[\t\n\f\r \u00a0]", r"(?-i:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+PLAIN_MONTH = re.compile(MONTH.pattern.replace(r"\b", EDGE), re.I)
+PLAIN_NUMBER = re.compile(NUMBER.pattern.replace(r"[\d\s]", rf"(?:\d|{SPACE})").replace(r"\s", SPACE).replace(r"\d", "[0-9]"), re.I)
+PLAIN_BLANK = " \t\v\f\r\u00a0"
 UNITS = {"euro": "euros", "euros": "euros", "€": "euros", "%": "%", "pour cent": "%"}
 AROUND = 40
 FACT = T.StructType([T.StructField("value", T.StringType()), T.StructField("unit", T.StringType()), T.StructField("context", T.StringType())])
@@ -55,22 +60,30 @@ def whole(digits: str) -> int | None:
         return None
 
 
-def facts(text: str | None) -> list[tuple[str, str, str]]:
+def facts(text: str | None, plain: bool = False) -> list[tuple[str, str, str]]:
     """(value, unit, text around) of every number; its digits are a string, as they may be many.
 
-    Without a unit, a year from 1900 to 2100 and a number up to 31 near the name of a month are dates, not facts.
+    Without a unit, a year from 1900 to 2100 and a number up to 31 near the name of a month are dates, not facts.  ``plain``
+    takes the classes that SQL engines have, and numbers of any length.
     """
     text, out = text or "", []
-    for m in NUMBER.finditer(text):
-        value, unit = whole(m[1]), m[2]
+    month, blank = (PLAIN_MONTH, PLAIN_BLANK) if plain else (MONTH, None)
+    for m in (PLAIN_NUMBER if plain else NUMBER).finditer(text):
+        digits, unit = m[1].replace(" ", ""), m[2]
+        if plain:
+            value = (digits.lstrip("0") or "0") if digits.isdecimal() else None
+        else:
+            value = None if (n := whole(m[1])) is None else str(n)
         if value is None:
             continue
-        around = text[max(0, m.start() - AROUND) : m.end() + AROUND].replace("\n", " ").strip()
-        if unit or not (1900 <= value <= 2100 or (0 < value < 32 and MONTH.search(around))):
-            out.append((str(value), UNITS.get((unit or "").lower(), "nombre"), around))
+        around = text[max(0, m.start() - AROUND) : m.end() + AROUND].replace("\n", " ").strip(blank)
+        n = int(value) if len(value) <= 4 else 9999
+        if unit or not (1900 <= n <= 2100 or (0 < n < 32 and month.search(around))):
+            out.append((value, UNITS.get((unit or "").lower(), "nombre"), around))
     return out
 
 
 @F.pandas_udf(T.ArrayType(FACT))
 def numbers(text: pd.Series) -> pd.Series:
-    return text.map(lambda x: [dict(zip(FACT.names, f, strict=True)) for f in facts(x)])
+    """Plain :func:`facts`."""
+    return text.map(lambda x: [dict(zip(FACT.names, f, strict=True)) for f in facts(x, plain=True)])

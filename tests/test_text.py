@@ -87,6 +87,14 @@ def test_facts():
     assert facts("1" * 5000) == []
 
 
+def test_plain_facts():
+    """With SQL's classes ``mai`` before another letter's accent is a month, white space that isn't ASCII's stays, and numbers have any length."""
+    assert facts("le 3 maié") != [] and facts("le 3 maié", plain=True) == []
+    assert facts("le 3 ÉMARS", plain=True) == facts("le 3 mai", plain=True) == [] and [f[0] for f in facts("le 3 AOÛTS", plain=True)] == ["3"]
+    assert facts("\u20037 %\u00a0", plain=True) == [("7", "%", "\u20037 %")]
+    assert facts("٣٤, 1\u00a0500", plain=True) == [] and [f[:2] for f in facts("1" * 5000 + " euros", plain=True)] == [("1" * 5000, "euros")]
+
+
 def test_fragments_are_judged_alike():
     assert not is_trivial("русский текст здесь")
     assert is_trivial("— § …")

@@ -47,7 +47,9 @@ def parse_questions(rows: DataFrame) -> DataFrame:
     where = F.concat(F.lit(" at row "), F.col("no").cast("string"))
     question = F.coalesce(*[F.nullif(x, F.lit("")) for x in (asked, *others)])
     question = F.when((asked != "") & unlike, F.raise_error(F.concat(F.lit("questions differ"), where)).cast("string")).otherwise(F.coalesce(question, F.raise_error(F.concat(F.lit("no question"), where)).cast("string")))
-    named = F.coalesce(_first(row, IDS), F.concat(F.lit("Q"), F.lpad(F.col("no").cast("string"), 3, "0")))
+    number = F.col("no").cast("string")
+    padded = F.when(F.length(number) < 3, F.lpad(number, 3, "0")).otherwise(number)  # lpad cuts what is longer
+    named = F.coalesce(_first(row, IDS), F.concat(F.lit("Q"), padded))
     return rows.select("no", named.alias("id"), question.alias("question"), *[F.coalesce(_first(row, n), F.lit("")).alias(k) for k, n in TEXTS.items()], *[_listed(_first(row, n)).alias(k) for k, n in LISTS.items()])
 
 

@@ -174,6 +174,11 @@ def test_question_banks(spark, tmp_path):
             bank.read_questions(spark, f"file://{tmp_path}/bad.jsonl").collect()
 
 
+def test_long_numbers_of_cases_stay_whole(spark):
+    rows = spark.createDataFrame([(n, '{"question": "q"}') for n in (7, 999, 1013, 12345)], "no long, json string")
+    assert [r["id"] for r in bank.parse_questions(rows).orderBy("no").collect()] == ["Q007", "Q999", "Q1013", "Q12345"]
+
+
 def test_stored_tokens(spark, tmp_path):
     rows = spark.createDataFrame([(1, "un deux"), (2, None), (3, "trois")], "item long, text string")
     folder = f"file://{tmp_path}"

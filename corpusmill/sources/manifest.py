@@ -28,20 +28,27 @@ def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
     return cuts.join(F.broadcast(before), "_range").withColumn("place", F.col("_at") + F.col("_before")).drop("_range", "_at", "_before")
 
 
-def fingerprint_tree(rows: DataFrame, order: list[Column], value: Column, width: int = 1024) -> DataFrame:
+def fingerprint_tree(rows: DataFrame, order: list[Column], value: Column, width: int = 1024, levels: int | None = None) -> DataFrame:
     """One row, ``fingerprint``: a tree of SHA-256 digests over the rows' values in order (rows that are equal in it, by digest).
 
     Every ``width`` digests one after another are joined and digested, and so on up to one: the same rows have the same fingerprint
     however they are spread, and no task holds more than ``width`` of them at a time.  No rows have that of an empty text.
+    With ``levels`` the tree ends there, with a row for every digest of that level (``width ** levels`` rows each); no rows have none.
     """
     keys = [c.alias(f"k{i}") for i, c in enumerate(order)]
     marks = rows.select(*keys, F.sha2(value, 256).alias("h"))
     level = staged(numbered(marks, [*[f"k{i}" for i in range(len(keys))], "h"]).select("place", "h"), "digests")
+    made = 0
     while True:
+        made += 1
         group = F.floor(F.col("place") / width)
         joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "h"))), lambda x: x["h"]), "")
         level = staged(level.groupBy(group.alias("place")).agg(F.sha2(joined, 256).alias("h")), "digests")
+        if levels == made:
+            return level.select(F.col("h").alias("fingerprint"))
         if level.limit(2).count() < 2:
+            if levels:
+                return level.select(F.col("h").alias("fingerprint"))
             one = level.agg(F.max("h").alias("h"))
             return one.select(F.coalesce("h", F.sha2(F.lit(""), 256)).alias("fingerprint"))
 

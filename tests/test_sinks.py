@@ -200,3 +200,15 @@ def test_fingerprint_is_a_tree(spark, width):
     for n in (1, 5):
         assert manifest.fingerprint_tree(df.repartition(n), [F.col("k")], F.col("v"), width).first()[0] == level[0]
     assert manifest.fingerprint_tree(df.limit(0), [F.col("k")], F.col("v")).first()[0] == hashlib.sha256(b"").hexdigest()
+
+
+def test_fingerprint_tree_ends_at_a_level(spark):
+    """With ``levels`` a row for every digest of that level, none lost, also where the tree ends before."""
+    rows = spark.createDataFrame([(i, f"v{i}") for i in range(11)], "k int, v string")
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    level = [sha(f"v{i}") for i in range(11)]
+    for _ in range(2):
+        level = [sha("".join(level[i : i + 2])) for i in range(0, len(level), 2)]
+    found = lambda df: sorted(r[0] for r in manifest.fingerprint_tree(df, [F.col("k")], F.col("v"), 2, levels=2).collect())
+    assert found(rows.repartition(3)) == sorted(level) and len(level) == 3
+    assert found(rows.filter("k < 2")) == [sha(sha("v0") + sha("v1"))] and found(rows.limit(0)) == []

@@ -11,11 +11,11 @@ does one with a negative score.
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,30 +74,42 @@ def ordered(score: str = "score", item: str = "item") -> list[Column]:
 
 #: The most weights (pairs of a question and one of its terms) and questions that one scan of the items answers; more take several scans.
 MOST_CELLS, MOST_QUERIES = 2_000_000, 4096
+#: Tokens that a scan holds at a time.
+MOST_TOKENS = 1 << 20
+
+
+def _pieces(batch: pa.RecordBatch, most_rows: int, most_tokens: int) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``most_rows`` items and, if they are more than one, ``most_tokens`` tokens."""
+    at, ends = 0, batch.column(1).offsets.to_numpy().astype(np.int64)
+    while at < batch.num_rows:
+        fit = int(np.searchsorted(ends, ends[at] + most_tokens, side="right")) - 1 - at
+        take = min(max(1, fit), most_rows, batch.num_rows - at)
+        yield batch.slice(at, take)
+        at += take
 
 
 def _scanner(shared, k: int | None, owned: bool):
+    most_tokens = MOST_TOKENS
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, starts, counts, who, weight, query_ids, avgdl = shared.value
-        n = len(query_ids)
+        terms, starts, counts, who, weight, query_ids, avgdl = shared.value
+        n, names = len(query_ids), pa.array(terms, pa.string())
         best = None if k is None else Best(query_ids, k)
         for batch in batches:
-            step = max(16, 1_000_000 // n)
-            for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
-                toks = [x or () for x in part.column(1).to_pylist()]
-                found = [[place[w] for w in x if w in place] for x in toks]
-                row = np.repeat(np.arange(len(toks)), [len(x) for x in found])
-                term = np.fromiter(itertools.chain.from_iterable(found), dtype=np.int64, count=len(row))
-                cell, tf = np.unique(row * len(starts) + term, return_counts=True)  # one (item, term) each
+            for part in _pieces(batch, max(16, 1_000_000 // n), most_tokens):
+                toks = part.column(1)
+                size = pc.fill_null(pc.list_value_length(toks), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                place = pc.fill_null(pc.index_in(toks.flatten(), value_set=names), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+                row = np.repeat(np.arange(len(size)), size)
+                known = place >= 0
+                cell, tf = np.unique(row[known] * len(starts) + place[known], return_counts=True)  # one (item, term) each
                 row, term = np.divmod(cell, max(1, len(starts)))
-                dl = np.array([len(x) for x in toks], dtype=np.float64)[row]
-                part_score = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
+                part_score = tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[row] / avgdl))
                 times = counts[term]
                 after = np.cumsum(times)
                 posting = np.arange(after[-1] if len(after) else 0) + np.repeat(starts[term] - after + times, times)
-                cell = who[posting] * len(toks) + np.repeat(row, times)
-                score = np.bincount(cell, weights=weight[posting] * np.repeat(part_score, times), minlength=n * len(toks)).astype(np.float64).reshape(n, len(toks))
+                cell = who[posting] * len(size) + np.repeat(row, times)
+                score = np.bincount(cell, weights=weight[posting] * np.repeat(part_score, times), minlength=n * len(size)).astype(np.float64).reshape(n, len(size))
                 item = part.column(0).to_numpy(zero_copy_only=False)
                 if best is None:
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids, len(item))), pa.array(np.tile(item, n)), pa.array(score.ravel())], names=["query_id", "item", "score"])
@@ -137,10 +149,9 @@ def _scanned(items: DataFrame, asked: DataFrame, k: int | None, owned: bool = Fa
             continue
         rows = weights.filter(inside).toPandas().sort_values(["term", "query_id"])
         terms, counts = np.unique(rows["term"].to_numpy(dtype=object), return_counts=True) if len(rows) else (np.empty(0, object), np.empty(0, np.int64))
-        place = {w: i for i, w in enumerate(terms.tolist())}
         starts = np.cumsum(counts) - counts
         who = np.searchsorted(query_ids, rows["query_id"].to_numpy(np.int64))
-        shared = spark.sparkContext.broadcast((place, starts, counts, who, rows["w"].to_numpy(np.float64), query_ids, n["avgdl"] or 1.0))
+        shared = spark.sparkContext.broadcast((terms.tolist(), starts, counts, who, rows["w"].to_numpy(np.float64), query_ids, n["avgdl"] or 1.0))
         out = out.unionByName(items.mapInArrow(_scanner(shared, k, owned), OWNED if owned else ROW))
     return out
 

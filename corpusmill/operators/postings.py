@@ -1,6 +1,6 @@
 """A stored inverted index: postings in buckets by the hash of their term, cut into blocks with the bound of what a block can score.
 
-``build`` numbers the items of a task in stretches (shards), turns each shard's tokens into postings and writes them, a
+``build`` numbers the items of a task in stretches (shards) of bounded items and tokens, turns each shard's tokens into postings and writes them, a
 folder a bucket, sorted by term.  ``rank`` reads only the buckets of the terms that are asked for, and of these only the terms' blocks;
 they meet by shard, where a question's score is a sum over its own postings, so the work grows with postings and not with
 questions times items.  A task keeps each question's best ``k``; a shard whose bounds stay below a question's ``k``-th score is
@@ -26,7 +26,9 @@ from corpusmill.operators.index import fingerprint
 from corpusmill.operators.lexical import EPSILON, K1, MOST_CELLS, MOST_QUERIES, B, ordered
 from corpusmill.operators.staging import shared_dir, staged
 
-#: Items of a shard; postings of a block; postings of a bucket, about; buckets at most.
+#: Tokens of a shard that isn't a single item: what a task that builds or searches it holds.
+SHARD_TOKENS = 1 << 20
+#: Items of a shard at most; postings of a block; postings of a bucket, about; buckets at most.
 SHARD, BLOCK, BUCKET, MOST_BUCKETS = 1 << 14, 512, 4_000_000, 4096
 #: Scores this close count as equal where a shard is skipped (they are compared at nine digits).
 NEAR = 2e-9
@@ -66,6 +68,8 @@ class Index:
 
 
 def _builder(avgdl: float, owned: bool):
+    most_items, most_tokens = SHARD, SHARD_TOKENS
+
     def shard(number: int, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(held).combine_chunks()
         toks = table.column("toks").chunk(0)
@@ -94,16 +98,19 @@ def _builder(avgdl: float, owned: bool):
         yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([None], pa.string()), pa.array([None], pa.float64()), *own, none], names=["shard", "term", "bound", "place", "items", "owners", "parts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, held, n = TaskContext.get().partitionId() << 32, [], 0
+        number, held, n, total = TaskContext.get().partitionId() << 32, [], 0, 0
         for batch in batches:
-            at = 0
+            at, ends = 0, batch.column("toks").offsets.to_numpy().astype(np.int64)
             while at < batch.num_rows:
-                part = batch.slice(at, SHARD - n)
-                held.append(part)
-                at, n = at + part.num_rows, n + part.num_rows
-                if n == SHARD:
+                fit = int(np.searchsorted(ends, ends[at] + most_tokens - total, side="right")) - 1 - at  # items whose tokens still fit
+                take = min(most_items - n, max(fit, 0 if held else 1), batch.num_rows - at)
+                if take:
+                    held.append(batch.slice(at, take))
+                    total += int(ends[at + take] - ends[at])
+                    at, n = at + take, n + take
+                if n == most_items or at < batch.num_rows:
                     yield from shard(number, held)
-                    number, held, n = number + 1, [], 0
+                    number, held, n, total = number + 1, [], 0, 0
         if held:
             yield from shard(number, held)
 

@@ -39,6 +39,20 @@ def test_index_ranks_as_the_scan_does(spark, tmp_path, monkeypatch, words, shard
     assert again == index and postings.opened(spark, f"file://{tmp_path}/none") is None
 
 
+def test_tasks_hold_bounded_tokens(spark, tmp_path, monkeypatch, words):
+    """Shards and the scan's pieces are cut by tokens too: long items make small ones, and results stay."""
+    items = spark.createDataFrame([(i, t or []) for i, t, _ in words[0]], "item long, toks array<string>").coalesce(1)
+    asked = spark.createDataFrame(words[1], "query_id long, toks array<string>")
+    want = ranks(lexical.rank(items, asked, 7))
+    monkeypatch.setattr(postings, "SHARD_TOKENS", 30)
+    monkeypatch.setattr(lexical, "MOST_TOKENS", 30)
+    index = postings.build(items, f"file://{tmp_path}/small")
+    size = {i: len(t or []) for i, t, _ in words[0]}
+    shards = [r["items"] for r in index.items().collect()]
+    assert sorted(i for s in shards for i in s) == sorted(size) and all(len(s) == 1 or sum(size[i] for i in s) <= 30 for s in shards)
+    assert ranks(postings.rank(index, asked, 7)) == ranks(lexical.rank(items, asked, 7)) == want
+
+
 def test_what_is_read_grows_with_postings(spark, tmp_path):
     """Ten times the items, of which no more hold the terms: the same blocks are read, from the same buckets."""
     schema = "item long, toks array<string>"

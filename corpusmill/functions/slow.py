@@ -7,6 +7,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +25,8 @@ PLAIN_NUMBER = re.compile(NUMBER.pattern.replace(r"[\d\s]", rf"(?:\d|{SPACE})").
 PLAIN_BLANK = " \t\v\f\r\u00a0"
 UNITS = {"euro": "euros", "euros": "euros", "€": "euros", "%": "%", "pour cent": "%"}
 AROUND = 40
+#: Characters of the texts whose stems a task holds, if they are more than one.
+PIECE = 1 << 20
 FACT = T.StructType([T.StructField("value", T.StringType()), T.StructField("unit", T.StringType()), T.StructField("context", T.StringType())])
 
 
@@ -49,7 +52,12 @@ def stems(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         return re.findall(TOKEN, "".join(c for c in plain if not unicodedata.combining(c)).lower())
 
     for batch in batches:
-        yield batch.map(lambda x: [one(w) for w in tokens(x)])
+        sizes = batch.str.len().fillna(0).cumsum().to_numpy()
+        at = 0
+        while at < len(batch):  # a few texts at a time, as the stems of a batch take many times its bytes
+            end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + PIECE, side="right")))
+            yield pd.Series([[one(w) for w in tokens(x)] for x in batch.iloc[at:end]], dtype=object)
+            at = end
 
 
 def whole(digits: str) -> int | None:

@@ -23,7 +23,16 @@ def long_tokens(text: Column) -> Column:
 
 def token_overlap(query: Column, text: Column) -> Column:
     """Common terms of four characters or more, and twice the common neighbours."""
-    return t.let(long_tokens(query), lambda a: t.let(long_tokens(text), lambda b: (common(a, b) + 2 * common(bigrams(a), bigrams(b))).cast("double")))
+    return t.let(overlap_terms(query), lambda a: t.let(overlap_terms(text), lambda b: terms_overlap(a, b)))
+
+
+def overlap_terms(text: Column) -> Column:
+    """What :func:`token_overlap` compares of a text."""
+    return t.let(long_tokens(text), lambda a: F.struct(F.array_distinct(a).alias("w"), bigrams(a).alias("b")))
+
+
+def terms_overlap(a: Column, b: Column) -> Column:
+    return (common(a["w"], b["w"]) + 2 * common(a["b"], b["b"])).cast("double")
 
 
 def lexical_question(query: Column) -> Column:

@@ -194,3 +194,25 @@ def test_best_of_items_and_owners(step):
             firsts = list({o: i for _, i, o in reversed(every)}.items())[::-1]
             firsts = sorted(firsts, key=lambda x: [e[1] for e in every].index(x[1]))
             assert [(r["ref"], r["item"]) for r in got_owned if r["query_id"] == q] == firsts[:k]
+
+
+def test_overlap_meets_a_text_with_all_its_questions(spark):
+    """Each text is cut into terms once; the result is that of every pair by itself, the best chunk added, 30 at most."""
+    docs = spark.createDataFrame([("A", "taxe foncière bâtie"), ("B", None)], "ref string, text string")
+    chunks = spark.createDataFrame([("A", "taxe foncière des locaux"), ("A", "locaux loués vides"), ("A", None), ("C", "taxe")], "ref string, text string")
+    asked = spark.createDataFrame([(1, "la taxe foncière"), (2, "locaux loués vides"), (3, "")], "query_id long, text string")
+    pairs = asked.select("query_id").crossJoin(docs.select("ref"))
+    found = lambda c: {(r["query_id"], r["ref"]): r["overlap"] for r in references._overlap(pairs, asked, docs, c).collect()}
+    assert found(chunks) == {(1, "A"): 8.0, (2, "A"): 7.0, (3, "A"): 0.0, (1, "B"): 0.0, (2, "B"): 0.0, (3, "B"): 0.0}
+    assert found(None)[1, "A"] == 4.0 and references._overlap(pairs.limit(0), asked, docs, chunks).collect() == []
+    plan = references._overlap(pairs, asked, docs, chunks)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("_asking") > 0
+
+
+def test_acronyms_are_found_in_initials(spark):
+    """Words without an initial (digits aside, those that don't begin with a to z) are passed over, and may stand inside a phrase."""
+    rows = [("a", "TVB est dit"), ("a", "taxe valeur bâtie; vide"), ("b", "TVB: taxe valeur bâtie"), ("b", "taxe œuvre valeur bâtie"), ("c", "taxe valeur bâtie")]
+    found = references.acronym_map(spark.createDataFrame(rows, "ref string, text string"), ratio=1.0).collect()
+    assert [tuple(r) for r in found] == [("TVB", "taxe valeur batie", 2)]
+    one = spark.createDataFrame([("taxe 3e æuvre valeur batie", ["TVB"]), ("taxe valeur", ["TVB"]), ("taxe", ["T"])], "s string, a array<string>")
+    assert [tuple(r) for r in one.select(F.inline(references._spelled(F.col("s"), F.col("a")))).collect()] == [("TVB", "taxe 3e æuvre valeur batie")]

@@ -12,6 +12,7 @@ does one with a negative score.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -74,8 +75,8 @@ def ordered(score: str = "score", item: str = "item") -> list[Column]:
 
 #: The most weights (pairs of a question and one of its terms) and questions that one scan of the items answers; more take several scans.
 MOST_CELLS, MOST_QUERIES = 2_000_000, 4096
-#: Tokens that a scan holds at a time.
-MOST_TOKENS = 1 << 20
+#: Tokens that a scan holds at a time, and weights that it adds up at a time (more only where one item alone has more).
+MOST_TOKENS, MOST_ADDED = 1 << 20, 1 << 20
 
 
 def _pieces(batch: pa.RecordBatch, most_rows: int, most_tokens: int) -> Iterator[pa.RecordBatch]:
@@ -88,8 +89,17 @@ def _pieces(batch: pa.RecordBatch, most_rows: int, most_tokens: int) -> Iterator
         at += take
 
 
+def _runs(added: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Stretches of items that add up at most ``most`` weights, or of one item."""
+    at, ends = 0, np.append(0, np.cumsum(added))
+    while at < len(added):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + most, side="right")) - 1)
+        yield at, to
+        at = to
+
+
 def _scanner(shared, k: int | None, owned: bool):
-    most_tokens = MOST_TOKENS
+    most_tokens, most_added = MOST_TOKENS, MOST_ADDED
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, starts, counts, who, weight, query_ids, avgdl = shared.value
@@ -106,39 +116,59 @@ def _scanner(shared, k: int | None, owned: bool):
                 row, term = np.divmod(cell, max(1, len(starts)))
                 part_score = tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[row] / avgdl))
                 times = counts[term]
-                after = np.cumsum(times)
-                posting = np.arange(after[-1] if len(after) else 0) + np.repeat(starts[term] - after + times, times)
-                cell = who[posting] * len(size) + np.repeat(row, times)
-                score = np.bincount(cell, weights=weight[posting] * np.repeat(part_score, times), minlength=n * len(size)).astype(np.float64).reshape(n, len(size))
                 item = part.column(0).to_numpy(zero_copy_only=False)
-                if best is None:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids, len(item))), pa.array(np.tile(item, n)), pa.array(score.ravel())], names=["query_id", "item", "score"])
-                else:
-                    best.add(score, item, part.column(2).to_pylist() if owned else None)
+                for lo, hi in _runs(np.bincount(row, weights=times, minlength=len(size)).astype(np.int64), most_added):
+                    own = slice(*np.searchsorted(row, [lo, hi]))  # an item's weights stay together, so sums don't depend on the cut
+                    after = np.cumsum(times[own])
+                    posting = np.arange(after[-1] if len(after) else 0) + np.repeat(starts[term[own]] - after + times[own], times[own])
+                    cell = who[posting] * (hi - lo) + np.repeat(row[own] - lo, times[own])
+                    score = np.bincount(cell, weights=weight[posting] * np.repeat(part_score[own], times[own]), minlength=n * (hi - lo)).astype(np.float64).reshape(n, hi - lo)
+                    if best is None:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids, hi - lo)), pa.array(np.tile(item[lo:hi], n)), pa.array(score.ravel())], names=["query_id", "item", "score"])
+                    else:
+                        best.add(score, item[lo:hi], part.column(2).slice(lo, hi - lo).to_pylist() if owned else None)
         if best is not None:
             yield best.rows(owned)
 
     return run
 
 
-def _scanned(items: DataFrame, asked: DataFrame, k: int | None, owned: bool = False) -> DataFrame:
+@dataclass(frozen=True)
+class Stored:
+    """Items that several scans read, and what BM25 asks of all of them: written and counted once."""
+
+    items: DataFrame
+    n_items: int
+    avgdl: float
+    terms: DataFrame
+    mean_raw: float | None
+
+
+def stored(items: DataFrame) -> Stored:
+    """``items(item, toks, [ref])`` for several calls of :func:`rank` or :func:`rank_owners`."""
+    items = staged(items.select(F.col("item").cast("long"), "toks", *(["ref"] if "ref" in items.columns else [])), "tokens")
+    n = items.agg(F.count(F.lit(1)).alias("n_items"), F.avg(F.size("toks")).alias("avgdl")).first()
+    df = items.select("item", F.explode(F.array_distinct("toks")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    terms = staged(df.select("term", (F.log(F.lit(n["n_items"]) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw")), "idf")
+    return Stored(items, n["n_items"], n["avgdl"] or 1.0, terms, terms.agg(F.avg("raw")).first()[0])
+
+
+def _scanned(items: DataFrame | Stored, asked: DataFrame, k: int | None, owned: bool = False) -> DataFrame:
     """``query_id, item, score`` [and ``ref``]: the best ``k`` of each partition (all items if None), by a scan for each block of questions.
 
     What a block sends is bounded by ``MOST_CELLS`` and ``MOST_QUERIES``: its terms' weights, as a broadcast variable.
     """
-    spark = items.sparkSession
+    spark = asked.sparkSession
     empty = spark.createDataFrame([], OWNED if owned else ROW)
-    items = staged(items.select(F.col("item").cast("long"), "toks", *(["ref"] if owned else [])), "tokens")
     wanted = staged(asked.select("query_id", F.explode("toks").alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times")), "wanted")
     size = wanted.agg(F.count_distinct("query_id").alias("q"), F.count(F.lit(1)).alias("cells")).first()
-    n = items.agg(F.count(F.lit(1)).alias("n_items"), F.avg(F.size("toks")).alias("avgdl")).first()
-    if not size["q"] or not n["n_items"]:
+    if not size["q"]:
         return empty
-    df = items.select("item", F.explode(F.array_distinct("toks")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    df = df.select("term", (F.log(F.lit(n["n_items"]) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-    marked = staged(df.join(wanted.select("term").distinct().withColumn("asked", F.lit(True)), "term", "left"), "idf")
-    mean = marked.agg(F.avg("raw")).first()[0]
-    weights = wanted.join(marked.filter("asked"), "term").select("query_id", "term", (F.col("times") * F.when(F.col("raw") < 0, EPSILON * mean).otherwise(F.col("raw"))).alias("w"))
+    n = items if isinstance(items, Stored) else stored(items)
+    if not n.n_items:
+        return empty
+    items, mean = n.items.select("item", "toks", *(["ref"] if owned else [])), n.mean_raw
+    weights = wanted.join(n.terms, "term").select("query_id", "term", (F.col("times") * F.when(F.col("raw") < 0, EPSILON * mean).otherwise(F.col("raw"))).alias("w"))
     blocks = min(size["q"], max(-(-size["cells"] // max(1, MOST_CELLS)), -(-size["q"] // MOST_QUERIES)))
     ids = wanted.select("query_id").distinct()
     out = empty
@@ -151,12 +181,12 @@ def _scanned(items: DataFrame, asked: DataFrame, k: int | None, owned: bool = Fa
         terms, counts = np.unique(rows["term"].to_numpy(dtype=object), return_counts=True) if len(rows) else (np.empty(0, object), np.empty(0, np.int64))
         starts = np.cumsum(counts) - counts
         who = np.searchsorted(query_ids, rows["query_id"].to_numpy(np.int64))
-        shared = spark.sparkContext.broadcast((terms.tolist(), starts, counts, who, rows["w"].to_numpy(np.float64), query_ids, n["avgdl"] or 1.0))
+        shared = spark.sparkContext.broadcast((terms.tolist(), starts, counts, who, rows["w"].to_numpy(np.float64), query_ids, n.avgdl))
         out = out.unionByName(items.mapInArrow(_scanner(shared, k, owned), OWNED if owned else ROW))
     return out
 
 
-def rank(items: DataFrame, queries: DataFrame, k: int | None, group: Sequence[str] = (), pairs: DataFrame | None = None) -> DataFrame:
+def rank(items: DataFrame | Stored, queries: DataFrame, k: int | None, group: Sequence[str] = (), pairs: DataFrame | None = None) -> DataFrame:
     """The best ``k`` items (all if None) of each query, or of each query and group: adds ``rank`` from 1.
 
     Queries without tokens have no rows.  Without groups the items are scanned once for each block of queries: with
@@ -166,6 +196,8 @@ def rank(items: DataFrame, queries: DataFrame, k: int | None, group: Sequence[st
     group = list(group)
     asked = queries.filter(F.size("toks") > 0)
     if group:
+        items = items.items if isinstance(items, Stored) else items
+        pairs = staged(pairs.select("query_id", *group), "pairs")  # its size is known, so few pairs don't make all items move
         items = staged(items.join(pairs.select(*group).distinct(), group, "left_semi").select(*group, "item", "toks"), "tokens")
         found = scores(items, asked, group, pairs)
         every = pairs.join(asked.select("query_id"), "query_id").join(items.select(*group, "item"), group).select("query_id", *group, "item")
@@ -177,7 +209,7 @@ def rank(items: DataFrame, queries: DataFrame, k: int | None, group: Sequence[st
     return out if k is None else out.filter(F.col("rank") <= k)
 
 
-def rank_owners(items: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def rank_owners(items: DataFrame | Stored, queries: DataFrame, k: int) -> DataFrame:
     """The best part of each owner, then the best ``k`` owners of each query: ``query_id, ref, item, score, rank``.
 
     ``items(item, ref, toks)``.  Each partition returns its best ``k`` owners.

@@ -400,16 +400,16 @@ def gap_client(task: str, payload: dict) -> dict:
 
 def looped(spark: SparkSession, d: str, tell=None) -> DataFrame:
     """All questions through the whole loop, with BM25 over chunks and inside documents; replies are kept in the shared folder."""
-    items = staged(chunk_items(spark, d), "chunk_items")
-    texts = chunks(spark, d).select("item", "title", F.lit("").alias("path"), "text")
+    items = lexical.stored(chunk_items(spark, d))
+    texts = chunks(spark, d).select("item", F.col("ref").alias("_ref"), "title", F.lit("").alias("path"), "text")
     toks = lambda asked_: asked_.select("query_id", t.tokens(F.col("text")).alias("toks"))
 
     def passages(ranks: DataFrame) -> DataFrame:
-        return ranks.join(texts, "item").select("query_id", "rank", "ref", "item", "title", "path", "text")
+        """With their texts: hits are staged, so their size is known, and few of them don't make all texts move."""
+        return staged(ranks, "hits").join(texts, "item").select("query_id", "rank", F.coalesce("ref", "_ref").alias("ref"), "item", "title", "path", "text")
 
     def search(asked_: DataFrame) -> DataFrame:
-        found = lexical.rank(items.select("item", "toks"), toks(asked_), 8)
-        return passages(found.join(items.select("item", "ref"), "item"))
+        return passages(lexical.rank(items, toks(asked_), 8).withColumn("ref", F.lit(None).cast("string")))
 
     def within(asked_: DataFrame, wanted: DataFrame) -> DataFrame:
         found = lexical.rank(items, toks(asked_), None, ["ref"], wanted.select("query_id", "ref")).filter("rank <= 6")

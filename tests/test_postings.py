@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.operators import lexical, patterns, postings
+from corpusmill.operators import lexical, patterns, postings, staging
 
 
 def ranks(df, *more):
@@ -53,6 +54,42 @@ def test_tasks_hold_bounded_tokens(spark, tmp_path, monkeypatch, words):
     assert ranks(postings.rank(index, asked, 7)) == ranks(lexical.rank(items, asked, 7)) == want
 
 
+def test_scans_share_what_is_stored(spark, words):
+    """Items that are scanned twice are written and counted once, and ranked as before."""
+    items = spark.createDataFrame([(i, t or [], f"o{o}") for i, t, o in words[0]], "item long, toks array<string>, ref string")
+    asked = spark.createDataFrame(words[1], "query_id long, toks array<string>")
+    want = ranks(lexical.rank(items, asked, 7)), ranks(lexical.rank_owners(items, asked, 5), "ref")
+    both, made = lexical.stored(items), len(staging.MADE)
+    assert (ranks(lexical.rank(both, asked, 7)), ranks(lexical.rank_owners(both, asked, 5), "ref")) == want
+    assert not [x for x in staging.MADE[made:] if "/tokens-" in x or "/idf-" in x]
+    assert lexical.rank(lexical.stored(items.limit(0)), asked, 3).count() == 0
+
+
+@pytest.mark.parametrize("most", [1, 40])
+def test_a_scan_adds_up_bounded_weights(spark, monkeypatch, words, most):
+    items = spark.createDataFrame([(i, t or [], f"o{o}") for i, t, o in words[0]], "item long, toks array<string>, ref string").coalesce(1)
+    asked = spark.createDataFrame(words[1], "query_id long, toks array<string>")
+    run = lambda: (lexical.rank(items, asked, None).collect(), lexical.rank_owners(items, asked, 5).collect())
+    want = run()
+    monkeypatch.setattr(lexical, "MOST_ADDED", most)
+    assert [sorted(x) for x in run()] == [sorted(x) for x in want]
+    cuts = list(lexical._runs(np.array([3, 50, 0, 2, 39, 1]), 40))
+    assert [c[0] for c in cuts] == [0, *[c[1] for c in cuts[:-1]]] and cuts[-1][1] == 6 and (0, 1) in cuts and (1, 2) in cuts
+
+
+def test_few_pairs_do_not_make_all_items_move(spark):
+    """The documents that a search names meet all items without a shuffle of the items' tokens."""
+    items = spark.range(2000).select(F.col("id").alias("item"), F.col("id").cast("string").alias("ref"), F.array(F.lit("a"), F.col("id").cast("string")).alias("toks"))
+    items = staging.staged(items, "items")
+    asked = spark.createDataFrame([(1, ["a"])], "query_id long, toks array<string>")
+    pairs = asked.crossJoin(items.filter("item < 3").select("ref")).groupBy("query_id", "ref").count()
+    plans, real = [], staging.staged
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(lexical, "staged", lambda df, name: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or real(df, name))
+        assert lexical.rank(items, asked, None, ["ref"], pairs).count() == 3
+    assert "BroadcastHashJoin" in dict(plans)["tokens"] and "SortMergeJoin" not in dict(plans)["tokens"]
+
+
 def test_what_is_read_grows_with_postings(spark, tmp_path):
     """Ten times the items, of which no more hold the terms: the same blocks are read, from the same buckets."""
     schema = "item long, toks array<string>"

@@ -6,6 +6,8 @@ import numpy as np
 import pyarrow as pa
 
 DIGITS = 9
+#: Scores this close may be equal at so many digits.
+NEAR = 2e-9
 ROW = "query_id long, item long, score double"
 OWNED = ROW + ", ref string"
 
@@ -46,6 +48,9 @@ class Best:
             best = np.repeat(np.maximum.reduceat(even, starts, axis=1), np.diff(np.append(starts, len(owner))), axis=1)
             first = np.minimum.reduceat(np.where(even == best, np.arange(len(owner)), len(owner)), starts, axis=1)
             score, item, owner = np.take_along_axis(score, first, 1), item[first], owner[starts]
+        if self.score.shape[1] == self.k and self.k:  # items below every query's k-th score don't take part in the sort
+            near = (score >= self.score[:, -1:] - NEAR).any(axis=0)
+            score, item, owner = score[:, near], item[..., near], owner[near]
         shape = score.shape
         score = np.hstack([self.score, score])
         item = np.hstack([self.item, np.broadcast_to(item, shape)])

@@ -41,12 +41,13 @@ def branch_diversify_ranked(spark, d):
     Six places take the first document of up to six branches and, if there are fewer, the first others: all of these are
     among the best twelve documents and the best of each of the best six branches.
     """
-    most, items, q = 6, doc_items(spark, d), asked(spark, d)
-    best = lexical.rank(items.select("item", "toks"), q, 2 * most).select("query_id", "item", "score")
-    leads = lexical.rank_owners(items.select("item", agent.branch_key(F.col("ref")).alias("ref"), "toks"), q, most).select("query_id", "item", "score")
+    most, q = 6, asked(spark, d)
+    items = lexical.stored(doc_items(spark, d).withColumn("ref", agent.branch_key(F.col("ref"))))
+    best = lexical.rank(items, q, 2 * most).select("query_id", "item", "score")
+    leads = lexical.rank_owners(items, q, most).select("query_id", "item", "score")
     ranks = best.unionByName(leads).dropDuplicates(["query_id", "item"])
     ranks = ranks.withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy(*lexical.ordered())))
-    return agent.diversify(ranks.join(items.select("item", "ref"), "item"), most).withColumn("place", F.col("place").cast("long"))
+    return agent.diversify(ranks.join(corpus(spark, d).select("item", "ref"), "item"), most).withColumn("place", F.col("place").cast("long"))
 
 
 @query("SELECT user_id, event_id, round((epoch_us(ts) - lag(epoch_us(ts)) OVER w) / 1000000, 6) AS step_s, round((epoch_us(ts) - first(epoch_us(ts)) OVER w) / 1000000, 6) AS elapsed_s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")

@@ -5,6 +5,7 @@ import html
 import pytest
 
 import __spark_entry__ as entry
+from corpusmill.operators import staging
 
 
 @pytest.fixture
@@ -44,5 +45,7 @@ def test_branches_come_from_the_whole_ranking(spark, tmp_path):
     rows = [(i, "alpha beta gamma" if i == 7 else "other words", "en", f"src{i % 3}", 10) for i in range(60)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"file://{tmp_path}/documents.parquet")
     spark.createDataFrame([(3, "alpha gamma")], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    made = len(staging.MADE)
     out = {r["place"]: r["ref"] for r in entry.queries()["branch_diversify_ranked"](spark, f"file://{tmp_path}").collect()}
     assert [out[i] for i in sorted(out)] == [f"BOI-EN-SRC{i % 3}-0-{i}" for i in (7, 0, 2, 1, 3, 4)]
+    assert len([x for x in staging.MADE[made:] if "/tokens-" in x]) == 1  # both rankings read the same tokens

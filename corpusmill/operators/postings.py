@@ -1,11 +1,12 @@
-"""A stored inverted index: postings in buckets by the hash of their term, cut into blocks with the bound of what a block can score.
+"""A stored inverted index: postings in buckets by the hash of their term, cut into blocks.
 
 ``build`` numbers the items of a task in stretches (shards) of bounded items and tokens, turns each shard's tokens into postings and writes them, a
-folder a bucket, sorted by term.  ``rank`` reads only the buckets of the terms that are asked for, and of these only the terms' blocks;
-they meet by shard, where a question's score is a sum over its own postings, so the work grows with postings and not with
+folder a bucket, sorted by term.  A posting is an item's place in its shard and how often it holds the term; each shard's items, with their
+owners and sizes, are one row of a bucket of their own.  ``rank`` reads only this bucket and those of the terms that are asked for, and of these only the
+terms' blocks; they meet by shard, where a question's score is a sum over its own postings, so the work grows with postings and not with
 questions times items.  A task keeps each question's best ``k``; a shard whose bounds stay below a question's ``k``-th score is
 skipped for it.  Scores, ties and the items without a term (they score 0, before negative scores) are those of ``lexical``; items
-that score 0 are only read, from a bucket of their own, for questions that have fewer than ``k`` better ones.
+that score 0 only take part for questions that have fewer than ``k`` better ones.
 
 ``stored`` keeps an index under the fingerprint of its rows, for later jobs and sessions.
 """
@@ -33,7 +34,10 @@ SHARD, BLOCK, BUCKET, MOST_BUCKETS = 1 << 14, 512, 4_000_000, 4096
 #: Scores this close count as equal where a shard is skipped (they are compared at nine digits).
 NEAR = 2e-9
 
-POSTINGS = "shard long, term string, bound double, place array<int>, items array<long>, owners array<long>, parts array<double>"
+POSTINGS = "shard long, term string, items array<int>, times array<int>, ids array<long>, owners array<long>"
+NAMES = ["shard", "term", "items", "times", "ids", "owners"]
+#: Of what is stored: indexes of another form aren't opened.
+FORM = 2
 ITEMS = -1  # the bucket of the items themselves
 
 
@@ -60,6 +64,10 @@ class Index:
         return rows.join(terms.select("term").distinct(), "term", "left_semi")
 
     def items(self) -> DataFrame:
+        """``shard, items, owners, sizes``: one row a shard."""
+        return self.shards().select("shard", F.col("ids").alias("items"), "owners", F.col("times").alias("sizes"))
+
+    def shards(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/postings").filter(F.col("bucket") == ITEMS)
 
     def terms(self) -> DataFrame:
@@ -67,7 +75,7 @@ class Index:
         return self.spark.read.parquet(f"{self.path}/terms")
 
 
-def _builder(avgdl: float, owned: bool):
+def _builder(owned: bool):
     most_items, most_tokens = SHARD, SHARD_TOKENS
 
     def shard(number: int, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,21 +89,18 @@ def _builder(avgdl: float, owned: bool):
         place = np.repeat(np.arange(len(item)), sizes)
         cell, tf = np.unique(code * max(1, len(item)) + place, return_counts=True)  # by term, then place
         code, place = np.divmod(cell, max(1, len(item)))
-        part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[place] / (avgdl or 1.0)))
         starts = np.flatnonzero(np.diff(code, prepend=-1))
         counts = np.diff(np.append(starts, len(code)))
         blocks = -(-counts // BLOCK)
         first = np.repeat(starts - BLOCK * (np.cumsum(blocks) - blocks), blocks) + BLOCK * np.arange(blocks.sum())
         ends = pa.array(np.append(first, len(code)).astype(np.int32))
-        flat = [pa.array(place.astype(np.int32)), pa.array(item[place]), pa.array(owner[place]), pa.array(part)]
-        bound = np.maximum.reduceat(part, first) if len(part) else np.zeros(0)
-        lists = [pa.ListArray.from_arrays(ends, x) for x in flat]
-        columns = [pa.array(np.full(len(first), number, dtype=np.int64)), names.take(pa.array(code[first])), pa.array(bound), *lists]
+        lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (place, tf)]
+        none = pa.nulls(len(first), pa.list_(pa.int64()))
+        columns = [pa.array(np.full(len(first), number, dtype=np.int64)), names.take(pa.array(code[first])), *lists, none, none]
         for at in range(0, len(first), 2000):
-            yield pa.RecordBatch.from_arrays([c.slice(at, 2000) for c in columns], names=["shard", "term", "bound", "place", "items", "owners", "parts"])
-        none = pa.array([None], pa.list_(pa.float64()))
-        own = [pa.array([x], pa.list_(t)) for x, t in ((np.arange(len(item), dtype=np.int32), pa.int32()), (item, pa.int64()), (owner, pa.int64()))]
-        yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([None], pa.string()), pa.array([None], pa.float64()), *own, none], names=["shard", "term", "bound", "place", "items", "owners", "parts"])
+            yield pa.RecordBatch.from_arrays([c.slice(at, 2000) for c in columns], names=NAMES)
+        own = [pa.array([x], pa.list_(t)) for x, t in ((sizes.astype(np.int32), pa.int32()), (item, pa.int64()), (owner, pa.int64()))]
+        yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([None], pa.string()), pa.nulls(1, pa.list_(pa.int32())), *own], names=NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held, n, total = TaskContext.get().partitionId() << 32, [], 0, 0
@@ -129,11 +134,12 @@ def build(items: DataFrame, path: str) -> Index:
     """
     spark = items.sparkSession
     owned = "owner" in items.columns
-    items = staged(items.select(F.col("item").cast("long"), F.coalesce("toks", F.expr("cast(array() as array<string>)")).alias("toks"), *([F.col("owner").cast("long")] if owned else [])), "tokens")
-    n = items.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("toks")).alias("avgdl"), F.sum(F.size("toks")).alias("total")).first()
-    avgdl = n["avgdl"] or 0.0
+    items = items.select(F.col("item").cast("long"), F.coalesce("toks", F.expr("cast(array() as array<string>)")).alias("toks"), *([F.col("owner").cast("long")] if owned else []))
+    rows = staged(items.mapInArrow(_builder(owned), POSTINGS), "postings")
+    tokens = F.sum(F.aggregate("times", F.lit(0).cast("long"), lambda a, x: a + x))
+    n = rows.filter("term is null").agg(F.coalesce(F.sum(F.size("ids")), F.lit(0)).alias("n"), tokens.alias("total")).first()
+    avgdl = n["total"] / n["n"] if n["n"] else 0.0
     buckets = int(min(MOST_BUCKETS, max(16, -(-(n["total"] or 0) // BUCKET))))
-    rows = items.mapInArrow(_builder(avgdl, owned), POSTINGS)
     rows = rows.withColumn("bucket", F.when(F.col("term").isNull(), ITEMS).otherwise(F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")))
     # a common term has a block for every BLOCK items that hold it, so where buckets can't be small their rows are dealt on by shard
     slices = max(1, -(-(n["total"] or 0) // (buckets * BUCKET)))
@@ -156,14 +162,15 @@ def opened(spark: SparkSession, path: str) -> Index | None:
     return Index(spark, path, **json.loads(spark.read.parquet(f"{path}/meta").first()["meta"]))
 
 
-def stored(rows: DataFrame, tokens: Column, version: str, item: str = "item", text: str = "text", owner: str | None = None, folder: str | None = None) -> Index:
+def stored(rows: DataFrame, tokens: Column, version: str, item: str = "item", text: str = "text", owner: str | None = None, folder: str | None = None, source: DataFrame | None = None) -> Index:
     """The index of ``rows`` under their fingerprint in ``folder`` (else in the shared folder): opened if it is there, else built.
 
-    ``version`` stands for what ``tokens`` does to ``text``, and must change with it.
+    ``version`` stands for what ``tokens`` does to ``text``, and must change with it.  Where rows are made from others at some cost,
+    these may be the ``source`` to take the fingerprint of; ``version`` then stands for how rows are made from them, too.
     """
     spark = rows.sparkSession
-    columns = [item, text, *([owner] if owner else [])]
-    path = f"{(folder or shared_dir(spark) + '/indexes').rstrip('/')}/{version}-{fingerprint(rows, columns)}"
+    columns = [item, text, *([owner] if owner else [])] if source is None else source.columns
+    path = f"{(folder or shared_dir(spark) + '/indexes').rstrip('/')}/{FORM}-{version}-{fingerprint(rows if source is None else source, columns)}"
     found = opened(spark, path)
     if found:
         return found
@@ -191,25 +198,25 @@ class _Best:
 
 def _searcher(shared, k: int, fill: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place_of, questions = shared.value  # term -> number; (query_id, term numbers, weights)
+        place_of, questions, avgdl = shared.value  # term -> number; (query_id, term numbers, weights)
         best = [_Best(k) for _ in questions]
 
         def search(rows: list[dict]) -> None:
             """All questions against the blocks of one shard."""
-            rows = sorted((r for r in rows), key=lambda r: -1 if r["term"] is None else place_of[r["term"]])
-            all_items = all_owners = None
-            if rows and rows[0]["term"] is None:
-                all_items, all_owners = rows[0]["items"], rows[0]["owners"]
-                rows = rows[1:]
+            own = next(r for r in rows if r["term"] is None)
+            all_items, all_owners, sizes = own["ids"], own["owners"], own["times"]
+            rows = sorted((r for r in rows if r["term"] is not None), key=lambda r: place_of[r["term"]])
+            if not rows and not fill:
+                return
             number = np.array([place_of[r["term"]] for r in rows], dtype=np.int64)
-            size = [len(r["place"]) for r in rows]
-            place, items, owners, parts = (np.concatenate([r[c] for r in rows]) if rows else np.empty(0, np.int64) for c in ("place", "items", "owners", "parts"))
+            size = [len(r["items"]) for r in rows]
+            place, tf = (np.concatenate([r[c] for r in rows]) if rows else np.empty(0, np.int64) for c in ("items", "times"))
+            parts = tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[place] / (avgdl or 1.0)))
             ends = np.cumsum(size, dtype=np.int64)
             terms, first = np.unique(number, return_index=True)
             last = np.append(first[1:], len(number)) - 1
             start, end = (ends[first] - np.array(size, dtype=np.int64)[first], ends[last]) if len(terms) else (first, first)
-            bound = np.maximum.reduceat(np.array([r["bound"] for r in rows]), first) if len(terms) else np.empty(0)
-            width = len(all_items) if all_items is not None else int(place.max(initial=-1)) + 1
+            bound = np.maximum.reduceat(parts, start) if len(terms) else np.empty(0)
             for b, (_, wanted, weight) in zip(best, questions, strict=True):
                 at = np.searchsorted(terms, wanted)
                 inside = at < len(terms)
@@ -220,30 +227,26 @@ def _searcher(shared, k: int, fill: bool):
                 spans = [(s, e) for s, e in zip(start[at].tolist(), end[at].tolist(), strict=True)]
                 where = np.concatenate([place[s:e] for s, e in spans]) if spans else np.empty(0, np.int64)
                 value = np.concatenate([parts[s:e] * x for (s, e), x in zip(spans, w.tolist(), strict=True)]) if spans else np.empty(0)
-                score = np.bincount(where, value, minlength=width)
+                score = np.bincount(where, value, minlength=len(all_items))
                 if fill:
                     b.add(score, all_items, all_owners)
                     continue
                 keep = np.round(score, 9) > 0
                 keep &= score >= b.least()
-                if not keep.any():
-                    continue
-                seen = np.zeros(width, dtype=np.int64)
-                seen[where] = np.concatenate([np.arange(s, e) for s, e in spans])
-                seen = seen[keep]
-                b.add(score[keep], items[seen], owners[seen])
+                if keep.any():
+                    b.add(score[keep], all_items[keep], all_owners[keep])
 
         shard, held = None, []
         for batch in batches:
-            names = ("place", "items", "owners", "parts")
+            names = ("items", "times", "ids", "owners")
             flat = {c: batch.column(c).flatten().to_numpy() for c in names}
             offsets = {c: batch.column(c).offsets.to_numpy() - batch.column(c).offsets[0].as_py() for c in names}
-            for i, (s, term, bound) in enumerate(zip(batch.column("shard").to_pylist(), batch.column("term").to_pylist(), batch.column("bound").to_pylist(), strict=True)):
+            for i, (s, term) in enumerate(zip(batch.column("shard").to_pylist(), batch.column("term").to_pylist(), strict=True)):
                 if s != shard and held:
                     search(held)
                     held = []
                 shard = s
-                held.append({"term": term, "bound": bound} | {c: flat[c][offsets[c][i] : offsets[c][i + 1]] for c in names})
+                held.append({"term": term} | {c: flat[c][offsets[c][i] : offsets[c][i + 1]] for c in names})
         if held:
             search(held)
         for b, (query_id, _, _) in zip(best, questions, strict=True):
@@ -273,10 +276,8 @@ def _best(index: Index, wanted: DataFrame, k: int, fill: bool) -> DataFrame:
             own = own[own["term"].notna()]
             questions.append((int(query_id), own["term"].map(place).to_numpy(np.int64), own["w"].to_numpy(np.float64)))
         blocks_read = index.read(part.filter("term is not null").select("term"), sorted({int(x) for x in rows["bucket"].dropna().unique()}))
-        if fill:
-            blocks_read = blocks_read.unionByName(index.items())
-        shared = spark.sparkContext.broadcast((place, questions))
-        by_shard = blocks_read.select("shard", "term", "bound", "place", "items", "owners", "parts").repartition(_tasks(spark), "shard").sortWithinPartitions("shard")
+        shared = spark.sparkContext.broadcast((place, questions, index.avgdl))
+        by_shard = blocks_read.unionByName(index.shards()).select(*NAMES).repartition(_tasks(spark), "shard").sortWithinPartitions("shard")
         out = out.unionByName(by_shard.mapInArrow(_searcher(shared, k, fill), FOUND))
     return out
 

@@ -106,6 +106,27 @@ def test_what_is_read_grows_with_postings(spark, tmp_path):
     assert read == [(1, 50), (1, 50)]
 
 
+def test_a_posting_is_a_place_and_a_count(spark, tmp_path, words):
+    """Ids, owners and sizes are stored once a shard, and not with every posting; tokens aren't written on the way."""
+    items = spark.createDataFrame(words[0], "item long, toks array<string>, owner long").coalesce(1)
+    made = len(staging.MADE)
+    index = postings.build(items, f"file://{tmp_path}/owned")
+    assert not [x for x in staging.MADE[made:] if "/tokens-" in x]
+    rows = index.read(index.terms()).select("items", "times", "ids", "owners").collect()
+    own = index.items().first()
+    assert rows and all(r["ids"] is None and r["owners"] is None and max(r["items"]) < len(own["items"]) for r in rows)
+    size = {i: len(t or []) for i, t, _ in words[0]}
+    assert dict(zip(own["items"], own["sizes"], strict=True)) == size and sum(sum(r["times"]) for r in rows) == sum(size.values())
+    assert index.n_items == len(size) and index.avgdl == sum(size.values()) / len(size)
+
+
+def test_the_source_stands_for_rows_made_from_it(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a b"), (2, "b c")], "item long, text string")
+    made = rows.select((F.col("item") * 10).alias("item"), "item", "text").toDF("item", "owner", "text")
+    run = lambda r: postings.stored(made, F.split("text", " "), "v1", owner="owner", folder=f"file://{tmp_path}", source=r)
+    assert run(rows) == run(rows.orderBy(F.desc("item"))) and run(rows).path != run(rows.withColumn("text", F.upper("text"))).path
+
+
 def test_stored_index_is_built_once(spark, tmp_path):
     rows = spark.createDataFrame([(1, "a b"), (2, "b c")], "item long, text string")
     first = postings.stored(rows, F.split("text", " "), "v1", folder=f"file://{tmp_path}")

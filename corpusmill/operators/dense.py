@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.operators.staging import no_rows
 from corpusmill.operators.topk import OWNED, ROW, Best
 
 #: The most queries that one scan answers; more are asked in blocks, a scan each.
@@ -41,7 +42,7 @@ def _scored(items: DataFrame, queries: DataFrame, k: int, owned: bool) -> DataFr
     asked = queries.select("query_id", "vector").filter("vector is not null")
     n = asked.count()
     blocks = -(-n // MOST_QUERIES)
-    out = spark.createDataFrame([], OWNED if owned else ROW)
+    out = no_rows(spark, OWNED if owned else ROW)
     rows = items.select(F.col("item").cast("long"), "vector", *(["ref"] if owned else []))
     for block in range(blocks):
         some = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toPandas()

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import common
-from corpusmill.operators.staging import staged
+from corpusmill.operators.staging import no_rows, staged
 from corpusmill.operators.topk import OWNED, ROW, Best
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -159,7 +159,7 @@ def _scanned(items: DataFrame | Stored, asked: DataFrame, k: int | None, owned:
     What a block sends is bounded by ``MOST_CELLS`` and ``MOST_QUERIES``: its terms' weights, as a broadcast variable.
     """
     spark = asked.sparkSession
-    empty = spark.createDataFrame([], OWNED if owned else ROW)
+    empty = no_rows(spark, OWNED if owned else ROW)
     wanted = staged(asked.select("query_id", F.explode("toks").alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times")), "wanted")
     size = wanted.agg(F.count_distinct("query_id").alias("q"), F.count(F.lit(1)).alias("cells")).first()
     if not size["q"]:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.operators.staging import staged
+from corpusmill.operators.staging import no_rows, staged
 
 MOST_CHARS = 2_000_000
 
@@ -48,7 +48,7 @@ def occurrences(texts: DataFrame, patterns: DataFrame, key: str, text: str = "te
     blocks = 1 if total <= MOST_CHARS else -(-2 * total // MOST_CHARS)
     rows = texts.select(key, F.col(text).alias("text"))
     schema = T.StructType([rows.schema[key], T.StructField("pattern", T.StringType())])
-    out = spark.createDataFrame([], schema)
+    out = no_rows(spark, schema)
     for block in range(blocks):
         held = [r[0] for r in wanted.filter(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == block).collect()]
         if held:

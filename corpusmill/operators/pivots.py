@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.operators.dense import MOST_QUERIES
-from corpusmill.operators.staging import staged
+from corpusmill.operators.staging import no_rows, staged
 
 PIVOTS, BLOCK, SLICE = 64, 256, 50_000
 #: Blocks that every task proposes for the first look; slack for rounding where bounds are compared with scores.
@@ -115,7 +115,7 @@ def nearest(index: Index, queries: DataFrame, k: int) -> tuple[DataFrame, DataFr
     asked = staged(queries.select(F.col("query_id").cast("long"), F.col("vector").cast("array<double>")).filter((F.size("vector") == dim) & ~F.exists("vector", lambda x: x.isNull())), "asked")
     n = asked.count()
     blocks = index.blocks()
-    found, looked = spark.createDataFrame([], "query_id long, item long, score double"), spark.createDataFrame([], "query_id long, block long, n long")
+    found, looked = no_rows(spark, "query_id long, item long, score double"), no_rows(spark, "query_id long, block long, n long")
     parts = -(-n // MOST_QUERIES) if len(index.pivots) else 0
     for part in range(parts):
         rows = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).toPandas()

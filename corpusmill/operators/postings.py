@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.operators.index import fingerprint
 from corpusmill.operators.lexical import EPSILON, K1, MOST_CELLS, MOST_QUERIES, B, ordered
-from corpusmill.operators.staging import shared_dir, staged
+from corpusmill.operators.staging import no_rows, shared_dir, staged
 
 #: Tokens of a shard that isn't a single item: what a task that builds or searches it holds.
 SHARD_TOKENS = 1 << 20
@@ -116,6 +116,8 @@ def _builder(owned: bool):
                 if n == most_items or at < batch.num_rows:
                     yield from shard(number, held)
                     number, held, n, total = number + 1, [], 0, 0
+            if held and held[-1].num_rows < batch.num_rows:  # a copy: a slice would hold its whole batch beside the next
+                held[-1] = held[-1].take(pa.array(np.arange(held[-1].num_rows)))
         if held:
             yield from shard(number, held)
 
@@ -264,7 +266,7 @@ def _best(index: Index, wanted: DataFrame, k: int, fill: bool) -> DataFrame:
     spark = index.spark
     size = wanted.agg(F.count_distinct("query_id").alias("q"), F.count(F.lit(1)).alias("cells")).first()
     blocks = max(1, min(size["q"], max(-(-size["cells"] // MOST_CELLS), -(-size["q"] // MOST_QUERIES))))
-    out = spark.createDataFrame([], FOUND)
+    out = no_rows(spark, FOUND)
     for block in range(blocks):
         part = wanted.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
         rows = part.toPandas()  # at most about MOST_CELLS

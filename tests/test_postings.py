@@ -1,12 +1,14 @@
 """The stored inverted index against the scan, and strings found in texts against plain search."""
 
 import random
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.operators import lexical, patterns, postings, staging
+from corpusmill.operators import dense, lexical, patterns, postings, staging
 
 
 def ranks(df, *more):
@@ -54,6 +56,37 @@ def test_tasks_hold_bounded_tokens(spark, tmp_path, monkeypatch, words):
     assert ranks(postings.rank(index, asked, 7)) == ranks(lexical.rank(items, asked, 7)) == want
 
 
+def test_scans_start_python_once(spark, tmp_path):
+    """What scans add their rows to isn't an RDD of Python's, which would start another worker on every core."""
+    items = staging.staged(spark.range(50).select(F.col("id").alias("item"), F.array(F.lit("a"), F.col("id").cast("string")).alias("toks"), F.array(F.col("id").cast("double")).alias("vector")), "items")
+    asked = staging.staged(items.filter("item < 3").withColumnRenamed("item", "query_id"), "asked")
+    index = postings.build(items.select("item", "toks"), f"file://{tmp_path}/index")
+    texts = items.select("item", F.lit("one two").alias("text"))
+    found = [
+        lexical.rank(items.select("item", "toks"), asked, 2), lexical._scanned(items, asked, 2), postings._best(index, staging.no_rows(spark, "query_id long, term string, w double, bucket int"), 2, True),
+        dense.nearest(items, asked, 2), patterns.occurrences(texts, spark.range(1).select(F.lit("two").alias("pattern")), "item"),
+    ]
+    assert not [x for x in found if "ExistingRDD" in x._jdf.queryExecution().executedPlan().toString()]
+    assert [found[i].count() for i in (0, 2, 3, 4)] == [6, 0, 6, 50] and found[2].columns == ["query_id", "item", "owner", "score"]
+
+
+def test_a_shard_does_not_hold_the_batch_before(monkeypatch):
+    """The items of a batch that the next shard begins with are held without their batch."""
+    monkeypatch.setattr(postings, "SHARD_TOKENS", 300)
+    monkeypatch.setattr(postings, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+
+    def batch(first):
+        return pa.RecordBatch.from_arrays([pa.array(range(first, first + 200)), pa.array([["x" * 500] * 10] * 200)], names=["item", "toks"])
+
+    one, before = batch(0).nbytes, pa.total_allocated_bytes()
+    most, ids = 0, []
+    for out in postings._builder(False)(batch(i * 200) for i in range(4)):
+        most = max(most, pa.total_allocated_bytes() - before)
+        ids += [x for x in out.column("ids").to_pylist() if x]
+    assert [x for own in ids for x in own] == list(range(800)) and max(map(len, ids)) == 30
+    assert most < 1.8 * one
+
+
 def test_scans_share_what_is_stored(spark, words):
     """Items that are scanned twice are written and counted once, and ranked as before."""
     items = spark.createDataFrame([(i, t or [], f"o{o}") for i, t, o in words[0]], "item long, toks array<string>, ref string")
